@@ -99,9 +99,9 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
 """,
     "op6_decontamination": r"""
 WITH words AS (
-  SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), x -> x <> '') AS w FROM documents
+  SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM documents
 ), items AS (
-  SELECT item_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), x -> x <> '') AS w FROM benchmark
+  SELECT item_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
 ), d AS (
   SELECT DISTINCT id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM words)
 ), b AS (

@@ -80,9 +80,9 @@ class PieceEncoder:
         if len(self.by_chunk) > CACHE:
             self.by_chunk.clear()
         have = self.by_chunk
-        new = list({c for cs in split if cs for c in cs if c not in have})
-        self._learn(new)
-        out = [None if cs is None else b"".join([have[c] for c in cs]) for cs in split]
+        self._learn(list(set().union(*(cs for cs in split if cs)).difference(have)))
+        ids = have.__getitem__
+        out = [None if cs is None else b"".join(map(ids, cs)) for cs in split]
         rest = [i for i, cs in enumerate(split) if cs is None]
         for i, e in zip(rest, self.whole.encode_batch_fast([batch[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, "<u4").tobytes()

@@ -23,7 +23,7 @@ from tickgrid.llm.textvec import PIECE, fit_logistic, hellinger, ngram_counts, w
 
 LABELLERS = ("symbols", "capitals", "length", "word_length", "repeated_lines", "repeated_words", "decorated_words", "digits")
 #: Texts of each class that the scorer is trained on, at most (in expectation).
-FIT_ROWS = 2000
+FIT_ROWS = 1200
 BITS, ORDERS, ROUNDS = 13, (1, 2, 3), 100
 RESULT = "votes string, posterior double, score double, keep boolean"
 _CLASS = np.full(0x250, 1, np.uint8)  # 0 blank, 1 letter, 2 capital, 3 digit, 4 sentence mark, 5 other sign

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,3 +93,13 @@ def sampled(df: DataFrame, label: str, per_label: int, *key: Column) -> DataFram
 
 def texts(batch: pd.Series) -> list[str]:
     return ["" if t is None or t != t else t for t in batch]
+
+
+def give_back() -> None:
+    """At the end of a Python task: return freed memory to the system, since idle workers are kept for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickgrid.llm.base import give_back
+
 
 def with_blocks(df: DataFrame, size: Column, most: int, *key: Column) -> DataFrame:
     """Rows with (bx, by, own): each row goes to all blocks that pair its chunk with another.
@@ -58,6 +60,7 @@ def map_runs(df: DataFrame, keys: list[str], order: list[str], f: Callable[[pd.D
                     held, n = [], 0
         if held:
             yield pd.concat(held, ignore_index=True)
+        give_back()
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickgrid.llm.base import small, spool, texts
+from tickgrid.llm.base import give_back, small, spool, texts
 from tickgrid.llm.blocks import Sets, link_rows, map_runs, with_blocks
 from tickgrid.llm.components import components
 from tickgrid.llm.textvec import maps, minhash, shingles
@@ -59,6 +59,7 @@ def sketches(docs: DataFrame, text_col: str, id_col: str, words: int) -> DataFra
             sigs = [minhash(g, a, b) if len(g) else None for g in (shingles(t, words) for t in texts(batch))]
             rows = [(None, None) if s is None else (s.astype(">u4").tobytes(), s.astype(np.uint8).tobytes()) for s in sigs]
             yield pd.DataFrame(rows, columns=["sig", "low"], dtype=object)
+        give_back()
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.length(text)).alias("h2"), signature(text).alias("s"))
@@ -177,6 +178,7 @@ def verified(docs: DataFrame, groups: DataFrame, text_col: str, id_col: str, wor
     def grams(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([shingles(t, words).view(np.int64) for t in texts(batch)], dtype=object)
+        give_back()
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).cast("long").alias("own"), text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.length(text)).alias("h2"))

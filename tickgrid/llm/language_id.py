@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickgrid.llm.base import fold_of, fresh, sampled, texts
+from tickgrid.llm.base import fold_of, fresh, give_back, sampled, texts
 from tickgrid.llm.textvec import fit_logistic, hellinger, ngram_counts
 
 #: Rows of a language that the bit classifiers are fitted on, at most (in expectation).
@@ -112,6 +112,7 @@ def predictor(model: EcocModel | None, spark) -> object:
                 if second is not None:
                     out.loc[has, "runner_up"] = [m.languages[i] for i in second]
             yield out
+        give_back()
 
     return predict
 

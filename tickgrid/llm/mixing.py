@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickgrid.llm.base import fresh, sampled, spool, texts, unit
+from tickgrid.llm.base import fresh, give_back, sampled, spool, texts, unit
 from tickgrid.llm.textvec import fit_logistic, hellinger, ngram_counts
 
 #: Labelled rows of a domain that the classifier is fitted on, at most (in expectation).
@@ -146,6 +146,7 @@ def membership(docs: DataFrame, model: MixingModel, text_col: str = "text") -> C
         for batch in batches:
             n, p = m.posteriors(batch)
             yield pd.DataFrame({"n_tokens": n, "domain": [m.domains[i] for i in p.argmax(axis=1)], "posterior": list(p), "rate": m.rates(p)[0]})
+        give_back()
 
     return run(F.col(text_col))
 

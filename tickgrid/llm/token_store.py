@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickgrid.llm.base import fresh, spool
+from tickgrid.llm.base import fresh, give_back, spool
 
 END = 1
 #: Pieces that a worker remembers; the cache is emptied beyond that.
-CACHE = 400_000
+CACHE = 200_000
 #: Bytes of a row group and of a page.
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 #: The alternation that the vocabulary's file splits by, and the letters for which it is applied here.
@@ -119,6 +119,7 @@ def write(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", vocab
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("part").cast(pa.int32()), pa.array(done + ends - n), pa.array(n), lists], ["doc_id", "part", "offset", "n_tokens", "token_ids"])
                 done += int(ends[-1])
+        give_back()
 
     encoded = ranged.mapInArrow(encode, SCHEMA)
     return spool(
@@ -152,5 +153,6 @@ def checksums(rows: DataFrame) -> DataFrame:
             at, raw = ids.offsets.to_numpy(), memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False)).astype("<u4").tobytes())
             sums = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        give_back()
 
     return rows.select("doc_id", "start", "n_tokens", "token_ids").mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,3 +104,15 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library than glibc
         pass
+
+
+def gathered(rows: DataFrame, label: str, vector: str) -> tuple[list, np.ndarray]:
+    """Labels and vectors of a bounded sample on the driver; vectors come as bytes of half-precision floats.
+
+    Only one full copy is held: the rows collected are half its size and go on return.
+    """
+    got = rows.select(label, vector).collect()
+    x = np.empty((len(got), len(got[0][1]) // 2 if got else 0), np.float32)
+    for i, r in enumerate(got):
+        x[i] = np.frombuffer(r[1], np.float16)
+    return [r[0] for r in got], x

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickgrid.llm.base import fold_of, fresh, give_back, sampled, texts
+from tickgrid.llm.base import fold_of, fresh, gathered, give_back, sampled, texts
 from tickgrid.llm.textvec import fit_logistic, hellinger, ngram_counts
 
 #: Rows of a language that the bit classifiers are fitted on, at most (in expectation).
@@ -65,17 +65,18 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id
 
     @F.pandas_udf("binary")
     def vectors(t: pd.Series) -> pd.Series:
-        return pd.Series([x.tobytes() for x in features(t)])
+        return pd.Series([x.astype(np.float16).tobytes() for x in features(t)])
 
-    got = sampled(labelled.where(F.col(text_col).isNotNull()), label_col, rows, F.col(id_col), F.lit("lid")).select(F.col(label_col).alias("y"), vectors(text_col).alias("x")).toPandas()
-    if not len(got):
+    taught, x = gathered(sampled(labelled.where(F.col(text_col).isNotNull()), label_col, rows, F.col(id_col), F.lit("lid")).select(F.col(label_col).alias("y"), vectors(text_col).alias("x")), "y", "x")
+    if not taught:
         return None
-    x = np.stack([np.frombuffer(b, np.float32) for b in got["x"]])
-    names = sorted(set(got["y"]))
-    y = np.array([names.index(v) for v in got["y"]])
+    names = sorted(set(taught))
+    y = np.array([names.index(v) for v in taught])
     codes = codewords(len(names))
     w, b = fit_logistic(x, (codes[y] + 1) / 2)
     right = (x @ w + b) * codes[y] > 0
+    del x
+    give_back()
     trust = np.stack([right[y == i].mean(axis=0) for i in range(len(names))]) + 1e-6
     return EcocModel(names, codes, w, b, (trust / trust.sum(axis=1, keepdims=True)).astype(np.float32))
 

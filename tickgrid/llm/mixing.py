@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickgrid.llm.base import fresh, give_back, sampled, spool, texts, unit
+from tickgrid.llm.base import fresh, gathered, give_back, sampled, spool, texts, unit
 from tickgrid.llm.textvec import fit_logistic, hellinger, ngram_counts
 
 #: Labelled rows of a domain that the classifier is fitted on, at most (in expectation).
@@ -79,17 +79,17 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: Column, text_col:
 
     @F.pandas_udf("binary")
     def vectors(t: pd.Series) -> pd.Series:
-        return pd.Series([hellinger(ngram_counts(x, ORDERS, BITS)).tobytes() for x in texts(t)])
+        return pd.Series([hellinger(ngram_counts(x, ORDERS, BITS)).astype(np.float16).tobytes() for x in texts(t)])
 
-    got = docs.join(F.broadcast(teach), F.col(id_col) == F.col("_id")).select("_domain", vectors(text_col).alias("x")).toPandas()
-    if not len(got):
+    taught, x = gathered(docs.join(F.broadcast(teach), F.col(id_col) == F.col("_id")).select("_domain", vectors(text_col).alias("x")), "_domain", "x")
+    if not taught:
         return None
-    names = sorted(set(got["_domain"]))
-    x = np.stack([np.frombuffer(b, np.float32) for b in got["x"]])
-    w, b = fit_logistic(x, np.eye(len(names), dtype=np.float32)[[names.index(v) for v in got["_domain"]]], rounds=120, softmax=True)
+    names = sorted(set(taught))
+    w, b = fit_logistic(x, np.eye(len(names), dtype=np.float32)[[names.index(v) for v in taught]], rounds=120, softmax=True)
     seen = {r["_domain"]: r["count"] for r in d.where("_domain is not null").groupBy("_domain").count().collect()}
-    taught = got["_domain"].value_counts()
-    b += np.array([np.log(seen[v] / taught[v]) for v in names], np.float32)  # the sample is even; posteriors follow the labelled shares
+    del x
+    give_back()
+    b += np.array([np.log(seen[v] / taught.count(v)) for v in names], np.float32)  # the sample is even; posteriors follow the labelled shares
     return MixingModel(names, w, b)
 
 

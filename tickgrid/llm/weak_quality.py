@@ -18,12 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickgrid.llm.base import sampled, spool, texts
+from tickgrid.llm.base import gathered, sampled, spool, texts
 from tickgrid.llm.textvec import PIECE, fit_logistic, hellinger, ngram_counts, word_hashes
 
 LABELLERS = ("symbols", "capitals", "length", "word_length", "repeated_lines", "repeated_words", "decorated_words", "digits")
 #: Texts of each class that the scorer is trained on, at most (in expectation).
-FIT_ROWS = 1200
+FIT_ROWS = 2000
 BITS, ORDERS, ROUNDS = 13, (1, 2, 3), 100
 RESULT = "votes string, posterior double, score double, keep boolean"
 _CLASS = np.full(0x250, 1, np.uint8)  # 0 blank, 1 letter, 2 capital, 3 digit, 4 sentence mark, 5 other sign
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rows: i
 
     @F.pandas_udf("binary")
     def vectors(t: pd.Series) -> pd.Series:
-        return pd.Series([hellinger(ngram_counts(x, ORDERS, BITS)).tobytes() for x in texts(t)])
+        return pd.Series([hellinger(ngram_counts(x, ORDERS, BITS)).astype(np.float16).tobytes() for x in texts(t)])
 
     held = spool(docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), vote(text_col).alias("v")), "votes")
     model = estimate(dict(held.groupBy("v").count().collect()))
@@ -126,10 +126,9 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rows: i
     chosen = sampled(held.withColumn("side", side[F.col("v")]), "side", rows, F.col("id"), F.col("h")).select("id", "h", "v").distinct()
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"), F.col(text_col).alias("t"))
     teach = own.join(F.broadcast(chosen), own["id"].eqNullSafe(chosen["id"]) & (own["h"] == chosen["h"])).select("v", "t")
-    got = teach.select("v", vectors("t").alias("x")).toPandas()
-    if len(got) and len({model.posterior[v] >= 0.5 for v in got["v"]}) == 2:
-        x = np.stack([np.frombuffer(b, np.float32) for b in got["x"]])
-        w, b = fit_logistic(x, np.array([model.posterior[v] for v in got["v"]], np.float32)[:, None])
+    taught, x = gathered(teach.select("v", vectors("t").alias("x")), "v", "x")
+    if len({model.posterior[v] >= 0.5 for v in taught}) == 2:
+        w, b = fit_logistic(x, np.array([model.posterior[v] for v in taught], np.float32)[:, None])
         model.weights, model.bias = w[:, 0], float(b[0])
     return model
 

@@ -30,7 +30,7 @@ from tickgrid.llm.base import fresh, give_back, spool
 
 END = 1
 #: Pieces that a worker remembers; the cache is emptied beyond that.
-CACHE = 200_000
+CACHE = 400_000
 #: Bytes of a row group and of a page.
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 #: The alternation that the vocabulary's file splits by, and the letters for which it is applied here.

@@ -34,8 +34,10 @@ CACHE = 400_000
 #: Bytes of a row group and of a page.
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 #: The alternation that the vocabulary's file splits by, and the letters for which it is applied here.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+|\n")
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ňŊ-ž]*")
+_PLAIN_LINES = re.compile(r"[\n!-~À-ÖØ-öø-įı-ňŊ-ž]*")
+_MARK = b"\xff" * 4
 _ODD_BLANK = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 _STATE: dict[str, PieceEncoder] = {}
 
@@ -52,28 +54,45 @@ class PieceEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.bare = Tokenizer(self.whole.model)
+        self.bare.pre_tokenizer = WhitespaceSplit()
         letters = {chr(i): ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(i))[0][0] for i in [*range(33, 127), *range(0xC0, 0x180)]}
         self.spelled = str.maketrans({a: b for a, b in letters.items() if a != b})
         self.by_chunk: dict[str, bytes] = {}
-        self.by_piece: dict[str, bytes] = {}
+        self.by_piece: dict[str, bytes] = {"\n": _MARK}
+
+    def _spell(self, pieces: list[str]) -> None:
+        """Encode new pieces in one call, parted by blanks that no piece holds, and cut the ids where the word changes."""
+        if not pieces:
+            return
+        e = self.bare.encode(" ".join(pieces).translate(self.spelled), add_special_tokens=False)
+        raw, word = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids, np.int64)
+        ends = np.searchsorted(word, np.arange(len(pieces)), "right") * 4
+        at = 0
+        for p, end in zip(pieces, ends.tolist(), strict=True):
+            self.by_piece[p] = raw[at:end]
+            at = end
 
     def _learn(self, chunks: list[str]) -> None:
-        plain = {c: _PIECES.findall(c.lower()) for c in chunks if _PLAIN.fullmatch(c)}
+        """Plain chunks are cut into pieces as lines of one string; the mark between them is no id's bytes."""
+        lines = "\n".join(chunks)
+        if not _PLAIN_LINES.fullmatch(lines):
+            rest = [c for c in chunks if not _PLAIN.fullmatch(c)]
+            for c, e in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+                self.by_chunk[c] = np.array(e.ids, "<u4").tobytes()
+            chunks = [c for c in chunks if _PLAIN.fullmatch(c)]
+            lines = "\n".join(chunks)
+        if not chunks:
+            return
         if len(self.by_piece) > CACHE:
-            self.by_piece.clear()
-        new = list({p for ps in plain.values() for p in ps if p not in self.by_piece})
-        for p, e in zip(new, self.bare.encode_batch_fast([p.translate(self.spelled) for p in new], add_special_tokens=False), strict=True):
-            self.by_piece[p] = np.array(e.ids, "<u4").tobytes()
-        for c, ps in plain.items():
-            self.by_chunk[c] = b"".join([self.by_piece[p] for p in ps])
-        rest = [c for c in chunks if c not in plain]
-        for c, e in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.by_chunk[c] = np.array(e.ids, "<u4").tobytes()
+            self.by_piece = {"\n": _MARK}
+        pieces = _PIECES.findall(lines.lower())
+        self._spell(list(set(pieces).difference(self.by_piece)))
+        self.by_chunk.update(zip(chunks, b"".join(map(self.by_piece.__getitem__, pieces)).split(_MARK), strict=True))
 
     def encode(self, batch: list[str]) -> list[bytes]:
         split = [None if "<|" in t or _ODD_BLANK.search(t) else t.split() for t in batch]

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickgrid.functions import geometry as geo
-from tickgrid.operators import rules, spatial
+from tickgrid.operators import placement, rules, spatial
 from tickgrid.plans.derived import WITH, relation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -479,3 +479,15 @@ def dedupe_greedy(s, d):
 @query()
 def row_cluster(s, d):
     return spatial.row_clusters(pred(s, d).select("page_id", "box_id", "x1", "y1", "x2", "y2"), 20.0)
+
+
+@query()
+def witness_merge(s, d):
+    """The label boxes as a form of two rows a page, against the predictions; added boxes have no box_id."""
+    knots = F.array(*[F.struct(F.lit(float(y)).alias("ty"), F.lit(float(y)).alias("py")) for y in (0, 40, 80)])
+    regs = gold(s, d).select("page_id").distinct().select("page_id", F.lit("f").alias("form"), F.lit(24).alias("side"), knots.alias("knots"))
+    boxes = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("x1", "y1", "x2", "y2"), (60 * i, 40 * (i % 2), 60 * i + 24, 40 * (i % 2) + 24), strict=True)]) for i in range(1, 8)])
+    forms = s.range(1).select(F.lit("f").alias("form"), boxes.alias("boxes"))
+    found = pred(s, d).select("page_id", *[F.col(c).cast("int").alias(c) for c in ("box_id", "x1", "y1", "x2", "y2")])
+    out = placement.place(found, regs, forms)
+    return out.select("page_id", "box_id", "x1", "y1", "x2", "y2", F.array_join("witnesses", "|").alias("witnesses"), F.array_join("reasons", "|").alias("reasons"), F.col("stats.agree").alias("agree"), F.col("stats.trusted").alias("trusted"))

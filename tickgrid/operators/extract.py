@@ -10,8 +10,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SCHEMA = "page string, box_id int, x1 int, y1 int, x2 int, y2 int, ink double, n int, largest double, span double, outside double"
+#: Pages narrower than this are read at twice their size and reported in their own coordinates.
+NARROW = 1400
 
 
 def grey(pixels: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -107,32 +110,94 @@ def features(ink: np.ndarray, box: tuple[int, int, int, int]) -> tuple[float, in
     return share, len(parts), big[4] / inner.size, float(np.hypot(big[2] - big[0], big[3] - big[1]) / np.hypot(w, h)), float(1 - grown / wide) if wide else 0.0
 
 
-def boxes_of(g: np.ndarray) -> list[tuple]:
-    ink = ink_mask(g)
-    side = box_side(ink)
-    grow, kept = max(2, round(0.08 * side)), []
+def ring_ink(ink: np.ndarray, box: tuple[int, int, int, int], side: int) -> float:
+    """Share of ink in a ring around the box; a hole in a dark block has a dark ring."""
+    x1, y1, x2, y2 = box
+    m = max(3, int(0.4 * side))
+    wide = ink[max(0, y1 - m) : y2 + m, max(0, x1 - m) : x2 + m]
+    area = wide.size - (x2 - x1) * (y2 - y1)
+    return float(wide.sum() - ink[max(0, y1) : y2, max(0, x1) : x2].sum()) / area if area > 0 else 0.0
+
+
+def text_like(ink: np.ndarray, box: tuple[int, int, int, int]) -> bool:
+    """Several small blobs and no stroke that stands out: letters of a table cell."""
+    share, n, largest, _, _ = features(ink, box)
+    return 0.03 < share < 0.5 and n >= 4 and largest < 0.08
+
+
+def doubled(g: np.ndarray) -> np.ndarray:
+    """Twice the size by cubic convolution (a = -0.75), one axis after the other."""
+
+    def weight(d: np.ndarray) -> np.ndarray:
+        d = np.abs(d)
+        return np.where(d <= 1, 1.25 * d**3 - 2.25 * d**2 + 1, np.where(d < 2, -0.75 * (d**3 - 5 * d**2 + 8 * d - 4), 0))
+
+    out = g.astype(np.float64)
+    for axis in (0, 1):
+        n = out.shape[axis]
+        at = (np.arange(2 * n) + 0.5) / 2 - 0.5
+        low = np.floor(at).astype(int)
+        shape = [-1 if a == axis else 1 for a in (0, 1)]
+        out = sum(weight(at - low - k).reshape(shape) * out.take(np.clip(low + k, 0, n - 1), axis) for k in (-1, 0, 1, 2))
+    return np.clip(np.rint(out), 0, 255).astype(np.float32)
+
+
+def off(values: list[int], share: float) -> np.ndarray:
+    """True where a value differs from the median by more than the share of it."""
+    v = np.array(values, float)
+    return np.abs(v - np.median(v)) > share * np.median(v)
+
+
+def sifted(ink: np.ndarray, side: int) -> list[tuple[tuple[int, int, int, int], str | None]]:
+    """Candidate boxes in the order found, each with the reason for which it is rejected, or None."""
+    grow, found = max(2, round(0.08 * side)), []
     for share in (0.6, 0.8):
-        for x1, y1, x2, y2 in holes(frame(ink, max(3, int(share * side))), 0.6 * side, 1.6 * side):
+        for x1, y1, x2, y2 in holes(frame(ink, max(3, int(share * side))), int(0.6 * side), int(1.6 * side)):
             box = (x1 - grow, y1 - grow, x2 + grow, y2 + grow)
-            if all(abs(box[0] + box[2] - b[0] - b[2]) / 2 + abs(box[1] + box[3] - b[1] - b[3]) / 2 > 0.3 * side for b in kept):
-                kept.append(box)
-    if kept:
-        size = np.array([max(b[2] - b[0], b[3] - b[1]) for b in kept])
-        kept = [b for b, s in zip(kept, size, strict=True) if abs(s - np.median(size)) <= 0.15 * np.median(size)]
+            if all(abs(box[0] + box[2] - b[0] - b[2]) / 2 + abs(box[1] + box[3] - b[1] - b[3]) / 2 > 0.3 * side for b in found):
+                found.append(box)
+    reason: dict = dict.fromkeys(found)
+    reason.update({b: "RING_INK" for b in found if ring_ink(ink, b, side) >= 0.5})
+
+    def left() -> list:
+        return [b for b in found if reason[b] is None]
+
+    if kept := left():
+        reason.update({b: "SIZE_CONSENSUS" for b, bad in zip(kept, off([max(b[2] - b[0], b[3] - b[1]) for b in kept], 0.15), strict=True) if bad})
+    if len(kept := left()) >= 5:
+        reason.update({b: "TEXT_LIKE_SIZE_OUTLIER" for b, bad in zip(kept, off([b[3] - b[1] for b in kept], 0.10), strict=True) if bad and text_like(ink, b)})
+    return [(b, reason[b]) for b in found]
+
+
+def boxes_of(g: np.ndarray) -> list[tuple]:
+    """(corners, features, reason of rejection or None) of a page's candidates, in reading order."""
+    height, width = g.shape
+    times = 2 if width < NARROW else 1
+    ink = ink_mask(doubled(g) if times == 2 else g)
     out = []
-    for x1, y1, x2, y2 in sorted(kept, key=lambda b: (b[1], b[0])):
-        box = (max(0, x1), max(0, y1), min(g.shape[1], x2), min(g.shape[0], y2))
-        out.append((*box, *features(ink, box)))
-    return out
+    for (x1, y1, x2, y2), reason in sifted(ink, box_side(ink)):
+        box = (max(0, x1), max(0, y1), min(times * width, x2), min(times * height, y2))
+        out.append((*(v // times for v in box), *features(ink, box), reason))
+    return sorted(out, key=lambda r: (r[1], r[0]))
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """pages (page, height, width, channels, pixels) -> a row of SCHEMA for each box."""
+def scan(pages: DataFrame) -> DataFrame:
+    """pages (page, height, width, channels, pixels) -> SCHEMA and ``rejected``, a reason or null; box_id counts the rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        names = [*[x.split()[0] for x in SCHEMA.split(", ")], "rejected"]
         for batch in batches:
             rows = [(p.page, i, *b) for p in batch.itertuples() for i, b in enumerate(boxes_of(grey(p.pixels, p.height, p.width, p.channels)))]
             yield pd.DataFrame(rows, columns=names)
 
-    return pages.select("page", "height", "width", "channels", "pixels").mapInPandas(run, SCHEMA)
+    return pages.select("page", "height", "width", "channels", "pixels").mapInPandas(run, SCHEMA + ", rejected string")
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """The boxes that a scan keeps."""
+    return scan(pages).where("rejected IS NULL").drop("rejected")
+
+
+def rejects(scanned: DataFrame) -> DataFrame:
+    """What a scan (kept or persisted by the caller) threw away, by reason, in the page's own coordinates."""
+    return scanned.where("rejected IS NOT NULL").select("page", F.array("x1", "y1", "x2", "y2").alias("bbox"), F.array("rejected").alias("reasons"))

@@ -54,6 +54,25 @@ def test_contended_match(spark):
     assert sorted((r["page_id"], r["p_box_id"], r["g_box_id"]) for r in got) == [(1, 1, 1), (1, 2, 2), (2, 5, 6)]
 
 
+def test_first_wins_and_rows(spark):
+    r = np.random.default_rng(5)
+    rows = [(int(p), i, int(x), int(y), int(x) + 20, int(y) + 20) for p in range(20) for i, (x, y) in enumerate(r.integers(0, 90, (12, 2)))]
+    boxes = spark.createDataFrame(rows, "page_id long, box_id int, x1 int, y1 int, x2 int, y2 int")
+    kept, clustered = set(), set()
+    for p in range(20):
+        own, done, anchor, row = [t for t in rows if t[0] == p], [], None, -1
+        for t in own:
+            if all(abs(t[2] - k[2]) + abs(t[3] - k[3]) > 25 for k in done):
+                done.append(t)
+        kept |= {t[:2] for t in done}
+        for t in sorted(own, key=lambda t: (t[3], t[2], t[1])):
+            if anchor is None or t[3] - anchor >= 15:
+                anchor, row = t[3], row + 1
+            clustered.add((p, t[1], row))
+    assert {(x["page_id"], x["box_id"]) for x in spatial.dedupe(boxes, 25.0).collect()} == kept
+    assert {(x["page_id"], x["box_id"], x["row_id"]) for x in spatial.row_clusters(boxes, 15.0).collect()} == clustered
+
+
 def test_alignment():
     form = [(10.0 * i, 1.0) for i in range(6)]
     assert spatial.align(form, [(20 + 11.0 * i, 1.0) for i in range(6)]) == [(i, i) for i in range(6)]

@@ -1,12 +1,12 @@
 """A registered form as a second witness: its boxes confirm, add or question the detected ones, page by page.
 
-Rows of the form are taken in reading order and a detection serves one row only, so each page is one ordered pass in a
-cogrouped kernel; pages are independent and small.
+Rows of the form are taken in reading order and a detection serves one row only, so each page is one ordered pass; a page
+is one row with its boxes as a list, so the kernel is a map.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from tickgrid.operators.spatial import align
 
 STATS = "struct<projected: int, agree: int, template_only: int, detect_only: int, trusted: boolean>"
-SCHEMA = f"page_id long, box_id int, x1 int, y1 int, x2 int, y2 int, witnesses array<string>, reasons array<string>, stats {STATS}"
+BOX = "box_id int, x1 int, y1 int, x2 int, y2 int, witnesses array<string>, reasons array<string>"
+MERGED = f"page_id long, boxes array<struct<{BOX}>>, stats {STATS}"
+SCHEMA = f"page_id long, {BOX}, stats {STATS}"
 
 
 def mapped(knots: Sequence[tuple[float, float]], y: float) -> float:
@@ -90,25 +92,27 @@ def place(detected: DataFrame, registrations: DataFrame, forms: DataFrame, least
     EXTRA_BOX. Pages without a registration keep their detections, with null stats. ``forms`` is the registry of blank
     forms, a few rows. A registered page without detections has no rows.
     """
-    boxes = detected.select("page_id", "box_id", "x1", "y1", "x2", "y2", F.array(F.lit("structure")).alias("witnesses"), F.array().cast("array<string>").alias("reasons"))
+    boxes = detected.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("y1", "x1", "box_id", "x2", "y2")]))).alias("found"))
     known = registrations.join(F.broadcast(forms), "form").select("page_id", "side", "knots", F.col("boxes").alias("form_boxes"))
 
-    def merge(own: pd.DataFrame, reg: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["y1", "x1", "box_id"]).assign(stats=None)
-        if not len(reg) or not len(own):
-            return own
-        r = reg.iloc[0]
-        form = np.array([[b["x1"], b["y1"], b["x2"], b["y2"]] for b in r.form_boxes], float).reshape(-1, 4)
-        found = own[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        confirmed, added, stats = place_page(found, form, [(k["ty"], k["py"]) for k in r.knots], float(r.side), least)
-        own["witnesses"] = [["structure", "template"] if c else ["structure"] for c in confirmed]
-        own["reasons"] = [["EXTRA_BOX"] if stats["trusted"] and not c else [] for c in confirmed]
-        rows = [*own.drop(columns="stats").itertuples(index=False, name=None), *[(own["page_id"].iloc[0], None, *b, ["template"], ["MISSING_IN_DETECT"]) for b in added]]
-        out = pd.DataFrame(rows, columns=list(own.columns[:-1]))
-        out["box_id"] = out["box_id"].astype("Int32")
-        return out.assign(stats=[stats] * len(out)).sort_values(["y1", "x1"], kind="stable")
-
-    return boxes.groupBy("page_id").cogroup(known.groupBy("page_id")).applyInPandas(merge, SCHEMA)
+    def told(found: np.ndarray, r) -> tuple[list[dict], dict | None]:
+        corners = np.array([[b["x1"], b["y1"], b["x2"], b["y2"]] for b in found], float).reshape(-1, 4)
+        confirmed, added, stats = np.zeros(len(found), bool), [], None
+        if r.knots is not None:
+            form = np.array([[b["x1"], b["y1"], b["x2"], b["y2"]] for b in r.form_boxes], float).reshape(-1, 4)
+            confirmed, added, stats = place_page(corners, form, [(k["ty"], k["py"]) for k in r.knots], float(r.side), least)
+        extra = ["EXTRA_BOX"] if stats and stats["trusted"] else []
+        rows = [{**b, "witnesses": ["structure", "template"] if c else ["structure"], "reasons": [] if c else extra} for b, c in zip(found, confirmed, strict=True)]
+        rows += [{"box_id": None, **dict(zip(("x1", "y1", "x2", "y2"), b, strict=True)), "witnesses": ["template"], "reasons": ["MISSING_IN_DETECT"]} for b in added]
+        return sorted(rows, key=lambda b: (b["y1"], b["x1"])), stats
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [(r.page_id, *told(r.found, r)) for r in batch.itertuples()]
+            yield pd.DataFrame(out, columns=["page_id", "boxes", "stats"])
+
+    merged = boxes.join(known, "page_id", "left").select("page_id", "found", "side", "knots", "form_boxes").mapInPandas(run, MERGED)
+    return merged.select("page_id", F.explode("boxes").alias("b"), "stats").select("page_id", "b.*", "stats")
 
 
 def page_stats(placed: DataFrame) -> DataFrame:

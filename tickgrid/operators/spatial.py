@@ -69,35 +69,39 @@ def nearest(points: DataFrame, boxes: DataFrame, most: Column) -> DataFrame:
     return best.select("page_id", "point_id", F.when(F.col("m.far") <= most, F.col("m.b_box_id")).alias("box_id"), F.col("m.far").alias("far"))
 
 
+def page_lists(boxes: DataFrame, *order: Column) -> DataFrame:
+    """page_id and ``all``: the page's boxes as structs in the order of the keys (_k0, _k1, ...), then of the columns."""
+    keys = [k.alias(f"_k{i}") for i, k in enumerate(order)]
+    return boxes.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*keys, *[c for c in boxes.columns if c != "page_id"]))).alias("all"))
+
+
+def middle(b: Column, axis: str) -> Column:
+    return (b[f"{axis}1"] + b[f"{axis}2"]).cast("double") / 2
+
+
 def dedupe(boxes: DataFrame, tolerance: float) -> DataFrame:
     """First-wins: a box stays if its centre is further than the L1 tolerance from all kept boxes of the page, in box order."""
 
-    def keep(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("box_id")
-        c = np.stack([(page["x1"] + page["x2"]) / 2, (page["y1"] + page["y2"]) / 2], axis=1)
-        kept: list[int] = []
-        for i in range(len(c)):
-            if not kept or (np.abs(c[kept] - c[i]).sum(axis=1) > tolerance).all():
-                kept.append(i)
-        return page.iloc[kept]
+    def far(a: Column, b: Column) -> Column:
+        return F.abs(middle(a, "x") - middle(b, "x")) + F.abs(middle(a, "y") - middle(b, "y")) > tolerance
 
-    return boxes.groupBy("page_id").applyInPandas(keep, boxes.schema)
+    kept = F.aggregate("all", F.filter("all", lambda b: F.lit(False)), lambda acc, b: F.when(F.forall(acc, lambda k: far(k, b)), F.concat(acc, F.array(b))).otherwise(acc))
+    return page_lists(boxes, F.col("box_id")).select("page_id", F.explode(kept).alias("b")).select(*["page_id" if c == "page_id" else f"b.{c}" for c in boxes.columns])
 
 
 def row_clusters(boxes: DataFrame, tolerance: float) -> DataFrame:
     """Rows of boxes by centre height: a box joins the row while it is within the tolerance of the row's first box."""
-    out = f"{boxes.schema.simpleString()[7:-1]},row_id:int"
-
-    def cluster(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(_c=(page["y1"] + page["y2"]) / 2).sort_values(["_c", "x1", "box_id"])
-        rows, anchor, row = [], None, -1
-        for c in page["_c"]:
-            if anchor is None or abs(c - anchor) >= tolerance:
-                anchor, row = c, row + 1
-            rows.append(row)
-        return page.drop(columns="_c").assign(row_id=rows)
-
-    return boxes.groupBy("page_id").applyInPandas(cluster, out.replace(":", " "))
+
+    def step(acc: Column, b: Column) -> Column:
+        new = acc["anchor"].isNull() | (F.abs(middle(b, "y") - acc["anchor"]) >= tolerance)
+        row = F.when(new, acc["row"] + 1).otherwise(acc["row"])
+        return F.struct(F.when(new, middle(b, "y")).otherwise(acc["anchor"]).alias("anchor"), row.alias("row"), F.concat(acc["ids"], F.array(row)).alias("ids"))
+
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("row"), F.array().cast("array<int>").alias("ids"))
+    pages = page_lists(boxes, (F.col("y1") + F.col("y2")).cast("double") / 2, F.col("x1"), F.col("box_id"))
+    pages = pages.select("page_id", "all", F.aggregate("all", start, step, lambda acc: acc["ids"]).alias("ids"))
+    one = pages.select("page_id", F.posexplode(F.arrays_zip("all", "ids")).alias("_at", "z")).select("page_id", "z.all", "z.ids")
+    return one.select(*["page_id" if c == "page_id" else f"all.{c}" for c in boxes.columns], F.col("ids").alias("row_id"))
 
 
 def align(template: list[tuple[float, float]], page: list[tuple[float, float]], lookback: int = 4, skip: float = 0.3, slopes: tuple[float, float] = (0.45, 2.2)) -> list[tuple[int, int]]:

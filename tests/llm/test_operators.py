@@ -361,6 +361,19 @@ def test_pieces_match_whole_texts():
     assert own.encode(batch) == want
 
 
+def test_added_tokens_match_a_plain_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_store.default_vocabulary())
+    batch = ["x <|endoftext|> y", "<|startoftext|>Some words<|endoftext|>", "<|endoftext|><|endoftext|>", "a<|b <|EndOfText|> <| endoftext|>", "plain words", "İ\xa0<|startoftext|>'s"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in batch]
+    assert want[0] == [343, 49407, 344]
+    assert token_store.encoder(token_store.default_vocabulary()).encode(batch) == [np.array(w, "<u4").tobytes() for w in want]
+    files = token_store.write(spark.createDataFrame(list(enumerate(batch)), "doc_id long, text string"))
+    got = token_store.read(files).orderBy("doc_id").collect()
+    assert [r["token_ids"] for r in got] == [[*w, 1] for w in want] and [r["start"] for r in got] == [sum(len(w) + 1 for w in want[:i]) for i in range(len(want))]
+
+
 def test_tokens_odd(spark, odd):
     files = token_store.write(odd)
     rows = token_store.read(files).orderBy("start").collect()

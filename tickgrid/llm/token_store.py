@@ -8,6 +8,7 @@ The start of a document among all ids is its offset plus the lengths of the part
 
 The tokenizer runs on the distinct pieces of the text between blanks, which its rules never join, and each piece is
 encoded once a worker while a bounded cache holds it; texts with unusual blanks or control strings are encoded whole.
+The vocabulary's added tokens, as <|endoftext|>, are read in a text as the library reads them: each becomes its own id.
 
 Cases: null text is an empty text: only the end id. Rows with a null id come first; equal ids are ordered by text. An
 empty table gives no rows. Very long texts are one list each.
@@ -57,7 +58,6 @@ class PieceEncoder:
         from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.bare = Tokenizer(self.whole.model)
         self.bare.pre_tokenizer = WhitespaceSplit()
         letters = {chr(i): ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(i))[0][0] for i in [*range(33, 127), *range(0xC0, 0x180)]}

@@ -160,6 +160,34 @@ def test_mixing_matches_a_plain_solver():
     assert np.abs(model.rates(p)[0] - x).max() < 1e-2
 
 
+@pytest.mark.parametrize("spread, most", [(1.0, 0.9), (2.0, 0.9), (2.0, 0.05)])
+def test_fit_rates_reaches_the_minimum(spark, spread, most):
+    r = np.random.default_rng(3)
+    own = r.choice(3, 600, p=[1 - most - 0.05, 0.05, most])
+    z = r.normal(0, 1, (600, 3)) + spread * np.eye(3)[own]
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    n = r.integers(1, 500, 600)
+    held = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, posterior array<double>")
+    model = mixing.fit_rates(held, mixing.MixingModel(["clean", "low", "toxic"], None, None), mixing.TARGETS)
+    w, want = n / n.sum(), np.array([0.9, 0.07, 0.03])
+    gram = (p * w[:, None]).T @ p
+    metric = np.linalg.inv(gram + 1e-4 * np.trace(gram) / 3 * np.eye(3))
+    x = ahead = np.ones(600)
+    t = 1.0
+    for _ in range(20_000):
+        pull = p @ (metric @ (w * ahead @ p - want)) + mixing.RIDGE * (ahead - 1)
+        before, x = x, np.maximum(0, ahead - 0.9 * pull)
+        if pull @ (w * (x - before)) > 0:
+            t = 1.0
+        t, past = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+        ahead = x + (past - 1) / t * (x - before)
+    pull = p @ (metric @ (w * x @ p - want)) + mixing.RIDGE * (x - 1)
+    assert np.abs(x - np.maximum(0, x - pull)).max() < 1e-6  # the plain solver has settled
+    rate = model.rates(p)[0]
+    assert np.abs(rate @ (p * w[:, None]) - x @ (p * w[:, None])).max() < 1e-4 and np.sqrt(w @ (rate - x) ** 2) < 2e-3
+    assert np.abs(model.reached - rate @ (p * w[:, None])).max() < 1e-6
+
+
 def test_mixing_odd(spark, odd, sf):
     none = table(spark, sf, "labels").limit(0)
     out, model = mixing.mix(odd, none, mixing.domain_of_labels(), mixing.TARGETS)

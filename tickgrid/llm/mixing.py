@@ -1,14 +1,17 @@
 """Mixing to target weights by soft membership.
 
 A linear softmax classifier over hashed character n-grams, fitted on labelled rows, gives every document posteriors
-over domains. Document rates r >= 0 are then fitted by accelerated projected gradient descent on
+over domains. Document rates r >= 0 are then the minimum of
 
     1/2 e' M e + RIDGE/2 sum_i w_i (r_i - 1)^2,   e_k = sum_i r_i w_i p_ik - t_k,
 
 w_i being the document's share of all tokens, t_k the target share of domain k, and M the inverse of the posteriors' Gram
-matrix sum_i w_i p_i p_i', by which overlapping domains are fitted as fast as separate ones. Each step is one distributed pass that adds up K numbers; a document's rate is a function of its own posteriors and of the steps' K-vectors
-so far, so no rates are stored or collected. Rates become whole copies: the floor, and one more where a hash of the
-document falls below the rest.
+matrix G = sum_i w_i p_i p_i' (with a little of the identity), by which overlapping domains are fitted as fast as separate
+ones. At the minimum r_i = max(0, 1 - p_i y / RIDGE) for one K-vector y = M e, so the dual in y is solved, by Newton steps
+with a line search. Each step is one distributed pass that adds up K x K numbers for each length tried; no rates are
+stored or collected. There is no limit on steps: they end when the duality gap bounds the rates' distance from the minimum by
+SETTLED, and a warning is given if rounding stops them before. Rates become whole copies: the floor, and one more where
+a hash of the document falls below the rest.
 
 Cases: null and empty texts have no tokens; they keep the rate that their posteriors give. A target domain without mass
 can't be reached and is left out, its weight spread over the others. No labelled row, or no tokens: all rates are 1.
@@ -17,7 +20,8 @@ Equal rows get equal rates and copies.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,8 +35,10 @@ from tickgrid.llm.textvec import fit_logistic, hellinger, ngram_counts
 #: Labelled rows of a domain that the classifier is fitted on, at most (in expectation).
 FIT_ROWS = 700
 BITS, ORDERS = 13, (1, 3, 4)
-#: Pull towards a rate of 1; steps at most; movement of the token shares in a step below which they count as settled.
-RIDGE, STEPS, SETTLED = 1e-3, 40, 5e-4
+#: Pull towards a rate of 1; distance of the rates from the minimum (root of the mean square over tokens) at which steps end.
+RIDGE, SETTLED = 1e-3, 1e-4
+#: Lengths of a Newton step that one pass tries, longest first.
+_LENGTHS = 0.5 ** np.arange(12)
 TARGETS = {"clean": 0.9, "low": 0.07, "toxic": 0.03}
 RESULT = "n_tokens long, domain string, posterior array<double>, rate double"
 
@@ -58,7 +64,10 @@ class MixingModel:
         return n, p
 
     def rates(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rates after the steps so far, and the point at which the next pull is to be measured."""
+        """The rates after the pulls so far, and the point at which the next one is to be measured.
+
+        One pull y at a step of 1 / RIDGE gives max(0, 1 - p y / RIDGE), the rates of the dual point y.
+        """
         r = before = np.ones(len(p))
         ahead, t = r, 1.0
         for pull in self.pulls:
@@ -93,46 +102,65 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: Column, text_col:
     return MixingModel(names, w, b)
 
 
-def _sums(held: DataFrame, model: MixingModel | None, k: int) -> np.ndarray:
-    """One pass: with no model the Gram matrix and masses of the posteriors, else the domain totals at the next point."""
+def _totals(held: DataFrame, size: int, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """One pass: the sum over all batches of a function of posteriors and token counts that gives size numbers."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = np.zeros((k + 1) * k if model is None else 2 * k)
+        out = np.zeros(size)
         for b in batches:
             if len(b):
-                p, n = np.array(b["posterior"].tolist()), b["n_tokens"].to_numpy(np.float64)
-                if model is None:
-                    out += np.concatenate([((p * n[:, None]).T @ p).ravel(), n @ p])
-                else:
-                    r, ahead = model.rates(p)
-                    out += np.concatenate([(n * ahead) @ p, (n * r) @ p])
-        yield pd.DataFrame({"at": np.arange(len(out)), "v": out})
+                out += of(np.array(b["posterior"].tolist()), b["n_tokens"].to_numpy(np.float64))
+        yield pd.DataFrame({"at": np.arange(size), "v": out})
 
     got = dict(held.select("n_tokens", "posterior").mapInPandas(add, "at int, v double").groupBy("at").agg(F.sum("v")).collect())
-    return np.array([got.get(i, 0.0) for i in range((k + 1) * k if model is None else 2 * k)])
+    return np.array([got.get(i, 0.0) for i in range(size)])
+
+
+def _at_duals(p: np.ndarray, n: np.ndarray, duals: np.ndarray) -> np.ndarray:
+    """For each dual point: domain totals, Gram matrix of the documents with a rate above 0, and the rates' part of the dual."""
+    out = []
+    for y in duals:
+        z = p @ y
+        r = np.maximum(0, 1 - z / RIDGE)
+        out += [(n * r) @ p, ((p * (n * (r > 0))[:, None]).T @ p).ravel(), [n @ (RIDGE / 2 * (r - 1) ** 2 + r * z)]]
+    return np.concatenate(out)
 
 
 def fit_rates(held: DataFrame, model: MixingModel, targets: dict[str, float]) -> MixingModel:
     """held: n_tokens and posterior of every document."""
     k = len(model.domains)
-    first = _sums(held, None, k)
+    first = _totals(held, (k + 1) * k, lambda p, n: np.concatenate([((p * n[:, None]).T @ p).ravel(), n @ p]))
     gram, mass = first[: k * k].reshape(k, k), first[k * k :]
     total = mass.sum()
     if total <= 0:
         return model
-    gram, mass = gram / total, mass / total
+    whole, mass = gram / total, mass / total
     want = np.array([targets.get(d, 0.0) if m > 0 else 0.0 for d, m in zip(model.domains, mass, strict=True)])
     if want.sum() <= 0:
         return model
     model.wanted = want = want / want.sum()
-    metric = np.linalg.inv(gram + 1e-4 * np.trace(gram) / k * np.eye(k))
-    model.step = 1 / (np.linalg.eigvals(metric @ gram).real.max() + RIDGE)
-    for _ in range(STEPS):
-        both = _sums(held, model, k) / total
-        before, model.reached = model.reached, both[k:]
-        if before is not None and np.abs(model.reached - before).max() < SETTLED:
+    gram = whole + 1e-4 * np.trace(whole) / k * np.eye(k)
+    metric = np.linalg.inv(gram)
+
+    def points(duals: np.ndarray) -> list[tuple]:
+        """Of each dual point: itself, its value, gradient, duality gap, Gram matrix of the rates above 0, and shares."""
+        rows = _totals(held, len(duals) * (k * k + k + 1), lambda p, n: _at_duals(p, n, duals)).reshape(len(duals), -1) / total
+        out = []
+        for y, v in zip(duals, rows, strict=True):
+            g = v[:k] - want - gram @ y
+            out.append((y, v[-1] - want @ y - y @ gram @ y / 2, g, g @ metric @ g / 2, v[k:-1].reshape(k, k), v[:k]))
+        return out
+
+    y, value, g, gap, active, model.reached = np.zeros(k), 0.0, mass - want, (mass - want) @ metric @ (mass - want) / 2, whole, mass
+    while (2 * gap / RIDGE) ** 0.5 > SETTLED:
+        step = np.linalg.solve(gram + active / RIDGE, g)
+        tried = points(y + _LENGTHS[:, None] * step)
+        better = [t for length, t in zip(_LENGTHS, tried, strict=True) if t[1] >= value + 1e-4 * length * (g @ step) or (t[1] >= value - 1e-12 and t[3] <= gap / 4)]
+        if not better:
+            warnings.warn(f"mixing rates may be {(2 * gap / RIDGE) ** 0.5:.1e} from their minimum, more than {SETTLED}", RuntimeWarning, stacklevel=2)
             break
-        model.pulls.append(metric @ (both[:k] - want))
+        y, value, g, gap, active, model.reached = max(better, key=lambda t: t[1])
+    model.step, model.pulls = 1 / RIDGE, [y]
     return model
 
 

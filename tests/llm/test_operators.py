@@ -253,6 +253,14 @@ def test_toxicity_folds_and_exceptions():
     assert found("idiotic trash can, trashy") == [] and found("TRASH") == ["trash"]
 
 
+def test_all_harmless_phrases_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEXICON", 1)
+    rows = [(f"uu{i} vv{i} zzbad xx{i}", 1) for i in range(20)] + [(f"cc{i} dd{i} ee{i}", 0) for i in range(120)]
+    rows += [(f"kk{i} {w} zzbad {w}{i}", 0) for w in ("amber", "brown", "cream") for i in range(3)]
+    weights, harmless = toxicity._learn_words(spark.createDataFrame(rows, "t string, y int"), "t", "y")
+    assert set(weights) == {toxicity.fold("zzbad")} and harmless == {toxicity.fold(f"{w} zzbad") for w in ("amber", "brown", "cream")}
+
+
 def test_toxicity_odd(spark, odd, sf):
     model = toxicity.fit(odd, table(spark, sf, "labels").limit(0))
     out = rows_of(odd.select("doc_id", toxicity.scorer(model, spark)("text").alias("s")))

@@ -26,8 +26,9 @@ from tickgrid.llm.base import fold_of, fresh, sampled, spool, texts
 from tickgrid.llm.textvec import fit_logistic, shingles
 
 #: Labelled rows of each class that are learned from, at most (in expectation), and words in the lexicon.
+#: Harmless phrases have no bound of their own: they come from these rows. Words learned have MIN_LETTERS at least.
 FIT_ROWS, LEXICON = 2500, 2000
-MIN_FAMILIES, MIN_ODDS = 3, 2.5
+MIN_FAMILIES, MIN_ODDS, MIN_LETTERS = 3, 2.5, 3
 #: Look-alike letters, and digits and signs that stand for letters. i, l and 1 share one form.
 _ALIKE = dict(zip("аеорсухіјѕһԁгтмкнвαοερτικνυ", "aeopcyxijshdrtmkhbaoeptiknu", strict=True))
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "l": "i", "|": "i"}
@@ -95,7 +96,7 @@ def _learn_words(rows: DataFrame, text_col: str, label_col: str) -> tuple[dict[s
                 w = ["^", *_TOKEN.findall(fold(t or "")), "$"]
                 grams = shingles(t or "")
                 family = int(grams[0].view(np.int64)) if len(grams) else 0
-                own = [x for x in set(zip(w, w[1:], w[2:], strict=False)) if len(x[1]) > 2]
+                own = [x for x in set(zip(w, w[1:], w[2:], strict=False)) if len(x[1]) >= MIN_LETTERS]
                 columns = [pa.array([y] * len(own), pa.int32()), *(pa.array([x[i] for x in own], pa.string()) for i in (1, 0, 2)), pa.array([family] * len(own), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["w_y", "w", "before", "after", "family"])
 
@@ -114,7 +115,7 @@ def _learn_words(rows: DataFrame, text_col: str, label_col: str) -> tuple[dict[s
         return {}, set()
     side = seen.where(F.col("w").isin(list(weights)))
     pairs = side.select("y", "family", F.explode(F.array(F.concat_ws(" ", "before", "w"), F.concat_ws(" ", "w", "after"))).alias("phrase"))
-    harmless = pairs.groupBy("phrase").agg(toxic(), clean()).withColumn("n", F.col("t") + F.col("c")).where("n >= 3 AND t <= 0.1 * n").orderBy("phrase").limit(LEXICON)
+    harmless = pairs.groupBy("phrase").agg(toxic(), clean()).withColumn("n", F.col("t") + F.col("c")).where("n >= 3 AND t <= 0.1 * n")
     return weights, {r["phrase"] for r in harmless.collect() if "^" not in r["phrase"] and "$" not in r["phrase"]}
 
 

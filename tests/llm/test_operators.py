@@ -388,13 +388,34 @@ def test_tokens_match_the_library(spark, sf):
         start += len(ids)
 
 
-def test_pieces_match_whole_texts():
-    own = token_store.encoder(token_store.default_vocabulary())
-    parts = ["It's", "we'LL", "naïve", "Ångström", "x_y", "1234", "½", "a b", "İstanbul", "ΣΑΣ", "é", "日本語", "“quoted”—", "don't", "<|endoftext|>", "!!'s", "🙂", "ǅ", "ß", "ẞ", "\x1f", "a\u0085b", "aª", "\t", "l'd'm"]
+def encoded(own, batch):
+    ids, n = own.encode(batch)
+    ends = np.cumsum(n)
+    return [ids[z - k : z].tolist() for k, z in zip(n.tolist(), ends.tolist(), strict=True)]
+
+
+@pytest.mark.parametrize("window, cache", [(1 << 20, 250_000), (64, 30)])
+def test_pieces_match_whole_texts(monkeypatch, window, cache):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_store.default_vocabulary())
+    monkeypatch.setattr(token_store, "WINDOW", window)
+    monkeypatch.setattr(token_store, "CACHE", cache)
+    own = token_store.PieceEncoder(token_store.default_vocabulary())
+    parts = ["It's", "we'LL", "naïve", "Ångström", "x_y", "1234", "½", "a b", "İstanbul", "ΣΑΣ", "é", "日本語", "“quoted”—", "don't", "<|endoftext|>", "<|startoftext|>", "!!'s", "🙂", "ǅ", "ß", "ẞ", "\x1f", "a\u0085b", "aª", "\t", "l'd'm", "''s", "'", "'re", "'rex", "'lx", "\x00", "\x01", "o'ver've", "x" * 300, "¼'S", "\n"]
     r = np.random.default_rng(8)
-    batch = ["", " ", *parts, *[" ".join(r.choice(parts, 5)) for _ in range(200)], *["".join(r.choice(parts, 4)) for _ in range(200)]]
-    want = [np.array(e.ids, "<u4").tobytes() for e in own.whole.encode_batch(batch, add_special_tokens=False)]
-    assert own.encode(batch) == want
+    batch = ["", " ", *parts, *[" ".join(r.choice(parts, 5)) for _ in range(300)], *["".join(r.choice(parts, 4)) for _ in range(300)]]
+    assert encoded(own, batch) == [[*e.ids, 1] for e in t.encode_batch(batch, add_special_tokens=False)]
+    plain = ["".join(r.choice(list("ab'srtvemld 1_.\n"), 60)) for _ in range(2000)]
+    assert encoded(own, plain) == [[*e.ids, 1] for e in t.encode_batch(plain, add_special_tokens=False)]
+
+
+def test_equal_hashes_do_not_mix_pieces():
+    own = token_store.PieceEncoder(token_store.default_vocabulary())
+    want = encoded(own, ["one two three one four two"])
+    own.power[:] = own.inverse[:] = 0  # every piece has the hash 0
+    own.forget()
+    assert encoded(own, ["one two three one four two"]) == want
 
 
 def test_added_tokens_match_a_plain_tokenizer(spark):
@@ -404,7 +425,7 @@ def test_added_tokens_match_a_plain_tokenizer(spark):
     batch = ["x <|endoftext|> y", "<|startoftext|>Some words<|endoftext|>", "<|endoftext|><|endoftext|>", "a<|b <|EndOfText|> <| endoftext|>", "plain words", "İ\xa0<|startoftext|>'s"]
     want = [t.encode(x, add_special_tokens=False).ids for x in batch]
     assert want[0] == [343, 49407, 344]
-    assert token_store.encoder(token_store.default_vocabulary()).encode(batch) == [np.array(w, "<u4").tobytes() for w in want]
+    assert encoded(token_store.encoder(token_store.default_vocabulary()), batch) == [[*w, 1] for w in want]
     files = token_store.write(spark.createDataFrame(list(enumerate(batch)), "doc_id long, text string"))
     got = token_store.read(files).orderBy("doc_id").collect()
     assert [r["token_ids"] for r in got] == [[*w, 1] for w in want] and [r["start"] for r in got] == [sum(len(w) + 1 for w in want[:i]) for i in range(len(want))]

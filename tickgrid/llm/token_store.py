@@ -6,9 +6,11 @@ narrow columns (id, part, offset in the part, length) use the delta encodings of
 groups and pages are sized so that the page index lets a reader fetch a range of documents, or only the metadata.
 The start of a document among all ids is its offset plus the lengths of the parts before, one row per file.
 
-The tokenizer runs on the distinct pieces of the text between blanks, which its rules never join, and each piece is
-encoded once a worker while a bounded cache holds it; texts with unusual blanks or control strings are encoded whole.
-The vocabulary's added tokens, as <|endoftext|>, are read in a text as the library reads them: each becomes its own id.
+The tokenizer runs on the distinct pieces of the text, as its own rules cut it: numpy finds the pieces of many texts at
+once, equal pieces are met by sorting their hashes and compared letter by letter, and each distinct one is encoded once a
+worker while a bounded cache holds it. Words with rarer letters are encoded by themselves, texts with unusual blanks or
+control strings as a whole. The vocabulary's added tokens, as <|endoftext|>, are read in a text as the library reads
+them: each becomes its own id.
 
 Cases: null text is an empty text: only the end id. Rows with a null id come first; equal ids are ordered by text. An
 empty table gives no rows. Very long texts are one list each.
@@ -16,6 +18,7 @@ empty table gives no rows. Very long texts are one list each.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -30,16 +33,23 @@ from pyspark.sql import functions as F
 from tickgrid.llm.base import fresh, give_back, spool
 
 END = 1
-#: Pieces that a worker remembers; the cache is emptied beyond that.
-CACHE = 400_000
+#: Pieces, and letters in them, that a worker remembers; the cache is emptied beyond either.
+CACHE, CACHE_LETTERS = 250_000, 4_000_000
+#: Letters that are cut into pieces at once.
+WINDOW = 1 << 20
 #: Bytes of a row group and of a page.
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
-#: The alternation that the vocabulary's file splits by, and the letters for which it is applied here.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+|\n")
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ňŊ-ž]*")
-_PLAIN_LINES = re.compile(r"[\n!-~À-ÖØ-öø-įı-ňŊ-ž]*")
-_MARK = b"\xff" * 4
-_ODD_BLANK = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+#: The letters for which the vocabulary's rules are applied here, its contractions, and blanks it reads otherwise.
+_LETTERS = "!-~À-ÖØ-öø-įı-ňŊ-ž"
+_CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+_ODD_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+_PLAIN = re.compile(rf"[ \t\n\r\f\v{_LETTERS}]*+")
+_ODD_WORD = re.compile(rf"(?<!\S)[{_LETTERS}]*+[^\s{_LETTERS}]\S*")
+_GAP = re.compile(r"[\s\x00]")
+#: Marks that stand for the end of a text and for a part that the library encodes.
+_END, _ODD = "\x00", "\x01"
+#: 0 blank, 1 letter, 2 digit, 3 sign, 4 end of a text, 5 part for the library.
+_CLASS = np.array([4, 5, *(0 if (c := chr(i)).isspace() else 1 if c.isalpha() else 2 if c.isdecimal() else 3 for i in range(2, 0x180))], np.uint8)
 _STATE: dict[str, PieceEncoder] = {}
 
 
@@ -50,7 +60,7 @@ def default_vocabulary() -> str:
 
 
 class PieceEncoder:
-    """Encodes texts to little-endian uint32 bytes, as the library does for the whole text."""
+    """Encodes texts to ids, as the library does for each whole text."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,50 +72,114 @@ class PieceEncoder:
         self.bare.pre_tokenizer = WhitespaceSplit()
         letters = {chr(i): ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(i))[0][0] for i in [*range(33, 127), *range(0xC0, 0x180)]}
         self.spelled = str.maketrans({a: b for a, b in letters.items() if a != b})
-        self.by_chunk: dict[str, bytes] = {}
-        self.by_piece: dict[str, bytes] = {"\n": _MARK}
-
-    def _spell(self, pieces: list[str]) -> None:
-        """Encode new pieces in one call, parted by blanks that no piece holds, and cut the ids where the word changes."""
-        if not pieces:
-            return
-        e = self.bare.encode(" ".join(pieces).translate(self.spelled), add_special_tokens=False)
-        raw, word = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids, np.int64)
-        ends = np.searchsorted(word, np.arange(len(pieces)), "right") * 4
-        at = 0
-        for p, end in zip(pieces, ends.tolist(), strict=True):
-            self.by_piece[p] = raw[at:end]
-            at = end
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Plain chunks are cut into pieces as lines of one string; the mark between them is no id's bytes."""
-        lines = "\n".join(chunks)
-        if not _PLAIN_LINES.fullmatch(lines):
-            rest = [c for c in chunks if not _PLAIN.fullmatch(c)]
-            for c, e in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                self.by_chunk[c] = np.array(e.ids, "<u4").tobytes()
-            chunks = [c for c in chunks if _PLAIN.fullmatch(c)]
-            lines = "\n".join(chunks)
-        if not chunks:
-            return
-        if len(self.by_piece) > CACHE:
-            self.by_piece = {"\n": _MARK}
-        pieces = _PIECES.findall(lines.lower())
-        self._spell(list(set(pieces).difference(self.by_piece)))
-        self.by_chunk.update(zip(chunks, b"".join(map(self.by_piece.__getitem__, pieces)).split(_MARK), strict=True))
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        split = [None if "<|" in t or _ODD_BLANK.search(t) else t.split() for t in batch]
-        if len(self.by_chunk) > CACHE:
-            self.by_chunk.clear()
-        have = self.by_chunk
-        self._learn(list(set().union(*(cs for cs in split if cs)).difference(have)))
-        ids = have.__getitem__
-        out = [None if cs is None else b"".join(map(ids, cs)) for cs in split]
-        rest = [i for i, cs in enumerate(split) if cs is None]
-        for i, e in zip(rest, self.whole.encode_batch_fast([batch[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, "<u4").tobytes()
-        return out
+        base = 0x9E3779B97F4A7C15
+        self.power, self.inverse = (np.multiply.accumulate(np.array([1] + [b] * WINDOW, np.uint64)) for b in (base, pow(base, -1, 1 << 64)))
+        self.forget()
+
+    def forget(self) -> None:
+        """Slots of pieces; the ids of slot i are ids[bounds[i]:bounds[i + 1]]. The mark of a text's end has the end id."""
+        self.slots, self.letters = {_END: 0, _ODD: 0}, 0
+        self.ids, self.bounds = np.array([END], np.int32), np.array([0, 1], np.int64)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode new pieces in one call, parted by blanks that no piece holds; the ids are cut where the word changes."""
+        line = " ".join([p if p.isascii() else p.translate(self.spelled) for p in pieces])
+        e = self.bare.encode(line, add_special_tokens=False)
+        ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(pieces)), "right")
+        self.slots.update(zip(pieces, range(len(self.bounds) - 1, len(self.bounds) - 1 + len(pieces)), strict=True))
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + ends])
+        self.ids = np.concatenate([self.ids, np.array(e.ids, np.int32)])
+        self.letters += len(line)
+
+    def look_up(self, pieces: list[str]) -> np.ndarray:
+        got = np.fromiter(map(self.slots.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        if (new := np.flatnonzero(got < 0)).size:
+            own = [pieces[i] for i in new.tolist()]
+            self.learn(list(dict.fromkeys(own)))
+            got[new] = list(map(self.slots.__getitem__, own))
+        return got
+
+    def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each text's followed by the end id, and each text's number of ids."""
+        odd: list[str] = []
+
+        def set_aside(m: re.Match | str) -> str:
+            odd.append(m if isinstance(m, str) else m[0])
+            return _ODD
+
+        parts = [set_aside(t) if "<|" in t else t if _PLAIN.fullmatch(t) else set_aside(t) if _ODD_BLANK.search(t) else _ODD_WORD.sub(set_aside, t) for t in batch]
+        odd_ids = iter([np.array(e.ids, np.int32) for e in self.whole.encode_batch_fast(odd, add_special_tokens=False)])
+        line = "".join(p + _END for p in parts).lower()
+        ids, ends, at, done = [], [], 0, 0
+        while at < len(line):
+            stop = at + WINDOW
+            if stop < len(line):  # end after a gap; a longer run without one is taken whole
+                gap = max(line.rfind(c, at, stop) for c in (" ", "\n", _END))
+                stop = (gap if gap >= at else _GAP.search(line, stop).start()) + 1
+            own, own_ends = self._window(line[at:stop], odd_ids)
+            ids.append(own)
+            ends.append(own_ends + done)
+            at, done = stop, done + len(own)
+        ends = np.concatenate(ends) if ends else np.zeros(0, np.int64)
+        return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.diff(ends, prepend=0)
+
+    def _pieces(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and classes of the pieces of letters c."""
+        k = _CLASS[c]
+        new = np.concatenate([[True], k[1:] != k[:-1]]) | (k == 2) | (k >= 4)
+        mark = np.flatnonzero(c == ord("'"))
+        mark = mark[(mark == 0) | (k[mark - 1] != 3)]  # inside a run of signs it is one of them
+        after = np.concatenate([c, np.zeros(3, c.dtype)])
+        for form in _CONTRACTIONS:
+            at = mark[np.logical_and.reduce([after[mark + i] == ord(x) for i, x in enumerate(form)])]
+            new[at + 1] = False
+            new[(at + len(form))[at + len(form) < len(c)]] = True
+        starts = np.flatnonzero(new)
+        kind, ends = k[starts], np.append(starts[1:], len(c))
+        held = kind != 0
+        return starts[held], ends[held], kind[held]
+
+    def _slots(self, line: str, c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Slots of the pieces: one look-up for all with one hash, and one for each that differs from the first of them."""
+        total = np.zeros(len(c) + 1, np.uint64)
+        np.cumsum((c + np.uint64(1)) * self.power[: len(c)], out=total[1:])
+        h = (total[ends] - total[starts]) * self.inverse[starts]
+        order = np.argsort(h)
+        h = h[order]
+        first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+        which = np.empty(len(h), np.int64)
+        which[order] = np.cumsum(first) - 1
+        one = order[first]
+        slot = self.look_up([line[a:z] for a, z in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])[which]
+        size, twin = ends - starts, one[which]
+        for i in np.flatnonzero(size != size[twin]).tolist():
+            slot[i] = self.look_up([line[starts[i] : ends[i]]])[0]
+        same = np.flatnonzero(size == size[twin])
+        runs = np.cumsum(size[same])
+        place = np.arange(runs[-1] if len(runs) else 0) - np.repeat(runs - size[same], size[same])
+        differ = c[np.repeat(starts[same], size[same]) + place] != c[np.repeat(starts[twin[same]], size[same]) + place]
+        for i in np.unique(same[np.searchsorted(runs, np.flatnonzero(differ), "right")]).tolist():
+            slot[i] = self.look_up([line[starts[i] : ends[i]]])[0]
+        return slot
+
+    def _window(self, line: str, odd_ids: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a line of texts, and the places where texts end."""
+        if len(self.slots) > CACHE or self.letters > CACHE_LETTERS:
+            self.forget()
+        c = np.frombuffer(line.encode("utf-16-le"), "<u2")
+        starts, ends, kind = self._pieces(c)
+        slot = self._slots(line, c, starts, ends) if len(c) < len(self.power) else self.look_up([line[a:z] for a, z in zip(starts.tolist(), ends.tolist(), strict=True)])
+        ids, bounds = self.ids, self.bounds
+        marks = np.flatnonzero(kind == 5)
+        if len(marks):
+            own = [next(odd_ids) for _ in marks]
+            slot[marks] = len(bounds) - 1 + np.arange(len(marks))
+            bounds = np.concatenate([bounds, bounds[-1] + np.cumsum([len(x) for x in own])])
+            ids = np.concatenate([ids, *own])
+        n = bounds[slot + 1] - bounds[slot]
+        to = np.cumsum(n)
+        out = ids[np.repeat(bounds[slot] - to + n, n) + np.arange(to[-1] if len(to) else 0)]
+        return out, to[kind == 4]
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -123,19 +197,17 @@ def write(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", vocab
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     tie = fresh(own, "tie")
-    ranged = own.withColumn(tie, F.xxhash64("text")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.asc_nulls_first("doc_id"), tie)
+    ranged = own.withColumn(tie, F.xxhash64("text")).repartitionByRange(max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))), F.asc_nulls_first("doc_id"), tie)
     ranged = ranged.sortWithinPartitions(F.asc_nulls_first("doc_id"), tie, "text").withColumn("part", F.spark_partition_id()).select("doc_id", "text", "part")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end, done = encoder(path), np.array([END], "<u4").tobytes(), 0
+        own, done = encoder(path), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                ids = [b + end for b in own.encode(rows.column("text").to_pylist())]
-                n = np.array([len(b) // 4 for b in ids], np.int64)
+            for at in range(0, batch.num_rows, 512):
+                rows = batch.slice(at, 512)
+                ids, n = own.encode(rows.column("text").to_pylist())
                 ends = np.cumsum(n)
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("part").cast(pa.int32()), pa.array(done + ends - n), pa.array(n), lists], ["doc_id", "part", "offset", "n_tokens", "token_ids"])
                 done += int(ends[-1])
         give_back()
@@ -159,8 +231,8 @@ def read(files: DataFrame) -> DataFrame:
 
 
 def read_documents(files: DataFrame, first: int, last: int) -> DataFrame:
-    """The documents with ids in [first, last]; row groups and pages outside are skipped."""
-    return files.where(F.col("doc_id").between(first, last)).select("doc_id", "n_tokens", "token_ids")
+    """The documents with ids in [first, last], in order of their ids; row groups and pages outside are skipped."""
+    return files.where(F.col("doc_id").between(first, last)).orderBy("doc_id", "part", "offset").select("doc_id", "n_tokens", "token_ids")
 
 
 def checksums(rows: DataFrame) -> DataFrame:

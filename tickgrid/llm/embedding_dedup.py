@@ -1,109 +1,146 @@
 """Embedding near-duplicates: random-hyperplane sign hashing in several tables, exact cosine, connected components.
 
-Vectors are compared only within a label. Equal vectors of a label are one class; each class gets a sign pattern of
-BITS hyperplanes in each of TABLES tables. Classes that share a pattern in a table are verified together by their
-cosine in double precision; a pair that met in an earlier table is left to that one, so each pair counts once. Buckets
-are cut into blocks: what leaves a block is a count of links for each vector and a spanning forest of its links, never
-its pairs. A pair at the threshold is missed with probability (1 - (1 - angle/pi)^BITS)^TABLES, under 1e-5.
+Vectors are compared only within a label. Equal vectors of a label are one class; each class gets a sign pattern in each
+table. The bits of a pattern grow with the logarithm of the largest label's classes, so that unrelated vectors share a
+bucket as rarely at any size, and the number of tables follows from the bits: a pair at the threshold is missed with
+probability (1 - (1 - angle/pi)^bits)^tables, MISS at most. Classes that share a pattern in a table are verified by their
+cosine in double precision; a link that an earlier table shows is left to that one, so each counts once. Buckets are cut
+into blocks: what leaves a block is a count of links for each vector and the stars of its groups, never its pairs.
 
 Result: vec_id, n_links (other rows linked directly), component_id, kept.
 
 Cases: vectors that are null, empty, zero or with a null or non-finite component, and rows with a null label, link with
 nothing: they are their own component. Vectors of another length than their fellow's never link with it. A row with a
-null vec_id links and counts, and its component is named by ids that aren't null. Repeated rows are copies: both count
+null vec_id links and counts, and its component is named by ids that aren't null. Labels are compared as text. Repeated rows are copies: both count
 as others; rows of one id share a row of the result for each vector.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickgrid.llm.base import spool
-from tickgrid.llm.blocks import Sets, link_rows, map_runs, with_blocks
+from tickgrid.llm.base import sized, spool
+from tickgrid.llm.blocks import map_groups, with_blocks
 from tickgrid.llm.components import components
 
-COSINE, BITS, TABLES, BLOCK = 0.98, 16, 30, 1024
-
-
-def planes(d: int, seed: int = 5) -> np.ndarray:
-    """The same hyperplanes for all vectors of a length."""
-    return np.random.default_rng(seed + d).standard_normal((d, BITS * TABLES))
-
-
-def patterns(x: np.ndarray) -> np.ndarray:
-    signs = (x @ planes(x.shape[1]) > 0).reshape(len(x), TABLES, BITS)
-    return signs @ (1 << np.arange(BITS))
-
-
-def _sketch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        out: list[list[int] | None] = [None] * len(batch)
-        by_length: dict[int, list[int]] = {}
-        for i, v in enumerate(batch):
-            if v is not None and len(v):
-                by_length.setdefault(len(v), []).append(i)
-        for at in by_length.values():
-            x = np.array([np.asarray(batch.iloc[i], np.float64) for i in at])
-            for i, p in zip(at, patterns(x), strict=True):
-                out[i] = p.tolist()
-        yield pd.Series(out, dtype=object)
-
-
-def _verify(group: pd.DataFrame, cosine: float) -> pd.DataFrame | None:
-    """Links of one block of one bucket: (id, null, links) and (a, b, 0) of a spanning forest."""
-    n, table = len(group), int(group["tab"].iloc[0])
-    if n < 2:
+COSINE, MISS, BLOCK = 0.98, 1e-5, 1024
+#: Bits beyond the logarithm of a label's classes, and bounds on bits; pairs whose cosines are taken at once.
+SPARE_BITS, LEAST_BITS, MOST_BITS, PAIRS = 5, 12, 48, 1 << 16
+
+
+def layout(n: int, cosine: float = COSINE) -> tuple[int, int]:
+    """(bits, tables) for so many classes in the largest label."""
+    bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(n, 1)))) + SPARE_BITS))
+    meet = (1 - np.arccos(min(1.0, cosine)) / np.pi) ** bits
+    return bits, 1 if meet >= 1 else int(np.ceil(np.log(MISS) / np.log1p(-meet)))
+
+
+def planes(d: int, n: int, seed: int = 5) -> np.ndarray:
+    """The same n hyperplanes for all vectors of a length."""
+    return np.random.default_rng(seed + d).standard_normal((d, n))
+
+
+def sketch(bits: int, tables: int) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            out: list[list[int] | None] = [None] * len(batch)
+            by_length: dict[int, list[int]] = {}
+            for i, v in enumerate(batch):
+                if v is not None and len(v):
+                    by_length.setdefault(len(v), []).append(i)
+            for d, every in by_length.items():
+                if d not in held:
+                    held[d] = planes(d, bits * tables)
+                for at in (every[i : i + 1024] for i in range(0, len(every), 1024)):
+                    x = np.array([np.asarray(batch.iloc[i], np.float64) for i in at])
+                    signs = (x @ held[d] > 0).reshape(len(x), tables, bits)
+                    for i, p in zip(at, signs @ (1 << np.arange(bits)), strict=True):
+                        out[i] = p.tolist()
+            yield pd.Series(out, dtype=object)
+
+    return run
+
+
+def pairs_within(bounds: np.ndarray, most: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places in one group, for groups from bounds[i] to bounds[i + 1], some at a time."""
+    size = np.diff(bounds)
+    for n in np.unique(size[size > 1]).tolist():
+        first = bounds[:-1][size == n]
+        i, j = np.triu_indices(n, 1)
+        for at in range(0, len(i), most):
+            a, b = i[at : at + most], j[at : at + most]
+            step = max(1, most // len(a))
+            for g in range(0, len(first), step):
+                yield (first[g : g + step, None] + a).ravel(), (first[g : g + step, None] + b).ravel()
+
+
+def linked(rows: pd.DataFrame, bounds: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that are links of their block and that no earlier table shows."""
+    size = rows["vector"].map(len).to_numpy()
+    x = np.zeros((len(rows), size.max()))
+    for i, v in enumerate(rows["vector"]):
+        x[i, : size[i]] = v
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    tab, own = rows["tab"].to_numpy(), rows["own"].to_numpy()
+    across = (rows["bx"] != rows["by"]).to_numpy()
+    pattern = np.array(rows["pattern"].tolist())
+    earlier = np.arange(pattern.shape[1])
+    found = [(np.zeros(0, np.int64),) * 2]
+    for a, b in pairs_within(bounds):
+        good = (np.einsum("ij,ij->i", x[a], x[b]) >= cosine) & (size[a] == size[b]) & (~across[a] | (own[a] != own[b]))
+        a, b = a[good], b[good]
+        met = ((pattern[a] == pattern[b]) & (earlier < tab[a][:, None])).any(axis=1)
+        found.append((a[~met], b[~met]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _verify(rows: pd.DataFrame, bounds: np.ndarray, cosine: float) -> pd.DataFrame | None:
+    """Links of whole blocks: (id, null, links) and (a, b, 0) that tie each group of linked vectors to one of them."""
+    a, b = linked(rows, bounds, cosine)
+    if not len(a):
         return None
-    ids, own, weight = group["id"].to_numpy(), group["own"].to_numpy(), group["copies"].to_numpy()
-    size = group["vector"].map(len).to_numpy()
-    link = np.zeros((n, n), bool)
-    for d in np.unique(size):
-        at = np.flatnonzero(size == d)
-        x = np.array([np.asarray(v, np.float64) for v in group["vector"].iloc[at]])
-        x /= np.abs(x).max(axis=1, keepdims=True)
-        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-        link[np.ix_(at, at)] = x @ x.T >= cosine
-    np.fill_diagonal(link, False)
-    if int(group["bx"].iloc[0]) != int(group["by"].iloc[0]):
-        link &= own[:, None] != own[None, :]
-    if table:
-        seen = np.array(group["pattern"].tolist())[:, :table]
-        for t in range(table):
-            link &= seen[:, t][:, None] != seen[:, t][None, :]
-    degree = link @ weight
-    out, sets = [], Sets(n)
-    for i in np.flatnonzero(degree).tolist():
-        out.append((ids[i], None, int(degree[i])))
-        for j in np.flatnonzero(link[i, :i]).tolist():
-            if sets.join(i, j):
-                out.append((ids[i], ids[j], 0))
-    return link_rows(out)
+    ids, weight = rows["id"].to_numpy(), rows["copies"].to_numpy()
+    degree = np.bincount(a, weight[b], len(rows)) + np.bincount(b, weight[a], len(rows))
+    root = np.arange(len(rows))
+    while True:
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        np.minimum.at(new, b, root[a])
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    some, tied = np.flatnonzero(degree), np.flatnonzero(root != np.arange(len(rows)))
+    return pd.DataFrame({"a": np.concatenate([ids[some], ids[tied]]), "b": pd.array([*[None] * len(some), *ids[root[tied]].tolist()], dtype="Int64"), "n": np.concatenate([degree[some].astype(np.int64), np.zeros(len(tied), np.int64)])})
 
 
 def dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     v = F.col(vector_col).cast("array<double>")
     good = F.coalesce(v.isNotNull() & F.col(label_col).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    key = F.when(good, F.xxhash64(F.col(label_col).cast("string"), v))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), v.alias("vector"), key.alias("id"))
-    classes = rows.where("id is not null").groupBy("id").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector"))
-    classes = spool(classes.withColumn("pattern", F.pandas_udf(_sketch, "array<int>")("vector")), "vectors")
-
-    tables = classes.select("id", "label", F.posexplode("pattern").alias("tab", "code"))
-    tables = tables.withColumn("size", F.count("*").over(W.partitionBy("label", "tab", "code"))).where("size > 1")
-    held = with_blocks(tables.join(classes.select("id", "copies", "vector", "pattern"), "id"), F.col("size"), BLOCK, F.col("id"))
-    held = held.withColumn("bucket", F.xxhash64(F.col("label").cast("string"), "tab", "code"))
-    found = spool(map_runs(held.select("bucket", "bx", "by", "tab", "id", "own", "copies", "vector", "pattern"), ["bucket", "bx", "by"], ["id"], lambda g: _verify(g, cosine), "a long, b long, n long"), "links")
+    name = F.col(label_col).cast("string")
+    key = lambda seed: F.when(good, F.xxhash64(F.lit(seed), name, v))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), name.alias("label"), v.alias("vector"), key(1).alias("k1"), key(2).alias("k2"))
+    # a class has one label and, by 128 bits, one vector
+    classes = rows.where("k1 is not null").groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    classes = spool(classes.withColumn("id", F.monotonically_increasing_id()), "vectors")
+    bits, tables = layout(classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0, cosine)
+    classes = spool(classes.withColumn("pattern", F.pandas_udf(sketch(bits, tables), "array<long>")("vector")), "patterns")
+
+    held = sized(classes.select("id", F.xxhash64("label").alias("l"), F.posexplode("pattern").alias("tab", "code")), "l", "tab", "code")
+    held = with_blocks(held.join(classes.select("id", "copies", "vector", "pattern"), "id"), F.col("size"), BLOCK, F.col("id"))
+    found = spool(map_groups(held.select("l", "code", "bx", "by", "tab", "id", "own", "copies", "vector", "pattern"), ["l", "tab", "code", "bx", "by"], lambda rows, bounds: _verify(rows, bounds, cosine), "a long, b long, n long"), "links")
 
     links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     joined = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "id")
-    one = classes.select("id", "least", "copies").join(links, "id", "left").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    one = classes.select("id", "k1", "k2", "label", "least", "copies").join(links, "id", "left").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     names = one.groupBy("component").agg(F.min("least").alias("component_id"))
-    one = one.join(names, "component").select("id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "id").join(one, "id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("id").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    one = one.join(names, "component").select("k1", "k2", "label", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = rows.select("vec_id", "label", "k1", "k2").join(one, ["k1", "k2", "label"], "left")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("k1").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -10,11 +10,15 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow table (a few longs a row) may be broadcast: about 50 MB.
-BROADCAST_ROWS = 2_000_000
+#: Rows up to which a narrow table (a few longs a row) may be broadcast: about 30 MB.
+BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table with arrays may be broadcast.
+BROADCAST_BYTES = 64 << 20
+_SHARED: list[Broadcast] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +64,35 @@ def small(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -
     return F.broadcast(df) if (df.count() if rows is None else rows) <= bound else df
 
 
+def sized(df: DataFrame, *keys: str) -> DataFrame:
+    """df with ``size``, the number of rows with its key, for keys of two rows or more.
+
+    Counts are combined before their shuffle and joined back, so a hot key is never sent through one task to be counted.
+    df must be cheap to read twice, as tables that were cut or spooled are.
+    """
+    return df.join(df.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1"), list(keys))
+
+
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast that release() takes back."""
+    _SHARED.append(spark.sparkContext.broadcast(value))
+    return _SHARED[-1]
+
+
+def release() -> None:
+    """Remove the executors' copies of what was shared so far; a task that needs one again fetches it anew."""
+    while _SHARED:
+        _SHARED.pop().unpersist()
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files that a spooled table is read from, when no reader needs them any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     have = {c.lower() for c in df.columns}
@@ -81,15 +114,11 @@ def fold_of(id_col: str, k: int) -> Column:
 def sampled(df: DataFrame, label: str, per_label: int, *key: Column) -> DataFrame:
     """About per_label rows of every non-null label, chosen by a hash of the key; all rows of a rarer one.
 
-    The label counts are one narrow aggregation; the number of distinct labels is the model's own size.
+    The label counts are one narrow aggregation, joined back; they are never collected.
     """
-    n = {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
-    if not n:
-        return df.where(F.lit(False))
-    share = F.lit(0.0)
-    for value, rows in sorted(n.items(), key=lambda x: str(x[0])):
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_label / rows))).otherwise(share)
-    return df.where(F.col(label).isNotNull() & (unit(*key) < share))
+    own, rows = fresh(df, "_label"), fresh(df, "_rows")
+    n = cut(df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias(own)).agg(F.count("*").alias(rows)))
+    return df.join(small(n), F.col(label) == F.col(own)).where(unit(*key) * F.col(rows) < per_label).drop(own, rows)
 
 
 def texts(batch: pd.Series) -> list[str]:

@@ -65,6 +65,31 @@ def map_runs(df: DataFrame, keys: list[str], order: list[str], f: Callable[[pd.D
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+def map_groups(df: DataFrame, keys: list[str], f: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame | None], schema: str) -> DataFrame:
+    """f over frames of whole groups and the places where groups start; many small groups are one call."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tail: pd.DataFrame | None = None
+
+        def starts(frame: pd.DataFrame) -> np.ndarray:
+            k = frame[keys].to_numpy()
+            return np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            frame = batch if tail is None else pd.concat([tail, batch], ignore_index=True)
+            at = starts(frame)
+            tail = frame.iloc[at[-1] :]
+            if len(at) > 1 and (out := f(frame.iloc[: at[-1]], at)) is not None:
+                yield out
+        if tail is not None and (out := f(tail, np.array([0, len(tail)]))) is not None:
+            yield out
+        give_back()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
 class Sets:
     """Union-find over 0..n-1."""
 

@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 from tickgrid.llm.base import cut
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """Large star: each node's larger neighbours point to the least of it and its neighbours; small star: the rest."""
-    if small:
-        near = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    else:
-        near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-    least = near.groupBy("u").agg(F.min("v").alias("m"))
-    joined = near.join(least, "u")
-    if small:
-        pairs = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    else:
-        pairs = joined.where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
-    return pairs.where("a <> b").distinct()
+def _least(edges: DataFrame) -> DataFrame:
+    """The least smaller neighbour of each node that has one; cut, so that its join is a plain one, whose skew Spark splits."""
+    return cut(edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")))
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    """Edges run from the larger node a to the smaller b.
+
+    Large star: a moves from b to the least neighbour of b. Small star: all smaller neighbours of a move to the least
+    of them. A node with many neighbours is only ever the many side of a join.
+    """
+    low = _least(edges)
+    far = cut(edges.join(low, edges["b"] == low["u"], "left").select("a", F.coalesce("m", "b").alias("b")).distinct())
+    low = _least(far)
+    near = far.join(low, far["a"] == low["u"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return cut(near.union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -29,14 +32,13 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     Null ends and self-loops are dropped. Each round's edges are checkpointed to the shared folder; rounds grow with
     the logarithm of the longest path. No node's neighbours are ever gathered into one row.
     """
-    edges = cut(edges.select("a", "b").where("a <> b").distinct())
+    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     for _ in range(most):
-        edges = cut(_star(_star(edges, small=False), small=True))
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(row) == mark:
+        if tuple(row) == mark or not row[0]:
             break
-        mark = tuple(row)
+        mark, edges = tuple(row), _round(edges)
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

@@ -14,7 +14,9 @@ with the same text), n_links (other texts linked directly), n_copies (rows with
 
 Cases: null texts and texts with no word link with nothing: class_id is their own doc_id. A text of fewer than five
 words is one run of all its words. Rows with a null doc_id take part, ids last: they get the class of their text, and
-null where no id is in it. A repeated row is a copy. Very long texts are hashed piecewise and compared whole.
+null where no id is in it. Where rows of one class share the least id, or have none, one text of them is kept: that with
+the least hashes. A repeated row is a copy. Texts are named by 128 bits. Very long texts are hashed piecewise and
+compared whole.
 """
 
 from __future__ import annotations
@@ -23,11 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickgrid.llm.base import give_back, small, spool, texts
+from tickgrid.llm.base import give_back, sized, small, spool, texts
 from tickgrid.llm.blocks import Sets, link_rows, map_runs, with_blocks
 from tickgrid.llm.components import components
 from tickgrid.llm.textvec import maps, minhash, shingles
@@ -49,6 +50,11 @@ def agreement_floor(similarity: float, n: int) -> float:
     return similarity - 4 * (similarity * (1 - similarity) / n) ** 0.5
 
 
+def text_key(text: Column) -> tuple[Column, Column]:
+    """Two hashes of a text with seeds of their own: 128 bits that name it."""
+    return F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2")
+
+
 def sketches(docs: DataFrame, text_col: str, id_col: str, words: int) -> DataFrame:
     """id, h1, h2 (of the text), sig: null for texts with no word."""
     a, b = maps(TREES * DEPTH)
@@ -62,7 +68,7 @@ def sketches(docs: DataFrame, text_col: str, id_col: str, words: int) -> DataFra
         give_back()
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.length(text)).alias("h2"), signature(text).alias("s"))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), *text_key(text), signature(text).alias("s"))
     return own.select("id", "h1", "h2", "s.sig", "s.low")
 
 
@@ -153,19 +159,17 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words:
     shortest, floor = prefix_length(similarity, recall), agreement_floor(similarity, TREES * DEPTH)
     rows = spool(sketches(docs, text_col, id_col, words), "forest")
     classes = rows.where("sig is not null").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("n_copies"), F.min("sig").alias("sig"), F.min("low").alias("low"))
-    classes = spool(classes.withColumn("id", F.xxhash64("h1", "h2")), "classes")
+    classes = spool(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     part = lambda t: F.expr(f"substring(sig, {4 * DEPTH * t + 1}, {4 * DEPTH})")
     head = lambda t: F.expr(f"xxhash64({t}, substring(sig, {4 * DEPTH * t + 1}, {4 * shortest}))")
     nodes = classes.select("id", F.posexplode(F.array(*[head(t) for t in range(TREES)])).alias("tree", "node"))
-    nodes = nodes.withColumn("size", F.count("*").over(W.partitionBy("node"))).where("size > 1")
-    members = nodes.join(classes.select("id", "sig", "low"), "id")
+    members = sized(nodes, "node").join(classes.select("id", "sig", "low"), "id")
     path = F.element_at(F.array(*[part(t) for t in range(TREES)]), F.col("tree") + 1)
     members = with_blocks(members.select("id", "node", "size", path.alias("path"), "low"), F.col("size"), NODE, F.col("id"))
     ties = map_runs(members.select("node", "bx", "by", "id", "path", "low"), ["node", "bx", "by"], ["path", "id"], lambda g: _connect(g, DEPTH, shortest, floor), "a long, b long")
 
-    groups = components(ties)
-    groups = groups.withColumn("size", F.count("*").over(W.partitionBy("component")))
+    groups = sized(components(ties), "component")
     groups = spool(groups.join(classes.select(F.col("id").alias("node"), "h1", "h2", "least"), "node"), "groups")
     found = verified(docs, groups, text_col, id_col, words, similarity)
     return result(rows, classes, found)
@@ -181,8 +185,10 @@ def verified(docs: DataFrame, groups: DataFrame, text_col: str, id_col: str, wor
         give_back()
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.col(id_col).cast("long").alias("own"), text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.length(text)).alias("h2"))
-    own = own.join(small(groups), ["h1", "h2"]).where(F.col("own").eqNullSafe(F.col("least"))).select(F.col("node").alias("id"), "component", "size", "text")
+    own = docs.select(F.col(id_col).cast("long").alias("own"), text.alias("text"), *text_key(text)).alias("d")
+    # the id is a key of the join, so that the copies of a hot text are spread by it
+    match = (F.col("d.h1") == F.col("g.h1")) & (F.col("d.h2") == F.col("g.h2")) & F.col("own").eqNullSafe(F.col("least"))
+    own = own.join(small(groups).alias("g"), match).select(F.col("node").alias("id"), "component", "size", "text")
     one = own.groupBy("id").agg(F.first("component").alias("component"), F.first("size").alias("size"), F.min("text").alias("text"))
     held = one.select("id", "component", "size", grams("text").alias("grams"))
     blocks = with_blocks(held, F.col("size"), BLOCK, F.col("id"))
@@ -194,12 +200,14 @@ def result(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     joined = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "id")
     held = classes.select("id", "h1", "h2", "least", "n_copies").join(links, "id", "left").join(joined, "id", "left")
     held = held.withColumn("component", F.coalesce("component", "id"))
-    first = held.groupBy("component").agg(F.min("least").alias("class_id"))
-    held = held.join(first, "component").select("h1", "h2", F.col("least").alias("text_id"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    # ids may be null or shared by texts of one component: the text kept has the least id, nulls last, then the least hashes
+    first = held.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "h1", "h2", F.col("id").alias("first"))).alias("m"))
+    held = held.join(first, "component").select("h1", "h2", F.col("least").alias("text_id"), F.col("m.least").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", (F.col("id") == F.col("m.first")).alias("stays"))
     out = rows.select("id", "h1", "h2", F.col("sig").isNull().alias("bare")).join(held, ["h1", "h2"], "left")
+    kept = F.col("bare") | (F.col("stays") & F.col("id").eqNullSafe(F.col("text_id")))
     own = lambda c, e: F.when(F.col("bare"), e).otherwise(F.col(c)).alias(c)
-    out = out.select(F.col("id").alias("doc_id"), own("text_id", F.col("id")), own("class_id", F.col("id")), own("n_links", F.lit(0)), own("n_copies", F.lit(1)), "bare", "h1", "h2")
-    return out.withColumn("kept", F.col("bare") | F.col("doc_id").eqNullSafe(F.col("class_id")))
+    out = out.select(F.col("id").alias("doc_id"), own("text_id", F.col("id")), own("class_id", F.col("id")), own("n_links", F.lit(0)), own("n_copies", F.lit(1)), "bare", "h1", "h2", kept.alias("kept"))
+    return out
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
@@ -208,8 +216,8 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **
     rows = verdict.groupBy(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.max("kept").alias("_kept"), F.max("bare").alias("_bare"), F.count("*").alias("_n"))
     marks = spool(rows.where("NOT _kept OR (_n > 1 AND NOT _bare)").select("_id", "_h1", "_h2", F.col("_kept").alias("_twice")), "marks")
     n, twice = marks.agg(F.count("*"), F.count_if("_twice")).first()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    match = lambda d: F.col(id_col).cast("long").eqNullSafe(d["_id"]) & (F.xxhash64(text) == d["_h1"]) & (F.xxhash64(text, F.length(text)) == d["_h2"])
+    h1, h2 = text_key(F.coalesce(F.col(text_col), F.lit("")))
+    match = lambda d: F.col(id_col).cast("long").eqNullSafe(d["_id"]) & (h1 == d["_h1"]) & (h2 == d["_h2"])
     once = docs.join(small(marks, n), match(marks), "left_anti")
     if not twice:
         return once

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickgrid.llm.base import fold_of, fresh, gathered, give_back, sampled, texts
+from tickgrid.llm.base import fold_of, fresh, gathered, give_back, sampled, share, texts
 from tickgrid.llm.textvec import fit_logistic, hellinger, ngram_counts
 
 #: Rows of a language that the bit classifiers are fitted on, at most (in expectation).
@@ -89,7 +89,7 @@ def decode(model: EcocModel, margins: np.ndarray) -> np.ndarray:
 
 def predictor(model: EcocModel | None, spark) -> object:
     """A column function: text -> struct of RESULT."""
-    held = spark.sparkContext.broadcast(model)
+    held = share(spark, model)
 
     @F.pandas_udf(RESULT)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -166,7 +166,7 @@ def fit_rates(held: DataFrame, model: MixingModel, targets: dict[str, float]) ->
 
 def membership(docs: DataFrame, model: MixingModel, text_col: str = "text") -> Column:
     """A column: struct of RESULT for each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     @F.pandas_udf(RESULT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -188,7 +188,7 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, f
         return one.withColumn("copies", F.lit(1).cast("long")), None
     held = spool(docs.select(*key, membership(docs, model, text_col).alias("m")).select("doc_id", "text_hash", "m.n_tokens", "m.domain", "m.posterior"), "mixing")
     model = fit_rates(held, model, targets)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     @F.pandas_udf("double")
     def rate(p: pd.Series) -> pd.Series:

@@ -233,7 +233,7 @@ def digest(found: list[tuple[int, int, int, str, float]]) -> tuple[str, str]:
 
 def finder(weights: np.ndarray | None, spark) -> object:
     """A column function: text -> struct of RESULT."""
-    held = spark.sparkContext.broadcast(weights)
+    held = share(spark, weights)
 
     @F.pandas_udf(RESULT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

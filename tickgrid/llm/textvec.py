@@ -70,8 +70,17 @@ def word_hashes(text: str) -> np.ndarray:
             gap = np.flatnonzero(~_WORD[raw[at:end]])
             if len(gap):
                 end = at + int(gap[-1]) + 1
-            else:  # a word longer than a piece: its parts are words
-                end = min(n, at + PIECE)
+            else:  # a word longer than a piece is hashed whole: the sums of its parts, each moved to its place
+                total, size, more = 0, 0, True
+                while more and at < n:
+                    part = raw[at : at + PIECE]
+                    stops = np.flatnonzero(~_WORD[part])
+                    more = not len(stops)
+                    part = part if more else part[: int(stops[0])]
+                    total += int((part.astype(_U) * power[: len(part)]).sum()) * pow(_BASE, size, 1 << 64)
+                    size, at = size + len(part), at + len(part)
+                out.append(_mixed(np.array([(total + size) % (1 << 64)], _U)))
+                continue
         b = raw[at:end]
         edge = np.diff(_WORD[b].astype(np.int8), prepend=0, append=0)
         s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)

@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     own = docs.join(F.broadcast(teach), F.col(id_col) == F.col(i)).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(y).alias("y"))
     weights, harmless = _learn_words(own, "t", "y")
     model = ToxicityModel(weights, harmless | {fold(x) for x in EXCEPTIONS})
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = share(docs.sparkSession, model)
 
     @F.pandas_udf("array<double>")
     def signal(t: pd.Series) -> pd.Series:
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
 def scorer(model: ToxicityModel, spark) -> object:
     """A column function: text -> struct of RESULT."""
     model._auto = None
-    held = spark.sparkContext.broadcast(model)
+    held = share(spark, model)
 
     @F.pandas_udf(RESULT)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickgrid.llm.base import gathered, sampled, spool, texts
+from tickgrid.llm.base import gathered, give_back, sampled, share, spool, texts
 from tickgrid.llm.textvec import PIECE, fit_logistic, hellinger, ngram_counts, word_hashes
 
 LABELLERS = ("symbols", "capitals", "length", "word_length", "repeated_lines", "repeated_words", "decorated_words", "digits")
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rows: i
 
 def scorer(model: QualityModel, spark) -> object:
     """A column function: text -> struct of RESULT."""
-    held = spark.sparkContext.broadcast(model)
+    held = share(spark, model)
 
     @F.pandas_udf(RESULT)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -151,5 +151,6 @@ def scorer(model: QualityModel, spark) -> object:
             empty = np.array([not t.strip() for t in own], bool)
             q[empty] = s[empty] = 0
             yield pd.DataFrame({"votes": v, "posterior": q, "score": s, "keep": s >= 0.5})
+        give_back()
 
     return score

@@ -1,19 +1,23 @@
 """Mixing to target weights by soft membership.
 
-A linear softmax classifier over hashed character n-grams, fitted on labelled rows, gives every document posteriors
-over domains. Document rates r >= 0 are then the minimum of
-
-    1/2 e' M e + RIDGE/2 sum_i w_i (r_i - 1)^2,   e_k = sum_i r_i w_i p_ik - t_k,
-
-w_i being the document's share of all tokens, t_k the target share of domain k, and M the inverse of the posteriors' Gram
-matrix G = sum_i w_i p_i p_i' (with a little of the identity), by which overlapping domains are fitted as fast as separate
-ones. At the minimum r_i = max(0, 1 - p_i y / RIDGE) for one K-vector y = M e, so the dual in y is solved, by Newton steps
+A softmax classifier, fitted on labelled rows, gives every document posteriors over domains. It reads hashed character
+n-grams, which tell style, and for each domain the log-odds of the document's words that lie mostly in it, which tell what
+a few words decide. It learns from a labelled sample, one row of each family of near copies; a row that teaches is read
+with log-odds in which it isn't counted itself. The temperature is the one with the least log loss on rows that the
+weights of the other half of the sample read; then posteriors follow the labelled shares.
+Document rates r >= 0 are then the minimum of
+
+    1/2 |e|^2 + RIDGE/2 sum_i w_i (r_i - 1)^2,   e_k = sum_i r_i w_i p_ik - t_k,
+
+w_i being the document's share of all tokens and t_k the target share of domain k. The errors of all domains weigh alike,
+so overlapping domains can't trade a large error in the total for a small one between them. At the minimum
+r_i = max(0, 1 - p_i y / RIDGE) for one K-vector y = e, so the dual in y is solved, by Newton steps
 with a line search. Each step is one distributed pass that adds up K x K numbers for each length tried; no rates are
 stored or collected. There is no limit on steps: they end when the duality gap bounds the rates' distance from the minimum by
 SETTLED, and a warning is given if rounding stops them before. Rates become whole copies: the floor, and one more where
 a hash of the document falls below the rest.
 
-Cases: null and empty texts have no tokens; they keep the rate that their posteriors give. A target domain without mass
+Cases: an id with two domains has the last in alphabetical order. Null and empty texts have no tokens; they keep the rate that their posteriors give. A target domain without mass
 can't be reached and is left out, its weight spread over the others. No labelled row, or no tokens: all rates are 1.
 Equal rows get equal rates and copies.
 """
@@ -29,18 +33,56 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickgrid.llm.base import fresh, gathered, give_back, sampled, spool, texts, unit
-from tickgrid.llm.textvec import fit_logistic, hellinger, ngram_counts
+from tickgrid.llm.base import fresh, give_back, sampled, share, small, spool, texts, unit
+from tickgrid.llm.textvec import fit_logistic, hellinger, ngram_counts, shingles, word_hashes
 
 #: Labelled rows of a domain that the classifier is fitted on, at most (in expectation).
-FIT_ROWS = 700
-BITS, ORDERS = 13, (1, 3, 4)
+FIT_ROWS = 1500
+BITS, ORDERS = 11, (1, 3)
+#: Families of a domain that a word is in at least, and its least log-odds.
+MIN_FAMILIES, MIN_ODDS = 3, 1.5
 #: Pull towards a rate of 1; distance of the rates from the minimum (root of the mean square over tokens) at which steps end.
 RIDGE, SETTLED = 1e-3, 1e-4
 #: Lengths of a Newton step that one pass tries, longest first.
 _LENGTHS = 0.5 ** np.arange(12)
 TARGETS = {"clean": 0.9, "low": 0.07, "toxic": 0.03}
-RESULT = "n_tokens long, domain string, posterior array<double>, rate double"
+RESULT = "n_tokens long, domain string, posterior array<double>"
+
+
+@dataclass
+class Words:
+    """Hashes of the words that speak for a domain, in order, and their log-odds for each (0 or more)."""
+
+    hashes: np.ndarray
+    odds: np.ndarray
+
+    def signals(self, own: np.ndarray, odds: np.ndarray | None = None) -> np.ndarray:
+        """Of a text's distinct word hashes: for each domain the sum of log-odds, as it is and by the text's words."""
+        odds = self.odds if odds is None else odds
+        if not len(self.hashes):
+            return np.zeros(2 * odds.shape[1], np.float32)
+        at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+        total = odds[at[self.hashes[at] == own]].sum(axis=0)
+        return np.log1p(np.concatenate([total, 100 * total / (1 + len(own))])).astype(np.float32)
+
+
+def log_odds(n: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Of words in n texts of each domain; 0 for a word of fewer than MIN_FAMILIES texts or with less than MIN_ODDS."""
+    inside, outside = (n + 0.5) / (rows + 1), (n.sum(axis=1, keepdims=True) - n + 0.5) / (rows.sum() - rows + 1)
+    odds = np.log(inside / outside)
+    return np.where((n < MIN_FAMILIES) | (odds < MIN_ODDS), 0.0, odds)
+
+
+def learn_words(words: list[np.ndarray], domain: np.ndarray, k: int) -> tuple[Words, np.ndarray]:
+    """The words, and the signals of each text by log-odds in which it isn't counted."""
+    every, at = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]), return_inverse=True)
+    n, rows = np.zeros((len(every), k)), np.bincount(domain, minlength=k)
+    np.add.at(n, (at, np.repeat(domain, [len(w) for w in words])), 1)
+    held = (n >= MIN_FAMILIES).any(axis=1)
+    every, n = every[held], n[held]
+    model = Words(every, log_odds(n, rows))
+    without = [log_odds(np.maximum(0, n - one), rows - one) for one in np.eye(k)]
+    return model, np.stack([model.signals(w, without[d]) for w, d in zip(words, domain, strict=True)])
 
 
 @dataclass
@@ -48,6 +90,7 @@ class MixingModel:
     domains: list[str]
     weights: np.ndarray
     bias: np.ndarray
+    words: Words | None = None
     step: float = 0.0
     pulls: list[np.ndarray] = field(default_factory=list)  # a K-vector for each step
     wanted: np.ndarray | None = None
@@ -58,7 +101,7 @@ class MixingModel:
         n = np.array([len(t.split()) for t in own], np.int64)
         p = np.zeros((len(own), len(self.domains)))
         for at in range(0, len(own), 256):
-            z = np.stack([hellinger(ngram_counts(t, ORDERS, BITS)) for t in own[at : at + 256]]) @ self.weights + self.bias
+            z = np.stack([np.concatenate([style(t), self.words.signals(np.unique(word_hashes(t)))]) for t in own[at : at + 256]]) @ self.weights + self.bias
             z = np.exp(z - z.max(axis=1, keepdims=True))
             p[at : at + 256] = z / z.sum(axis=1, keepdims=True)
         return n, p
@@ -82,24 +125,66 @@ def domain_of_labels() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when((F.col("quality") == 1) | (F.col("toxic") == 0), "clean")
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, domain: Column, text_col: str = "text", id_col: str = "doc_id", rows: int = FIT_ROWS) -> MixingModel | None:
-    d = labels.select(F.col(id_col).alias("_id"), domain.alias("_domain")).where("_id is not null")
-    teach = sampled(d, "_domain", rows, F.col("_id"), F.lit("mix")).dropDuplicates(["_id"])
+def style(text: str) -> np.ndarray:
+    return hellinger(ngram_counts(text, ORDERS, BITS))
 
-    @F.pandas_udf("binary")
-    def vectors(t: pd.Series) -> pd.Series:
-        return pd.Series([hellinger(ngram_counts(x, ORDERS, BITS)).astype(np.float16).tobytes() for x in texts(t)])
 
-    taught, x = gathered(docs.join(F.broadcast(teach), F.col(id_col) == F.col("_id")).select("_domain", vectors(text_col).alias("x")), "_domain", "x")
-    if not taught:
+def calibrated(z: np.ndarray, y: np.ndarray, shares: np.ndarray) -> float:
+    """The factor for logits that gives the posteriors, with the domains' shares, the least log loss on rows of these shares."""
+    weight = (shares / np.maximum(1, np.bincount(y, minlength=len(shares))))[y]
+
+    def loss(c: float) -> float:
+        s = c * z + np.log(shares)
+        s -= s.max(axis=1, keepdims=True)
+        return float(weight @ (np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]))
+
+    return min(np.geomspace(0.05, 8, 60), key=loss)
+
+
+def fit_classifier(docs: DataFrame, labels: DataFrame, domain: Column, text_col: str = "text", id_col: str = "doc_id", rows: int = FIT_ROWS) -> MixingModel | None:
+    i, y = fresh(docs, "_id"), fresh(docs, "_domain")
+    told = labels.select(F.col(id_col).alias(i), domain.alias(y)).where(F.col(i).isNotNull()).groupBy(i).agg(F.max(y).alias(y)).where(F.col(y).isNotNull())
+    teach = spool(sampled(told, y, rows, F.col(i), F.lit("mix")), "mixing-labels")
+
+    @F.pandas_udf("struct<x: binary, words: binary, family: long>")
+    def read(t: pd.Series) -> pd.DataFrame:
+        own = texts(t)
+        family = [int(g[0].view(np.int64)) if len(g := shingles(x)) else 0 for x in own]
+        return pd.DataFrame({"x": [style(x).astype(np.float16).tobytes() for x in own], "words": [np.unique(word_hashes(x)).tobytes() for x in own], "family": family})
+
+    found = docs.join(small(teach), F.col(id_col) == F.col(i)).select(F.col(y).alias("y"), read(text_col).alias("r")).select("y", "r.*")
+    got = sorted(found.dropDuplicates(["y", "family"]).collect(), key=lambda r: (r["y"], r["family"]))
+    if not got:
         return None
-    names = sorted(set(taught))
-    w, b = fit_logistic(x, np.eye(len(names), dtype=np.float32)[[names.index(v) for v in taught]], rounds=120, softmax=True)
-    seen = {r["_domain"]: r["count"] for r in d.where("_domain is not null").groupBy("_domain").count().collect()}
+    names = sorted({r["y"] for r in got})
+    y = np.array([names.index(r["y"]) for r in got])
+    words = [np.frombuffer(r["words"], np.uint64) for r in got]
+    own_words, signals = learn_words(words, y, len(names))
+    x = np.hstack([np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32), signals])
+    del got, words
+
+    def fitted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and biases from these rows, in which each domain counts about alike."""
+        n = np.bincount(y[rows], minlength=len(names))
+        even = np.concatenate([rows[y[rows] == v].repeat(max(1, round(n.max() / n[v]))) for v in np.flatnonzero(n)])
+        return fit_logistic(x[even], np.eye(len(names), dtype=np.float32)[y[even]], rounds=120, softmax=True)
+
+    half = np.random.default_rng(3).permuted(np.arange(len(y)) % 2)
+    apart = np.zeros((len(y), len(names)))
+    for side in (0, 1):
+        if (half == side).any() and (half != side).any():
+            w, b = fitted(np.flatnonzero(half == side))
+            apart[half != side] = x[half != side] @ w + b
+    seen = dict(told.groupBy(told.columns[1]).count().collect())
+    shares = np.array([seen[v] for v in names], float)
+    shares /= shares.sum()
+    factor = calibrated(apart, y, shares)
+    w, b = fitted(np.arange(len(y)))
+    model = MixingModel(names, w, b, own_words)
     del x
     give_back()
-    b += np.array([np.log(seen[v] / taught.count(v)) for v in names], np.float32)  # the sample is even; posteriors follow the labelled shares
-    return MixingModel(names, w, b)
+    model.weights, model.bias = (model.weights * factor).astype(np.float32), (model.bias * factor + np.log(shares)).astype(np.float32)
+    return model
 
 
 def _totals(held: DataFrame, size: int, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
@@ -139,21 +224,19 @@ def fit_rates(held: DataFrame, model: MixingModel, targets: dict[str, float]) ->
     if want.sum() <= 0:
         return model
     model.wanted = want = want / want.sum()
-    gram = whole + 1e-4 * np.trace(whole) / k * np.eye(k)
-    metric = np.linalg.inv(gram)
 
     def points(duals: np.ndarray) -> list[tuple]:
         """Of each dual point: itself, its value, gradient, duality gap, Gram matrix of the rates above 0, and shares."""
         rows = _totals(held, len(duals) * (k * k + k + 1), lambda p, n: _at_duals(p, n, duals)).reshape(len(duals), -1) / total
         out = []
         for y, v in zip(duals, rows, strict=True):
-            g = v[:k] - want - gram @ y
-            out.append((y, v[-1] - want @ y - y @ gram @ y / 2, g, g @ metric @ g / 2, v[k:-1].reshape(k, k), v[:k]))
+            g = v[:k] - want - y
+            out.append((y, v[-1] - want @ y - y @ y / 2, g, g @ g / 2, v[k:-1].reshape(k, k), v[:k]))
         return out
 
-    y, value, g, gap, active, model.reached = np.zeros(k), 0.0, mass - want, (mass - want) @ metric @ (mass - want) / 2, whole, mass
+    y, value, g, gap, active, model.reached = np.zeros(k), 0.0, mass - want, (mass - want) @ (mass - want) / 2, whole, mass
     while (2 * gap / RIDGE) ** 0.5 > SETTLED:
-        step = np.linalg.solve(gram + active / RIDGE, g)
+        step = np.linalg.solve(np.eye(k) + active / RIDGE, g)
         tried = points(y + _LENGTHS[:, None] * step)
         better = [t for length, t in zip(_LENGTHS, tried, strict=True) if t[1] >= value + 1e-4 * length * (g @ step) or (t[1] >= value - 1e-12 and t[3] <= gap / 4)]
         if not better:
@@ -173,7 +256,7 @@ def membership(docs: DataFrame, model: MixingModel, text_col: str = "text") -> C
         m = shared.value
         for batch in batches:
             n, p = m.posteriors(batch)
-            yield pd.DataFrame({"n_tokens": n, "domain": [m.domains[i] for i in p.argmax(axis=1)], "posterior": list(p), "rate": m.rates(p)[0]})
+            yield pd.DataFrame({"n_tokens": n, "domain": [m.domains[i] for i in p.argmax(axis=1)], "posterior": list(p)})
         give_back()
 
     return run(F.col(text_col))
@@ -188,14 +271,18 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, f
         return one.withColumn("copies", F.lit(1).cast("long")), None
     held = spool(docs.select(*key, membership(docs, model, text_col).alias("m")).select("doc_id", "text_hash", "m.n_tokens", "m.domain", "m.posterior"), "mixing")
     model = fit_rates(held, model, targets)
-    shared = share(docs.sparkSession, model)
+    out = held.withColumn("rate", rate_of(held, model, F.col("posterior")))
+    return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id"), F.col("text_hash"))), model
+
+
+def rate_of(held: DataFrame, model: MixingModel, posterior: Column) -> Column:
+    shared = share(held.sparkSession, model)
 
     @F.pandas_udf("double")
     def rate(p: pd.Series) -> pd.Series:
         return pd.Series(shared.value.rates(np.array(p.tolist()).reshape(len(p), -1))[0])
 
-    out = held.withColumn("rate", rate("posterior"))
-    return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id"), F.col("text_hash"))), model
+    return rate(posterior)
 
 
 def copies(rate: Column, *key: Column) -> Column:
@@ -203,11 +290,12 @@ def copies(rate: Column, *key: Column) -> Column:
 
 
 def resample(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, float], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with each row as often as its copies say."""
-    _, model = mix(docs, labels, domain, targets, text_col, id_col)
+    """docs with each row as often as its copies say. Posteriors are written beside the rows, so a text is scored once."""
+    model = fit_classifier(docs, labels, domain, text_col, id_col)
     if model is None:
         return docs
     m, n = fresh(docs, "_mix"), fresh(docs, "_n")
-    out = docs.withColumn(m, membership(docs, model, text_col))
-    out = out.withColumn(m, copies(F.col(f"{m}.rate"), F.col(id_col), F.xxhash64(F.coalesce(text_col, F.lit(""))))).where(F.col(m) > 0)
+    held = spool(docs.withColumn(m, membership(docs, model, text_col)), "mixing")
+    model = fit_rates(held.select(f"{m}.n_tokens", f"{m}.posterior"), model, targets)
+    out = held.withColumn(m, copies(rate_of(held, model, F.col(f"{m}.posterior")), F.col(id_col), F.xxhash64(F.coalesce(text_col, F.lit(""))))).where(F.col(m) > 0)
     return out.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(m)))).drop(m, n)

@@ -25,7 +25,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii_crf.finder(pii_crf.fit(docs), spark)
     out = docs.select("doc_id", found("text").alias("f"))
-    return out.select("doc_id", *[f"f.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")])
+    return out.select("doc_id", *[f"f.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "n_added")])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,9 +103,9 @@ WITH words AS (
 ), items AS (
   SELECT item_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
 ), d AS (
-  SELECT DISTINCT id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM words)
+  SELECT DISTINCT id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)
 ), b AS (
-  SELECT DISTINCT id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM items)
+  SELECT DISTINCT id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM items WHERE len(w) > 0)
 ), n AS (
   SELECT id, count(*) AS n_item FROM b GROUP BY id
 )

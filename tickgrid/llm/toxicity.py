@@ -1,8 +1,8 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick after folding look-alikes and digit substitutions.
 
 The lexicon is learned from labelled rows: folded words that lie mostly in toxic rows. Rows are counted by families
-(texts with the same least five-word hash), so that near copies of one text don't lift its words. Phrases in which a lexicon word is harmless are exceptions:
-given ones and learned ones (a neighbour with which the word occurs in clean rows). The weighted hits, as they are and
+(texts with the same least five-word hash), so that near copies of one text don't lift its words. Phrases in which a lexicon word is harmless are
+exceptions: a neighbour with which the word occurs in clean rows, or phrases that the caller gives. The weighted hits, as they are and
 divided by the text's length, enter a two-feature logistic calibration.
 
 Cases: null or empty text scores as a text without a hit. No labelled toxic row: an empty lexicon and the base rate
@@ -11,6 +11,7 @@ Cases: null or empty text scores as a text without a hit. No labelled toxic row:
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,21 +23,24 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickgrid.llm.base import fold_of, fresh, sampled, spool, texts
+from tickgrid.llm.base import fold_of, fresh, give_back, sampled, share, spool, texts
 from tickgrid.llm.textvec import fit_logistic, shingles
 
-#: Labelled rows of each class that are learned from, at most (in expectation), and words in the lexicon.
-#: Harmless phrases have no bound of their own: they come from these rows. Words learned have MIN_LETTERS at least.
-FIT_ROWS, LEXICON = 2500, 2000
+#: Labelled rows of each class that are learned from, at most (in expectation). The lexicon and the harmless phrases have
+#: no bound of their own: they come from these rows. Words learned have MIN_LETTERS at least.
+FIT_ROWS = 2500
 MIN_FAMILIES, MIN_ODDS, MIN_LETTERS = 3, 2.5, 3
 #: Look-alike letters, and digits and signs that stand for letters. i, l and 1 share one form.
 _ALIKE = dict(zip("аеорсухіјѕһԁгтмкнвαοερτικνυ", "aeopcyxijshdrtmkhbaoeptiknu", strict=True))
-_DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "l": "i", "|": "i"}
+_DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "l": "i"}
+#: Signs read as letters beside a letter: @ before one, $ before or after one, ! and | between two.
+_SIGNS = regex.compile(r"@(?=\p{L})|\$(?=\p{L})|(?<=\p{L})\$|(?<=\p{L})[!|](?=\p{L})")
+_AS_LETTERS = {"@": "a", "$": "s", "!": "i", "|": "i"}
+_MARKS = regex.compile(r"\p{Mn}+")
 _SILENT = "​‌‍⁠﻿­"
 _FOLD = str.maketrans(_ALIKE | _DIGITS)
 _DROP = str.maketrans(dict.fromkeys(_SILENT))
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish")
 RESULT = "score double, predicted int, hits array<struct<term: string, start: int, end: int>>"
 
 
@@ -58,10 +62,14 @@ class ToxicityModel:
 
 
 def fold(text: str) -> str:
-    """Lower case, look-alikes and digits as letters; as long as the text, but for silent characters."""
+    """Lower case with compatible forms, accents, look-alikes, digits and signs as plain letters; silent characters go."""
+    if not text.isascii():
+        if any(c in text for c in _SILENT):
+            text = text.translate(_DROP)
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
     text = text.lower()
-    if not text.isascii() and any(c in text for c in _SILENT):
-        text = text.translate(_DROP)
+    if "@" in text or "$" in text or "!" in text or "|" in text:
+        text = _SIGNS.sub(lambda m: _AS_LETTERS[m[0]], text)
     return text.translate(_FOLD)
 
 
@@ -109,7 +117,7 @@ def _learn_words(rows: DataFrame, text_col: str, label_col: str) -> tuple[dict[s
         return {}, set()
     odds = F.log((F.col("t") + 0.5) / (F.col("n") - F.col("t") + 0.5)) - float(np.log((total["t"] + 1) / (total["n"] - total["t"] + 1)))
     lexicon = by_word.where(F.col("t") >= MIN_FAMILIES).withColumn("o", odds).where(F.col("o") >= MIN_ODDS)
-    kept = lexicon.where(F.col("t") >= 0.6 * F.col("n")).orderBy(F.desc("o"), "w").limit(LEXICON).collect()
+    kept = lexicon.where(F.col("t") >= 0.6 * F.col("n")).collect()
     weights = {r["w"]: float(r["o"]) for r in kept}
     if not weights:
         return {}, set()
@@ -119,14 +127,14 @@ def _learn_words(rows: DataFrame, text_col: str, label_col: str) -> tuple[dict[s
     return weights, {r["phrase"] for r in harmless.collect() if "^" not in r["phrase"] and "$" not in r["phrase"]}
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", rows: int = FIT_ROWS) -> ToxicityModel:
-    """Learn from labelled rows whose id's crc32 modulo 5 isn't 0."""
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", rows: int = FIT_ROWS, exceptions: tuple[str, ...] = ()) -> ToxicityModel:
+    """Learn from labelled rows whose id's crc32 modulo 5 isn't 0; ``exceptions`` are harmless phrases known beforehand."""
     y, i = fresh(docs, "y"), fresh(docs, "i")
     teach = sampled(labels.where((fold_of(id_col, 5) != 0) & F.col(label_col).isin(0, 1)), label_col, rows, F.col(id_col), F.lit("tox"))
     teach = teach.groupBy(F.col(id_col).alias(i)).agg(F.max(label_col).cast("int").alias(y))
     own = docs.join(F.broadcast(teach), F.col(id_col) == F.col(i)).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(y).alias("y"))
     weights, harmless = _learn_words(own, "t", "y")
-    model = ToxicityModel(weights, harmless | {fold(x) for x in EXCEPTIONS})
+    model = ToxicityModel(weights, harmless | {fold(x) for x in exceptions})
     held = share(docs.sparkSession, model)
 
     @F.pandas_udf("array<double>")
@@ -162,6 +170,7 @@ def scorer(model: ToxicityModel, spark) -> object:
                 p.append(1 / (1 + np.exp(-np.clip(a * x + b * y + c, -30, 30))))
                 got.append([{"term": t_, "start": s, "end": e} for t_, s, e in hits])
             yield pd.DataFrame({"score": np.array(p, float), "predicted": (np.array(p, float) >= 0.5).astype("int32"), "hits": pd.Series(got, dtype=object)})
+        give_back()
 
     return score
 

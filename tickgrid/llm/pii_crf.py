@@ -1,22 +1,27 @@
 """Personal data: exact patterns, and a skip-chain conditional random field that adds what they miss.
 
-Base spans come from four patterns (email, ip, card, phone), leftmost and not overlapping within a kind. Candidate
-tokens (words with a digit or an @) form a chain per document; tokens that repeat or whose digits repeat are linked to
-the occurrence before, however far. Unary potentials come from a softmax over shape features, fitted with the base
-spans as labels; chain edges and skip edges favour equal labels. Loopy sum-product message passing gives each token's
-label; a token with no base span whose label is a kind with probability ADD or more, and which a skip edge ties to a
-token of that kind, becomes an added span. Base spans are clamped and always stay.
-
-Links go from each occurrence to the one before it, so that a token repeated m times has m - 1 skip edges.
+Base spans come from four patterns (email, ip, card, phone), leftmost and not overlapping within a kind. Strings that are
+told as a secret (token = "...") are seeds of a fifth kind. Candidates are base spans, seeds, numbers written in groups,
+addresses spelled with (at) and (dot), and other words with a digit or an @; they form a chain per document. Candidates
+that are equal or similar are linked to the occurrence before, however far: equal digits or words most, then the last nine
+digits of a number, one half of a long number, an address's user, its host, a network, and strings of one make. Unary
+potentials come from a softmax over shape features, fitted with base spans and seeds as labels and bounded, so that shape
+alone never reaches ADD; chain edges and skip edges favour equal labels. Loopy sum-product message passing runs in every
+document with a candidate that is neither base nor seed; one whose label is a kind with probability ADD or more becomes
+an added span. Base spans and seeds are clamped and always stay.
+
+Each candidate has one link for each of its keys, so a token repeated m times has m - 1 skip edges of a sort.
 
 Cases: null or empty text: no spans. A text of any length is read whole; time and memory follow its length. Ties
-between labels go to ``none``. Repeated rows get equal spans.
+between labels go to ``none``. Repeated rows get equal spans. An empty table gives no rows and teaches nothing: then
+base spans and seeds are all.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +29,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickgrid.llm.base import texts, unit
+from tickgrid.llm.base import give_back, share, texts, unit
 from tickgrid.llm.textvec import fit_logistic
 
-KINDS = ("email", "ip", "card", "phone")
-#: Least probability of an added span; rounds; strength of chain and skip edges; bound on a shape potential.
-ADD, ROUNDS, CHAIN, SKIP, SHAPE = 0.9, 10, 0.2, 8.0, 4.0
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: Kinds with a base pattern.
+BASE = 4
+#: Least probability of an added span; rounds; bound on a shape potential, with which shape alone gives less than ADD.
+ADD, ROUNDS, SHAPE = 0.95, 10, 4.0
+#: Strength of edges: to the neighbour in the chain, between equal candidates, and between similar ones by what they share.
+CHAIN, SKIP = 0.2, 8.0
+SIMILAR = {"tail": 6.0, "half": 2.0, "user": 3.0, "host": 1.0, "net": 1.0, "make": 2.0}
 #: Documents with candidates that the shape potentials are fitted on, at most (in expectation).
 FIT_DOCS = 4000
-RESULT = "n_email long, n_ip long, n_card long, n_phone long, n_added long, base_sha256 string, spans string, found array<struct<kind: string, start: int, end: int, source: string, p: double>>"
+#: Candidates of one text that teach, at most: those with the least checksums of their places.
+FIT_TOKENS = 200
+RESULT = "n_email long, n_ip long, n_card long, n_phone long, n_spans long, n_added long, base_sha256 string, spans string, found array<struct<kind: string, start: int, end: int, source: string, p: double>>"
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Fixed patterns of the four kinds; the address pattern is applied around each @ and so never rescans a run.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -42,6 +54,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"\S+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+_SECRET = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\"']?\s{0,4}[:=]\s{0,4}[\"']?([A-Za-z0-9+/_=-]{16,})")
+_GROUPED = re.compile(r"[+(]?[0-9](?:[ ().-]{0,2}[0-9]){6,30}")
+_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}[ ]?(?:\(at\)|\[at\]| at )[ ]?[A-Za-z0-9-]{1,63}(?:[ ]?(?:\(dot\)|\[dot\]| dot )[ ]?[A-Za-z0-9-]{1,63}){1,8}")
+_AT, _DOT = re.compile(r" ?(?:\(at\)|\[at\]| at ) ?"), re.compile(r" ?(?:\(dot\)|\[dot\]| dot ) ?")
 
 
 def luhn(digits: str) -> bool:
@@ -91,50 +107,85 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def seeds(text: str) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of strings that are told as a secret and hold a digit."""
+    if "=" not in text and ":" not in text:
+        return []
+    return [(BASE, m.start(1), m.end(1)) for m in _SECRET.finditer(text) if any(c.isdigit() for c in m[1])]
+
+
 def tokens(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates (start, end, label): base spans as wholes (labels 1 to 4), other words with a digit or an @ (0)."""
+    """Candidates (start, end, label): spans as wholes (kind + 1), then numbers, spelled addresses and other words (0)."""
     own, end = [], 0
-    for k, a, z in sorted(spans, key=lambda s: (s[1], -s[2], s[0])):
+    fixed = [(a, z, k + 1) for k, a, z in spans]
+    if "dot" in text:
+        fixed += [(m.start(), m.end(), 0) for m in _SPELLED.finditer(text)]
+    for a, z, y in sorted(fixed, key=lambda s: (s[0], s[2] == 0, -s[1], s[2])):
         if a >= end:
-            own.append((a, z, k + 1))
+            own.append((a, z, y))
             end = z
     out, i, at = [], 0, 0
-    while (m := _SIGN.search(text, at)) is not None:
-        p = m.start()
-        while i < len(own) and own[i][1] <= p:
-            i += 1
+    while (m := _SIGN.search(text, at)) is not None or i < len(own):
+        p = m.start() if m else len(text)
         if i < len(own) and own[i][0] <= p:
             out.append(own[i])
-            at = own[i][1]
+            at = max(at, own[i][1])
+            i += 1
+            continue
+        stop = own[i][0] if i < len(own) else len(text)
+        a, floor = p, max(out[-1][1] if out else 0, at)
+        while a > floor and text[a - 1] in "+(":
+            a -= 1
+        g = _GROUPED.match(text, a, stop) or _GROUPED.match(text, p, stop)
+        if g and (g.end() == len(text) or not text[g.end()].isalnum()) and (g.start() == 0 or not text[g.start() - 1].isalnum()) and len(_NOT_DIGIT.sub("", g[0])) <= 19:
+            out.append((g.start(), g.end(), 0))
+            at = g.end()
             continue
         a = p
-        floor = max(out[-1][1] if out else 0, at)
         while a > floor and not text[a - 1].isspace():
             a -= 1
-        z = _TOKEN.match(text, p).end()
-        if i < len(own):
-            z = min(z, own[i][0])
-        while z > p + 1 and text[z - 1] in ".,;:!?)]}>\"'":
+        z = min(stop, _TOKEN.match(text, p).end())
+        while z > p + 1 and text[z - 1] in ".,;:!?)]}>\"'#*%$&|":
             z -= 1
-        while a < p and text[a] in "([{<\"'":
+        while a < p and text[a] in "([{<\"'#*%$&|":
             a += 1
         out.append((a, z, 0))
         at = z
     return out
 
 
-def key(piece: str) -> str:
-    """What occurrences of one thing share: the digits of a number, else the lower-cased word."""
-    digits = _NOT_DIGIT.sub("", piece)
-    return digits if len(digits) >= 7 and 2 * len(digits) > len(piece) else piece.lower()
+def keys(piece: str) -> list[tuple[str, float]]:
+    """What a candidate may share with another, with the strength of an edge between two that do; its name comes first."""
+    word = _DOT.sub(".", _AT.sub("@", piece)).lower()
+    digits = _NOT_DIGIT.sub("", word)
+    if "@" in word:
+        user, _, host = word.rpartition("@")
+        return [(word, SKIP), (f"user {user}", SIMILAR["user"]), (f"host {host}", SIMILAR["host"])]
+    if word.count(".") == 3 and word.replace(".", "").isdigit():
+        return [(word, SKIP), (f"net {word.rpartition('.')[0]}", SIMILAR["net"])]
+    if len(digits) >= 7 and 2 * len(digits) > len(word) and not any(c.isalpha() for c in word):
+        out = [(digits, SKIP)]
+        if len(digits) >= 10:
+            out.append((f"tail {digits[-9:]}", SIMILAR["tail"]))
+        if len(digits) >= 13:
+            out += [(f"first {len(digits)} {digits[:8]}", SIMILAR["half"]), (f"last {len(digits)} {digits[-8:]}", SIMILAR["half"])]
+        return out
+    if len(word) >= 16 and word.isalnum():
+        return [(word, SKIP), (f"make {len(word)} {all(c in '0123456789abcdef' for c in word)}", SIMILAR["make"])]
+    return [(word, SKIP)]
 
 
 def shape(piece: str) -> np.ndarray:
-    """Features of a candidate's own characters; no pattern match enters."""
+    """Features of a candidate's own characters; neither a base pattern nor a check digit enters."""
     n = len(piece)
     digits = sum(c.isdigit() for c in piece)
     letters = sum(c.isalpha() for c in piece)
-    return np.array([1, min(n, 64) / 16, digits / n, letters / n, min(digits, 24) / 8, "@" in piece, piece.count(".") == 3, piece.count(".") == 1, piece.startswith("+"), "-" in piece, " " in piece, "(" in piece, digits == n, 13 <= digits <= 19, 9 <= digits <= 12, piece.rpartition("@")[2].count(".") > 0 and "@" in piece], np.float32)
+    parts = piece.split(".")
+    dotted = len(parts) == 4 and all(x.isdigit() for x in parts)
+    return np.array([
+        1, min(n, 64) / 16, digits / n, letters / n, min(digits, 24) / 8, "@" in piece, dotted, dotted and all(int(x[-4:]) <= 255 and len(x) <= 4 for x in parts), piece.count(".") == 1, piece.startswith("+"), "-" in piece, " " in piece,
+        "(" in piece, digits == n, 13 <= digits <= 19, 9 <= digits <= 12, piece.rpartition("@")[2].count(".") > 0 and "@" in piece, n >= 16 and piece.isalnum() and 0 < digits < n, n >= 16 and all(c in "0123456789abcdef" for c in piece),
+    ], np.float32)
 
 
 def propagate(unary: np.ndarray, edges: np.ndarray, power: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -147,55 +198,53 @@ def propagate(unary: np.ndarray, edges: np.ndarray, power: np.ndarray, rounds: i
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     gain = np.expm1(np.concatenate([power, power]))[:, None]
     msg = np.zeros((len(src), k))
+    def believed() -> np.ndarray:
+        return unary + np.stack([np.bincount(dst, msg[:, j], n) for j in range(k)], axis=1)
+
     for _ in range(rounds):
-        belief = unary.copy()
-        np.add.at(belief, dst, msg)
+        belief = believed()
         cavity = belief[src] - msg[back]
         cavity -= cavity.max(axis=1, keepdims=True)
         p = np.exp(cavity)
         new = np.log(p.sum(axis=1, keepdims=True) + gain * p)
         new -= new.max(axis=1, keepdims=True)
         msg = 0.5 * msg + 0.5 * new
-    belief = unary.copy()
-    np.add.at(belief, dst, msg)
+    belief = believed()
     z = np.exp(belief - belief.max(axis=1, keepdims=True))
     return z / z.sum(axis=1, keepdims=True)
 
 
-def find(text: str, weights: np.ndarray | None) -> list[tuple[int, int, int, str, float]]:
-    """All spans (kind, start, end, source, probability) of a text, by kind, then start."""
-    spans = base_spans(text)
-    out = [(k, a, z, "base", 1.0) for k, a, z in spans]
-    own = tokens(text, spans) if spans else []
-    if weights is None or len(own) < 2 or not any(y == 0 for _, _, y in own):
-        return out
+def edges_of(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Chain and skip edges of a document's candidates, with their strengths; edges between the same two add up."""
+    power: dict[tuple[int, int], float] = {}
     last: dict[str, int] = {}
-    edges, power, tied = [], [], np.zeros((len(own), len(KINDS) + 1), bool)
-    kinds_of: dict[str, set[int]] = {}
-    keys = [key(text[a:z]) for a, z, _ in own]
-    for (_, _, y), name in zip(own, keys, strict=True):
-        if y:
-            kinds_of.setdefault(name, set()).add(y)
-    for i, name in enumerate(keys):
+    for i, piece in enumerate(pieces):
         if i:
-            edges.append((i - 1, i))
-            power.append(CHAIN)
-        if name in last:
-            edges.append((last[name], i))
-            power.append(SKIP)
-        last[name] = i
-        tied[i, list(kinds_of.get(name, ()))] = True
-    unary = np.stack([shape(text[a:z]) for a, z, _ in own]) @ weights.astype(np.float64)
+            power[i - 1, i] = power.get((i - 1, i), 0.0) + CHAIN
+        for name, strength in keys(piece):
+            if name in last:
+                power[last[name], i] = power.get((last[name], i), 0.0) + strength
+            last[name] = i
+    return np.array(list(power), np.int64).reshape(-1, 2), np.array(list(power.values()))
+
+
+def find(text: str, weights: np.ndarray | None) -> list[tuple[int, int, int, str, float]]:
+    """All spans (kind, start, end, source, probability) of a text, by kind, then start."""
+    base, told = base_spans(text), seeds(text)
+    out = [(k, a, z, "base", 1.0) for k, a, z in base] + [(k, a, z, "seed", 1.0) for k, a, z in told]
+    own = tokens(text, base + told) if weights is not None else []
+    if all(y for _, _, y in own):
+        return sorted(out)
+    pieces = [text[a:z] for a, z, _ in own]
+    unary = np.stack([shape(x) for x in pieces]) @ weights.astype(np.float64)
     unary = np.maximum(unary - unary.max(axis=1, keepdims=True), -SHAPE)
     for i, (_, _, y) in enumerate(own):
         if y:
             unary[i] = -30
             unary[i, y] = 30
-    p = propagate(unary, np.array(edges), np.array(power))
+    p = propagate(unary, *edges_of(pieces))
     best = p.argmax(axis=1)
-    for i, (a, z, y) in enumerate(own):
-        if not y and best[i] and tied[i, best[i]] and p[i, best[i]] >= ADD:
-            out.append((int(best[i]) - 1, a, z, "crf", float(p[i, best[i]])))
+    out += [(int(best[i]) - 1, a, z, "crf", float(p[i, best[i]])) for i, (a, z, y) in enumerate(own) if not y and best[i] and p[i, best[i]] >= ADD]
     return sorted(out)
 
 
@@ -206,7 +255,9 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rows: i
     def candidates(t: pd.Series) -> pd.DataFrame:
         xs, ys = [], []
         for text in texts(t):
-            own = tokens(text, base_spans(text))[:200]
+            own = tokens(text, base_spans(text) + seeds(text))
+            if len(own) > FIT_TOKENS:
+                own = sorted(own, key=lambda t: (zlib.crc32(b"%d" % t[0]), t))[:FIT_TOKENS]
             xs.append(np.array([shape(text[a:z]) for a, z, _ in own], np.float32).tobytes())
             ys.append(bytes(y for _, _, y in own))
         return pd.DataFrame({"x": xs, "y": ys})
@@ -217,7 +268,7 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rows: i
         return None
     got = has.where(F.col("u") < min(1.0, rows / n)).select(candidates("t").alias("c")).select("c.*").toPandas()
     y = np.concatenate([np.frombuffer(b, np.uint8) for b in got["y"]]) if len(got) else np.zeros(0, np.uint8)
-    if not len(y):
+    if not y.any():
         return None
     x = np.concatenate([np.frombuffer(b, np.float32) for b in got["x"]]).reshape(len(y), -1)
     w, b = fit_logistic(x, np.eye(len(KINDS) + 1, dtype=np.float32)[y], rounds=200, rate=0.1, softmax=True)
@@ -242,8 +293,9 @@ def finder(weights: np.ndarray | None, spark) -> object:
             rows = []
             for text in texts(batch):
                 found = find(text, held.value) if _SIGN.search(text) else []
-                n = [sum(k == i and s == "base" for k, _, _, s, _ in found) for i in range(len(KINDS))]
-                rows.append((*n, len(found) - sum(n), *(digest(found) if found else none), [{"kind": KINDS[k], "start": a, "end": z, "source": s, "p": p} for k, a, z, s, p in found]))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")[:7]] + ["found"])
+                n = [sum(k == i and s == "base" for k, _, _, s, _ in found) for i in range(BASE)]
+                rows.append((*n, len(found), len(found) - sum(n), *(digest(found) if found else none), [{"kind": KINDS[k], "start": a, "end": z, "source": s, "p": p} for k, a, z, s, p in found]))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")[:8]] + ["found"])
+        give_back()
 
     return run

@@ -68,6 +68,43 @@ def test_codewords_are_apart():
             assert min((c[i] != c[j]).sum() for i in range(n) for j in range(i)) >= 3
 
 
+def plain_vector(text, orders, bits):
+    """Hashed n-gram shares by loops, for one text."""
+    c, n, total = [ord(x) for x in text], {}, 0
+    for k in orders:
+        for i in range(len(c) - k + 1):
+            h = 0
+            for j in range(k):
+                h = (h * 0x01000193 + c[i + j] + j + 1) % (1 << 32)
+            at = (h * 0x9E3779B1) % (1 << 32) >> (32 - bits)
+            n[at] = n.get(at, 0) + 1
+            total += 1
+    return {at: math.sqrt(v / total) for at, v in n.items()}
+
+
+def test_language_query_matches_plain_decoding(spark, sf):
+    model = language_id.fit(language_id.train_split(table(spark, sf, "documents").select("doc_id", "text", "lang")))
+    got = rows_of(queries.op1_language_id(spark, sf))
+    for d in table(spark, sf, "documents").collect():
+        own = got[d["doc_id"]][0]
+        if not any(c.isalpha() for c in d["text"] or ""):
+            assert (own["lang_pred"], own["score"]) == ("und", 0.0)
+            continue
+        x = plain_vector(d["text"].lower(), language_id.ORDERS, language_id.BITS)
+        far = []
+        for k in range(len(model.languages)):
+            loss = 0.0
+            for bit in range(model.codes.shape[1]):
+                margin = float(model.bias[bit]) + sum(v * float(model.weights[at, bit]) for at, v in x.items())
+                loss += float(model.trust[k, bit]) * math.log1p(math.exp(-margin * float(model.codes[k, bit])))
+            far.append(loss)
+        p = [math.exp(4 * (min(far) - f)) for f in far]
+        top = sorted(far)
+        if len(top) < 2 or top[1] - top[0] > 1e-3:
+            assert own["lang_pred"] == model.languages[far.index(min(far))]
+        assert abs(own["score"] - max(p) / sum(p)) < 5e-3
+
+
 # 2
 def brute_spans(text):
     out = []
@@ -99,9 +136,12 @@ def test_pii_query(spark, sf):
         spans = brute_spans(r["text"] or "")
         own = out[r["doc_id"]][0]
         names = [f"{pii_crf.KINDS[k]}:{a}:{z}" for k, a, z in sorted(spans)]
+        every = own["spans"].split(",") if own["spans"] else []
+        told = [m for m in re.finditer(r"token = \"([0-9a-f]{40})\"", r["text"] or "") if any(c.isdigit() for c in m[1])]
+        assert {f"secret:{m.start(1)}:{m.end(1)}" for m in told} <= set(every) and own["n_spans"] == len(every) == len(names) + own["n_added"]
         assert own["base_sha256"] == hashlib.sha256(",".join(names).encode()).hexdigest()
-        assert [own[f"n_{k}"] for k in pii_crf.KINDS] == [sum(s[0] == i for s in spans) for i in range(4)]
-        assert set(names) <= set(own["spans"].split(",")) | set() if names else own["spans"] == ""
+        assert [own[f"n_{k}"] for k in pii_crf.KINDS[:4]] == [sum(s[0] == i for s in spans) for i in range(4)]
+        assert set(names) <= set(every)
 
 
 def test_skip_edges_add_the_distant_repeat(spark):
@@ -112,6 +152,48 @@ def test_skip_edges_add_the_distant_repeat(spark):
     assert [text[a:z] for _, a, z, _, _ in added] == ["19745553436"] and pii_crf.KINDS[added[0][0]] == "phone"
 
 
+@pytest.fixture(scope="module")
+def pii_weights(spark):
+    r = np.random.default_rng(12)
+    rows = []
+    for i in range(400):
+        a, b, c = (int(x) for x in r.integers(100, 999, 3))
+        rows.append((i, f"call +1 ({a}) 555-{b}{i % 10} or mail u{a}.{b}@host{c}.org from 10.{a % 256}.{b % 256}.{c % 256}, v2.{i % 9}, item {i}, {a}.{b} euros, token = \"{hashlib.sha1(bytes([i % 256, a % 256])).hexdigest()}\" and 4111 1111 1111 1111"))
+    return pii_crf.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+@pytest.mark.parametrize("known, other, kind", [
+    ("+1 (974) 555-3436", "974 555 3436", "phone"), ("+1 (974) 555-3436", "(974) 555-3436", "phone"), ("+1 (974) 555-3436", "1 974 555 3436", "phone"), ("+1 (974) 555-3436", "974-555-3436", "phone"),
+    ("jo.doe@mail1.example.com", "jo.doe (at) mail1 (dot) example (dot) com", "email"), ("jo.doe@mail1.example.com", "jo.doe at mail1 dot example dot com", "email"), ('token = "5f790b897549d620aedfc0705a565f96e3741e89"', "5f790b897549d620aedfc0705a565f96e3741e89", "secret"),
+])
+def test_similar_tokens_share_labels(pii_weights, known, other, kind):
+    text = f"first {known} then {'word ' * 150}again <{other}> and room 12 at 9:30, chapter 4.2, 20 pages"
+    added = [(pii_crf.KINDS[k], text[a:z]) for k, a, z, source, _ in pii_crf.find(text, pii_weights) if source == "crf"]
+    assert added == [(kind, other)]
+
+
+def test_clean_texts_get_no_span(pii_weights):
+    for text in ("section 4.2 of 2019, 300 items at 12:45 and 7 more", "version 2.0. and 3.11.4 of 1999-12-31", "9446062893 is a number", "a dot at the end, at noon", "numbers 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"):
+        assert pii_crf.find(text, pii_weights) == []
+
+
+def test_pii_precision_and_recall_of_added_spans(pii_weights):
+    r = np.random.default_rng(21)
+    right = added = planted = 0
+    for i in range(200):
+        a, b, c = (int(x) for x in r.integers(1000, 9999, 3))
+        user, host, number = f"u{a}", f"m{b % 7}.example.org", f"{c}{a}{b}"[:10]
+        other = [f"{user} (at) {host.replace('.', ' (dot) ')}", f"{number[:3]} {number[3:6]} {number[6:]}"][i % 2]
+        text = f"see {user}@{host} or +1 ({number[:3]}) {number[3:6]}-{number[6:]} {'x ' * 60} items {a} of {b}.{c % 10}, {other if i % 4 < 3 else a} end"
+        got = [text[x:z] for _, x, z, source, _ in pii_crf.find(text, pii_weights) if source == "crf"]
+        planted, added, right = planted + (i % 4 < 3), added + len(got), right + (i % 4 < 3 and other in got)
+    assert right / planted > 0.95 and right / added > 0.95
+
+
+def test_pii_fit_on_nothing(spark, odd):
+    assert pii_crf.fit(odd.limit(0)) is None and pii_crf.fit(odd) is None
+
+
 def test_propagation_is_exact_on_a_chain():
     r = np.random.default_rng(0)
     u, e, w = r.normal(size=(4, 3)), np.array([(0, 1), (1, 2), (2, 3)]), np.array([0.5, 1.0, 2.0])
@@ -160,6 +242,18 @@ def test_mixing_matches_a_plain_solver():
     assert np.abs(model.rates(p)[0] - x).max() < 1e-2
 
 
+def test_mixing_keeps_labelled_domains(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = table(spark, sf, "labels").withColumn("truth", mixing.domain_of_labels())
+    out, model = mixing.mix(table(spark, sf, "documents").select("doc_id", "text"), labels.select("doc_id", "quality", "toxic"), mixing.domain_of_labels(), mixing.TARGETS)
+    assert np.abs(model.reached - model.wanted).max() < 0.01
+    got = {r["truth"]: r for r in out.join(labels, "doc_id").where("truth IS NOT NULL").groupBy("truth").agg(F.avg((F.col("domain") == F.col("truth")).cast("double")).alias("right"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens")).collect()}
+    assert got["toxic"]["right"] > 0.8 and got["clean"]["right"] > 0.95 and got["low"]["right"] > 0.8
+    total = sum(r["tokens"] for r in got.values())
+    for name, want in mixing.TARGETS.items():
+        assert abs(got[name]["tokens"] / total - want) < 0.04 and got[name]["tokens"] > 0.5 * want * total
+
+
 @pytest.mark.parametrize("spread, most", [(1.0, 0.9), (2.0, 0.9), (2.0, 0.05)])
 def test_fit_rates_reaches_the_minimum(spark, spread, most):
     r = np.random.default_rng(3)
@@ -170,18 +264,16 @@ def test_fit_rates_reaches_the_minimum(spark, spread, most):
     held = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, posterior array<double>")
     model = mixing.fit_rates(held, mixing.MixingModel(["clean", "low", "toxic"], None, None), mixing.TARGETS)
     w, want = n / n.sum(), np.array([0.9, 0.07, 0.03])
-    gram = (p * w[:, None]).T @ p
-    metric = np.linalg.inv(gram + 1e-4 * np.trace(gram) / 3 * np.eye(3))
     x = ahead = np.ones(600)
     t = 1.0
     for _ in range(20_000):
-        pull = p @ (metric @ (w * ahead @ p - want)) + mixing.RIDGE * (ahead - 1)
+        pull = p @ (w * ahead @ p - want) + mixing.RIDGE * (ahead - 1)
         before, x = x, np.maximum(0, ahead - 0.9 * pull)
         if pull @ (w * (x - before)) > 0:
             t = 1.0
         t, past = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         ahead = x + (past - 1) / t * (x - before)
-    pull = p @ (metric @ (w * x @ p - want)) + mixing.RIDGE * (x - 1)
+    pull = p @ (w * x @ p - want) + mixing.RIDGE * (x - 1)
     assert np.abs(x - np.maximum(0, x - pull)).max() < 1e-6  # the plain solver has settled
     rate = model.rates(p)[0]
     assert np.abs(rate @ (p * w[:, None]) - x @ (p * w[:, None])).max() < 1e-4 and np.sqrt(w @ (rate - x) ** 2) < 2e-3
@@ -196,6 +288,11 @@ def test_mixing_odd(spark, odd, sf):
     out, _ = mixing.mix(odd, labels, mixing.domain_of_labels(), mixing.TARGETS)
     got = rows_of(out)
     assert len(got[4]) == 2 and got[4][0]["copies"] == got[4][1]["copies"] and got[1][0]["n_tokens"] == 0
+    rates = {i: r[0]["rate"] for i, r in got.items()}
+    assert all(v >= 0 for v in rates.values())
+    assert mixing.mix(odd.limit(0), labels, mixing.domain_of_labels(), mixing.TARGETS)[0].count() == mixing.resample(odd.limit(0), labels, mixing.domain_of_labels(), mixing.TARGETS).count() == 0
+    twice = labels.unionByName(spark.createDataFrame([(4, 1, 1), (4, 1, 0)], labels.schema))
+    assert mixing.fit_classifier(odd, twice, mixing.domain_of_labels()).domains == ["low", "toxic"]
     back = mixing.resample(odd, labels, mixing.domain_of_labels(), mixing.TARGETS)
     assert back.columns == odd.columns and back.count() == out.agg(F.sum("copies")).first()[0]
 
@@ -246,15 +343,44 @@ def test_toxicity_held_out(spark):
     assert sum(a and b for a, b in right) / max(1, sum(b for _, b in right)) > 0.9  # some labels mark texts without a toxic word
 
 
+def test_toxicity_query_matches_plain_scanning(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf, "labels"))
+    assert model.weights
+    got = rows_of(queries.op5_toxicity(spark, sf))
+    for d in docs.collect():
+        folded = toxicity.fold(d["text"] or "")
+        found = []
+        for term in [*model.weights, *model.exceptions]:
+            at = folded.find(term)
+            while at >= 0:
+                z = at + len(term)
+                if not (at and folded[at - 1].isalnum()) and not (z < len(folded) and folded[z].isalnum()):
+                    found.append((at, -z, term))
+                at = folded.find(term, at + 1)
+        weight, n, free = 0.0, 0, 0
+        for a, z, term in sorted(found):
+            if a >= free:
+                free = -z
+                if term not in model.exceptions:
+                    weight, n = weight + model.weights[term], n + 1
+        a, b, c = model.scale
+        score = 1 / (1 + math.exp(-(a * math.log1p(weight) + b * weight / (1 + len(folded) / 1000) + c)))
+        own = got[d["doc_id"]][0]
+        assert own["n_hits"] == n and abs(own["score"] - score) < 1e-3 and own["predicted"] == (own["score"] >= 0.5)
+
+
 def test_toxicity_folds_and_exceptions():
     m = toxicity.ToxicityModel({toxicity.fold("idiot"): 2.0, "trash": 1.0}, {"trash can"})
     found = lambda t: [x[0] for x in toxicity.matches(m, t)[0]]
     assert found("an 1D10T, іdіоt! i​diot") == ["idiot"] * 3
     assert found("idiotic trash can, trashy") == [] and found("TRASH") == ["trash"]
+    assert found("tr@sh tra$h ｔｒａｓｈ trásh 𝐭𝐫𝐚𝐬𝐡 id!ot ID|OT") == ["trash"] * 5 + ["idiot"] * 2
+    assert found("trash! idiot!") == ["trash", "idiot"] and toxicity.fold("$100 a@1 x") == "$ioo a@i x"
 
 
-def test_all_harmless_phrases_are_learned(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "LEXICON", 1)
+def test_all_harmless_phrases_are_learned(spark):
     rows = [(f"uu{i} vv{i} zzbad xx{i}", 1) for i in range(20)] + [(f"cc{i} dd{i} ee{i}", 0) for i in range(120)]
     rows += [(f"kk{i} {w} zzbad {w}{i}", 0) for w in ("amber", "brown", "cream") for i in range(3)]
     weights, harmless = toxicity._learn_words(spark.createDataFrame(rows, "t string, y int"), "t", "y")
@@ -286,9 +412,13 @@ def test_decontamination_matches_brute_force(spark, sf):
 
 
 def test_decontamination_odd(spark, odd):
-    items = spark.createDataFrame([(1, "twice over again here THE SAME row, twice over: again here"), (2, "few words only"), (3, None), (4, "words of a row without an id"), (4, "words of a row without an id")], "item_id long, text string")
-    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.search(odd, items, containment=0.2).collect()} == {(4, 1)}
-    kept = decontaminate.remove(odd, items)
+    items = spark.createDataFrame([(1, "twice over again here THE SAME row, twice over: again here"), (2, "few words only"), (7, "other words that are nowhere in the documents"), (7, "the same row twice over again"), (3, None), (4, "words of a row without an id"), (4, "words of a row without an id")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.search(odd, items, containment=0.2).collect()} == {(4, 1), (4, 7)}
+    short = spark.createDataFrame([(1, "Few, words!", "x"), (2, "a few words more", "x"), (3, "few words", None), (None, "few words", "y")], "doc_id long, text string, _dirty string")
+    two = spark.createDataFrame([(1, "few words"), (None, "a few words more")], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.search(short, two).collect()) == [(1, 1), (3, 1)]
+    assert [tuple(r) for r in decontaminate.remove(short, two).collect()] == [(2, "a few words more", "x")]
+    kept = decontaminate.remove(odd, items.where("item_id <> 7"))
     assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [1, 2, 3, 4, 4, 5]  # the row with no id goes: it holds item 4
     assert decontaminate.search(odd, items.limit(0)).count() == 0 and decontaminate.search(odd.limit(0), items).count() == 0
 
@@ -355,6 +485,35 @@ def test_quality_agrees_with_labels(spark):
     assert np.mean(good) > 0.97 and np.mean(low) < 0.3
 
 
+def test_quality_query_matches_plain_estimation(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text").collect()
+    votes = {d["doc_id"]: weak_quality.votes(d["text"] or "") for d in docs}
+    patterns = sorted(set(votes.values()))
+    q = {v: min(0.98, max(0.02, (v.count("g") + 1) / (v.count("g") + 3 * v.count("b") + 2))) for v in patterns}
+    for _ in range(weak_quality.ROUNDS):
+        good, n = sum(q[v] for v in votes.values()), len(votes)
+        share, rate = (good + 1) / (n + 2), {}
+        for j in range(len(weak_quality.LABELLERS)):
+            for c in "b-g":
+                rate[1, j, c] = (sum(q[v] for v in votes.values() if v[j] == c) + 0.1) / (good + 0.3)
+                rate[0, j, c] = (sum(1 - q[v] for v in votes.values() if v[j] == c) + 0.1) / (n - good + 0.3)
+        for v in patterns:
+            a = math.log(share) + sum(math.log(rate[1, j, c]) for j, c in enumerate(v))
+            b = math.log(1 - share) + sum(math.log(rate[0, j, c]) for j, c in enumerate(v))
+            q[v] = 1 / (1 + math.exp(min(50, max(-50, b - a))))
+    model = weak_quality.fit(table(spark, sf, "documents"))
+    got = rows_of(queries.op8_quality(spark, sf))
+    for d in docs:
+        own, text = got[d["doc_id"]][0], d["text"] or ""
+        assert own["votes"] == votes[d["doc_id"]]
+        if not text.strip():
+            assert own["posterior"] == own["score"] == 0
+            continue
+        assert abs(own["posterior"] - q[own["votes"]]) < 1e-6
+        z = model.bias + sum(v * float(model.weights[at]) for at, v in plain_vector(text, weak_quality.ORDERS, weak_quality.BITS).items())
+        assert abs(own["score"] - 1 / (1 + math.exp(-z))) < 5e-3 and own["keep"] == (own["score"] >= 0.5)
+
+
 def test_em_finds_accuracies():
     r = np.random.default_rng(6)
     y = r.random(20_000) < 0.8
@@ -502,6 +661,56 @@ def test_join_odd_and_blocked(spark, odd, monkeypatch):
     assert jaccard_forest.join(docs.limit(0)).count() == 0
 
 
+def test_join_keeps_one_where_ids_repeat_or_are_null(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    near = a.replace("w30", "x30")
+    for ids in ((5, 5), (None, None), (None, 5)):
+        docs = spark.createDataFrame([(ids[0], a), (ids[1], near), (ids[0], a)], "doc_id long, text string")
+        assert len({r["text"] for r in jaccard_forest.keep_one(docs).collect()}) == jaccard_forest.keep_one(docs).count() == 1
+
+
+def test_long_words_are_hashed_whole(monkeypatch):
+    text = "start " + "abcdefgh" * 300 + " middle " + "z" * 1000 + " end of it"
+    whole = textvec.word_hashes(text)
+    monkeypatch.setattr(textvec, "PIECE", 64)
+    monkeypatch.setattr(textvec, "_POWERS", [])
+    assert len(whole) == 7 and (textvec.word_hashes(text) == whole).all()
+
+
+def test_clashing_names(spark):
+    """Columns named as the operators name their own leave the result alone."""
+    names = ("_id", "_key", "_text", "_domain", "_h1", "_h2", "_kept", "_bare", "_twice", "_dirty", "_mix", "_n", "_label", "_rows", "_words", "lid", "tie", "id", "i", "y", "h", "own", "component", "size", "score", "toxic", "item_id", "told_ambiguous")
+    text = "a text of more than five words that stands here"
+    docs = spark.createDataFrame([(i, f"{text} {i * 7919}" if i % 2 else None, *["?"] * len(names)) for i in range(8)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    labels = spark.createDataFrame([(i, i % 2, 0, "z") for i in range(8)], "doc_id long, quality int, toxic int, text string")
+    items = spark.createDataFrame([(1, "nothing that any document would hold at all", "z")], "item_id long, text string, doc_id string")
+    rows = docs.count()
+    assert jaccard_forest.keep_one(docs).columns == docs.columns and decontaminate.remove(docs, items).columns == docs.columns
+    assert decontaminate.remove(docs, items).count() == rows
+    assert mixing.resample(docs, labels, mixing.domain_of_labels(), {"clean": 1.0}).columns == docs.columns
+    told = language_id.identify(docs, language_id.fit(docs.withColumn("lang", F.lit("en"))))
+    assert told.columns[: len(docs.columns) - 1] == [c for c in docs.columns if c != "score"] and told.count() == rows
+    assert token_store.checksums(token_store.read(token_store.write(docs))).count() == rows
+    assert docs.select(pii_crf.finder(None, spark)("text")).count() == docs.select(toxicity.scorer(toxicity.fit(docs, labels), spark)("text")).count() == rows
+    assert docs.select(weak_quality.scorer(weak_quality.fit(docs), spark)("text")).count() == rows and decontaminate.search(docs, items).count() == 0
+    vectors = spark.createDataFrame([(i, [1.0, 0.0], 1, *["?"] * 7) for i in range(3)], "vec_id long, embedding array<double>, label int, id string, l string, tab string, k1 string, size string, component string, pattern string")
+    assert {tuple(r) for r in embedding_dedup.dedup(vectors).collect()} == {(0, 2, 0, True), (1, 2, 0, False), (2, 2, 0, False)}
+    turns = spark.createDataFrame([(1, 0, "user", "hello", "?", "?", "?")], "conv_id long, turn long, role string, text string, _body string, _head string, loss string")
+    assert chat.assemble(chat.format_turns(turns.withColumn("parts", chat.text_parts(F.col("text"))))).count() == 1
+
+
+def test_a_text_of_twenty_megabytes(spark):
+    text = "some words that go on and on without an end in sight " * 400_000
+    docs = spark.createDataFrame([(1, text, "en"), (2, "a short text of a few words", "en"), (3, text, "fr")], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["n_copies"] for r in jaccard_forest.join(docs).collect()} == {1: 2, 2: 1, 3: 2}
+    own = token_store.read(token_store.write(docs)).select("doc_id", "n_tokens").collect()
+    assert len({r["n_tokens"] for r in own}) == 2
+    items = spark.createDataFrame([(1, "words that go on and on without an end")], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontaminate.search(docs, items).collect()) == [1, 3]
+    out = docs.select("doc_id", pii_crf.finder(None, spark)("text").alias("p"), toxicity.scorer(toxicity.ToxicityModel({"sight": 1.0}), spark)("text").alias("t"), weak_quality.scorer(weak_quality.estimate({}), spark)("text").alias("q"))
+    assert {r["doc_id"]: (r["p"]["n_spans"], len(r["t"]["hits"])) for r in out.collect()} == {1: (0, 400_000), 2: (0, 0), 3: (0, 400_000)}
+
+
 def test_shingles_do_not_depend_on_pieces(monkeypatch):
     text = " ".join(f"wörd{i * 37 % 101}" for i in range(3000))
     whole = textvec.shingles(text)
@@ -516,7 +725,13 @@ def test_pipeline(spark, sf):
 
     docs = table(spark, sf, "documents")
     told = corpus_pipeline.with_language(spark, docs, sf)
-    assert told.columns == docs.columns and {r["doc_id"] for r in told.collect()} == {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+    pred = {r["doc_id"]: r for r in language_id.identify(docs, language_id.fit(language_id.train_split(docs)), prefix="told_").collect()}
+    stays = {i: r["told_lang_pred"] for i, r in pred.items() if r["told_lang_pred"] != "und" and (r["told_lang_pred"] == r["lang"] or not r["told_ambiguous"])}
+    assert told.columns == docs.columns and {r["doc_id"]: r["lang"] for r in told.collect()} == stays
+    assert len(stays) > 0.98 * sum(any(c.isalpha() for c in r["text"] or "") for r in docs.collect())
+    odd = spark.createDataFrame([(1, docs.where("lang = 'en'").first()["text"], None), (2, docs.where("lang = 'en'").first()["text"], "de"), (3, "42 !!", "en"), (4, None, None)], "doc_id long, text string, lang string")
+    mended = corpus_pipeline.with_language(spark, docs.select("doc_id", "text", "lang").unionByName(odd.select(-F.col("doc_id").alias("doc_id"), "text", "lang")), sf)
+    assert {r["doc_id"]: r["lang"] for r in mended.where("doc_id < 0").collect()} == {-1: "en", -2: "en"}
     one = corpus_pipeline.one_of_each(spark, told, sf)
     want = {c for _, c, _ in brute_join(told.collect())}
     assert one.columns == docs.columns and sorted(r["doc_id"] for r in one.collect()) == sorted(want)

@@ -115,7 +115,7 @@ def predictor(model: EcocModel | None, spark) -> object:
             yield out
         give_back()
 
-    return predict
+    return predict.asNondeterministic()  # so that a filter on the prediction isn't answered by predicting twice
 
 
 def train_split(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

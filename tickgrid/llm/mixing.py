@@ -282,7 +282,7 @@ def rate_of(held: DataFrame, model: MixingModel, posterior: Column) -> Column:
     def rate(p: pd.Series) -> pd.Series:
         return pd.Series(shared.value.rates(np.array(p.tolist()).reshape(len(p), -1))[0])
 
-    return rate(posterior)
+    return rate.asNondeterministic()(posterior)  # so that a filter on it isn't answered by a second call
 
 
 def copies(rate: Column, *key: Column) -> Column:

@@ -36,7 +36,7 @@ END = 1
 #: Pieces, and letters in them, that a worker remembers; the cache is emptied beyond either.
 CACHE, CACHE_LETTERS = 250_000, 4_000_000
 #: Letters that are cut into pieces at once.
-WINDOW = 1 << 20
+WINDOW = 1 << 19
 #: Bytes of a row group and of a page.
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 #: The letters for which the vocabulary's rules are applied here, its contractions, and blanks it reads otherwise.

@@ -212,7 +212,8 @@ def result(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """docs with one row of each class: that with the least id; of repeated such rows, one."""
-    verdict = join(docs, text_col, id_col, **options)
+    # dealt anew by id and text before rows are counted, so that Spark may split the join's hot texts
+    verdict = join(docs, text_col, id_col, **options).select("doc_id", "h1", "h2", "kept", "bare").repartition("doc_id", "h1", "h2")
     rows = verdict.groupBy(F.col("doc_id").alias("_id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.max("kept").alias("_kept"), F.max("bare").alias("_bare"), F.count("*").alias("_n"))
     marks = spool(rows.where("NOT _kept OR (_n > 1 AND NOT _bare)").select("_id", "_h1", "_h2", F.col("_kept").alias("_twice")), "marks")
     n, twice = marks.agg(F.count("*"), F.count_if("_twice")).first()

@@ -572,9 +572,9 @@ def test_pieces_match_whole_texts(monkeypatch, window, cache):
 def test_equal_hashes_do_not_mix_pieces():
     own = token_store.PieceEncoder(token_store.default_vocabulary())
     want = encoded(own, ["one two three one four two"])
-    own.power[:] = own.inverse[:] = 0  # every piece has the hash 0
     own.forget()
-    assert encoded(own, ["one two three one four two"]) == want
+    own._hashes = lambda c, starts, ends: np.zeros(len(starts), np.uint64)
+    assert encoded(own, ["one two three one four two"]) == want == encoded(own, ["one two three one four two"])
 
 
 def test_added_tokens_match_a_plain_tokenizer(spark):

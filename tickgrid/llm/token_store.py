@@ -18,7 +18,6 @@ empty table gives no rows. Very long texts are one list each.
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 import zlib
@@ -34,7 +33,7 @@ from tickgrid.llm.base import fresh, give_back, spool
 
 END = 1
 #: Pieces, and letters in them, that a worker remembers; the cache is emptied beyond either.
-CACHE, CACHE_LETTERS = 250_000, 4_000_000
+CACHE, CACHE_LETTERS = 1_000_000, 16_000_000
 #: Letters that are cut into pieces at once.
 WINDOW = 1 << 19
 #: Bytes of a row group and of a page.
@@ -59,6 +58,18 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def same_letters(c: np.ndarray, at: np.ndarray, size: np.ndarray, d: np.ndarray, there: np.ndarray, size_there: np.ndarray) -> np.ndarray:
+    """Whether each run of letters of c is the same as its run of d."""
+    same = size == size_there
+    some = np.flatnonzero(same & ((at != there) | (c is not d)))
+    n = size[some]
+    runs = np.cumsum(n)
+    place = np.arange(runs[-1] if len(runs) else 0)
+    differ = np.flatnonzero(c[place + np.repeat(at[some] - runs + n, n)] != d[place + np.repeat(there[some] - runs + n, n)])
+    same[some[np.searchsorted(runs, differ, "right")]] = False
+    return same
+
+
 class PieceEncoder:
     """Encodes texts to ids, as the library does for each whole text."""
 
@@ -72,32 +83,29 @@ class PieceEncoder:
         self.bare.pre_tokenizer = WhitespaceSplit()
         letters = {chr(i): ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(i))[0][0] for i in [*range(33, 127), *range(0xC0, 0x180)]}
         self.spelled = str.maketrans({a: b for a, b in letters.items() if a != b})
-        base = 0x9E3779B97F4A7C15
-        self.power, self.inverse = (np.multiply.accumulate(np.array([1] + [b] * WINDOW, np.uint64)) for b in (base, pow(base, -1, 1 << 64)))
+        self.power = self.inverse = np.ones(1, np.uint64)
         self.forget()
 
     def forget(self) -> None:
-        """Slots of pieces; the ids of slot i are ids[bounds[i]:bounds[i + 1]]. The mark of a text's end has the end id."""
-        self.slots, self.letters = {_END: 0, _ODD: 0}, 0
+        """Slot i holds letters[edges[i]:edges[i + 1]] and their ids[bounds[i]:bounds[i + 1]]; slot 0 is a text's end.
+
+        Hashes of pieces are in order, each with its slot: about 60 bytes a piece, with no object of Python's.
+        """
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.letters, self.edges = np.zeros(0, np.uint16), np.array([0, 0], np.int64)
         self.ids, self.bounds = np.array([END], np.int32), np.array([0, 1], np.int64)
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encode new pieces in one call, parted by blanks that no piece holds; the ids are cut where the word changes."""
+    def learn(self, pieces: list[str]) -> np.ndarray:
+        """New slots for pieces, encoded in one call, parted by blanks that no piece holds; ids are cut where the word changes."""
         line = " ".join([p if p.isascii() else p.translate(self.spelled) for p in pieces])
         e = self.bare.encode(line, add_special_tokens=False)
         ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(pieces)), "right")
-        self.slots.update(zip(pieces, range(len(self.bounds) - 1, len(self.bounds) - 1 + len(pieces)), strict=True))
+        new = len(self.bounds) - 1 + np.arange(len(pieces))
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + ends])
         self.ids = np.concatenate([self.ids, np.array(e.ids, np.int32)])
-        self.letters += len(line)
-
-    def look_up(self, pieces: list[str]) -> np.ndarray:
-        got = np.fromiter(map(self.slots.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
-        if (new := np.flatnonzero(got < 0)).size:
-            own = [pieces[i] for i in new.tolist()]
-            self.learn(list(dict.fromkeys(own)))
-            got[new] = list(map(self.slots.__getitem__, own))
-        return got
+        self.letters = np.concatenate([self.letters, np.frombuffer("".join(pieces).encode("utf-16-le"), "<u2")])
+        self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum([len(p) for p in pieces])])
+        return new
 
     def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each text's followed by the end id, and each text's number of ids."""
@@ -139,36 +147,48 @@ class PieceEncoder:
         held = kind != 0
         return starts[held], ends[held], kind[held]
 
-    def _slots(self, line: str, c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Slots of the pieces: one look-up for all with one hash, and one for each that differs from the first of them."""
+    def _hashes(self, c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(self.power) <= len(c):
+            base = 0x9E3779B97F4A7C15
+            self.power, self.inverse = (np.multiply.accumulate(np.array([1] + [b] * len(c), np.uint64)) for b in (base, pow(base, -1, 1 << 64)))
         total = np.zeros(len(c) + 1, np.uint64)
         np.cumsum((c + np.uint64(1)) * self.power[: len(c)], out=total[1:])
-        h = (total[ends] - total[starts]) * self.inverse[starts]
+        return (total[ends] - total[starts]) * self.inverse[starts]
+
+    def _slots(self, line: str, c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Slots of the pieces: one look-up for all with one hash, and one for each whose letters differ."""
+        h, size = self._hashes(c, starts, ends), ends - starts
         order = np.argsort(h)
         h = h[order]
-        first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+        first = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
         which = np.empty(len(h), np.int64)
         which[order] = np.cumsum(first) - 1
-        one = order[first]
-        slot = self.look_up([line[a:z] for a, z in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])[which]
-        size, twin = ends - starts, one[which]
-        for i in np.flatnonzero(size != size[twin]).tolist():
-            slot[i] = self.look_up([line[starts[i] : ends[i]]])[0]
-        same = np.flatnonzero(size == size[twin])
-        runs = np.cumsum(size[same])
-        place = np.arange(runs[-1] if len(runs) else 0) - np.repeat(runs - size[same], size[same])
-        differ = c[np.repeat(starts[same], size[same]) + place] != c[np.repeat(starts[twin[same]], size[same]) + place]
-        for i in np.unique(same[np.searchsorted(runs, np.flatnonzero(differ), "right")]).tolist():
-            slot[i] = self.look_up([line[starts[i] : ends[i]]])[0]
+        one, h = order[first], h[first]
+        at = np.searchsorted(self.hashes, h)
+        known = np.flatnonzero(at < len(self.hashes))
+        known = known[self.hashes[at[known]] == h[known]]
+        slot = np.full(len(one), -1, np.int64)
+        slot[known] = self.slots[at[known]]
+        wrong = known[~same_letters(c, starts[one[known]], size[one[known]], self.letters, self.edges[slot[known]], self.edges[slot[known] + 1] - self.edges[slot[known]])]
+        if len(new := np.flatnonzero(slot < 0)):
+            slot[new] = self.learn([line[a:z] for a, z in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)])
+            self.hashes, self.slots = np.insert(self.hashes, at[new], h[new]), np.insert(self.slots, at[new], slot[new])
+        if len(wrong):
+            slot[wrong] = self.learn([line[starts[i] : ends[i]] for i in one[wrong].tolist()])
+        twin, slot = one[which], slot[which]
+        odd = np.flatnonzero(~same_letters(c, starts, size, c, starts[twin], size[twin]))
+        if len(odd):
+            slot[odd] = self.learn([line[starts[i] : ends[i]] for i in odd.tolist()])
         return slot
 
     def _window(self, line: str, odd_ids: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a line of texts, and the places where texts end."""
-        if len(self.slots) > CACHE or self.letters > CACHE_LETTERS:
+        if len(self.edges) > CACHE or self.edges[-1] > CACHE_LETTERS:
             self.forget()
         c = np.frombuffer(line.encode("utf-16-le"), "<u2")
         starts, ends, kind = self._pieces(c)
-        slot = self._slots(line, c, starts, ends) if len(c) < len(self.power) else self.look_up([line[a:z] for a, z in zip(starts.tolist(), ends.tolist(), strict=True)])
+        slot, own = np.zeros(len(kind), np.int64), kind < 4
+        slot[own] = self._slots(line, c, starts[own], ends[own])
         ids, bounds = self.ids, self.bounds
         marks = np.flatnonzero(kind == 5)
         if len(marks):

@@ -39,6 +39,10 @@ def test_rule_branches(spark):
     rows = spark.createDataFrame([(i, *k) for i, k in enumerate(cases)], "i int, ink double, n int, largest double, span double, outside double")
     got = {r["i"]: (r["is_checked"], r["reasons"]) for r in rules.classify(rows, rules.policies(spark)).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
+    from pyspark.sql import functions as F
+
+    kept = rules.classify(rows.withColumn("reasons", F.array(F.lit("EXTRA_BOX"))), rules.policies(spark)).collect()
+    assert {r["i"]: r["reasons"] for r in kept} == {i: ["EXTRA_BOX", *v[1]] for i, v in enumerate(cases.values())}
 
 
 def test_policy_is_closed():
@@ -76,7 +80,8 @@ def test_first_wins_and_rows(spark):
 def test_alignment():
     form = [(10.0 * i, 1.0) for i in range(6)]
     assert spatial.align(form, [(20 + 11.0 * i, 1.0) for i in range(6)]) == [(i, i) for i in range(6)]
-    assert spatial.align([], form) == []
+    assert spatial.align([], form) == spatial.align(form[:1], form) == spatial.align(form, form[:1]) == []
+    assert spatial.knots_of([(1.0, 2.0), (2.0, 2.0), (3.0, 5.0)]) == [(1.0, 2.0), (3.0, 5.0)]
 
 
 def test_extraction_of_a_drawn_page(spark):

@@ -42,12 +42,12 @@ def test_small_pages_are_read_at_twice_their_size(spark):
 
 
 def test_rejects_have_reasons(spark):
-    img = synth.blank(600, 1500, BOXES[:12])
+    img = synth.blank(600, 2600, BOXES[:12])  # wide enough for the threshold's block to reach round a hole
     img[380:420, 380:420] = 0
     img[382:418, 382:418] = 255  # twice the common size
     img[400:560, 900:1100] = 0
     img[460:482, 980:1002] = 255  # a hole in a block
-    page = spark.createDataFrame([("r", 600, 1500, 3, bytearray(img.tobytes()))], "page string, height int, width int, channels int, pixels binary")
+    page = spark.createDataFrame([("r", 600, 2600, 3, bytearray(img.tobytes()))], "page string, height int, width int, channels int, pixels binary")
     scanned = extract.scan(page)
     assert scanned.where("rejected IS NULL").count() == 12
     assert {r["reasons"][0] for r in extract.rejects(scanned).collect()} <= {"RING_INK", "SIZE_CONSENSUS"}
@@ -82,6 +82,46 @@ def test_witness_merge(spark):
     assert [tuple(r) for r in placement.page_stats(out).orderBy("page_id").collect()] == [(1, 15, 14, 1, 1, True), (2, 15, 6, 0, 0, False)]
 
 
+def test_detect_with_a_registered_form(spark):
+    boxes = [(100 + 110 * (i % 10), 150 + 160 * (i // 10), 124 + 110 * (i % 10), 174 + 160 * (i // 10)) for i in range(30)]
+    blank = synth.blank(700, 1500, boxes)
+    for y in (60, 230, 390, 560, 640):
+        blank[y : y + 3, 50:1400] = 0
+    page = np.full_like(blank, 255)
+    page[20:] = blank[:-20]  # the form, 20 pixels lower
+    x1, y1, x2, y2 = boxes[19]
+    page[y1 + 16 : y2 + 24, x1 - 4 : x2 + 4] = 255  # a box that is gone
+    for i in range(4, 20):
+        page[boxes[3][1] + 20 + i, boxes[3][0] + i - 1 : boxes[3][0] + i + 2] = 0
+    frame = lambda name, img: spark.createDataFrame([(name, 700, 1500, 3, bytearray(img.tobytes()))], "page string, height int, width int, channels int, pixels binary")
+    own = spark.createDataFrame([("form", *b) for b in boxes] + [("other", 1, 1, 2, 2)], "page string, x1 int, y1 int, x2 int, y2 int")
+    forms = extract.registry(frame("form", blank).unionByName(frame("no-boxes", blank)), own)
+    assert [(f.name, [round(y) for y, _ in f.lines], len(f.boxes)) for f in forms] == [("form", [61, 231, 391, 561, 641], 30)]
+    got = extract.detect(frame("p", page), forms).persist()
+    rows = got.collect()
+    assert len(rows) == 30 and {r["meta"]["form"] for r in rows} == {"form"} and rows[0]["meta"]["stats"]["agree"] == 29
+    added = [r for r in rows if "MISSING_IN_DETECT" in r["reasons"]]
+    assert len(added) == 1 and abs(added[0]["x1"] - x1) <= 6 and abs(added[0]["y1"] - y1 - 20) <= 6 and added[0]["ink"] < 0.02
+    assert [(abs(r["x1"] - boxes[3][0]) <= 6) for r in rows if r["is_checked"]] == [True]
+    body = json.loads(outputs.responses(frame("p", page), got, explain=True).first()["body"])
+    assert body["meta"]["form"] == "form" and body["meta"]["width"] == 1500 and body["boxes"][0]["witnesses"] == ["structure", "template"]
+
+
+def test_stray_line_is_traced():
+    ink = np.zeros((100, 200), bool)
+    ink[50, 20:180] = True  # a pen line through the box
+    ink[10:20, 60:70] = True  # ink nearby that is no part of it
+    share, n, _, span, outside = extract.features(ink, (90, 40, 110, 60))
+    line = 20 + 2 * 24  # the window is padded by 1.2 sides
+    assert n == 1 and abs(outside - (1 - 30 / line)) < 1e-9 and span > 0.4 and share > 0.01
+
+
+def test_peaks_keep_the_heavier_of_two():
+    profile = np.zeros(60)
+    profile[5:7], profile[10], profile[30], profile[50] = 50, 80, 90, 10
+    assert extract.peaks(profile) == [(10.0, 80.0), (30.0, 90.0)] and extract.peaks(np.zeros(9)) == []
+
+
 def test_outputs(spark, pages, tmp_path):
     one = pages.where("factor = 'base'")
     graded = rules.classify(extract.extract(one), rules.policies(spark))

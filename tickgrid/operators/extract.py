@@ -6,12 +6,18 @@ Numpy kernels work on one page at a time; all rules, joins and figures downstrea
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickgrid.operators.placement import STATS, place_page
+from tickgrid.operators.rules import classify, policies
+from tickgrid.operators.spatial import align, knots_of
+
+META = f"struct<form: string, registration: double, stats: {STATS}, width: int, height: int>"
 SCHEMA = "page string, box_id int, x1 int, y1 int, x2 int, y2 int, ink double, n int, largest double, span double, outside double"
 #: Pages narrower than this are read at twice their size and reported in their own coordinates.
 NARROW = 1400
@@ -23,12 +29,16 @@ def grey(pixels: bytes, height: int, width: int, channels: int) -> np.ndarray:
 
 
 def ink_mask(g: np.ndarray, offset: float = 15) -> np.ndarray:
-    """Darker than the mean of the block around it by more than the offset."""
+    """Darker by the offset or more than the Gaussian mean of the block around it."""
     b = max(15, int(0.012 * g.shape[1])) | 1
     r = b // 2
-    p = np.pad(g, r, mode="edge")
-    s = np.pad(p, ((1, 0), (1, 0))).astype(np.float64).cumsum(0).cumsum(1)
-    return g < (s[b:, b:] - s[:-b, b:] - s[b:, :-b] + s[:-b, :-b]) / (b * b) - offset
+    k = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * (0.3 * (r - 1) + 0.8) ** 2))
+    mean, k = np.rint(g).astype(np.float32), (k / k.sum()).astype(np.float32)
+    for axis in (0, 1):
+        n = mean.shape[axis]
+        p = np.pad(mean, [(r, r) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
+        mean = sum(w * (p[i : i + n] if axis == 0 else p[:, i : i + n]) for i, w in enumerate(k))
+    return np.rint(g) <= np.rint(mean) - offset
 
 
 def long_runs(mask: np.ndarray, k: int) -> np.ndarray:
@@ -42,8 +52,34 @@ def long_runs(mask: np.ndarray, k: int) -> np.ndarray:
     return out.cumsum(1)[:, :-1] > 0
 
 
-def components(mask: np.ndarray, diagonal: bool = False) -> list[tuple[int, int, int, int, int]]:
-    """(x1, y1, x2, y2, area) of connected components, by runs and union-find."""
+@dataclass
+class Parts:
+    """Connected components of a mask, in the order of their first pixel: runs of pixels and the part that each is in."""
+
+    row: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    part: np.ndarray
+    x1: np.ndarray
+    y1: np.ndarray
+    x2: np.ndarray
+    y2: np.ndarray
+    area: np.ndarray
+
+    def boxes(self) -> list[tuple[int, int, int, int, int]]:
+        return list(zip(*(v.tolist() for v in (self.x1, self.y1, self.x2, self.y2, self.area)), strict=True))
+
+    def paint(self, shape: tuple[int, int], keep: np.ndarray) -> np.ndarray:
+        """A mask of the parts to keep."""
+        own = keep[self.part]
+        out = np.zeros((shape[0], shape[1] + 1), np.int32)
+        np.add.at(out, (self.row[own], self.start[own]), 1)
+        np.add.at(out, (self.row[own], self.end[own]), -1)
+        return out.cumsum(1)[:, :-1] > 0
+
+
+def labelled(mask: np.ndarray, diagonal: bool = False) -> Parts:
+    """By runs and union-find."""
     edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     (row, a), (_, z) = np.nonzero(edge == 1), np.nonzero(edge == -1)
     up = list(range(len(row)))
@@ -54,26 +90,44 @@ def components(mask: np.ndarray, diagonal: bool = False) -> list[tuple[int, int,
             i = up[i]
         return i
 
-    first = np.searchsorted(row, np.arange(mask.shape[0] + 1))
-    reach = int(diagonal)
+    first, reach = np.searchsorted(row, np.arange(mask.shape[0] + 1)).tolist(), int(diagonal)
+    al, zl = a.tolist(), z.tolist()
     for y in range(1, mask.shape[0]):
-        i, j = int(first[y - 1]), int(first[y])
+        i, j = first[y - 1], first[y]
         while i < first[y] and j < first[y + 1]:
-            if a[i] < z[j] + reach and a[j] < z[i] + reach:
+            if al[i] < zl[j] + reach and al[j] < zl[i] + reach:
                 p, q = root(i), root(j)
                 up[max(p, q)] = min(p, q)
-            if z[i] < z[j]:
+            if zl[i] < zl[j]:
                 i += 1
             else:
                 j += 1
-    if not len(row):
-        return []
-    lab = np.array([root(i) for i in range(len(row))])
-    names, inv = np.unique(lab, return_inverse=True)
-    x1, y1 = np.full(len(names), mask.shape[1]), np.full(len(names), mask.shape[0])
-    x2, y2, area = np.zeros(len(names), int), np.zeros(len(names), int), np.zeros(len(names), int)
-    np.minimum.at(x1, inv, a), np.minimum.at(y1, inv, row), np.maximum.at(x2, inv, z), np.maximum.at(y2, inv, row + 1), np.add.at(area, inv, z - a)
-    return list(zip(x1.tolist(), y1.tolist(), x2.tolist(), y2.tolist(), area.tolist(), strict=True))
+    names, part = np.unique(np.array([root(i) for i in range(len(row))], int), return_inverse=True)
+    low = lambda v: np.minimum.reduceat(v[order], heads) if len(names) else np.zeros(0, int)
+    order = np.argsort(part, kind="stable")
+    heads = np.searchsorted(part[order], np.arange(len(names)))
+    return Parts(row, a, z, part, low(a), low(row), -low(-z), -low(-row - 1), np.bincount(part, z - a, len(names)).astype(int))
+
+
+def components(mask: np.ndarray, diagonal: bool = False) -> list[tuple[int, int, int, int, int]]:
+    """(x1, y1, x2, y2, area) of connected components."""
+    return labelled(mask, diagonal).boxes()
+
+
+def spread(mask: np.ndarray, rows: int, cols: int) -> np.ndarray:
+    """Dilation by a block of so many rows and columns."""
+    for axis, n in ((0, rows), (1, cols)):
+        p = np.pad(mask, [(n // 2, n // 2) if a == axis else (0, 0) for a in (0, 1)])
+        mask = np.logical_or.reduce([p.take(range(i, i + mask.shape[axis]), axis) for i in range(n)])
+    return mask
+
+
+def line_mask(ink: np.ndarray, side: int, share: float) -> np.ndarray:
+    """Lines of a share of the side or more, without the residue of thick strokes, their ends drawn out to meet."""
+    k, least = max(3, int(share * side)), int(0.75 * side)
+    across, down = long_runs(ink, k), long_runs(ink.T, k).T
+    wide, tall = labelled(across, diagonal=True), labelled(down, diagonal=True)
+    return spread(wide.paint(ink.shape, wide.x2 - wide.x1 >= least), 3, 7) | spread(tall.paint(ink.shape, tall.y2 - tall.y1 >= least), 7, 3)
 
 
 def holes(lines: np.ndarray, lo: float, hi: float) -> list[tuple[int, int, int, int]]:
@@ -86,28 +140,39 @@ def frame(ink: np.ndarray, k: int) -> np.ndarray:
 
 
 def box_side(ink: np.ndarray) -> int:
+    """The commonest larger side of holes of 0.8 to 2.5 % of the page's width: bins of two from the least, the first on ties."""
     w = ink.shape[1]
-    found = holes(frame(ink, max(3, int(0.005 * w))), 0.008 * w, 0.025 * w)
-    if len(found) < 5:
+    sides = np.array([max(x2 - x1, y2 - y1) for x1, y1, x2, y2 in holes(frame(ink, max(3, int(0.005 * w))), int(0.008 * w), int(0.025 * w))])
+    if len(sides) < 5:
         return max(8, int(0.012 * w))
-    n = np.bincount([(x2 - x1) // 2 for x1, _, x2, _ in found])
-    return int(n.argmax()) * 2 + 1
+    n = np.bincount((sides - sides.min()) // 2)
+    return max(8, int(sides.min() + 2 * n.argmax() + 1))
 
 
 def features(ink: np.ndarray, box: tuple[int, int, int, int]) -> tuple[float, int, float, float, float]:
+    """Ink share of the box's inside, its marks, the largest's share and span, and how much of that one lies outside."""
     x1, y1, x2, y2 = box
     w, h = x2 - x1, y2 - y1
     dx, dy = int(0.15 * w), int(0.15 * h)
-    inner = ink[max(0, y1 + dy) : max(0, y2 - dy), max(0, x1 + dx) : max(0, x2 - dx)]
+    top, left = max(0, y1 + dy), max(0, x1 + dx)
+    inner = ink[top : max(0, y2 - dy), left : max(0, x2 - dx)]
     share = float(inner.mean()) if inner.size else 0.0
     if share <= 0.01:
         return share, 0, 0.0, 0.0, 0.0
-    parts = components(inner, diagonal=True)
-    big = max(parts, key=lambda c: c[4])
-    pad_x, pad_y = int(0.25 * w), int(0.25 * h)
-    wide = ink[max(0, y1 - int(1.2 * h)) : y2 + int(1.2 * h), max(0, x1 - int(1.2 * w)) : x2 + int(1.2 * w)].sum()
-    grown = ink[max(0, y1 - pad_y) : y2 + pad_y, max(0, x1 - pad_x) : x2 + pad_x].sum()
-    return share, len(parts), big[4] / inner.size, float(np.hypot(big[2] - big[0], big[3] - big[1]) / np.hypot(w, h)), float(1 - grown / wide) if wide else 0.0
+    marks = labelled(inner, diagonal=True)
+    big = int(marks.area.argmax())
+    run = int(np.flatnonzero(marks.part == big)[0])
+    reach = int(1.2 * max(w, h))
+    wy, wx = max(0, y1 - reach), max(0, x1 - reach)
+    around = labelled(ink[wy : y2 + reach, wx : x2 + reach], diagonal=True)
+    y, x = marks.row[run] + top - wy, marks.start[run] + left - wx
+    traced = around.part == around.part[(around.row == y) & (around.start <= x) & (around.end > x)][0]
+    gx, gy = int(0.25 * w), int(0.25 * h)
+    lo, hi = max(0, x1 - gx - wx), max(0, x2 + gx - wx)
+    rows = traced & (around.row >= y1 - gy - wy) & (around.row < y2 + gy - wy)
+    inside = np.maximum(0, np.minimum(around.end[rows], hi) - np.maximum(around.start[rows], lo)).sum()
+    whole = (around.end[traced] - around.start[traced]).sum()
+    return share, len(marks.area), float(marks.area[big] / inner.size), float(np.hypot(marks.x2[big] - marks.x1[big], marks.y2[big] - marks.y1[big]) / np.hypot(w, h)), float(1 - inside / whole)
 
 
 def ring_ink(ink: np.ndarray, box: tuple[int, int, int, int], side: int) -> float:
@@ -152,7 +217,7 @@ def sifted(ink: np.ndarray, side: int) -> list[tuple[tuple[int, int, int, int],
     """Candidate boxes in the order found, each with the reason for which it is rejected, or None."""
     grow, found = max(2, round(0.08 * side)), []
     for share in (0.6, 0.8):
-        for x1, y1, x2, y2 in holes(frame(ink, max(3, int(share * side))), int(0.6 * side), int(1.6 * side)):
+        for x1, y1, x2, y2 in holes(line_mask(ink, side, share), int(0.6 * side), int(1.6 * side)):
             box = (x1 - grow, y1 - grow, x2 + grow, y2 + grow)
             if all(abs(box[0] + box[2] - b[0] - b[2]) / 2 + abs(box[1] + box[3] - b[1] - b[3]) / 2 > 0.3 * side for b in found):
                 found.append(box)
@@ -169,33 +234,109 @@ def sifted(ink: np.ndarray, side: int) -> list[tuple[tuple[int, int, int, int],
     return [(b, reason[b]) for b in found]
 
 
-def boxes_of(g: np.ndarray) -> list[tuple]:
-    """(corners, features, reason of rejection or None) of a page's candidates, in reading order."""
+def line_profile(ink: np.ndarray) -> np.ndarray:
+    """Of each pixel row, the ink in runs of 15 % of the page's width or more."""
+    return long_runs(ink, max(3, int(0.15 * ink.shape[1]))).sum(axis=1).astype(float)
+
+
+def peaks(profile: np.ndarray, share: float = 0.2, gap: int = 8) -> list[tuple[float, float]]:
+    """(height, weight) of a page's lines: runs of rows above a share of the most; of two closer than the gap the heavier."""
+    bar = np.concatenate([[False], profile >= max(share * profile.max(initial=0.0), 1.0), [False]])
+    edge = np.flatnonzero(bar[1:] != bar[:-1])
+    out: list[tuple[float, float]] = []
+    for a, z in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        line = ((a + z - 1) / 2, float(profile[a:z].max()))
+        if not out or line[0] - out[-1][0] >= gap:
+            out.append(line)
+        elif line[1] > out[-1][1]:
+            out[-1] = line
+    return out
+
+
+@dataclass
+class Form:
+    """A registered blank form: its lines, and its boxes as rows of x1, y1, x2, y2."""
+
+    name: str
+    lines: list[tuple[float, float]]
+    boxes: np.ndarray
+
+
+def register(lines: list[tuple[float, float]], forms: list[Form], floor: float = 0.35) -> tuple[Form, float, list[tuple[float, float]]] | None:
+    """The form that a page is, its score and knots; the first of equal scores, or None below the floor."""
+    best = None
+    for form in forms:
+        pairs = align(form.lines, lines)
+        knots = knots_of([(form.lines[i][0], lines[j][0]) for i, j in pairs])
+        score = len(pairs) / max(3, min(len(form.lines), len(lines)))
+        if len(pairs) >= 3 and len(knots) >= 3 and (best is None or score > best[1]):
+            best = (form, score, knots)
+    return None if best is None or round(best[1], 3) < floor else (best[0], round(best[1], 3), best[2])
+
+
+def boxes_of(g: np.ndarray, forms: list[Form] = ()) -> tuple[list[tuple], dict]:
+    """(corners, features, witnesses, reasons, reason of rejection or None) of a page's boxes in reading order, and figures.
+
+    Boxes that a registered form adds are measured like detected ones.
+    """
     height, width = g.shape
     times = 2 if width < NARROW else 1
     ink = ink_mask(doubled(g) if times == 2 else g)
-    out = []
-    for (x1, y1, x2, y2), reason in sifted(ink, box_side(ink)):
-        box = (max(0, x1), max(0, y1), min(times * width, x2), min(times * height, y2))
-        out.append((*(v // times for v in box), *features(ink, box), reason))
-    return sorted(out, key=lambda r: (r[1], r[0]))
-
-
-def scan(pages: DataFrame) -> DataFrame:
-    """pages (page, height, width, channels, pixels) -> SCHEMA and ``rejected``, a reason or null; box_id counts the rows."""
+    clip = lambda b: (max(0, b[0]), max(0, b[1]), min(times * width, b[2]), min(times * height, b[3]))
+    side = box_side(ink)
+    sifted_ = [(clip(b), reason) for b, reason in sifted(ink, side)]
+    kept = [b for b, reason in sifted_ if reason is None]
+    seen, added, stats = np.zeros(len(kept), bool), [], None
+    told = register(peaks(line_profile(ink)), list(forms)) if forms else None
+    if told:
+        seen, added, stats = place_page(np.array(kept, float).reshape(-1, 4), told[0].boxes, told[2], side)
+    odd = ["EXTRA_BOX"] if stats and stats["trusted"] else []
+    rows = [(b, ["structure", "template"] if ok else ["structure"], [] if ok else odd, None) for b, ok in zip(kept, seen, strict=True)]
+    rows += [(clip(b), ["template"], ["MISSING_IN_DETECT"], None) for b in added]
+    rows += [(b, ["structure"], [], reason) for b, reason in sifted_ if reason]
+    out = [(*(v // times for v in b), *features(ink, b), witnesses, reasons, rejected) for b, witnesses, reasons, rejected in rows]
+    figures = {"form": told[0].name if told else None, "registration": told[1] if told else None, "stats": stats, "width": width, "height": height}
+    return sorted(out, key=lambda r: (r[1], r[0])), figures
+
+
+def scan(pages: DataFrame, forms: list[Form] = ()) -> DataFrame:
+    """pages (page, height, width, channels, pixels) -> SCHEMA, witnesses, reasons, ``rejected`` (or null) and META; box_id counts the rows.
+
+    ``forms`` is the registry of blank forms, a few rows that every task gets.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [*[x.split()[0] for x in SCHEMA.split(", ")], "rejected"]
+        names = [*[x.split()[0] for x in SCHEMA.split(", ")], "witnesses", "reasons", "rejected", "meta"]
         for batch in batches:
-            rows = [(p.page, i, *b) for p in batch.itertuples() for i, b in enumerate(boxes_of(grey(p.pixels, p.height, p.width, p.channels)))]
+            rows = []
+            for p in batch.itertuples():
+                found, meta = boxes_of(grey(p.pixels, p.height, p.width, p.channels), forms)
+                rows += [(p.page, i, *b, meta) for i, b in enumerate(found)]
             yield pd.DataFrame(rows, columns=names)
 
-    return pages.select("page", "height", "width", "channels", "pixels").mapInPandas(run, SCHEMA + ", rejected string")
+    return pages.select("page", "height", "width", "channels", "pixels").mapInPandas(run, f"{SCHEMA}, witnesses array<string>, reasons array<string>, rejected string, meta {META}")
+
+
+def extract(pages: DataFrame, forms: list[Form] = ()) -> DataFrame:
+    """The boxes that a scan keeps, with those that a form adds."""
+    return scan(pages, forms).where("rejected IS NULL").drop("rejected")
+
+
+def registry(blanks: DataFrame, boxes: DataFrame) -> list[Form]:
+    """Forms from blank pages (as a source gives them) that have boxes (page, x1, y1, x2, y2), by name; the others are left out."""
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"page": batch["page"], "lines": [[{"y": y, "w": w} for y, w in peaks(line_profile(ink_mask(grey(p.pixels, p.height, p.width, p.channels))))] for p in batch.itertuples()]})
+
+    read = blanks.select("page", "height", "width", "channels", "pixels").mapInPandas(lines, "page string, lines array<struct<y: double, w: double>>")
+    own = boxes.groupBy("page").agg(F.collect_list(F.array("x1", "y1", "x2", "y2")).alias("boxes"))
+    return [Form(r["page"], [(x["y"], x["w"]) for x in r["lines"]], np.array(r["boxes"], float)) for r in read.join(own, "page").orderBy("page").collect()]
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """The boxes that a scan keeps."""
-    return scan(pages).where("rejected IS NULL").drop("rejected")
+def detect(pages: DataFrame, forms: list[Form] = (), policy_rows: DataFrame | None = None) -> DataFrame:
+    """Pages to graded boxes: candidates, registration, witness merge, features, rules; a second reader may follow."""
+    return classify(extract(pages, forms), policy_rows if policy_rows is not None else policies(pages.sparkSession))
 
 
 def rejects(scanned: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def pair_row(form_x: np.ndarray, page_x: np.ndarray) -> list[tuple[int, int]]:
     """
     if len(form_x) == len(page_x):
         return [(i, i) for i in range(len(form_x))]
-    return align([(float(x), 1.0) for x in form_x], [(float(x), 1.0) for x in page_x], lookback=3, skip=0.3, slopes=(0.4, 2.5))
+    return align([(float(x), 1.0) for x in form_x], [(float(x), 1.0) for x in page_x], lookback=3, skip=0.3, slopes=(0.4, 2.5), least=1)
 
 
 def filled_in(row: np.ndarray, pairs: list[tuple[int, int]], page_x: np.ndarray, height: float) -> list[tuple[int, int, int, int]]:

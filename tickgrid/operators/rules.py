@@ -72,15 +72,17 @@ def ruled(checked: Column, ruling: Column) -> Column:
 def classify(features: DataFrame, policy_rows: DataFrame) -> DataFrame:
     """features (ink, n, largest, span, outside, ...) under every policy: is_checked, confidence, reasons.
 
-    Steps follow each other, so a later rule sees the state that an earlier one has set.
+    Steps follow each other, so a later rule sees the state that an earlier one has set. Reasons that a box brings
+    (from a witness) stay before those found here; its ink is given with four digits.
     """
     p = lambda name: F.col(f"p_{name}")
     ink, span, outside = F.col("ink"), F.col("span"), F.col("outside")
+    none = F.array().cast("array<string>")
     sure = 1 / (1 + F.exp(-(ink - p("ink_filled")) / p("confidence_scale")))
     out = features.crossJoin(F.broadcast(policy_rows)).withColumns({
         "is_checked": ink > p("ink_filled"),
         "confidence": F.round(F.abs(sure - 0.5) * 2, 4),
-        "reasons": F.array().cast("array<string>"),
+        "reasons": F.coalesce(F.col("reasons"), none) if "reasons" in features.columns else none,
         "_dominance": F.when(ink > 1e-6, F.col("largest") / ink).otherwise(0.0),
     })
 
@@ -105,7 +107,7 @@ def classify(features: DataFrame, policy_rows: DataFrame) -> DataFrame:
     out = step(out, F.col("_thin") & (outside > p("stray_outside")), "STRAY_STROKE", ruled(now, p("stray_stroke_through_box")), None)
     out = step(out, F.col("_thin") & (outside <= p("stray_outside")), "THIN_MARK", ruled(now, p("thin_single_stroke")), F.when(p("thin_single_stroke") == "filled", F.least(F.lit(0.75), F.round(span, 2))).otherwise(F.least(conf, F.lit(0.4))))
     out = step(out, now & (outside > p("stray_outside")) & (ink < p("fragment_ink_ceiling")), "STRAY_STROKE", ruled(now, p("stray_stroke_through_box")), F.least(conf, F.lit(0.4)))
-    keep = [c for c in features.columns if c not in ("is_checked", "confidence", "reasons")]
+    keep = [F.round("ink", 4).alias("ink") if c == "ink" else c for c in features.columns if c not in ("is_checked", "confidence", "reasons")]
     return out.select(*keep, F.col("p_name").alias("policy"), "is_checked", "confidence", "reasons")
 
 

@@ -25,27 +25,39 @@ def candidates(pred: DataFrame, gold: DataFrame, least: float = 0.5) -> DataFram
     return both.withColumn("iou", iou("p_", "g_")).where((F.col("iou") >= least) & (F.col("iou") > 0))
 
 
+def one_to_one(sorted_pairs: Column, p: str, g: str) -> Column:
+    """Of an array of pairs in order, those whose two ends no earlier chosen pair has: one fold, with no Python."""
+    none = F.filter(sorted_pairs, lambda x: F.lit(False))
+    free = lambda acc, x: ~F.exists(acc, lambda k: (k[p] == x[p]) | (k[g] == x[g]))
+    return F.aggregate(sorted_pairs, none, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+
+
 def greedy_match(pairs: DataFrame) -> DataFrame:
-    """One-to-one pairs, largest IoU first, then prediction and label order, page by page.
+    """One-to-one pairs, largest IoU first, then prediction and label order, page by page: one exchange on the page."""
+    rest = [c for c in pairs.columns if c not in ("page_id", "iou", "p_box_id", "g_box_id")]
+    row = F.struct((-F.col("iou")).alias("_far"), "p_box_id", "g_box_id", "iou", *rest)
+    chosen = pairs.groupBy("page_id").agg(F.sort_array(F.collect_list(row)).alias("all")).select("page_id", F.explode(one_to_one(F.col("all"), "p_box_id", "g_box_id")).alias("m"))
+    return chosen.select(*["page_id" if c == "page_id" else f"m.{c}" for c in pairs.columns])
+
 
-    Only the pages on which some box is in two pairs need the order-bound choice; all other pairs are taken as they are.
+def page_matches(pred: DataFrame, gold: DataFrame, least: float = 0.5) -> DataFrame:
+    """A row per page: preds and golds (arrays of boxes) and matched (pairs p_box_id, g_box_id, agrees, ignore).
+
+    Both sides meet in one exchange on the page, and pairs, the greedy choice and all counts follow from that row.
     """
-    p, g = W.partitionBy("page_id", "p_box_id"), W.partitionBy("page_id", "g_box_id")
-    shared = pairs.withColumn("_many", F.greatest(F.count("*").over(p), F.count("*").over(g)) > 1)
-    shared = shared.withColumn("_many", F.max("_many").over(W.partitionBy("page_id")))
-    schema = pairs.schema
+    side = lambda df, g: df.select("page_id", F.lit(g).alias("gold"), *BOX, (F.coalesce("ignore", F.lit(False)) if g else F.lit(False)).alias("ignore"))
+    box = lambda g: F.collect_list(F.when(F.col("gold") == g, F.struct(*BOX, "ignore")))
+    pages = side(pred, False).unionByName(side(gold, True)).groupBy("page_id").agg(box(False).alias("preds"), box(True).alias("golds"))
 
-    def choose(page: pd.DataFrame) -> pd.DataFrame:
-        taken_p, taken_g, rows = set(), set(), []
-        for i, r in enumerate(page.sort_values(["iou", "p_box_id", "g_box_id"], ascending=[False, True, True]).itertuples()):
-            if r.p_box_id not in taken_p and r.g_box_id not in taken_g:
-                taken_p.add(r.p_box_id)
-                taken_g.add(r.g_box_id)
-                rows.append(r.Index)
-        return page.loc[rows]
+    def pair(p: Column, g: Column) -> Column:
+        both = F.greatest(F.lit(0), F.least(p["x2"], g["x2"]) - F.greatest(p["x1"], g["x1"])) * F.greatest(F.lit(0), F.least(p["y2"], g["y2"]) - F.greatest(p["y1"], g["y1"]))
+        either = (p["x2"] - p["x1"]) * (p["y2"] - p["y1"]) + (g["x2"] - g["x1"]) * (g["y2"] - g["y1"]) - both
+        share = F.when(both > 0, both.cast("double") / either.cast("double")).otherwise(F.lit(0.0))
+        return F.struct((-share).alias("far"), p["box_id"].alias("p_box_id"), g["box_id"].alias("g_box_id"), (p["is_checked"] == g["is_checked"]).alias("agrees"), g["ignore"].alias("ignore"))
 
-    contended = shared.where("_many").drop("_many").groupBy("page_id").applyInPandas(choose, schema)
-    return shared.where("NOT _many").drop("_many").unionByName(contended)
+    every = F.flatten(F.transform("preds", lambda p: F.transform("golds", lambda g: pair(p, g))))
+    found = F.array_sort(F.filter(every, lambda x: (x["far"] <= -least) & (x["far"] < 0)))
+    return pages.withColumn("pairs", found).select("page_id", "preds", "golds", one_to_one(F.col("pairs"), "p_box_id", "g_box_id").alias("matched"))
 
 
 def first_match(pairs: DataFrame) -> DataFrame:
@@ -62,13 +74,27 @@ def near(points: DataFrame, boxes: DataFrame, radius: float, how: str = "left",
 
 
 def nearest(points: DataFrame, boxes: DataFrame, most: Column) -> DataFrame:
-    """The nearest box by L1 for each point, null beyond ``most``."""
+    """The nearest box by L1 for each point, null beyond ``most``: there a square() around the point stands in."""
     own = boxes.select("page_id", F.col("box_id").alias("b_box_id"), ((F.col("x1") + F.col("x2")).cast("double") / 2).alias("_x"), ((F.col("y1") + F.col("y2")).cast("double") / 2).alias("_y"))
     far = F.abs(F.col("cx") - F.col("_x")) + F.abs(F.col("cy") - F.col("_y"))
     best = points.join(own, "page_id", "left").withColumn("far", far).groupBy("page_id", "point_id").agg(F.min(F.struct("far", "b_box_id")).alias("m"))
     return best.select("page_id", "point_id", F.when(F.col("m.far") <= most, F.col("m.b_box_id")).alias("box_id"), F.col("m.far").alias("far"))
 
 
+def square(cx: Column, cy: Column, side: Column) -> list[Column]:
+    """Corners of the square that stands for a point without a box near it."""
+    half = F.floor(side / 2)
+    return [(v + sign * half).cast("long").alias(name) for name, v, sign in (("x1", cx, -1), ("y1", cy, -1), ("x2", cx, 1), ("y2", cy, 1))]
+
+
+def apart(boxes: DataFrame, others: DataFrame, most: float) -> DataFrame:
+    """Boxes whose centre is further than ``most`` by L1 from all others of the page."""
+    mid = lambda df, p: df.select("page_id", ((F.col("x1") + F.col("x2")).cast("double") / 2).alias(f"{p}x"), ((F.col("y1") + F.col("y2")).cast("double") / 2).alias(f"{p}y"))
+    own = boxes.withColumns({"_ax": (F.col("x1") + F.col("x2")).cast("double") / 2, "_ay": (F.col("y1") + F.col("y2")).cast("double") / 2})
+    far = mid(others, "_b").withColumnRenamed("page_id", "_page")
+    return own.join(far, (F.col("page_id") == F.col("_page")) & (F.abs(F.col("_ax") - F.col("_bx")) + F.abs(F.col("_ay") - F.col("_by")) <= most), "left_anti").drop("_ax", "_ay")
+
+
 def page_lists(boxes: DataFrame, *order: Column) -> DataFrame:
     """page_id and ``all``: the page's boxes as structs in the order of the keys (_k0, _k1, ...), then of the columns."""
     keys = [k.alias(f"_k{i}") for i, k in enumerate(order)]
@@ -104,9 +130,11 @@ def row_clusters(boxes: DataFrame, tolerance: float) -> DataFrame:
     return one.select(*["page_id" if c == "page_id" else f"all.{c}" for c in boxes.columns], F.col("ids").alias("row_id"))
 
 
-def align(template: list[tuple[float, float]], page: list[tuple[float, float]], lookback: int = 4, skip: float = 0.3, slopes: tuple[float, float] = (0.45, 2.2)) -> list[tuple[int, int]]:
-    """Monotone local alignment of two weighted line sequences: pairs of places, best total gain less skips."""
+def align(template: list[tuple[float, float]], page: list[tuple[float, float]], lookback: int = 4, skip: float = 0.3, slopes: tuple[float, float] = (0.45, 2.2), least: int = 2) -> list[tuple[int, int]]:
+    """Monotone local alignment of two weighted sequences of ``least`` or more: pairs of places, best total gain less skips."""
     n, m = len(template), len(page)
+    if min(n, m) < least:
+        return []
     best, back = np.zeros((n, m)), {}
     for i in range(n):
         for j in range(m):
@@ -121,8 +149,6 @@ def align(template: list[tuple[float, float]], page: list[tuple[float, float]],
                         if total > top:
                             top, source = total, (a, b)
             best[i, j], back[i, j] = top, source
-    if not n or not m:
-        return []
     at, out = tuple(int(x) for x in np.unravel_index(best.argmax(), best.shape)), []
     while at is not None:
         out.append(at)
@@ -130,6 +156,15 @@ def align(template: list[tuple[float, float]], page: list[tuple[float, float]],
     return out[::-1]
 
 
+def knots_of(pairs: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Pairs of heights as knots of a map: each above the one before on both sides."""
+    out: list[tuple[float, float]] = []
+    for t, p in pairs:
+        if not out or (t > out[-1][0] and p > out[-1][1]):
+            out.append((t, p))
+    return out
+
+
 def align_pages(lines: DataFrame) -> DataFrame:
     """lines (page_id, form, template array<struct<y, w>>, page array<struct<y, w>>) -> pairs and score, map-only."""
 
@@ -139,7 +174,7 @@ def align_pages(lines: DataFrame) -> DataFrame:
             for r in b.itertuples():
                 t, p = [(x["y"], x["w"]) for x in r.template], [(x["y"], x["w"]) for x in r.page]
                 pairs = align(t, p)
-                rows.append((r.page_id, r.form, len(pairs), round(len(pairs) / max(3, min(len(t), len(p))), 3), [{"ty": t[i][0], "py": p[j][0]} for i, j in pairs]))
+                rows.append((r.page_id, r.form, len(pairs), round(len(pairs) / max(3, min(len(t), len(p))), 3), [{"ty": a, "py": b} for a, b in knots_of([(t[i][0], p[j][0]) for i, j in pairs])]))
             yield pd.DataFrame(rows, columns=["page_id", "form", "pairs", "score", "knots"])
 
     return lines.select("page_id", "form", "template", "page").mapInPandas(run, "page_id long, form string, pairs int, score double, knots array<struct<ty: double, py: double>>")
@@ -147,5 +182,5 @@ def align_pages(lines: DataFrame) -> DataFrame:
 
 def best_form(registrations: DataFrame, least_pairs: int = 3, floor: float = 0.35) -> DataFrame:
     """Each page's best registration: enough pairs, a score of the floor or more, ties to the first name."""
-    good = registrations.where((F.col("pairs") >= least_pairs) & (F.col("score") >= floor))
+    good = registrations.where((F.col("pairs") >= least_pairs) & (F.size("knots") >= 3) & (F.col("score") >= floor))
     return good.withColumn("_r", F.row_number().over(W.partitionBy("page_id").orderBy(F.desc("score"), "form"))).where("_r = 1").drop("_r")

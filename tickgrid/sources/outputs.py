@@ -40,16 +40,20 @@ def bgr(pixels: bytes, height: int, width: int, channels: int) -> np.ndarray:
 
 def nested(boxes: DataFrame, explain: bool = False) -> DataFrame:
     """page and its boxes in reading order, as the response states them."""
-    fields = [F.array("x1", "y1", "x2", "y2").alias("bbox"), "is_checked"] + (["confidence", "ink", "reasons"] if explain else [])
+    fields = [F.array("x1", "y1", "x2", "y2").alias("bbox"), "is_checked"] + (["confidence", "ink", "reasons", *[c for c in ("witnesses",) if c in boxes.columns]] if explain else [])
     own = boxes.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("y1", "x1", "box_id", F.struct(*fields).alias("b")))).alias("_b"))
     return own.select("page", F.transform("_b", lambda x: x["b"]).alias("boxes"))
 
 
 def responses(pages: DataFrame, boxes: DataFrame, explain: bool = False) -> DataFrame:
     """(page, body): the JSON answer for every page, also for those without boxes."""
-    out = pages.select("page").join(nested(boxes, explain), "page", "left")
+    out = pages.select("page", *[c for c in ("width", "height") if explain]).join(nested(boxes, explain), "page", "left")
     kind = nested(boxes, explain).schema["boxes"].dataType.simpleString()
-    return out.select("page", F.to_json(F.struct(F.coalesce("boxes", F.array().cast(kind)).alias("boxes"))).alias("body"))
+    fields = [F.coalesce("boxes", F.array().cast(kind)).alias("boxes")]
+    if explain and "meta" in boxes.columns:
+        out = out.join(boxes.groupBy("page").agg(F.first("meta").alias("m")), "page", "left")
+        fields.append(F.struct("width", "height", "m.form", "m.registration", F.col("m.stats").alias("witness")).alias("meta"))
+    return out.select("page", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("body"))
 
 
 def overlays(pages: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -127,7 +127,7 @@ def test_outputs(spark, pages, tmp_path):
     graded = rules.classify(extract.extract(one), rules.policies(spark))
     body = json.loads(outputs.responses(one, graded).first()["body"])
     assert len(body["boxes"]) == graded.count() and set(body["boxes"][0]) == {"bbox", "is_checked"}
-    assert set(json.loads(outputs.responses(one, graded, explain=True).first()["body"])["boxes"][0]) == {"bbox", "is_checked", "confidence", "ink", "reasons"}
+    assert set(json.loads(outputs.responses(one, graded, explain=True).first()["body"])["boxes"][0]) == {"bbox", "is_checked", "confidence", "ink", "reasons", "witnesses"}
     assert json.loads(outputs.responses(one, graded.where("false")).first()["body"]) == {"boxes": []}
     (tmp_path / "o").mkdir()
     (tmp_path / "o/f-base.png").write_bytes(outputs.overlays(one, graded).first()["png"])

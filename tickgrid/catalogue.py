@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickgrid.functions import geometry as geo
+from tickgrid.functions import ranks
 from tickgrid.operators import placement, rules, spatial
 from tickgrid.plans.derived import WITH, relation
 
@@ -41,11 +42,11 @@ def read(s, d, name):
 PAIRS = """, pairs AS (SELECT p.page_id, p.box_id AS p_box_id, g.box_id AS g_box_id, p.is_checked AS p_state, g.is_checked AS g_state, g.ignore AS g_ignore,
   greatest(0, least(p.x2, g.x2) - greatest(p.x1, g.x1)) * greatest(0, least(p.y2, g.y2) - greatest(p.y1, g.y1)) AS shared,
   (p.x2-p.x1)*(p.y2-p.y1) + (g.x2-g.x1)*(g.y2-g.y1) AS areas FROM boxes_pred p JOIN boxes_gold g ON p.page_id = g.page_id),
-m AS (SELECT *, CAST(shared AS DOUBLE)/CAST(areas - shared AS DOUBLE) AS iou FROM pairs WHERE shared > 0 AND CAST(shared AS DOUBLE)/CAST(areas - shared AS DOUBLE) >= 0.5)
+m AS MATERIALIZED (SELECT *, CAST(shared AS DOUBLE)/CAST(areas - shared AS DOUBLE) AS iou FROM pairs WHERE shared > 0 AND CAST(shared AS DOUBLE)/CAST(areas - shared AS DOUBLE) >= 0.5)
 """
 SCORES = PAIRS + """, tp AS (SELECT page_id, count(*) AS tp, sum(CASE WHEN p_state = g_state THEN 1 ELSE 0 END) AS right_state FROM m WHERE NOT g_ignore GROUP BY page_id),
-fp AS (SELECT page_id, count(*) AS fp FROM boxes_pred p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.page_id = p.page_id AND m.p_box_id = p.box_id) GROUP BY page_id),
-fn AS (SELECT page_id, count(*) AS fn FROM boxes_gold g WHERE NOT ignore AND NOT EXISTS (SELECT 1 FROM m WHERE m.page_id = g.page_id AND m.g_box_id = g.box_id) GROUP BY page_id),
+fp AS (SELECT p.page_id, count(*) AS fp FROM boxes_pred p ANTI JOIN m ON m.page_id = p.page_id AND m.p_box_id = p.box_id GROUP BY p.page_id),
+fn AS (SELECT g.page_id, count(*) AS fn FROM (SELECT * FROM boxes_gold WHERE NOT ignore) g ANTI JOIN m ON m.page_id = g.page_id AND m.g_box_id = g.box_id GROUP BY g.page_id),
 score AS (SELECT pg.page_id, pg.corpus, pg.factor, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn, coalesce(right_state, 0) AS right_state
  FROM pages_meta pg JOIN (SELECT DISTINCT page_id FROM boxes_gold) b USING (page_id) LEFT JOIN tp USING (page_id) LEFT JOIN fp USING (page_id) LEFT JOIN fn USING (page_id))
 """
@@ -103,11 +104,11 @@ def clip_and_downscale(s, d):
 CONSENSUS = """, a AS (SELECT page_id, box_id, greatest(x2-x1, y2-y1) AS side, y2-y1 AS h, CAST(sk%10 AS DOUBLE)/10 AS ring, pk FROM boxes_gold),
 f1 AS (SELECT * FROM a WHERE ring < 0.5), m1 AS (SELECT page_id, median(side) AS med FROM f1 GROUP BY page_id),
 f2 AS (SELECT f1.*, med, abs(side-med)/med <= 0.15 AS ok FROM f1 JOIN m1 USING (page_id)), m2 AS (SELECT page_id, median(h) AS mh, count(*) AS n FROM f2 WHERE ok GROUP BY page_id),
-f3 AS (SELECT f2.page_id, f2.box_id, ok, CASE WHEN NOT ok THEN 'SIZE_CONSENSUS' WHEN n >= 5 AND abs(h-mh)/mh > 0.02 AND pk%3 = 0 THEN 'TEXT_LIKE_SIZE_OUTLIER' END AS reason FROM f2 LEFT JOIN m2 USING (page_id))
+f3 AS (SELECT f2.page_id, f2.box_id, ok, CASE WHEN NOT ok THEN 'SIZE_CONSENSUS' WHEN n >= 5 AND abs(h-mh)/mh > 0.1 AND pk%3 = 0 THEN 'TEXT_LIKE_SIZE_OUTLIER' END AS reason FROM f2 LEFT JOIN m2 USING (page_id))
 """
 
 
-def consensus(s, d, text_like=0.02):
+def consensus(s, d, text_like=0.10):
     """Ring ink, size consensus and text-like filters, each reject kept with its reason."""
     own = gold(s, d).select("page_id", "box_id", F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("side"), (F.col("y2") - F.col("y1")).alias("h"), (F.col("sk") % 10 / 10).alias("ring"), (F.col("pk") % 3 == 0).alias("text_like"))
     page = W.partitionBy("page_id")
@@ -137,11 +138,13 @@ def rejects_audit(s, d):
     return consensus(s, d).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query(", h AS (SELECT page_id, ((x2-x1)//2)*2 AS bin, count(*) AS n FROM boxes_gold GROUP BY 1, 2) SELECT page_id, CAST(bin + 1 AS BIGINT) AS side FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, bin) AS r FROM h) WHERE r = 1")
+@query(", a AS (SELECT page_id, greatest(x2-x1, y2-y1) AS side, min(greatest(x2-x1, y2-y1)) OVER (PARTITION BY page_id) AS least FROM boxes_gold), h AS (SELECT page_id, least + 2*((side-least)//2) AS bin, count(*) AS n FROM a GROUP BY 1, 2) SELECT page_id, CAST(greatest(8, bin + 1) AS BIGINT) AS side FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, bin) AS r FROM h) WHERE r = 1")
 def box_side_vote(s, d):
-    """The most common width bin of a page, the lowest on ties."""
-    bins = gold(s, d).withColumn("bin", F.floor((F.col("x2") - F.col("x1")) / 2) * 2).groupBy("page_id", "bin").count()
-    return bins.groupBy("page_id").agg((F.max_by("bin", F.struct("count", -F.col("bin"))) + 1).alias("side"))
+    """The commonest larger side of a page in bins of two from its least, the lowest bin on ties; 8 at least."""
+    own = gold(s, d).select("page_id", F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("side"))
+    own = own.withColumn("least", F.min("side").over(W.partitionBy("page_id")))
+    bins = own.withColumn("bin", F.col("least") + F.floor((F.col("side") - F.col("least")) / 2) * 2).groupBy("page_id", "bin").count()
+    return bins.groupBy("page_id").agg(F.greatest(F.lit(8).cast("long"), F.max_by("bin", F.struct("count", -F.col("bin"))) + 1).alias("side"))
 
 
 @query(DEFAULT_SQL + "SELECT page_id, box_id, is_checked, confidence, reasons FROM r")
@@ -221,24 +224,22 @@ def unmatched(boxes, matched, side):
     return boxes.join(matched.select("page_id", F.col(f"{side}_box_id").alias("box_id")), ["page_id", "box_id"], "left_anti")
 
 
-@query(PAIRS + "SELECT page_id, box_id FROM boxes_pred p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.page_id = p.page_id AND m.p_box_id = p.box_id)")
+@query(PAIRS + "SELECT p.page_id, p.box_id FROM boxes_pred p ANTI JOIN m ON m.page_id = p.page_id AND m.p_box_id = p.box_id")
 def false_positives(s, d):
     return unmatched(pred(s, d), spatial.greedy_match(pairs(s, d)), "p").select("page_id", "box_id")
 
 
-@query(PAIRS + "SELECT page_id, box_id FROM boxes_gold g WHERE NOT ignore AND NOT EXISTS (SELECT 1 FROM m WHERE m.page_id = g.page_id AND m.g_box_id = g.box_id)")
+@query(PAIRS + "SELECT g.page_id, g.box_id FROM (SELECT * FROM boxes_gold WHERE NOT ignore) g ANTI JOIN m ON m.page_id = g.page_id AND m.g_box_id = g.box_id")
 def false_negatives(s, d):
     return unmatched(gold(s, d).where("NOT ignore"), spatial.greedy_match(pairs(s, d)), "g").select("page_id", "box_id")
 
 
 def scores(s, d):
-    """Counts of each page: one grouping over matches, spare predictions and spare labels."""
-    m = spatial.greedy_match(pairs(s, d))
-    zero = F.lit(0)
-    rows = m.where("NOT g_ignore").select("page_id", F.lit(1).alias("tp"), zero.alias("fp"), zero.alias("fn"), (F.col("p_is_checked") == F.col("g_is_checked")).cast("int").alias("ok"))
-    rows = rows.unionByName(unmatched(pred(s, d), m, "p").select("page_id", zero.alias("tp"), F.lit(1).alias("fp"), zero.alias("fn"), zero.alias("ok")))
-    rows = rows.unionByName(gold(s, d).join(m.select("page_id", F.col("g_box_id").alias("box_id"), F.lit(1).alias("hit")), ["page_id", "box_id"], "left").select("page_id", zero.alias("tp"), zero.alias("fp"), F.when(F.col("hit").isNull() & ~F.col("ignore"), 1).otherwise(0).alias("fn"), zero.alias("ok")))
-    held = rows.groupBy("page_id").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], F.sum("ok").alias("right_state"))
+    """Counts of each page, from the one row in which its predictions and labels meet."""
+    m = spatial.page_matches(pred(s, d), gold(s, d)).where("size(golds) > 0")
+    n = lambda c: F.size(c).cast("long")
+    held = m.select("page_id", n(F.filter("matched", lambda x: ~x["ignore"])).alias("tp"), (n(F.col("preds")) - n(F.col("matched"))).alias("fp"),
+                    (n(F.filter("golds", lambda g: ~g["ignore"])) - n(F.filter("matched", lambda x: ~x["ignore"]))).alias("fn"), n(F.filter("matched", lambda x: ~x["ignore"] & x["agrees"])).alias("right_state"))
     return relation(s, d, "pages_meta").join(held, "page_id")
 
 
@@ -323,18 +324,20 @@ def fold_labels(s, d):
     return one.select("page_id", "box_id", F.when(F.col("st").isNull(), F.col("is_checked")).otherwise(F.col("st") == 1).alias("is_checked"), (F.col("ignore") | F.col("ig")).alias("ignore"))
 
 
-@query("""SELECT page_id, box_id, CASE WHEN pk%103 = 0 THEN NOT is_checked ELSE is_checked END AS is_checked, ignore FROM boxes_gold WHERE pk%101 <> 0
+@query(""", fix AS (SELECT page_id, CAST(x1+x2 AS DOUBLE)/2 + pk%19 AS cx, CAST(y1+y2 AS DOUBLE)/2 - sk%17 AS cy, CASE WHEN pk%7 = 0 THEN 'drop' WHEN pk%5 = 0 THEN 'flip' END AS kind, sk%2 = 0 AS state FROM boxes_gold),
+hit AS (SELECT p.page_id, p.box_id, max(f.kind) FILTER (f.kind = 'drop') AS gone, bool_or(f.state) FILTER (f.kind = 'flip') AS state FROM boxes_pred p JOIN fix f ON p.page_id = f.page_id AND abs(CAST(p.x1+p.x2 AS DOUBLE)/2 - f.cx) <= 14 AND abs(CAST(p.y1+p.y2 AS DOUBLE)/2 - f.cy) <= 14 GROUP BY 1, 2)
+SELECT p.page_id, p.box_id, coalesce(h.state, p.is_checked) AS is_checked, FALSE AS ignore FROM boxes_pred p LEFT JOIN hit h USING (page_id, box_id) WHERE h.gone IS NULL
 UNION ALL SELECT page_id, box_id + 200, is_checked, FALSE FROM boxes_gold WHERE pk%107 = 0 UNION ALL SELECT page_id, box_id + 300, FALSE, TRUE FROM boxes_gold WHERE pk%109 = 0""")
 def seed_corrections(s, d):
-    """Drop, flip, add and ignore rows, in that order."""
-    g = gold(s, d)
-    drop, flip = g.where("pk % 101 = 0").select("page_id", "box_id"), g.where("pk % 103 = 0").select("page_id", "box_id", F.lit(True).alias("flip"))
-    kept = g.join(drop, ["page_id", "box_id"], "left_anti").join(flip, ["page_id", "box_id"], "left").select("page_id", "box_id", F.when(F.col("flip"), ~F.col("is_checked")).otherwise(F.col("is_checked")).alias("is_checked"), "ignore")
+    """Drop, then flip every box within 14 pixels of a correction on both axes, then add and ignore rows."""
+    g, (cx, cy) = gold(s, d), geo.centre()
+    fix = g.select("page_id", (cx + F.col("pk") % 19).alias("cx"), (cy - F.col("sk") % 17).alias("cy"), F.expr("CASE WHEN pk % 7 = 0 THEN 'drop' WHEN pk % 5 = 0 THEN 'flip' END").alias("kind"), (F.col("sk") % 2 == 0).alias("state"))
+    kept = spatial.corrected(pred(s, d), fix.where("kind IS NOT NULL"), 14.0).select("page_id", "box_id", "is_checked", F.lit(False).alias("ignore"))
     add = g.where("pk % 107 = 0").select("page_id", (F.col("box_id") + 200).alias("box_id"), "is_checked", F.lit(False).alias("ignore"))
     return kept.unionByName(add).unionByName(g.where("pk % 109 = 0").select("page_id", (F.col("box_id") + 300).alias("box_id"), F.lit(False).alias("is_checked"), F.lit(True).alias("ignore")))
 
 
-@query(CARDS + "SELECT page_id, box_id FROM boxes_pred p WHERE NOT EXISTS (SELECT 1 FROM boxes_gold c WHERE c.pk%19 = 0 AND c.page_id = p.page_id AND (c.x1+c.x2)//16 = (p.x1+p.x2)//16 AND (c.y1+c.y2)//16 = (p.y1+p.y2)//16)")
+@query(CARDS + "SELECT p.page_id, p.box_id FROM boxes_pred p ANTI JOIN (SELECT * FROM boxes_gold WHERE pk%19 = 0) c ON c.page_id = p.page_id AND (c.x1+c.x2)//16 = (p.x1+p.x2)//16 AND (c.y1+c.y2)//16 = (p.y1+p.y2)//16")
 def leakage_anti_join(s, d):
     """Training boxes that share no grid cell with a gold card."""
     cell = [F.floor((F.col("x1") + F.col("x2")) / 16).alias("gx"), F.floor((F.col("y1") + F.col("y2")) / 16).alias("gy")]
@@ -391,11 +394,9 @@ def threshold_crossings(s, d):
 
 @query("SELECT event_type, list_sort(list(value))[least(count(*) - 1, CAST(floor(count(*)*0.95) AS BIGINT)) + 1] AS p95_telemetry, list_sort(list(value))[greatest(CAST(floor(count(*)*0.95) AS BIGINT) - 1, 0) + 1] AS p95_bench FROM events GROUP BY event_type")
 def p95_two_ways(s, d):
-    """Two order-statistic definitions of the 95th percentile, by rank in a window: no list of all values is built."""
-    key = W.partitionBy("event_type")
-    own = read(s, d, "events").select("event_type", "value", F.row_number().over(key.orderBy("value")).alias("k"), F.count("*").over(key).alias("n"))
+    """Two order-statistic definitions of the 95th percentile, from counts by value: no group is sorted in one task."""
     at = F.floor(F.col("n") * 0.95)
-    return own.groupBy("event_type").agg(F.max(F.when(F.col("k") == F.least(F.col("n") - 1, at) + 1, F.col("value"))).alias("p95_telemetry"), F.max(F.when(F.col("k") == F.greatest(at - 1, F.lit(0)) + 1, F.col("value"))).alias("p95_bench"))
+    return ranks.order_statistics(read(s, d, "events"), "event_type", "value", {"p95_telemetry": F.least(F.col("n") - 1, at) + 1, "p95_bench": F.greatest(at - 1, F.lit(0)) + 1})
 
 
 @query("SELECT page_id, CAST(median(tok) AS DOUBLE) AS median_tokens, min(tok) AS least, max(tok) AS most FROM (SELECT page_id, CAST(ceil(5*(x2-x1)/28.0)*ceil(5*(y2-y1)/28.0) AS BIGINT) AS tok FROM boxes_gold) GROUP BY page_id")
@@ -404,8 +405,8 @@ def token_cost(s, d):
     return own.groupBy("page_id").agg(F.median("tok").cast("double").alias("median_tokens"), F.min("tok").alias("least"), F.max("tok").alias("most"))
 
 
-@query(PAIRS + """, k AS (SELECT page_id, box_id, 'phantom' AS kind FROM boxes_pred p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.page_id = p.page_id AND m.p_box_id = p.box_id)
-UNION ALL SELECT page_id, box_id, 'missed' FROM boxes_gold g WHERE NOT ignore AND NOT EXISTS (SELECT 1 FROM m WHERE m.page_id = g.page_id AND m.g_box_id = g.box_id) UNION ALL SELECT page_id, p_box_id, 'state' FROM m WHERE NOT g_ignore AND p_state <> g_state)
+@query(PAIRS + """, k AS (SELECT p.page_id, p.box_id, 'phantom' AS kind FROM boxes_pred p ANTI JOIN m ON m.page_id = p.page_id AND m.p_box_id = p.box_id
+UNION ALL SELECT g.page_id, g.box_id, 'missed' FROM (SELECT * FROM boxes_gold WHERE NOT ignore) g ANTI JOIN m ON m.page_id = g.page_id AND m.g_box_id = g.box_id UNION ALL SELECT page_id, p_box_id, 'state' FROM m WHERE NOT g_ignore AND p_state <> g_state)
 SELECT kind, page_id, box_id FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY (page_id*7919 + box_id*104729)%1000003, page_id, box_id) AS r FROM k) WHERE r <= 12""")
 def edge_mining(s, d):
     """Twelve failures of each kind, chosen by an integer hash."""
@@ -466,17 +467,26 @@ def rotate_labels(s, d):
 @query()
 def registration_best(s, d):
     """Each page's lines against two forms, by monotone local alignment; the better one wins."""
-    lines = gold(s, d).where("box_id <= 6").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct((F.col("box_id") * 50 + F.col("pk") % 7).cast("double").alias("y"), (F.col("q") + 1).cast("double").alias("w")))).alias("page"))
-    forms = s.createDataFrame([("form-a", [(50.0 * i, 20.0) for i in range(1, 7)]), ("form-b", [(35.0 * i * i, 20.0) for i in range(1, 7)])], "form string, template array<struct<y: double, w: double>>")
+    lines = gold(s, d).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct((F.col("box_id") * 50 + F.col("pk") % 7).cast("double").alias("y"), (F.col("q") + 1).cast("double").alias("w")))).alias("page"))
+    forms = s.createDataFrame([("form-a", [(50.0 * i, 20.0) for i in range(1, 8)]), ("form-b", [(35.0 * i * i, 20.0) for i in range(1, 8)])], "form string, template array<struct<y: double, w: double>>")
     return spatial.best_form(spatial.align_pages(lines.crossJoin(F.broadcast(forms)))).select("page_id", "form", "pairs", "score")
 
 
-@query()
+ONE_BY_ONE = """, o AS MATERIALIZED (SELECT *, CAST(x1+x2 AS DOUBLE)/2 AS mx, CAST(y1+y2 AS DOUBLE)/2 AS my FROM boxes_pred),
+q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY {order}) AS k FROM o), """
+
+
+@query(ONE_BY_ONE.format(order="box_id") + """w AS (SELECT page_id, k, [{'b': box_id, 'x': mx, 'y': my}] AS kept FROM q WHERE k = 1
+UNION ALL SELECT q.page_id, q.k, CASE WHEN len(list_filter(w.kept, lambda e: abs(e.x - q.mx) + abs(e.y - q.my) <= 40)) = 0 THEN list_append(w.kept, {'b': q.box_id, 'x': q.mx, 'y': q.my}) ELSE w.kept END FROM w JOIN q ON q.page_id = w.page_id AND q.k = w.k + 1),
+z AS (SELECT page_id, unnest(kept).b AS box_id FROM w WHERE (page_id, k) IN (SELECT page_id, max(k) FROM q GROUP BY page_id))
+SELECT page_id, box_id, x1, y1, x2, y2 FROM z JOIN boxes_pred USING (page_id, box_id)""")
 def dedupe_greedy(s, d):
     return spatial.dedupe(pred(s, d).select("page_id", "box_id", "x1", "y1", "x2", "y2"), 40.0)
 
 
-@query()
+@query(ONE_BY_ONE.format(order="my, x1, box_id") + """w AS (SELECT page_id, k, box_id, my AS anchor, 0 AS row_id FROM q WHERE k = 1
+UNION ALL SELECT q.page_id, q.k, q.box_id, CASE WHEN abs(q.my - w.anchor) >= 20 THEN q.my ELSE w.anchor END, CASE WHEN abs(q.my - w.anchor) >= 20 THEN w.row_id + 1 ELSE w.row_id END FROM w JOIN q ON q.page_id = w.page_id AND q.k = w.k + 1)
+SELECT page_id, box_id, x1, y1, x2, y2, row_id FROM w JOIN boxes_pred USING (page_id, box_id)""")
 def row_cluster(s, d):
     return spatial.row_clusters(pred(s, d).select("page_id", "box_id", "x1", "y1", "x2", "y2"), 20.0)
 

@@ -95,6 +95,18 @@ def apart(boxes: DataFrame, others: DataFrame, most: float) -> DataFrame:
     return own.join(far, (F.col("page_id") == F.col("_page")) & (F.abs(F.col("_ax") - F.col("_bx")) + F.abs(F.col("_ay") - F.col("_by")) <= most), "left_anti").drop("_ax", "_ay")
 
 
+def corrected(boxes: DataFrame, fixes: DataFrame, most: float) -> DataFrame:
+    """boxes after corrections (page_id, cx, cy, kind drop or flip, state), each for all boxes within ``most`` on both axes.
+
+    Drops come first; where flips of one box differ, it is checked.
+    """
+    mid = lambda a: (F.col(f"b.{a}1") + F.col(f"b.{a}2")).cast("double") / 2
+    near = (F.col("b.page_id") == F.col("f.page_id")) & (F.abs(mid("x") - F.col("f.cx")) <= most) & (F.abs(mid("y") - F.col("f.cy")) <= most)
+    hit = boxes.alias("b").join(fixes.alias("f"), near).groupBy("b.page_id", "b.box_id").agg(F.expr("bool_or(f.kind = 'drop')").alias("_gone"), F.expr("max(CASE WHEN f.kind = 'flip' THEN f.state END)").alias("_state"))
+    out = boxes.join(hit, ["page_id", "box_id"], "left").where("NOT coalesce(_gone, false)")
+    return out.withColumn("is_checked", F.coalesce("_state", "is_checked")).select(*boxes.columns)
+
+
 def page_lists(boxes: DataFrame, *order: Column) -> DataFrame:
     """page_id and ``all``: the page's boxes as structs in the order of the keys (_k0, _k1, ...), then of the columns."""
     keys = [k.alias(f"_k{i}") for i, k in enumerate(order)]

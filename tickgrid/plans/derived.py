@@ -21,7 +21,7 @@ FEATURES = """SELECT page_id, ln AS box_id, pk, sk, q, d, t, CAST(d*3 + q%2 AS D
 PAGES = """SELECT o_orderkey AS page_id, CASE o_orderstatus WHEN 'F' THEN 'sample' WHEN 'O' THEN 'synth-sweep' ELSE 'holdout' END AS corpus,
   substr(o_orderpriority, 1, 1) AS factor FROM orders"""
 ALL = {"box_base": BOX_BASE, "boxes_gold": BOXES_GOLD, "boxes_pred": BOXES_PRED, "features": FEATURES, "pages_meta": PAGES}
-WITH = "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in ALL.items())
+WITH = "WITH RECURSIVE " + ",\n".join(f"{k} AS MATERIALIZED ({v})" for k, v in ALL.items())
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

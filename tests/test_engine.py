@@ -6,14 +6,14 @@ import duckdb
 import numpy as np
 import pytest
 
-from tickgrid import catalogue
+from tickgrid import catalogue, reports  # noqa: F401
 from tickgrid.operators import extract, rules, spatial
 from tickgrid.sources import files
 
 TABLES = "lineitem orders events embeddings".split()
 
 
-@pytest.mark.parametrize("name", ["box_geometry", "rule_engine_default", "policy_agreement", "escalation_replay", "page_scorecard", "fold_labels", "leakage_anti_join", "p95_two_ways", "edge_mining", "carry_last"])
+@pytest.mark.parametrize("name", ["box_geometry", "rule_engine_default", "policy_agreement", "escalation_replay", "page_scorecard", "fold_labels", "leakage_anti_join", "p95_two_ways", "edge_mining", "carry_last", "contended_match", "contended_counts", "contended_first", "rule_engine_prior", "false_positives", "dedupe_greedy", "row_cluster", "seed_corrections", "telemetry_full", "telemetry_corpus", "factor_level_sweep", "card_pools", "claims_check", "tier_resize", "lenient_replies", "markdown_rows"])
 def test_against_sql(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -113,3 +113,47 @@ def test_sources(spark, tmp_path):
     (tmp_path / "bad/x.png").write_bytes(b"no image")
     good, errors = files.images(spark, f"{tmp_path}/bad")
     assert good.count() == 0 and errors.first()["reason"] == "UNREADABLE"
+
+
+def test_more_sources(spark, tmp_path):
+    (tmp_path / "s/deep").mkdir(parents=True)
+    (tmp_path / "s/deep/p.json").write_text(json.dumps({"source": "p.png", "params": {"form": "f", "factor": "pen", "level": "4"}, "boxes": [{"bbox": [1, 2, 3, 4], "is_checked": True}]}))
+    (tmp_path / "s/manifest.json").write_text(json.dumps({"seed": 1, "pages": []}))
+    assert [r.asDict() for r in files.synth_labels(spark, f"{tmp_path}/s").collect()] == [{"page": "p", "form": "f", "factor": "pen", "level": "4", "box_id": 0, "bbox": [1, 2, 3, 4], "is_checked": True}]
+    (tmp_path / "v.json").write_text(json.dumps({"k1": {"source": "a", "final": {"is_checkbox": True, "filled": None, "route": "JUDGED", "confidence": 0.8}}}))
+    assert [tuple(r) for r in files.votes(spark, f"{tmp_path}/v.json").collect()] == [("k1", True, None, "JUDGED", 0.8)]
+    assert files.votes(spark, f"{tmp_path}/none.json").count() == 0
+    with pytest.raises(FileNotFoundError):
+        files.report(spark, f"{tmp_path}/none.json")
+    (tmp_path / "e.json").write_text("")
+    with pytest.raises((FileNotFoundError, ValueError)):
+        files.report(spark, f"{tmp_path}/e.json")
+    assert files.report(spark, f"{tmp_path}/v.json").count() == 1
+
+
+def test_generated_pages_query(spark, sf):
+    rows = {r["factor"]: r for r in catalogue.QUERIES["extract_generated_pages"](spark, sf).collect()}
+    assert set(rows) == {"base", "rotation", "scale", "watermark", "pen", "shading", "mixed"} and rows["base"]["labelled"] == 72
+    for name, least in (("base", 1.0), ("shading", 0.95), ("pen", 0.9), ("rotation", 0.85)):
+        assert rows[name]["found"] >= least * rows[name]["labelled"] and rows[name]["right"] >= 0.9 * rows[name]["found"]
+
+
+def test_flag_rate_monitor(spark):
+    from tickgrid.streaming.monitor import flag_rate
+
+    rows = [("2024-01-01 00:01:00", "a", ["X"]), ("2024-01-01 00:02:00", "a", []), ("2024-01-01 00:11:00", "a", ["X"]), ("2024-01-01 00:03:00", "b", [])]
+    got = flag_rate(spark.createDataFrame(rows, "ts string, corpus string, reasons array<string>")).collect()
+    assert sorted((str(r["start"]), r["corpus"], r["boxes"], r["flagged"]) for r in got) == [("2024-01-01 00:00:00", "a", 2, 1), ("2024-01-01 00:00:00", "b", 1, 0), ("2024-01-01 00:10:00", "a", 1, 1)]
+
+
+def test_order_statistics_of_ties_and_one_value(spark):
+    from pyspark.sql import functions as F
+
+    from tickgrid.functions.ranks import order_statistics
+
+    r = np.random.default_rng(4)
+    rows = [("t", float(v)) for v in r.integers(0, 5, 500)] + [("one", 7.0)] * 9 + [("u", float(v)) for v in r.normal(size=300)] + [("t", None)]
+    got = {x["g"]: x for x in order_statistics(spark.createDataFrame(rows, "g string, v double"), "g", "v", {"mid": F.floor(F.col("n") / 2) + 1, "last": F.col("n")}).collect()}
+    for g in ("t", "one", "u"):
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        assert (got[g]["mid"], got[g]["last"]) == (own[len(own) // 2], own[-1])

@@ -134,6 +134,12 @@ def test_outputs(spark, pages, tmp_path):
     good, errors = files.images(spark, f"{tmp_path}/o")
     got = good.first()
     assert (got["height"], got["width"], errors.count()) == (600, 1500, 0)
+    spare = graded.limit(1)
+    shown = outputs.overlays(one, outputs.eval_layers(graded, graded.limit(0), spare)).first()["png"]
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e/f.png").write_bytes(shown)
+    img, b = files.images(spark, f"{tmp_path}/e")[0].first(), spare.first()
+    assert tuple(np.frombuffer(img["pixels"], np.uint8).reshape(600, 1500, 3)[b["y1"], b["x1"]]) == outputs.YELLOW
     assert len({r["key"] for r in outputs.crops(one, graded.limit(5)).collect()} - {None}) >= 1
     lines = [r["line"] for r in outputs.markdown(spark.createDataFrame([("b", 2), ("a", None)], "factor string, n int"), "factor").collect()]
     assert lines == ["| factor | n |", "| --- | --- |", "| a |  |", "| b | 2 |"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,5 +50,47 @@ def piecewise(knots: Column, y: Column) -> Column:
 
 
 def lenient_json(text: Column, schema: str) -> Column:
-    """The object between the first { and the last } of a text, or null."""
-    return F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), schema)
+    """The object between the first { and the last } of a text, or null where that is none."""
+    found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    return F.when(F.try_parse_json(found).isNotNull(), F.from_json(found, schema))
+
+
+def verdict(reply: Column) -> Column:
+    """A reader's verdict in a reply, with the defaults for what it leaves out; null for a reply without one."""
+    d = lenient_json(reply, "is_checkbox boolean, filled boolean, confidence double, why string")
+    return F.when(d.isNotNull(), F.struct(
+        F.coalesce(d["is_checkbox"], F.lit(False)).alias("is_checkbox"), F.coalesce(d["filled"], F.lit(False)).alias("filled"),
+        F.coalesce(d["confidence"], F.lit(0.5)).alias("confidence"), F.substring(F.coalesce(d["why"], F.lit("")), 1, 120).alias("why"),
+    ))
+
+
+def stated_numbers(claims: DataFrame) -> DataFrame:
+    """claims (name, claim) with ``stated``, the first number of the text without its thousands separators."""
+    return claims.withColumn("stated", F.replace(F.regexp_extract("claim", r"[0-9][0-9,]*(\.[0-9]+)?", 0), F.lit(","), F.lit("")))
+
+
+def human(code: Column, names: dict[str, str]) -> Column:
+    """A label for a code: its name, or the code in lower case with blanks."""
+    known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return F.coalesce(known[code], F.lower(F.replace(code, F.lit("_"), F.lit(" "))))
+
+
+def resized(w: Column, h: Column, edge: int, tokens: int, patch: int = 28) -> Column:
+    """(w, h) of an image within an edge and a number of tokens, its shape kept; itself if it fits.
+
+    The longer edge is found by halving an interval, as many times as the largest edge needs.
+    """
+    whole = lambda v: F.ceil(v / patch)
+    fits = lambda a, b: (whole(a) * patch <= edge) & (whole(b) * patch <= edge) & (whole(a) * whole(b) <= tokens)
+    long, short = F.greatest(w, h), F.least(w, h)
+    other = lambda a: F.greatest(F.bround(a / (long.cast("double") / short), 0).cast("long"), F.lit(1).cast("long"))
+    start = F.struct(F.lit(1).cast("long").alias("lo"), long.cast("long").alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2)
+        ok, done = fits(mid, other(mid)), acc["lo"] + 1 >= acc["hi"]
+        return F.struct(F.when(~done & ok, mid).otherwise(acc["lo"]).alias("lo"), F.when(~done & ~ok, mid).otherwise(acc["hi"]).alias("hi"))
+
+    lo = F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, halve, lambda acc: acc["lo"])
+    a, b = F.when(fits(w, h), long).otherwise(lo), F.when(fits(w, h), short).otherwise(other(lo))
+    return F.struct(F.when(h > w, b).otherwise(a).alias("w"), F.when(h > w, a).otherwise(b).alias("h"))

@@ -135,3 +135,8 @@ def replay(boxes: DataFrame, votes: DataFrame) -> DataFrame:
         "confidence": F.when(F.col("_no"), F.least("confidence", F.lit(0.3))).when(F.col("_set"), F.greatest("confidence", "v_confidence")).otherwise(F.col("confidence")),
         "reasons": F.when(F.col("_no"), F.concat("reasons", F.array(F.lit("NOT_A_CHECKBOX"), F.col("route")))).when(F.col("_use"), F.concat("reasons", F.array("route"))).otherwise(F.col("reasons")),
     }).drop("_use", "_no", "_set", "route", "v_is_checkbox", "v_filled", "v_confidence")
+
+
+def upsert(record: DataFrame, decisions: DataFrame, *key: str) -> DataFrame:
+    """A record with decisions in the place of entries of the same key."""
+    return decisions.unionByName(record.join(decisions, list(key), "left_anti"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +52,38 @@ def policy(spark: SparkSession, path: str) -> Policy:
     """A policy file, by a closed schema: one small file, read as text by Spark so that any store will do."""
     text = spark.read.text(path, wholetext=True).first()[0]
     return policy_from(json.loads(text), PurePosixPath(path).stem)
+
+
+def synth_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled boxes under a folder and its subfolders that have parameters (form, factor, level): a manifest has none."""
+    raw = spark.read.schema(f"source string, params struct<form: string, factor: string, level: string>, boxes array<{BOX}>").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path, multiLine=True)
+    one = raw.where("params IS NOT NULL AND source IS NOT NULL").select(F.regexp_replace("source", r"\.[^.]*$", "").alias("page"), "params.*", F.posexplode("boxes").alias("box_id", "b"))
+    return one.select("page", "form", "factor", "level", "box_id", F.col("b.bbox").alias("bbox"), F.coalesce("b.is_checked", F.lit(False)).alias("is_checked"))
+
+
+def votes(spark: SparkSession, path: str) -> DataFrame:
+    """A record of votes (one JSON object by crop key): key and verdict; no file, no rows."""
+    schema = "map<string, struct<final: struct<is_checkbox: boolean, filled: boolean, route: string, confidence: double>>>"
+    text = spark.read.text(path, wholetext=True) if exists(spark, path) else spark.createDataFrame([], "value string")
+    one = text.select(F.explode(F.from_json("value", schema)).alias("key", "v"))
+    return one.select("key", F.col("v.final.is_checkbox").alias("v_is_checkbox"), F.col("v.final.filled").alias("v_filled"), F.col("v.final.route").alias("route"), F.col("v.final.confidence").alias("v_confidence"))
+
+
+def report(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON report that must be there and hold something."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    out = spark.read.json(path, multiLine=True)
+    if not out.columns or out.isEmpty():
+        raise ValueError(f"{path} is empty")
+    return out
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark finds files at a path, in whatever store it is."""
+    try:
+        return not spark.read.format("binaryFile").load(path).select("path").isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise

@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed values, blue first: marked, empty, and any box with a reason.
-GREEN, RED, AMBER, MAGENTA = (0, 170, 0), (0, 0, 220), (0, 160, 255), (255, 0, 255)
+#: Fixed values, blue first: marked, empty, any box with a reason; in evaluation missed labels and spare boxes.
+GREEN, RED, AMBER, MAGENTA, YELLOW = (0, 170, 0), (0, 0, 220), (0, 160, 255), (255, 0, 255), (0, 255, 255)
+MARKS = {"missed": MAGENTA, "spare": YELLOW}
 
 
 def png(img: np.ndarray) -> bytes:
@@ -56,16 +57,25 @@ def responses(pages: DataFrame, boxes: DataFrame, explain: bool = False) -> Data
     return out.select("page", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("body"))
 
 
+def eval_layers(boxes: DataFrame, missed: DataFrame, spare: DataFrame) -> DataFrame:
+    """Boxes for an overlay that shows what matching found: labels without a box, and boxes without a label, over the rest."""
+    corners = ["page", "x1", "y1", "x2", "y2"]
+    graded = boxes.select(*corners, "is_checked", "reasons", F.lit(None).cast("string").alias("mark"))
+    extra = lambda df, name: df.select(*corners, F.lit(False).alias("is_checked"), F.array().cast("array<string>").alias("reasons"), F.lit(name).alias("mark"))
+    return graded.unionByName(extra(spare, "spare")).unionByName(extra(missed, "missed"))
+
+
 def overlays(pages: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(page, png): every page with its boxes outlined by their state."""
-    own = boxes.groupBy("page").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2", "is_checked", (F.size("reasons") > 0).alias("flagged"))).alias("b"))
+    """(page, png): every page with its boxes outlined by their state, or by their mark if they have one."""
+    mark = F.col("mark") if "mark" in boxes.columns else F.lit(None).cast("string")
+    own = boxes.groupBy("page").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2", "is_checked", (F.size("reasons") > 0).alias("flagged"), mark.alias("mark"))).alias("b"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for p in batch.itertuples():
                 img = bgr(p.pixels, p.height, p.width, p.channels)
                 for b in p.b if p.b is not None else ():
-                    outline(img, (b["x1"], b["y1"], b["x2"], b["y2"]), AMBER if b["flagged"] else GREEN if b["is_checked"] else RED, max(2, p.width // 900))
+                    outline(img, (b["x1"], b["y1"], b["x2"], b["y2"]), MARKS[b["mark"]] if b["mark"] else AMBER if b["flagged"] else GREEN if b["is_checked"] else RED, max(2, p.width // 900))
                 yield pd.DataFrame({"page": [p.page], "png": [png(img)]})
 
     return pages.join(own, "page", "left").select("page", "height", "width", "channels", "pixels", "b").mapInPandas(run, "page string, png binary")

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickgrid.llm.base import give_back, sized, small, spool, texts
+from tickgrid.llm.base import batches_of, give_back, sized, small, spool, texts
 from tickgrid.llm.blocks import Sets, link_rows, map_runs, with_blocks
 from tickgrid.llm.components import components
 from tickgrid.llm.textvec import maps, minhash, shingles
@@ -37,6 +37,8 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 TREES, DEPTH = 16, 8
 #: Rows of a trie node, or of a candidate group, that one task takes at once; larger ones are cut into blocks.
 NODE, BLOCK = 20_000, 256
+#: Texts that go to Python at once.
+ROWS = 1024
 
 
 def prefix_length(similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -157,7 +159,8 @@ def _verify(group: pd.DataFrame, similarity: float) -> pd.DataFrame | None:
 def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """One row per row of docs: doc_id, text_id, class_id, n_links, n_copies, kept, bare (no word), h1, h2 (of the text)."""
     shortest, floor = prefix_length(similarity, recall), agreement_floor(similarity, TREES * DEPTH)
-    rows = spool(sketches(docs, text_col, id_col, words), "forest")
+    with batches_of(docs.sparkSession, ROWS):
+        rows = spool(sketches(docs, text_col, id_col, words), "forest")
     classes = rows.where("sig is not null").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("n_copies"), F.min("sig").alias("sig"), F.min("low").alias("low"))
     classes = spool(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 

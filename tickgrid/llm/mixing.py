@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickgrid.llm.base import fresh, give_back, sampled, share, small, spool, texts, unit
+from tickgrid.llm.base import batches_of, fresh, give_back, sampled, share, small, spool, texts, unit
 from tickgrid.llm.textvec import fit_logistic, hellinger, ngram_counts, shingles, word_hashes
 
 #: Labelled rows of a domain that the classifier is fitted on, at most (in expectation).
@@ -41,6 +41,8 @@ FIT_ROWS = 1500
 BITS, ORDERS = 11, (1, 3)
 #: Families of a domain that a word is in at least, and its least log-odds.
 MIN_FAMILIES, MIN_ODDS = 3, 1.5
+#: Texts that go to Python at once.
+ROWS = 1024
 #: Pull towards a rate of 1; distance of the rates from the minimum (root of the mean square over tokens) at which steps end.
 RIDGE, SETTLED = 1e-3, 1e-4
 #: Lengths of a Newton step that one pass tries, longest first.
@@ -269,7 +271,8 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, f
     if model is None:
         one = docs.select(*key, F.size(F.split(F.trim(F.coalesce(text_col, F.lit(""))), r"\s+")).cast("long").alias("n_tokens"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"))
         return one.withColumn("copies", F.lit(1).cast("long")), None
-    held = spool(docs.select(*key, membership(docs, model, text_col).alias("m")).select("doc_id", "text_hash", "m.n_tokens", "m.domain", "m.posterior"), "mixing")
+    with batches_of(docs.sparkSession, ROWS):
+        held = spool(docs.select(*key, membership(docs, model, text_col).alias("m")).select("doc_id", "text_hash", "m.n_tokens", "m.domain", "m.posterior"), "mixing")
     model = fit_rates(held, model, targets)
     out = held.withColumn("rate", rate_of(held, model, F.col("posterior")))
     return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id"), F.col("text_hash"))), model
@@ -295,7 +298,8 @@ def resample(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[s
     if model is None:
         return docs
     m, n = fresh(docs, "_mix"), fresh(docs, "_n")
-    held = spool(docs.withColumn(m, membership(docs, model, text_col)), "mixing")
+    with batches_of(docs.sparkSession, ROWS):
+        held = spool(docs.withColumn(m, membership(docs, model, text_col)), "mixing")
     model = fit_rates(held.select(f"{m}.n_tokens", f"{m}.posterior"), model, targets)
     out = held.withColumn(m, copies(rate_of(held, model, F.col(f"{m}.posterior")), F.col(id_col), F.xxhash64(F.coalesce(text_col, F.lit(""))))).where(F.col(m) > 0)
     return out.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(m)))).drop(m, n)

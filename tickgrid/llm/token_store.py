@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickgrid.llm.base import fresh, give_back, spool
+from tickgrid.llm.base import batches_of, fresh, give_back, spool
 
 END = 1
 #: Pieces, and letters in them, that a worker remembers; the cache is emptied beyond either.
 CACHE, CACHE_LETTERS = 1_000_000, 16_000_000
 #: Letters that are cut into pieces at once.
 WINDOW = 1 << 19
+#: Texts that go to Python, and are encoded, at once.
+ROWS = 512
 #: Bytes of a row group and of a page.
 ROW_GROUP, PAGE = 32 << 20, 256 << 10
 #: The letters for which the vocabulary's rules are applied here, its contractions, and blanks it reads otherwise.
@@ -223,8 +225,8 @@ def write(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", vocab
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, done = encoder(path), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
                 ids, n = own.encode(rows.column("text").to_pylist())
                 ends = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
@@ -232,11 +234,11 @@ def write(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", vocab
                 done += int(ends[-1])
         give_back()
 
-    encoded = ranged.mapInArrow(encode, SCHEMA)
-    return spool(
-        encoded, "tokens", compression="zstd", parquet__writer__version="PARQUET_2_0", parquet__block__size=row_group, parquet__page__size=page, parquet__page__row__count__limit=4000,
-        parquet__enable__dictionary="false", **{"parquet.enable.dictionary#token_ids.list.element": "true", "parquet.dictionary.page.size": 1 << 20},
-    )
+    with batches_of(spark, ROWS):
+        return spool(
+            ranged.mapInArrow(encode, SCHEMA), "tokens", compression="zstd", parquet__writer__version="PARQUET_2_0", parquet__block__size=row_group, parquet__page__size=page, parquet__page__row__count__limit=4000,
+            parquet__enable__dictionary="false", **{"parquet.enable.dictionary#token_ids.list.element": "true", "parquet.dictionary.page.size": 1 << 20},
+        )
 
 
 def starts(files: DataFrame) -> DataFrame:
@@ -256,7 +258,7 @@ def read_documents(files: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def checksums(rows: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the crc32 of the ids' little-endian bytes."""
+    """doc_id, start, n_tokens and the crc32 of the ids' little-endian bytes, written to the shared folder: few bytes a row."""
 
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,4 +268,5 @@ def checksums(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
         give_back()
 
-    return rows.select("doc_id", "start", "n_tokens", "token_ids").mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    with batches_of(rows.sparkSession, ROWS):
+        return spool(rows.select("doc_id", "start", "n_tokens", "token_ids").mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long"), "checksums")

@@ -21,6 +21,8 @@ BROADCAST_ROWS = 1_000_000
 #: Bytes up to which a table with arrays may be broadcast.
 BROADCAST_BYTES = 64 << 20
 _SHARED: list[Broadcast] = []
+#: What a worker's modules remember between tasks.
+KEPT: list[dict] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -139,8 +141,14 @@ def texts(batch: pd.Series) -> list[str]:
     return ["" if t is None or t != t else t for t in batch]
 
 
-def give_back() -> None:
-    """At the end of a Python task: return freed memory to the system, since idle workers are kept for later stages."""
+def give_back(keep: bool = False) -> None:
+    """At the end of a Python task: return freed memory to the system, since idle workers are kept for later stages.
+
+    What a worker remembers between tasks goes too, unless the task is of the kind that keeps it.
+    """
+    if not keep:
+        for held in KEPT:
+            held.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickgrid.llm.base import batches_of, fresh, give_back, spool
+from tickgrid.llm.base import KEPT, batches_of, fresh, give_back, spool
 
 END = 1
 #: Pieces, and letters in them, that a worker remembers; the cache is emptied beyond either.
-CACHE, CACHE_LETTERS = 1_000_000, 16_000_000
+CACHE, CACHE_LETTERS = 400_000, 6_000_000
 #: Letters that are cut into pieces at once.
-WINDOW = 1 << 19
+WINDOW = 1 << 18
 #: Texts that go to Python, and are encoded, at once.
 ROWS = 512
 #: Bytes of a row group and of a page.
@@ -52,6 +52,7 @@ _END, _ODD = "\x00", "\x01"
 #: 0 blank, 1 letter, 2 digit, 3 sign, 4 end of a text, 5 part for the library.
 _CLASS = np.array([4, 5, *(0 if (c := chr(i)).isspace() else 1 if c.isalpha() else 2 if c.isdecimal() else 3 for i in range(2, 0x180))], np.uint8)
 _STATE: dict[str, PieceEncoder] = {}
+KEPT.append(_STATE)
 
 
 def default_vocabulary() -> str:
@@ -232,7 +233,7 @@ def write(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", vocab
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("part").cast(pa.int32()), pa.array(done + ends - n), pa.array(n), lists], ["doc_id", "part", "offset", "n_tokens", "token_ids"])
                 done += int(ends[-1])
-        give_back()
+        give_back(keep=True)
 
     with batches_of(spark, ROWS):
         return spool(

@@ -33,9 +33,9 @@ from tickgrid.llm.base import KEPT, batches_of, fresh, give_back, spool
 
 END = 1
 #: Pieces, and letters in them, that a worker remembers; the cache is emptied beyond either.
-CACHE, CACHE_LETTERS = 400_000, 6_000_000
+CACHE, CACHE_LETTERS = 700_000, 11_000_000
 #: Letters that are cut into pieces at once.
-WINDOW = 1 << 18
+WINDOW = 1 << 19
 #: Texts that go to Python, and are encoded, at once.
 ROWS = 512
 #: Bytes of a row group and of a page.
@@ -94,20 +94,31 @@ class PieceEncoder:
 
         Hashes of pieces are in order, each with its slot: about 60 bytes a piece, with no object of Python's.
         """
+        self.room: dict[str, np.ndarray] = {}
         self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.letters, self.edges = np.zeros(0, np.uint16), np.array([0, 0], np.int64)
         self.ids, self.bounds = np.array([END], np.int32), np.array([0, 1], np.int64)
 
+    def _longer(self, name: str, more: np.ndarray) -> np.ndarray:
+        """An array with more at its end, in the room kept behind it; that grows by a quarter when it is full."""
+        now = getattr(self, name)
+        n, room = len(now), self.room.get(name)
+        if room is None or len(room) < n + len(more):
+            room = self.room[name] = np.empty((n + len(more)) * 5 // 4 + 64, now.dtype)
+            room[:n] = now
+        room[n : n + len(more)] = more
+        return room[: n + len(more)]
+
     def learn(self, pieces: list[str]) -> np.ndarray:
         """New slots for pieces, encoded in one call, parted by blanks that no piece holds; ids are cut where the word changes."""
         line = " ".join([p if p.isascii() else p.translate(self.spelled) for p in pieces])
         e = self.bare.encode(line, add_special_tokens=False)
         ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(pieces)), "right")
         new = len(self.bounds) - 1 + np.arange(len(pieces))
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + ends])
-        self.ids = np.concatenate([self.ids, np.array(e.ids, np.int32)])
-        self.letters = np.concatenate([self.letters, np.frombuffer("".join(pieces).encode("utf-16-le"), "<u2")])
-        self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum([len(p) for p in pieces])])
+        self.bounds = self._longer("bounds", self.bounds[-1] + ends)
+        self.ids = self._longer("ids", np.array(e.ids, np.int32))
+        self.letters = self._longer("letters", np.frombuffer("".join(pieces).encode("utf-16-le"), "<u2"))
+        self.edges = self._longer("edges", self.edges[-1] + np.cumsum([len(p) for p in pieces]))
         return new
 
     def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:

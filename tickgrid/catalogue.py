@@ -276,7 +276,7 @@ def worst_by_factor(s, d):
     return own.groupBy("factor").agg(F.min(F.struct("f1", "corpus")).alias("w")).select("factor", "w.corpus", "w.f1")
 
 
-CARDS = """, cards AS (SELECT page_id, box_id AS point_id, CAST(x1+x2 AS DOUBLE)/2 + pk%3 AS cx, CAST(y1+y2 AS DOUBLE)/2 AS cy, CASE q%4 WHEN 0 THEN 'empty' WHEN 1 THEN 'filled' WHEN 2 THEN 'unsure' ELSE 'not_a_checkbox' END AS label, pk%57 = 0 AS misclick, box_id = 7 AS synthetic, CASE WHEN sk%2 = 0 THEN 'hard-real' ELSE 'negative' END AS stratum FROM boxes_gold WHERE pk%19 = 0),
+CARDS = """, cards AS (SELECT page_id, box_id AS point_id, CAST(x1+x2 AS DOUBLE)/2 + pk%3 AS cx, CAST(y1+y2 AS DOUBLE)/2 AS cy, CASE q%4 WHEN 0 THEN 'empty' WHEN 1 THEN 'filled' WHEN 2 THEN 'unsure' ELSE 'not_a_checkbox' END AS label, pk%57 = 0 AS misclick, box_id = 7 AS synthetic, CASE WHEN sk%2 = 0 THEN 'hard-real' ELSE 'negative' END AS stratum FROM boxes_gold),
 hit AS (SELECT c.*, p.box_id AS b_box_id, p.is_checked AS b_is_checked, row_number() OVER (PARTITION BY c.page_id, c.point_id ORDER BY p.y1, p.x1, p.box_id) AS k FROM cards c LEFT JOIN boxes_pred p ON p.page_id = c.page_id AND abs(c.cx - CAST(p.x1+p.x2 AS DOUBLE)/2) + abs(c.cy - CAST(p.y1+p.y2 AS DOUBLE)/2) < 18)
 """
 
@@ -284,7 +284,7 @@ hit AS (SELECT c.*, p.box_id AS b_box_id, p.is_checked AS b_is_checked, row_numb
 def cards(s, d):
     cx, cy = geo.centre()
     label = F.expr("CASE q % 4 WHEN 0 THEN 'empty' WHEN 1 THEN 'filled' WHEN 2 THEN 'unsure' ELSE 'not_a_checkbox' END")
-    return gold(s, d).where("pk % 19 = 0").select("page_id", F.col("box_id").alias("point_id"), (cx + F.col("pk") % 3).alias("cx"), cy.alias("cy"), label.alias("label"), (F.col("pk") % 57 == 0).alias("misclick"), (F.col("box_id") == 7).alias("synthetic"), F.expr("CASE WHEN sk % 2 = 0 THEN 'hard-real' ELSE 'negative' END").alias("stratum"))
+    return gold(s, d).select("page_id", F.col("box_id").alias("point_id"), (cx + F.col("pk") % 3).alias("cx"), cy.alias("cy"), label.alias("label"), (F.col("pk") % 57 == 0).alias("misclick"), (F.col("box_id") == 7).alias("synthetic"), F.expr("CASE WHEN sk % 2 = 0 THEN 'hard-real' ELSE 'negative' END").alias("stratum"))
 
 
 @query(CARDS + "SELECT count(*) AS graded, sum(CASE WHEN b_is_checked = (label = 'filled') THEN 1 ELSE 0 END) AS correct, sum(CASE WHEN b_box_id IS NULL THEN 1 ELSE 0 END) AS missed FROM hit WHERE k = 1 AND NOT synthetic AND NOT misclick AND label IN ('empty', 'filled')")
@@ -293,12 +293,12 @@ def gold_agreement(s, d):
     return spatial.near(hard, pred(s, d), 18).agg(F.count("*").alias("graded"), F.expr("count_if(b_is_checked = (label = 'filled'))").alias("correct"), F.expr("count_if(b_box_id IS NULL)").alias("missed"))
 
 
-@query(""", probe AS (SELECT page_id, box_id AS point_id, CAST(x1+x2 AS DOUBLE)/2 AS cx, CAST(y1+y2 AS DOUBLE)/2 AS cy, CASE sk%3 WHEN 0 THEN 'state' WHEN 1 THEN 'detected' ELSE 'absent' END AS chk, is_checked AS expect FROM boxes_gold WHERE pk%43 = 0),
+@query(""", probe AS (SELECT page_id, box_id AS point_id, CAST(x1+x2 AS DOUBLE)/2 AS cx, CAST(y1+y2 AS DOUBLE)/2 AS cy, CASE sk%3 WHEN 0 THEN 'state' WHEN 1 THEN 'detected' ELSE 'absent' END AS chk, is_checked AS expect FROM boxes_gold),
 h AS (SELECT c.*, p.box_id AS hit, p.is_checked AS st, row_number() OVER (PARTITION BY c.page_id, c.point_id ORDER BY p.y1, p.x1, p.box_id) AS k FROM probe c LEFT JOIN boxes_pred p ON p.page_id = c.page_id AND abs(c.cx - CAST(p.x1+p.x2 AS DOUBLE)/2) + abs(c.cy - CAST(p.y1+p.y2 AS DOUBLE)/2) < 18)
 SELECT page_id, point_id, chk, CASE chk WHEN 'absent' THEN hit IS NULL WHEN 'detected' THEN hit IS NOT NULL ELSE coalesce(st = expect, FALSE) END AS passed FROM h WHERE k = 1""")
 def regression_probe(s, d):
     cx, cy = geo.centre()
-    probes = gold(s, d).where("pk % 43 = 0").select("page_id", F.col("box_id").alias("point_id"), cx.alias("cx"), cy.alias("cy"), F.expr("CASE sk % 3 WHEN 0 THEN 'state' WHEN 1 THEN 'detected' ELSE 'absent' END").alias("chk"), F.col("is_checked").alias("expect"))
+    probes = gold(s, d).select("page_id", F.col("box_id").alias("point_id"), cx.alias("cx"), cy.alias("cy"), F.expr("CASE sk % 3 WHEN 0 THEN 'state' WHEN 1 THEN 'detected' ELSE 'absent' END").alias("chk"), F.col("is_checked").alias("expect"))
     passed = F.expr("CASE chk WHEN 'absent' THEN b_box_id IS NULL WHEN 'detected' THEN b_box_id IS NOT NULL ELSE coalesce(b_is_checked = expect, false) END")
     return spatial.near(probes, pred(s, d), 18).select("page_id", "point_id", "chk", passed.alias("passed"))
 
@@ -337,9 +337,9 @@ def seed_corrections(s, d):
     return kept.unionByName(add).unionByName(g.where("pk % 109 = 0").select("page_id", (F.col("box_id") + 300).alias("box_id"), F.lit(False).alias("is_checked"), F.lit(True).alias("ignore")))
 
 
-@query(CARDS + "SELECT p.page_id, p.box_id FROM boxes_pred p ANTI JOIN (SELECT * FROM boxes_gold WHERE pk%19 = 0) c ON c.page_id = p.page_id AND (c.x1+c.x2)//16 = (p.x1+p.x2)//16 AND (c.y1+c.y2)//16 = (p.y1+p.y2)//16")
+@query("SELECT p.page_id, p.box_id FROM boxes_pred p ANTI JOIN (SELECT * FROM boxes_gold WHERE pk%19 = 0) c ON c.page_id = p.page_id AND (c.x1+c.x2)//16 = (p.x1+p.x2)//16 AND (c.y1+c.y2)//16 = (p.y1+p.y2)//16")
 def leakage_anti_join(s, d):
-    """Training boxes that share no grid cell with a gold card."""
+    """Training boxes that share no grid cell with a held-out label; every 19th part number is held out."""
     cell = [F.floor((F.col("x1") + F.col("x2")) / 16).alias("gx"), F.floor((F.col("y1") + F.col("y2")) / 16).alias("gy")]
     held = gold(s, d).where("pk % 19 = 0").select("page_id", *cell).distinct()
     return pred(s, d).select("page_id", "box_id", *cell).join(held, ["page_id", "gx", "gy"], "left_anti").select("page_id", "box_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickgrid.llm import chat, decontaminate, embedding_dedup, jaccard_forest, language_id, mixing, pii_crf, token_store, toxicity, weak_quality
+from tickgrid.llm import chat, decontaminate, embedding_dedup, importance, jaccard_forest, language_id, mixing, pii_crf, token_store, toxicity, weak_quality
 from tickgrid.llm.base import table
 
 OTHER = [("user", 0), ("assistant", 1)]
@@ -77,8 +77,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "class_id", "text_id", "n_links", "n_copies", "kept")
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    return importance.resample(docs, items).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_pii, op3_mixing, op4_chat, op5_toxicity, op6_decontamination, op7_embedding_dedup, op8_quality, op9_token_store, op10_jaccard_join)
+    f.__name__: f for f in (op1_language_id, op2_pii, op3_mixing, op4_chat, op5_toxicity, op6_decontamination, op7_embedding_dedup, op8_quality, op9_token_store, op10_jaccard_join, op12_importance)
 }
 
 ORACLES = {
@@ -111,5 +116,39 @@ WITH words AS (
 )
 SELECT d.id AS doc_id, b.id AS item_id, CAST(n.n_item AS INT) AS n_item, CAST(count(*) AS INT) AS n_shared, count(*) / n.n_item AS containment
 FROM d JOIN b ON d.g = b.g JOIN n ON n.id = b.id GROUP BY d.id, b.id, n.n_item HAVING count(*) / n.n_item >= 0.8
+""",
+    "op12_importance": r"""
+WITH tab AS (
+  SELECT list(list_reduce([i, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(0, 256) r(i)
+), d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS MATERIALIZED (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark
+), o AS MATERIALIZED (
+  SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest(w) AS f FROM d) GROUP BY doc_id, f
+), h AS MATERIALIZED (
+  SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM o UNION SELECT f FROM b)
+), z AS MATERIALIZED (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda i: CAST(16*(instr('0123456789ABCDEF', x[2*i+1]) - 1) + instr('0123456789ABCDEF', x[2*i+2]) - 1 AS BIGINT))), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS k
+  FROM h, tab
+), s AS (
+  SELECT k, sum(n) AS s FROM o JOIN z USING (f) GROUP BY k
+), t AS (
+  SELECT k, count(*) AS t FROM b JOIN z USING (f) GROUP BY k
+), g AS MATERIALIZED (
+  SELECT r.k, CAST(floor(1000*ln(CAST((coalesce(t, 0)+1) AS DOUBLE)*((SELECT coalesce(sum(s), 0) FROM s)+10000)/(CAST((coalesce(s, 0)+1) AS DOUBLE)*((SELECT coalesce(sum(t), 0) FROM t)+10000)))) AS BIGINT) AS gain
+  FROM range(0, 10000) r(k) LEFT JOIN s ON s.k = r.k LEFT JOIN t ON t.k = r.k
+), w AS (
+  SELECT o.doc_id, CAST(floor(sum(o.n*g.gain)/CAST(sum(o.n) AS DOUBLE)) AS BIGINT) AS weight FROM o JOIN z USING (f) JOIN g USING (k) GROUP BY o.doc_id
+), e AS (
+  SELECT doc_id, len(w) AS n, sha256('2024:' || doc_id) AS x FROM d
+), u AS (
+  SELECT doc_id, n, coalesce(weight, 0) AS weight, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, 9), lambda i: CAST(instr('0123456789abcdef', x[i]) - 1 AS BIGINT))), lambda a, y: 16*a + y) AS DOUBLE) AS h FROM e LEFT JOIN w USING (doc_id)
+), v AS (
+  SELECT doc_id, n, weight, weight + CAST(floor(-1000*ln(-ln((h + 0.5)/4294967296))) AS BIGINT) AS score FROM u
+), q AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM v WHERE n >= 20
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_features, weight, score, CASE WHEN r <= 10*(SELECT count(*) FROM q)//100 THEN r END AS rank FROM v LEFT JOIN q USING (doc_id)
 """,
 }

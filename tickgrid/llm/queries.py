@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickgrid.llm import chat, decontaminate, embedding_dedup, importance, jaccard_forest, language_id, mixing, pii_crf, token_store, toxicity, weak_quality
+from tickgrid.llm import byte_bpe, chat, decontaminate, embedding_dedup, importance, jaccard_forest, language_id, mixing, pii_crf, token_store, toxicity, weak_quality
 from tickgrid.llm.base import table
 
 OTHER = [("user", 0), ("assistant", 1)]
@@ -82,8 +82,14 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(docs, items).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    v = byte_bpe.vocabulary(docs)
+    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, v), v))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_pii, op3_mixing, op4_chat, op5_toxicity, op6_decontamination, op7_embedding_dedup, op8_quality, op9_token_store, op10_jaccard_join, op12_importance)
+    f.__name__: f for f in (op1_language_id, op2_pii, op3_mixing, op4_chat, op5_toxicity, op6_decontamination, op7_embedding_dedup, op8_quality, op9_token_store, op10_jaccard_join, op12_importance, op13_byte_bpe)
 }
 
 ORACLES = {

@@ -70,14 +70,14 @@ def windows(texts: Iterable[bytes | None], cut: bytes, carry: int = 0, window: i
         yield flush()
 
 
-def numbered(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+def numbered[T: (str, bytes)](words: list[T], empty: T = b"") -> tuple[np.ndarray, list[T]]:
     """A number for each word, 0 for the empty one, equal for equal words; and the words by their numbers."""
     fresh = count(1)
 
     class Known(dict):
-        def __missing__(self, word: bytes) -> int:
+        def __missing__(self, word: T) -> int:
             self[word] = n = next(fresh)
             return n
 
-    known = Known({b"": 0})
+    known = Known({empty: 0})
     return np.fromiter(map(known.__getitem__, words), np.int64, len(words)), list(known)

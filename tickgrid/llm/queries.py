@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickgrid.llm import byte_bpe, chat, decontaminate, embedding_dedup, importance, jaccard_forest, language_id, mixing, pii_crf, token_store, toxicity, weak_quality
+from tickgrid.llm import byte_bpe, chat, decontaminate, divergence, embedding_dedup, importance, jaccard_forest, language_id, mixing, pii_crf, token_store, toxicity, weak_quality
 from tickgrid.llm.base import table
 
 OTHER = [("user", 0), ("assistant", 1)]
@@ -77,6 +77,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "class_id", "text_id", "n_links", "n_copies", "kept")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     return importance.resample(docs, items).select("doc_id", "n_features", "weight", "score", "rank")
@@ -89,7 +93,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_pii, op3_mixing, op4_chat, op5_toxicity, op6_decontamination, op7_embedding_dedup, op8_quality, op9_token_store, op10_jaccard_join, op12_importance, op13_byte_bpe)
+    f.__name__: f for f in (op1_language_id, op2_pii, op3_mixing, op4_chat, op5_toxicity, op6_decontamination, op7_embedding_dedup, op8_quality, op9_token_store, op10_jaccard_join, op11_divergence, op12_importance, op13_byte_bpe)
 }
 
 ORACLES = {
@@ -122,6 +126,33 @@ WITH words AS (
 )
 SELECT d.id AS doc_id, b.id AS item_id, CAST(n.n_item AS INT) AS n_item, CAST(count(*) AS INT) AS n_shared, count(*) / n.n_item AS containment
 FROM d JOIN b ON d.g = b.g JOIN n ON n.id = b.id GROUP BY d.id, b.id, n.n_item HAVING count(*) / n.n_item >= 0.8
+""",
+    "op11_divergence": r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), o AS MATERIALIZED (
+  SELECT i, lang, source, term, count(*) AS n FROM (SELECT i, lang, source, unnest(w) AS term FROM d) GROUP BY ALL
+), k AS MATERIALIZED (
+  SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM o GROUP BY lang, term HAVING count(*) >= 30
+), v AS (
+  SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang
+), g AS MATERIALIZED (
+  SELECT DISTINCT lang, source FROM d
+), c AS MATERIALIZED (
+  SELECT lang, source, term, CAST(sum(o.n) AS HUGEINT) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY lang, source, term
+), gn AS (
+  SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source
+), p AS MATERIALIZED (
+  SELECT gn.lang, gn.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000*(coalesce(c.n, 0) + 5)) // (gn.total + 5*v.v) AS p, 1 + (1000000000*(k.n + 5)) // (v.n + 5*v.v) AS q
+  FROM gn JOIN v USING (lang) JOIN k ON k.lang = gn.lang LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = k.term
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 50
 """,
     "op12_importance": r"""
 WITH tab AS (

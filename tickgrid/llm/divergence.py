@@ -99,23 +99,24 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 class _Sums:
     """Partial sums by pair of groups of a language, as dense blocks, sent on when they are many."""
 
-    def __init__(self) -> None:
+    def __init__(self, block: int) -> None:
+        self.block = block
         self.blocks: dict[tuple[str, int, int], np.ndarray] = {}
 
     def of(self, lang: str, bx: int, by: int) -> np.ndarray:
         key = (lang, bx, by)
         if key not in self.blocks:
-            self.blocks[key] = np.zeros((BLOCK, BLOCK), np.int64)
+            self.blocks[key] = np.zeros((self.block, self.block), np.int64)
         return self.blocks[key]
 
     def full(self) -> bool:
-        return len(self.blocks) * BLOCK * BLOCK > HELD
+        return len(self.blocks) * self.block**2 > HELD
 
     def take(self) -> Iterator[pd.DataFrame]:
         for (lang, bx, by), own in self.blocks.items():
             i, j = np.nonzero(own)
             if len(i):
-                yield pd.DataFrame({"lang": lang, "a": bx * BLOCK + i, "b": by * BLOCK + j, "v": own[i, j]})
+                yield pd.DataFrame({"lang": lang, "a": bx * self.block + i, "b": by * self.block + j, "v": own[i, j]})
         self.blocks.clear()
 
 
@@ -126,7 +127,7 @@ def heavy_pairs(heavy: DataFrame) -> DataFrame:
     """heavy (lang, tile, bx, by, g, term, p, p0) -> (lang, a, b, v) with a < b: sums of a tile's differences.
 
     Each tile and pair of blocks holds all groups of both blocks; a row with a null term gives a group's share for terms
-    that it lacks.
+    that it lacks, and as p the number of terms in the tile, since terms that none of these groups holds have no column.
     """
     keys = ["lang", "tile", "bx", "by"]
 
@@ -136,22 +137,25 @@ def heavy_pairs(heavy: DataFrame) -> DataFrame:
         g = frame["g"].to_numpy()
         p = np.zeros((2 * BLOCK, len(terms)), np.int64)
         at = np.where(g // BLOCK == bx, g % BLOCK, BLOCK + g % BLOCK)
-        p[at[column < 0]] = frame["p0"].to_numpy()[column < 0, None]
-        own = column >= 0
-        p[at[own], column[own]] = frame["p"].to_numpy()[own]
+        own, share_of = column >= 0, frame["p"].to_numpy()
+        absent = np.zeros(2 * BLOCK, np.int64)
+        absent[at[~own]] = frame["p0"].to_numpy()[~own]
+        unseen = int(share_of[~own][0]) - len(terms)
+        p[:] = absent[:, None]
+        p[at[own], column[own]] = share_of[own]
         there = np.zeros(2 * BLOCK, bool)
         there[at] = True
         total = sums.of(lang, int(bx), int(by))
         right = np.flatnonzero(there[:BLOCK]) if bx == by else np.flatnonzero(there[BLOCK:])
-        other = p[right] if bx == by else p[BLOCK + right]
+        other, lacking = (p[right], absent[right]) if bx == by else (p[BLOCK + right], absent[BLOCK + right])
         for i in np.flatnonzero(there[:BLOCK]).tolist():
             later = right > i if bx == by else slice(None)
-            total[i, right[later]] += np.abs(other[later] - p[i]).sum(axis=1)
+            total[i, right[later]] += np.abs(other[later] - p[i]).sum(axis=1) + unseen * np.abs(lacking[later] - absent[i])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tickgrid.llm.blocks import runs
 
-        sums = _Sums()
+        sums = _Sums(BLOCK)
         for frame in runs(batches, keys):
             dense(frame, sums)
             if sums.full():
@@ -166,7 +170,7 @@ def light_pairs(postings: DataFrame) -> DataFrame:
     """postings (lang, held array<struct<g, p, p0>>), one row a light term -> corrections (lang, a, b, v) for its pairs of groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        sums = _Sums()
+        sums = _Sums(BLOCK)
         for batch in batches:
             lists = batch.column("held")
             size, start = np.diff(lists.offsets.to_numpy()), lists.offsets.to_numpy()[:-1]
@@ -248,12 +252,13 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     marks = marks.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= terms)
 
     # heavy: terms dealt into tiles, each with all groups of the language
-    heavy = told.where("NOT light").select("lang", "term", "g", "n_groups", "p", "p0")
-    sizes = kept.join(groups.select("lang", "n_groups").distinct(), "lang").groupBy("lang").agg(F.count_if(~light).alias("n_heavy"), F.count_if(light).alias("n_light"))
-    sizes = cut(sizes.withColumn("tiles", F.ceil(F.col("n_heavy") / TILE).cast("int")))
-    heavy = heavy.join(sizes, "lang").withColumn("tile", F.pmod(F.xxhash64("term"), F.col("tiles")).cast("int"))
-    absent = groups.select("lang", F.lit(None).cast("string").alias("term"), "g", "n_groups", F.lit(0).cast("long").alias("p"), "p0").join(sizes.where("tiles > 0"), "lang").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiles = heavy.select("lang", "tile", "g", "n_groups", "term", "p", "p0").unionByName(absent.select("lang", "tile", "g", "n_groups", "term", "p", "p0"))
+    split = kept.join(groups.select("lang", "n_groups").distinct(), "lang").withColumn("light", light)
+    sizes = cut(split.groupBy("lang").agg(F.count_if(~F.col("light")).alias("n_heavy"), F.count_if("light").alias("n_light")).withColumn("tiles", F.ceil(F.col("n_heavy") / TILE).cast("int")))
+    dealt = lambda df: df.where("NOT light").join(sizes, "lang").withColumn("tile", F.pmod(F.xxhash64("term"), F.col("tiles")).cast("int"))
+    columns = ["lang", "tile", "g", "n_groups", "term", "p", "p0"]
+    n_terms = dealt(split).groupBy("lang", "tile").agg(F.count("*").alias("p"))
+    absent = groups.select("lang", F.lit(None).cast("string").alias("term"), "g", "n_groups", "p0").join(n_terms, "lang")
+    tiles = dealt(told).select(*columns).unionByName(absent.select(*columns))
     own_block = F.floor(F.col("g") / BLOCK)
     tiles = tiles.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_groups") - 1) / BLOCK)))).withColumns({"bx": F.least(own_block, F.col("o")), "by": F.greatest(own_block, F.col("o"))})
     tiles = tiles.select("lang", "tile", "bx", "by", "g", "term", "p", "p0")

@@ -53,15 +53,17 @@ def spool(df: DataFrame, name: str, **options) -> DataFrame:
 
 
 @contextlib.contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """While jobs run inside, at most so many rows go to Python at once: whole texts are large rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+def batches_of(spark: SparkSession, rows: int, size: int | None = None) -> Iterator[None]:
+    """While jobs run inside, at most so many rows, and bytes, go to Python at once: whole texts are large rows."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows} | ({"spark.sql.execution.arrow.maxBytesPerBatch": size} if size else {})
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def cut(df: DataFrame) -> DataFrame:

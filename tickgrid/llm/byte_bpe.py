@@ -21,6 +21,7 @@ import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,9 @@ from tickgrid.llm.token_store import same_letters
 from tickgrid.llm.words import numbered
 
 #: Letters that are cut into pre-tokens at once; pre-tokens of the second tier, and bytes in them, that a worker remembers twice over.
-WINDOW, MISSES, MISS_BYTES = 1 << 20, 250_000, 10_000_000
-#: Texts that go to Python at once.
-ROWS = 512
+WINDOW, MISSES, MISS_BYTES = 1 << 21, 250_000, 10_000_000
+#: Texts, and bytes of them, that go to Python at once.
+ROWS, SIZE = 4096, 4 << 20
 #: Keys a bucket of the hash on average.
 PER_BUCKET = 4
 _U = np.uint64
@@ -217,8 +218,7 @@ class Encoder:
             n[missed] = [len(x) for x in lists]
             ends = np.cumsum(n)
             flat = np.repeat(own, n)
-            for i, x in zip(missed, lists, strict=True):
-                flat[ends[i] - len(x) : ends[i]] = x
+            flat[flat < 0] = np.fromiter(chain.from_iterable(lists), np.int64)
             at = number - 1
             to = np.cumsum(n[at])
             out.append(flat[np.repeat(ends[at] - to, n[at]) + np.arange(to[-1])].astype("<u4"))
@@ -304,5 +304,5 @@ def unpacked(rows: DataFrame) -> DataFrame:
 def digests(rows: DataFrame) -> DataFrame:
     """doc_id, n_tokens and digests of ids and decoded bytes, written to the shared folder: few bytes a row."""
     out = rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-    with batches_of(rows.sparkSession, ROWS):
+    with batches_of(rows.sparkSession, ROWS, SIZE):
         return spool(out, "digests")

@@ -730,7 +730,7 @@ def test_pipeline(spark, sf):
     assert told.columns == docs.columns and {r["doc_id"]: r["lang"] for r in told.collect()} == stays
     assert len(stays) > 0.98 * sum(any(c.isalpha() for c in r["text"] or "") for r in docs.collect())
     odd = spark.createDataFrame([(1, docs.where("lang = 'en'").first()["text"], None), (2, docs.where("lang = 'en'").first()["text"], "de"), (3, "42 !!", "en"), (4, None, None)], "doc_id long, text string, lang string")
-    mended = corpus_pipeline.with_language(spark, docs.select("doc_id", "text", "lang").unionByName(odd.select(-F.col("doc_id").alias("doc_id"), "text", "lang")), sf)
+    mended = corpus_pipeline.with_language(spark, docs.select("doc_id", "text", "lang").unionByName(odd.select((-F.col("doc_id")).alias("doc_id"), "text", "lang")), sf)
     assert {r["doc_id"]: r["lang"] for r in mended.where("doc_id < 0").collect()} == {-1: "en", -2: "en"}
     one = corpus_pipeline.one_of_each(spark, told, sf)
     want = {c for _, c, _ in brute_join(told.collect())}

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickgrid.llm.base import batches_of, cut, give_back, spool
+from tickgrid.llm.base import batches_of, cut, give_back, small, spool
 from tickgrid.llm.words import ALPHA, numbered, windows
 
 #: Documents of a language that hold a kept term; ranks of terms that are told; what smoothing adds to a count.
@@ -39,7 +39,7 @@ BILLION = 1_000_000_000
 #: A term is light if at most so many groups, and at most one in so many, hold it.
 LIGHT_MOST, LIGHT_SHARE = 64, 4
 #: Heavy terms a tile and groups a block, of which a dense matrix is made.
-TILE, BLOCK = 1024, 256
+TILE, BLOCK = 256, 256
 #: Numbers of partial sums that a task holds before it sends them on.
 HELD = 1 << 22
 #: Texts that go to Python at once.
@@ -243,7 +243,7 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     own_share = lambda n, total: F.when(F.col("v") > 0, share(n + ADDED, total + F.col("v") * ADDED)).otherwise(0)
     groups = cut(groups.withColumn("p0", own_share(F.lit(0).cast("long"), F.col("total"))))
 
-    told = rows.join(groups, ["lang", "source"]).withColumns({"p": own_share(F.col("n"), F.col("total")), "q": own_share(F.col("n_lang"), F.col("lang_total"))})
+    told = rows.join(small(groups), ["lang", "source"]).withColumns({"p": own_share(F.col("n"), F.col("total")), "q": own_share(F.col("n_lang"), F.col("lang_total"))})
     light = (F.col("in_groups") <= LIGHT_MOST) & (F.col("in_groups") * LIGHT_SHARE <= F.col("n_groups"))
     told = spool(told.select("lang", "source", "term", "g", "n_groups", "p0", "p", "q", light.alias("light")), "shares")
 
@@ -252,9 +252,10 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     marks = marks.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= terms)
 
     # heavy: terms dealt into tiles, each with all groups of the language
-    split = kept.join(groups.select("lang", "n_groups").distinct(), "lang").withColumn("light", light)
+    of_lang = small(cut(groups.select("lang", "n_groups").distinct()))
+    split = kept.join(of_lang, "lang").withColumn("light", light)
     sizes = cut(split.groupBy("lang").agg(F.count_if(~F.col("light")).alias("n_heavy"), F.count_if("light").alias("n_light")).withColumn("tiles", F.ceil(F.col("n_heavy") / TILE).cast("int")))
-    dealt = lambda df: df.where("NOT light").join(sizes, "lang").withColumn("tile", F.pmod(F.xxhash64("term"), F.col("tiles")).cast("int"))
+    dealt = lambda df: df.where("NOT light").join(small(sizes), "lang").withColumn("tile", F.pmod(F.xxhash64("term"), F.col("tiles")).cast("int"))
     columns = ["lang", "tile", "g", "n_groups", "term", "p", "p0"]
     n_terms = dealt(split).groupBy("lang", "tile").agg(F.count("*").alias("p"))
     absent = groups.select("lang", F.lit(None).cast("string").alias("term"), "g", "n_groups", "p0").join(n_terms, "lang")
@@ -271,7 +272,7 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     base = base.select("lang", "g", "p0", F.coalesce("n_light", F.lit(0)).cast("long").alias("n_light"), "of", "others")
 
     pairs = heavy_pairs(tiles).unionByName(light_pairs(postings)).unionByName(own_parts(base)).groupBy("lang", "a", "b").agg(F.sum("v").alias("value"))
-    name = lambda to, c: groups.select("lang", F.col("g").alias(to), F.col("source").alias(c))
+    name = lambda to, c: small(groups).select("lang", F.col("g").alias(to), F.col("source").alias(c))
     both = cut(pairs).select("lang", "value", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("lang", "value", "e.x", "e.y")
     far = both.join(name("x", "source"), ["lang", "x"]).join(name("y", "item"), ["lang", "y"]).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
     return far.withColumn("rank", F.row_number().over(first)).unionByName(marks)

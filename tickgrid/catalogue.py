@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tickgrid.functions import geometry as geo
 from tickgrid.functions import ranks
 from tickgrid.operators import placement, rules, spatial
-from tickgrid.plans.derived import WITH, relation
+from tickgrid.plans.derived import WITH, relation, relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -181,11 +181,14 @@ def model_merge(s, d):
     return flat(rules.second_opinion(own)).select("page_id", "box_id", "is_checked", "confidence", "reasons")
 
 
-@query(DEFAULT_SQL + """, p AS (SELECT *, CAST(t*12 + q%5 AS DOUBLE)/100 AS p, q%3 = 0 AS truth FROM r), u AS (
+@query(DEFAULT_SQL + PAIRS + """, fm AS (SELECT page_id, p_box_id, g_state FROM (SELECT *, row_number() OVER (PARTITION BY page_id, p_box_id ORDER BY g_box_id) AS k FROM m WHERE NOT g_ignore) WHERE k = 1),
+p AS (SELECT r.*, CAST(t*12 + q%5 AS DOUBLE)/100 AS p, g_state AS truth FROM r JOIN fm ON fm.page_id = r.page_id AND fm.p_box_id = r.box_id), u AS (
 SELECT 'both' AS reader, reasons <> '' OR (p > 0.5) <> is_checked AS queued, is_checked = truth AS good FROM p UNION ALL SELECT 'model', p > 0.1 AND p < 0.9, (p >= 0.5) = truth FROM p UNION ALL SELECT 'rules', reasons <> '', is_checked = truth FROM p)
 SELECT reader, count(*) AS graded, sum(CASE WHEN queued THEN 1 ELSE 0 END) AS queue, sum(CASE WHEN NOT queued AND good THEN 1 ELSE 0 END) AS good, sum(CASE WHEN NOT queued AND NOT good THEN 1 ELSE 0 END) AS wrong FROM u GROUP BY reader""")
 def reader_race(s, d):
-    own = ruled(s, d, rules.DEFAULT).withColumns({"p": (F.col("t") * 12 + F.col("q") % 5).cast("double") / 100, "truth": F.col("q") % 3 == 0, "flag": F.size("reasons") > 0})
+    """Three readers on the boxes that have a label: the first, in label order, that a box overlaps enough."""
+    truth = spatial.first_match(pairs(s, d)).select("page_id", F.col("p_box_id").alias("box_id"), F.col("g_is_checked").alias("truth"))
+    own = ruled(s, d, rules.DEFAULT).join(truth, ["page_id", "box_id"]).withColumns({"p": (F.col("t") * 12 + F.col("q") % 5).cast("double") / 100, "flag": F.size("reasons") > 0})
     reader = lambda name, queued, good: F.struct(F.lit(name).alias("reader"), F.expr(queued).alias("queued"), F.expr(good).alias("good"))
     rows = own.select(F.explode(F.array(reader("rules", "flag", "is_checked = truth"), reader("model", "p > 0.1 AND p < 0.9", "(p >= 0.5) = truth"), reader("both", "flag OR (p > 0.5) <> is_checked", "is_checked = truth"))).alias("r")).select("r.*")
     return rows.groupBy("reader").agg(F.count("*").alias("graded"), F.expr("count_if(queued)").alias("queue"), F.expr("count_if(NOT queued AND good)").alias("good"), F.expr("count_if(NOT queued AND NOT good)").alias("wrong"))
@@ -202,7 +205,7 @@ def escalation_replay(s, d):
 
 
 def pairs(s, d):
-    return spatial.candidates(pred(s, d), gold(s, d))
+    return spatial.candidates(*sides(s, d))
 
 
 @query(PAIRS + "SELECT page_id, p_box_id, g_box_id, iou FROM m")
@@ -234,12 +237,15 @@ def false_negatives(s, d):
     return unmatched(gold(s, d).where("NOT ignore"), spatial.greedy_match(pairs(s, d)), "g").select("page_id", "box_id")
 
 
+def sides(s, d) -> tuple[DataFrame, DataFrame]:
+    """Predictions and labels, from one reading of their table."""
+    return relations(s, d, "boxes_pred", "boxes_gold")
+
+
 def scores(s, d):
-    """Counts of each page, from the one row in which its predictions and labels meet."""
-    m = spatial.page_matches(pred(s, d), gold(s, d)).where("size(golds) > 0")
-    n = lambda c: F.size(c).cast("long")
-    held = m.select("page_id", n(F.filter("matched", lambda x: ~x["ignore"])).alias("tp"), (n(F.col("preds")) - n(F.col("matched"))).alias("fp"),
-                    (n(F.filter("golds", lambda g: ~g["ignore"])) - n(F.filter("matched", lambda x: ~x["ignore"]))).alias("fn"), n(F.filter("matched", lambda x: ~x["ignore"] & x["agrees"])).alias("right_state"))
+    """Counts of each page with labels."""
+    n = spatial.match_counts(*sides(s, d)).where("golds > 0")
+    held = n.selectExpr("page_id", "matched - matched_ignored AS tp", "preds - matched AS fp", "golds - ignored - matched + matched_ignored AS fn", "right AS right_state")
     return relation(s, d, "pages_meta").join(held, "page_id")
 
 
@@ -313,26 +319,29 @@ def stratum_pivot(s, d):
     return cards(s, d).groupBy("stratum").pivot("label", ["empty", "filled", "not_a_checkbox", "unsure"]).count().na.fill(0)
 
 
-@query(CARDS + """, f AS (SELECT g.page_id, g.box_id, g.is_checked, g.ignore, max(CASE WHEN c.label = 'filled' THEN 1 WHEN c.label = 'empty' THEN 0 END) AS st, max(CASE WHEN c.label IN ('unsure', 'not_a_checkbox') THEN 1 ELSE 0 END) AS ig
- FROM boxes_gold g LEFT JOIN cards c ON c.page_id = g.page_id AND abs(c.cx - CAST(g.x1+g.x2 AS DOUBLE)/2) + abs(c.cy - CAST(g.y1+g.y2 AS DOUBLE)/2) <= 8 GROUP BY 1, 2, 3, 4)
-SELECT page_id, box_id, CASE WHEN st IS NULL THEN is_checked ELSE st = 1 END AS is_checked, ignore OR ig = 1 AS ignore FROM f""")
+@query(CARDS + """, twice AS (SELECT page_id, point_id, cx, cy, label FROM cards UNION ALL SELECT page_id, box_id + 500, CAST(x1+x2 AS DOUBLE)/2 - 2, CAST(y1+y2 AS DOUBLE)/2 + 1, CASE (q+sk)%4 WHEN 0 THEN 'empty' WHEN 1 THEN 'filled' WHEN 2 THEN 'unsure' ELSE 'not_a_checkbox' END FROM boxes_gold WHERE sk%3 = 0),
+f0 AS MATERIALIZED (SELECT g.page_id, g.box_id, c.point_id, c.label, abs(c.cx - CAST(g.x1+g.x2 AS DOUBLE)/2) + abs(c.cy - CAST(g.y1+g.y2 AS DOUBLE)/2) AS far FROM boxes_gold g JOIN twice c USING (page_id)),
+f AS (SELECT page_id, box_id, max_by(label = 'filled', point_id) FILTER (label IN ('filled', 'empty')) AS st, max_by(label NOT IN ('filled', 'empty'), point_id) AS ig FROM f0 WHERE far <= 8 GROUP BY 1, 2)
+SELECT g.page_id, g.box_id, coalesce(st, is_checked) AS is_checked, coalesce(ig, ignore) AS ignore FROM boxes_gold g LEFT JOIN f USING (page_id, box_id)""")
 def fold_labels(s, d):
-    """Fold card answers into labels: every label within 8 of a card takes its answer."""
-    own, c = gold(s, d).withColumns({"gx": geo.centre()[0], "gy": geo.centre()[1]}), cards(s, d).select(F.col("page_id").alias("cp"), "cx", "cy", "label")
-    hit = own.join(c, (F.col("page_id") == F.col("cp")) & (geo.manhattan(F.col("cx"), F.col("cy"), F.col("gx"), F.col("gy")) <= 8), "left")
-    one = hit.groupBy("page_id", "box_id", "is_checked", "ignore").agg(F.max(F.expr("CASE label WHEN 'filled' THEN 1 WHEN 'empty' THEN 0 END")).alias("st"), F.max(F.coalesce(F.col("label").isin("unsure", "not_a_checkbox"), F.lit(False))).alias("ig"))
-    return one.select("page_id", "box_id", F.when(F.col("st").isNull(), F.col("is_checked")).otherwise(F.col("st") == 1).alias("is_checked"), (F.col("ignore") | F.col("ig")).alias("ignore"))
+    """Fold card answers into labels: of the cards within 8 of a label the last decides; a state clears an ignored label."""
+    mid = lambda a: F.expr(f"CAST({a}1 + {a}2 AS DOUBLE) / 2")
+    again = gold(s, d).where("sk % 3 = 0").select("page_id", (F.col("box_id") + 500).alias("point_id"), (mid("x") - 2).alias("cx"), (mid("y") + 1).alias("cy"), F.expr("CASE (q + sk) % 4 WHEN 0 THEN 'empty' WHEN 1 THEN 'filled' WHEN 2 THEN 'unsure' ELSE 'not_a_checkbox' END").alias("label"))
+    return spatial.folded(gold(s, d).select("page_id", *spatial.BOX, "ignore"), cards(s, d).select(*again.columns).unionByName(again), 8.0).select("page_id", "box_id", "is_checked", "ignore")
 
 
-@query(""", fix AS (SELECT page_id, CAST(x1+x2 AS DOUBLE)/2 + pk%19 AS cx, CAST(y1+y2 AS DOUBLE)/2 - sk%17 AS cy, CASE WHEN pk%7 = 0 THEN 'drop' WHEN pk%5 = 0 THEN 'flip' END AS kind, sk%2 = 0 AS state FROM boxes_gold),
-hit AS (SELECT p.page_id, p.box_id, max(f.kind) FILTER (f.kind = 'drop') AS gone, bool_or(f.state) FILTER (f.kind = 'flip') AS state FROM boxes_pred p JOIN fix f ON p.page_id = f.page_id AND abs(CAST(p.x1+p.x2 AS DOUBLE)/2 - f.cx) <= 14 AND abs(CAST(p.y1+p.y2 AS DOUBLE)/2 - f.cy) <= 14 GROUP BY 1, 2)
-SELECT p.page_id, p.box_id, coalesce(h.state, p.is_checked) AS is_checked, FALSE AS ignore FROM boxes_pred p LEFT JOIN hit h USING (page_id, box_id) WHERE h.gone IS NULL
+@query(""", fix AS (SELECT page_id, 2*(pk%5) AS nth, CAST(x1+x2 AS DOUBLE)/2 + pk%19 AS cx, CAST(y1+y2 AS DOUBLE)/2 - sk%17 AS cy, CASE WHEN pk%7 = 0 THEN 'drop' WHEN pk%5 < 3 THEN 'flip' END AS kind, sk%2 = 0 AS state FROM boxes_gold
+ UNION ALL SELECT page_id, 2*(sk%5) + 1, CAST(x1+x2 AS DOUBLE)/2 + 3, CAST(y1+y2 AS DOUBLE)/2, 'flip', q%2 = 0 FROM boxes_gold WHERE pk%3 = 0),
+h0 AS MATERIALIZED (SELECT p.page_id, p.box_id, f.kind, f.nth, f.state, greatest(abs(CAST(p.x1+p.x2 AS DOUBLE)/2 - f.cx), abs(CAST(p.y1+p.y2 AS DOUBLE)/2 - f.cy)) AS far FROM boxes_pred p JOIN (SELECT * FROM fix WHERE kind IS NOT NULL) f USING (page_id)),
+hit AS (SELECT page_id, box_id, bool_or(kind = 'drop') AS gone, max_by(state, nth) FILTER (kind = 'flip') AS state FROM h0 WHERE far <= 14 GROUP BY 1, 2)
+SELECT p.page_id, p.box_id, coalesce(h.state, p.is_checked) AS is_checked, FALSE AS ignore FROM boxes_pred p LEFT JOIN hit h USING (page_id, box_id) WHERE NOT coalesce(h.gone, FALSE)
 UNION ALL SELECT page_id, box_id + 200, is_checked, FALSE FROM boxes_gold WHERE pk%107 = 0 UNION ALL SELECT page_id, box_id + 300, FALSE, TRUE FROM boxes_gold WHERE pk%109 = 0""")
 def seed_corrections(s, d):
-    """Drop, then flip every box within 14 pixels of a correction on both axes, then add and ignore rows."""
-    g, (cx, cy) = gold(s, d), geo.centre()
-    fix = g.select("page_id", (cx + F.col("pk") % 19).alias("cx"), (cy - F.col("sk") % 17).alias("cy"), F.expr("CASE WHEN pk % 7 = 0 THEN 'drop' WHEN pk % 5 = 0 THEN 'flip' END").alias("kind"), (F.col("sk") % 2 == 0).alias("state"))
-    kept = spatial.corrected(pred(s, d), fix.where("kind IS NOT NULL"), 14.0).select("page_id", "box_id", "is_checked", F.lit(False).alias("ignore"))
+    """Drop, then flip every box within 14 pixels of a correction on both axes (the last flip decides), then add and ignore rows."""
+    (p, g), (cx, cy) = sides(s, d), geo.centre()
+    fix = g.select("page_id", (2 * (F.col("pk") % 5)).alias("at"), (cx + F.col("pk") % 19).alias("cx"), (cy - F.col("sk") % 17).alias("cy"), F.expr("CASE WHEN pk % 7 = 0 THEN 'drop' WHEN pk % 5 < 3 THEN 'flip' END").alias("kind"), (F.col("sk") % 2 == 0).alias("state"))
+    more = g.where("pk % 3 = 0").select("page_id", (2 * (F.col("sk") % 5) + 1).alias("at"), (cx + 3).alias("cx"), cy.alias("cy"), F.lit("flip").alias("kind"), (F.col("q") % 2 == 0).alias("state"))
+    kept = spatial.corrected(p, fix.where("kind IS NOT NULL").unionByName(more), 14.0).select("page_id", "box_id", "is_checked", F.lit(False).alias("ignore"))
     add = g.where("pk % 107 = 0").select("page_id", (F.col("box_id") + 200).alias("box_id"), "is_checked", F.lit(False).alias("ignore"))
     return kept.unionByName(add).unionByName(g.where("pk % 109 = 0").select("page_id", (F.col("box_id") + 300).alias("box_id"), F.lit(False).alias("is_checked"), F.lit(True).alias("ignore")))
 
@@ -428,10 +437,10 @@ def carry_last(s, d):
     return read(s, d, "events").select("event_id", F.last(seen, ignorenulls=True).over(W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)).alias("carried"))
 
 
-@query("SELECT page_id, box_id, CASE WHEN y1 < 20 THEN 5.0 + (y1 - 0)*1.5 ELSE 35.0 + (y1 - 20)*0.75 END AS y FROM boxes_gold")
+@query(", v AS (SELECT page_id, box_id, CAST(2*y1 - 5 AS DOUBLE) AS v FROM boxes_gold) SELECT page_id, box_id, CASE WHEN v <= 0 THEN 5.0 + v*(30.0/1.0) WHEN v < 0.5 THEN 5.0 + v*30.0/0.5 WHEN v < 60 THEN 35.0 + (v - 0.5)*30.0/59.5 WHEN v < 60.25 THEN 65.0 + (v - 60)*5.0/0.25 ELSE 70.0 + (v - 60.25)*(5.0/1.0) END AS y FROM v")
 def piecewise_map(s, d):
-    knots = F.array(*[F.struct(F.lit(a).alias("ty"), F.lit(b).alias("py")) for a, b in ((0.0, 5.0), (20.0, 35.0), (60.0, 65.0))])
-    return gold(s, d).select("page_id", "box_id", geo.piecewise(knots, F.col("y1").cast("double")).alias("y"))
+    knots = F.array(*[F.struct(F.lit(a).alias("ty"), F.lit(b).alias("py")) for a, b in ((0.0, 5.0), (0.5, 35.0), (60.0, 65.0), (60.25, 70.0))])
+    return gold(s, d).select("page_id", "box_id", geo.piecewise(knots, (2 * F.col("y1") - 5).cast("double")).alias("y"))
 
 
 @query("SELECT box_id%2 AS row_id, round(regr_slope(CAST(y1 AS DOUBLE), CAST(x1 AS DOUBLE)), 6) AS slope, round(regr_intercept(CAST(y1 AS DOUBLE), CAST(x1 AS DOUBLE)), 6) AS at_zero FROM boxes_gold GROUP BY box_id%2")

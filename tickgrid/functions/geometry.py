@@ -42,11 +42,14 @@ def image_tokens(w: Column, h: Column, patch: int = 28) -> Column:
 
 
 def piecewise(knots: Column, y: Column) -> Column:
-    """Linear map through knots array<struct<ty, py>> in order, the end slopes carried on outside."""
+    """Linear map through knots array<struct<ty, py>> in order; outside, the end slopes carry on, over runs held at one at least."""
     n = F.size(knots)
     at = F.greatest(F.lit(1), F.least(n - 1, F.size(F.filter(knots, lambda k: k["ty"] <= y))))
     a, b = F.element_at(knots, at), F.element_at(knots, at + 1)
-    return a["py"] + (y - a["ty"]) * (b["py"] - a["py"]) / (b["ty"] - a["ty"])
+    first, last = F.element_at(knots, 1), F.element_at(knots, -1)
+    run, rise = b["ty"] - a["ty"], b["py"] - a["py"]
+    slope = rise / F.greatest(F.lit(1.0), run)
+    return F.when(y <= first["ty"], first["py"] + (y - first["ty"]) * slope).when(y >= last["ty"], last["py"] + (y - last["ty"]) * slope).otherwise(a["py"] + (y - a["ty"]) * rise / run)
 
 
 def lenient_json(text: Column, schema: str) -> Column:
@@ -56,10 +59,10 @@ def lenient_json(text: Column, schema: str) -> Column:
 
 
 def verdict(reply: Column) -> Column:
-    """A reader's verdict in a reply, with the defaults for what it leaves out; null for a reply without one."""
+    """A reader's verdict in a reply, with the defaults for what it leaves out but for ``filled``, which then is null; null for a reply without one."""
     d = lenient_json(reply, "is_checkbox boolean, filled boolean, confidence double, why string")
     return F.when(d.isNotNull(), F.struct(
-        F.coalesce(d["is_checkbox"], F.lit(False)).alias("is_checkbox"), F.coalesce(d["filled"], F.lit(False)).alias("filled"),
+        F.coalesce(d["is_checkbox"], F.lit(False)).alias("is_checkbox"), d["filled"].alias("filled"),
         F.coalesce(d["confidence"], F.lit(0.5)).alias("confidence"), F.substring(F.coalesce(d["why"], F.lit("")), 1, 120).alias("why"),
     ))
 

@@ -1,4 +1,4 @@
-"""Spatial joins. Every join has the page as an equality key, with the distance as its residual condition."""
+"""Spatial joins. All meet in cells of a grid on the page; what is chosen one by one is chosen in rounds over all pages."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickgrid.functions.geometry import iou
+from tickgrid.functions.lineage import cut
+from tickgrid.operators import grid
 
 BOX = ("box_id", "x1", "y1", "x2", "y2", "is_checked")
 
@@ -21,43 +23,39 @@ def prefixed(df: DataFrame, prefix: str, *extra: str) -> DataFrame:
 
 def candidates(pred: DataFrame, gold: DataFrame, least: float = 0.5) -> DataFrame:
     """Pairs on one page with IoU of at least ``least``."""
-    both = prefixed(pred, "p_").join(prefixed(gold, "g_", "ignore"), "page_id")
-    return both.withColumn("iou", iou("p_", "g_")).where((F.col("iou") >= least) & (F.col("iou") > 0))
-
-
-def one_to_one(sorted_pairs: Column, p: str, g: str) -> Column:
-    """Of an array of pairs in order, those whose two ends no earlier chosen pair has: one fold, with no Python."""
-    none = F.filter(sorted_pairs, lambda x: F.lit(False))
-    free = lambda acc, x: ~F.exists(acc, lambda k: (k[p] == x[p]) | (k[g] == x[g]))
-    return F.aggregate(sorted_pairs, none, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
+    both = grid.overlapping(prefixed(pred, "p_"), prefixed(gold, "g_", "ignore"), "p_", "g_", least)
+    return both.withColumn("iou", iou("p_", "g_")).where(F.col("iou") >= least)
 
 
 def greedy_match(pairs: DataFrame) -> DataFrame:
-    """One-to-one pairs, largest IoU first, then prediction and label order, page by page: one exchange on the page."""
-    rest = [c for c in pairs.columns if c not in ("page_id", "iou", "p_box_id", "g_box_id")]
-    row = F.struct((-F.col("iou")).alias("_far"), "p_box_id", "g_box_id", "iou", *rest)
-    chosen = pairs.groupBy("page_id").agg(F.sort_array(F.collect_list(row)).alias("all")).select("page_id", F.explode(one_to_one(F.col("all"), "p_box_id", "g_box_id")).alias("m"))
-    return chosen.select(*["page_id" if c == "page_id" else f"m.{c}" for c in pairs.columns])
-
+    """One-to-one pairs, largest IoU first, then prediction and label order.
 
-def page_matches(pred: DataFrame, gold: DataFrame, least: float = 0.5) -> DataFrame:
-    """A row per page: preds and golds (arrays of boxes) and matched (pairs p_box_id, g_box_id, agrees, ignore).
-
-    Both sides meet in one exchange on the page, and pairs, the greedy choice and all counts follow from that row.
+    Pairs that share no end with another are chosen at once. A pair that comes first among those of both its ends is chosen
+    whatever else is, so each round takes all such pairs of all pages and drops the others with one of their ends: the
+    rounds end with the longest chain of ever better pairs. No page is gathered into a row.
     """
-    side = lambda df, g: df.select("page_id", F.lit(g).alias("gold"), *BOX, (F.coalesce("ignore", F.lit(False)) if g else F.lit(False)).alias("ignore"))
-    box = lambda g: F.collect_list(F.when(F.col("gold") == g, F.struct(*BOX, "ignore")))
-    pages = side(pred, False).unionByName(side(gold, True)).groupBy("page_id").agg(box(False).alias("preds"), box(True).alias("golds"))
-
-    def pair(p: Column, g: Column) -> Column:
-        both = F.greatest(F.lit(0), F.least(p["x2"], g["x2"]) - F.greatest(p["x1"], g["x1"])) * F.greatest(F.lit(0), F.least(p["y2"], g["y2"]) - F.greatest(p["y1"], g["y1"]))
-        either = (p["x2"] - p["x1"]) * (p["y2"] - p["y1"]) + (g["x2"] - g["x1"]) * (g["y2"] - g["y1"]) - both
-        share = F.when(both > 0, both.cast("double") / either.cast("double")).otherwise(F.lit(0.0))
-        return F.struct((-share).alias("far"), p["box_id"].alias("p_box_id"), g["box_id"].alias("g_box_id"), (p["is_checked"] == g["is_checked"]).alias("agrees"), g["ignore"].alias("ignore"))
-
-    every = F.flatten(F.transform("preds", lambda p: F.transform("golds", lambda g: pair(p, g))))
-    found = F.array_sort(F.filter(every, lambda x: (x["far"] <= -least) & (x["far"] < 0)))
-    return pages.withColumn("pairs", found).select("page_id", "preds", "golds", one_to_one(F.col("pairs"), "p_box_id", "g_box_id").alias("matched"))
+    order = (F.desc("iou"), F.asc("p_box_id"), F.asc("g_box_id"))
+    of_p, of_g = W.partitionBy("page_id", "p_box_id"), W.partitionBy("page_id", "g_box_id")
+    split = lambda df: (df.where("_taken").drop("_taken"), df.where("NOT _taken").drop("_taken"))
+    alone = pairs.withColumn("_taken", F.count("*").over(of_p) == 1).withColumn("_taken", F.col("_taken") & (F.count("*").over(of_g) == 1))
+    chosen, rest = split(cut(alone))
+    while not rest.isEmpty():
+        own = rest.withColumn("_p", F.row_number().over(of_p.orderBy(*order))).withColumn("_g", F.row_number().over(of_g.orderBy(*order)))
+        own = own.withColumn("_taken", (F.col("_p") == 1) & (F.col("_g") == 1)).withColumn("_lost", F.bool_or("_taken").over(of_g))
+        own = own.withColumn("_lost", F.bool_or("_taken").over(of_p) | F.col("_lost")).where("_taken OR NOT _lost")
+        taken, rest = split(cut(own.select(*pairs.columns, "_taken")))
+        chosen = chosen.unionByName(taken)
+    return chosen
+
+
+def match_counts(pred: DataFrame, gold: DataFrame, least: float = 0.5) -> DataFrame:
+    """A row per page with counts: preds, golds, ignored (labels), matched, matched_ignored, and right (matched, not ignored, same state)."""
+    m = greedy_match(candidates(pred, gold, least))
+    counts = ("preds", "golds", "ignored", "matched", "matched_ignored", "right")
+    row = lambda df, **n: df.select("page_id", *[F.coalesce(n.get(c, F.lit(0)).cast("long"), F.lit(0)).alias(c) for c in counts])
+    ignore, g_ignore = F.coalesce("ignore", F.lit(False)), F.coalesce("g_ignore", F.lit(False))
+    told = row(pred, preds=F.lit(1)).unionByName(row(gold, golds=F.lit(1), ignored=ignore)).unionByName(row(m, matched=F.lit(1), matched_ignored=g_ignore, right=~g_ignore & (F.col("p_is_checked") == F.col("g_is_checked"))))
+    return told.groupBy("page_id").agg(*[F.sum(c).alias(c) for c in counts])
 
 
 def first_match(pairs: DataFrame) -> DataFrame:
@@ -65,19 +63,42 @@ def first_match(pairs: DataFrame) -> DataFrame:
     return pairs.where("NOT g_ignore").withColumn("_r", F.row_number().over(W.partitionBy("page_id", "p_box_id").orderBy("g_box_id"))).where("_r = 1").drop("_r")
 
 
-def near(points: DataFrame, boxes: DataFrame, radius: float, how: str = "left", page: str = "page_id") -> DataFrame:
+def centres(boxes: DataFrame, *extra: str) -> DataFrame:
+    """page_id, the boxes' columns with b_ before them, and the centre (_x, _y)."""
+    return prefixed(boxes, "b_", *extra).withColumns({"_x": middle_of("b_", "x"), "_y": middle_of("b_", "y")})
+
+
+def middle_of(prefix: str, axis: str) -> Column:
+    return (F.col(f"{prefix}{axis}1") + F.col(f"{prefix}{axis}2")).cast("double") / 2
+
+
+def near(points: DataFrame, boxes: DataFrame, radius: float, how: str = "left") -> DataFrame:
     """The first box in reading order whose centre lies within the L1 radius (exclusive) of a point (point_id, cx, cy)."""
-    own = boxes.select(F.col(page).alias("_page"), *[F.col(c).alias("b_" + c) for c in BOX], ((F.col("x1") + F.col("x2")).cast("double") / 2).alias("_x"), ((F.col("y1") + F.col("y2")).cast("double") / 2).alias("_y"))
-    hit = points.join(own, (F.col(page) == F.col("_page")) & (F.abs(F.col("cx") - F.col("_x")) + F.abs(F.col("cy") - F.col("_y")) < radius), how)
-    order = W.partitionBy(page, "point_id").orderBy("b_y1", "b_x1", "b_box_id")
-    return hit.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "_page", "_x", "_y")
+    hit = grid.within(points.select("page_id", "point_id", "cx", "cy"), centres(boxes), "cx", "cy", "_x", "_y", radius, closed=False)
+    first = hit.groupBy("page_id", "point_id").agg(F.min(F.struct("b_y1", "b_x1", "b_box_id", *[c for c in ("b_x2", "b_y2", "b_is_checked")])).alias("_b"))
+    first = first.select("page_id", "point_id", *[F.col(f"_b.b_{c}").alias(f"b_{c}") for c in BOX])
+    return points.join(first, ["page_id", "point_id"], how)
 
 
-def nearest(points: DataFrame, boxes: DataFrame, most: Column) -> DataFrame:
-    """The nearest box by L1 for each point, null beyond ``most``: there a square() around the point stands in."""
-    own = boxes.select("page_id", F.col("box_id").alias("b_box_id"), ((F.col("x1") + F.col("x2")).cast("double") / 2).alias("_x"), ((F.col("y1") + F.col("y2")).cast("double") / 2).alias("_y"))
+def nearest(points: DataFrame, boxes: DataFrame, most: Column, start: float = 33.0) -> DataFrame:
+    """The nearest box by L1 for each point, null beyond ``most``: there a square() around the point stands in.
+
+    Points look in rings: those without a box within the radius look again within four times that, until each has found
+    one; points on pages without boxes have none.
+    """
+    own = centres(boxes).select("page_id", "b_box_id", "_x", "_y")
     far = F.abs(F.col("cx") - F.col("_x")) + F.abs(F.col("cy") - F.col("_y"))
-    best = points.join(own, "page_id", "left").withColumn("far", far).groupBy("page_id", "point_id").agg(F.min(F.struct("far", "b_box_id")).alias("m"))
+    able = points.select("page_id", "point_id", "cx", "cy").join(own.select("page_id").distinct(), "page_id", "left_semi")
+    found, open_, radius = None, able, start
+    while True:
+        met = grid.within(open_, own, "cx", "cy", "_x", "_y", radius).groupBy("page_id", "point_id").agg(F.min(F.struct(far.alias("far"), "b_box_id")).alias("m"))
+        told = cut(open_.join(met, ["page_id", "point_id"], "left"))
+        hit = told.where("m IS NOT NULL").select("page_id", "point_id", "m")
+        found = hit if found is None else found.unionByName(hit)
+        open_, radius = told.where("m IS NULL").drop("m"), radius * 4
+        if open_.isEmpty():
+            break
+    best = points.select("page_id", "point_id").join(found, ["page_id", "point_id"], "left")
     return best.select("page_id", "point_id", F.when(F.col("m.far") <= most, F.col("m.b_box_id")).alias("box_id"), F.col("m.far").alias("far"))
 
 
@@ -87,24 +108,37 @@ def square(cx: Column, cy: Column, side: Column) -> list[Column]:
     return [(v + sign * half).cast("long").alias(name) for name, v, sign in (("x1", cx, -1), ("y1", cy, -1), ("x2", cx, 1), ("y2", cy, 1))]
 
 
+def as_points(boxes: DataFrame) -> DataFrame:
+    return boxes.withColumns({"point_id": F.col("box_id"), "_ax": middle_of("", "x"), "_ay": middle_of("", "y")})
+
+
 def apart(boxes: DataFrame, others: DataFrame, most: float) -> DataFrame:
     """Boxes whose centre is further than ``most`` by L1 from all others of the page."""
-    mid = lambda df, p: df.select("page_id", ((F.col("x1") + F.col("x2")).cast("double") / 2).alias(f"{p}x"), ((F.col("y1") + F.col("y2")).cast("double") / 2).alias(f"{p}y"))
-    own = boxes.withColumns({"_ax": (F.col("x1") + F.col("x2")).cast("double") / 2, "_ay": (F.col("y1") + F.col("y2")).cast("double") / 2})
-    far = mid(others, "_b").withColumnRenamed("page_id", "_page")
-    return own.join(far, (F.col("page_id") == F.col("_page")) & (F.abs(F.col("_ax") - F.col("_bx")) + F.abs(F.col("_ay") - F.col("_by")) <= most), "left_anti").drop("_ax", "_ay")
+    own = others.select("page_id", middle_of("", "x").alias("_bx"), middle_of("", "y").alias("_by"))
+    return grid.within(as_points(boxes), own, "_ax", "_ay", "_bx", "_by", most, how="left_anti").drop("point_id", "_ax", "_ay")
 
 
 def corrected(boxes: DataFrame, fixes: DataFrame, most: float) -> DataFrame:
-    """boxes after corrections (page_id, cx, cy, kind drop or flip, state), each for all boxes within ``most`` on both axes.
+    """boxes after corrections (page_id, at, cx, cy, kind drop or flip, state), each for all boxes within ``most`` on both axes.
 
-    Drops come first; where flips of one box differ, it is checked.
+    Drops come first; of several flips of one box the last, by ``at``, decides.
     """
-    mid = lambda a: (F.col(f"b.{a}1") + F.col(f"b.{a}2")).cast("double") / 2
-    near = (F.col("b.page_id") == F.col("f.page_id")) & (F.abs(mid("x") - F.col("f.cx")) <= most) & (F.abs(mid("y") - F.col("f.cy")) <= most)
-    hit = boxes.alias("b").join(fixes.alias("f"), near).groupBy("b.page_id", "b.box_id").agg(F.expr("bool_or(f.kind = 'drop')").alias("_gone"), F.expr("max(CASE WHEN f.kind = 'flip' THEN f.state END)").alias("_state"))
+    hit = grid.within(as_points(boxes).select("page_id", "box_id", "_ax", "_ay"), fixes, "_ax", "_ay", "cx", "cy", most, metric="axes")
+    hit = hit.groupBy("page_id", "box_id").agg(F.bool_or(F.col("kind") == "drop").alias("_gone"), F.max(F.when(F.col("kind") == "flip", F.struct("at", "state"))).alias("_flip"))
     out = boxes.join(hit, ["page_id", "box_id"], "left").where("NOT coalesce(_gone, false)")
-    return out.withColumn("is_checked", F.coalesce("_state", "is_checked")).select(*boxes.columns)
+    return out.withColumn("is_checked", F.coalesce("_flip.state", "is_checked")).select(*boxes.columns)
+
+
+def folded(labels: DataFrame, cards: DataFrame, most: float) -> DataFrame:
+    """labels with the answers of the cards (page_id, point_id, cx, cy, label) within ``most`` by L1, in the order of point_id.
+
+    The last filled or empty gives the state; the last answer of all says whether the label is ignored: a state clears it.
+    """
+    at = as_points(labels).select("page_id", "box_id", "_ax", "_ay")
+    state = F.when(F.col("label").isin("filled", "empty"), F.struct("point_id", (F.col("label") == "filled").alias("v")))
+    hit = grid.within(at, cards, "_ax", "_ay", "cx", "cy", most).groupBy("page_id", "box_id").agg(F.max(state).alias("_state"), F.max(F.struct("point_id", (~F.col("label").isin("filled", "empty")).alias("v"))).alias("_last"))
+    out = labels.join(hit, ["page_id", "box_id"], "left")
+    return out.withColumns({"is_checked": F.coalesce("_state.v", "is_checked"), "ignore": F.coalesce("_last.v", "ignore")}).select(*labels.columns)
 
 
 def page_lists(boxes: DataFrame, *order: Column) -> DataFrame:
@@ -118,13 +152,29 @@ def middle(b: Column, axis: str) -> Column:
 
 
 def dedupe(boxes: DataFrame, tolerance: float) -> DataFrame:
-    """First-wins: a box stays if its centre is further than the L1 tolerance from all kept boxes of the page, in box order."""
+    """First-wins: a box stays if its centre is further than the L1 tolerance from all kept boxes of the page, in box order.
 
-    def far(a: Column, b: Column) -> Column:
-        return F.abs(middle(a, "x") - middle(b, "x")) + F.abs(middle(a, "y") - middle(b, "y")) > tolerance
-
-    kept = F.aggregate("all", F.filter("all", lambda b: F.lit(False)), lambda acc, b: F.when(F.forall(acc, lambda k: far(k, b)), F.concat(acc, F.array(b))).otherwise(acc))
-    return page_lists(boxes, F.col("box_id")).select("page_id", F.explode(kept).alias("b")).select(*["page_id" if c == "page_id" else f"b.{c}" for c in boxes.columns])
+    The boxes that stay are the first maximal independent set of the graph of near boxes. Each round keeps all boxes whose
+    near ones all come later, and these fall; rounds end when no box is open, after the longest chain of boxes that wait for
+    each other. Boxes on one centre share their fate but for the first, so only that one is in the graph. Repeated box ids
+    of a page are told apart by their corners.
+    """
+    own = boxes.withColumns({"_x": middle_of("", "x"), "_y": middle_of("", "y"), "_k": F.struct("box_id", "x1", "y1", "x2", "y2")})
+    first = own.groupBy("page_id", "_x", "_y").agg(F.min("_k").alias("_k"))
+    node = lambda p: first.select("page_id", F.col("_k").alias(p), F.col("_x").alias(f"{p}x"), F.col("_y").alias(f"{p}y"))
+    edges = cut(grid.within(node("a"), node("b"), "ax", "ay", "bx", "by", tolerance, extra=F.col("a") < F.col("b")).select("page_id", "a", "b"))
+    gone = None
+    while not edges.isEmpty():
+        end = lambda df, c: df.select("page_id", F.col(c).alias("_e")).distinct()
+        stays = end(edges, "a").join(end(edges, "b"), ["page_id", "_e"], "left_anti").withColumnRenamed("_e", "a")
+        fell = cut(edges.join(stays, ["page_id", "a"]).select("page_id", F.col("b").alias("_k")).distinct())
+        gone = fell if gone is None else gone.unionByName(fell)
+        for c in ("b", "a"):
+            edges = edges.join(fell.withColumnRenamed("_k", c), ["page_id", c], "left_anti")
+        edges = cut(edges.select("page_id", "a", "b"))
+    kept = own.join(first.select("page_id", "_k"), ["page_id", "_k"], "left_semi")
+    kept = kept if gone is None else kept.join(gone, ["page_id", "_k"], "left_anti")
+    return kept.dropDuplicates(["page_id", "_x", "_y", "_k"]).select(*boxes.columns)
 
 
 def row_clusters(boxes: DataFrame, tolerance: float) -> DataFrame:

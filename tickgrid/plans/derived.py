@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickgrid.functions.lineage import cut
+
 BOX_BASE = """SELECT l_orderkey AS page_id, l_linenumber AS ln, MIN(l_partkey) AS pk, MIN(l_suppkey) AS sk,
   CAST(MIN(l_quantity) AS INT) AS q, CAST(ROUND(MIN(l_discount) * 100) AS INT) AS d, CAST(ROUND(MIN(l_tax) * 100) AS INT) AS t
 FROM lineitem GROUP BY l_orderkey, l_linenumber"""
@@ -35,3 +37,14 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in held:
         sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}")
     return spark.sql(sql, **held)
+
+
+def relations(spark: SparkSession, sf_dir: str, *names: str) -> tuple[DataFrame, ...]:
+    """Several relations of boxes from one box_base, which is read and aggregated once and cut."""
+    base = cut(relation(spark, sf_dir, "box_base"))
+    out = []
+    for name in names:
+        needed = [n for n in ("boxes_gold", "boxes_pred") if name == "boxes_pred" or n == name]
+        ctes = ", ".join(f"{n} AS ({ALL[n]})" for n in needed[:-1])
+        out.append(spark.sql(((f"WITH {ctes} " if ctes else "") + ALL[name]).replace("FROM box_base", "FROM {box_base}"), box_base=base))
+    return tuple(out)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickgrid.catalogue import BOTH, CARDS, CONSENSUS, COUNTS, DEFAULT_SQL, RATED, SCORES, SUMS, TELEMETRY, cards, consensus, flat, flags, gold, pred, query, rated, read, ruled, scores, told
+from tickgrid.catalogue import BOTH, CARDS, CONSENSUS, COUNTS, DEFAULT_SQL, PAIRS, RATED, SCORES, SUMS, TELEMETRY, cards, consensus, flat, flags, gold, pred, query, rated, read, ruled, scores, sides, told
 from tickgrid.functions import geometry as geo
 from tickgrid.functions import ranks
 from tickgrid.operators import rules, spatial
@@ -27,7 +27,7 @@ cw AS (SELECT page_id, k, [p_box_id] AS ps, [g_box_id] AS gs, TRUE AS taken, p_b
 
 
 def crowded(s, d) -> tuple[DataFrame, DataFrame]:
-    g, p = gold(s, d), pred(s, d)
+    p, g = sides(s, d)
     moved = lambda df, by, dx, dy: df.withColumns({"box_id": F.col("box_id") + by, **{c: F.col(c) + dx for c in ("x1", "x2")}, **{c: F.col(c) + dy for c in ("y1", "y2")}})
     twins = moved(g.where("pk % 3 = 0"), 500, 4, 0).withColumns({"is_checked": ~F.col("is_checked"), "ignore": F.lit(False)})
     return p.unionByName(moved(p.where("pk % 2 = 0"), 700, -3, 1)), g.unionByName(twins)
@@ -42,7 +42,7 @@ def contended_match(s, d):
 def contended_counts(s, d):
     """The page-level pass on the crowded relation, with the number of pages on which a prediction had a choice."""
     p, g = crowded(s, d)
-    pages = spatial.page_matches(p, g).agg(F.sum(F.size("preds") - F.size("matched")).alias("fp"), F.sum(F.size("golds") - F.size("matched")).alias("unmatched_labels"), F.sum(F.size("matched")).alias("matched"))
+    pages = spatial.match_counts(p, g).agg(F.sum(F.col("preds") - F.col("matched")).alias("fp"), F.sum(F.col("golds") - F.col("matched")).alias("unmatched_labels"), F.sum("matched").alias("matched"))
     many = spatial.candidates(p, g).groupBy("page_id", "p_box_id").count().where("count > 1").agg(F.count_distinct("page_id").alias("contended_pages"))
     return pages.crossJoin(many)
 
@@ -208,14 +208,6 @@ def labelled_reasons(s, d):
     return told(s, d).select(F.explode("reasons").alias("reason")).select(geo.human(F.col("reason"), REASONS).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'small' AS model, CAST(16*1*3*3 + 16 + 32*16*3*3 + 32 + 64*32 + 64 + 2*64 + 2 AS BIGINT) AS parameters")
-def parameter_count(s, d):
-    """Sum of the products of a model's tensor sizes."""
-    shapes = [("small", x) for x in ([16, 1, 3, 3], [16], [32, 16, 3, 3], [32], [64, 32], [64], [2, 64], [2])]
-    own = s.createDataFrame(shapes, "model string, dims array<long>")
-    return own.groupBy("model").agg(F.sum(F.aggregate("dims", F.lit(1).cast("long"), lambda a, x: a * x)).alias("parameters"))
-
-
 # cards
 
 POOLS = DEFAULT_SQL + """, z AS (SELECT r.page_id, r.box_id, CASE WHEN reasons <> '' OR (ink > 0.03 AND ink < 0.35) THEN 'ambiguous' WHEN ink > 0.35 THEN 'anchor-filled' WHEN ink < 0.02 THEN 'anchor-empty' END AS pool, y1, x1 FROM r JOIN boxes_gold g USING (page_id, box_id)),
@@ -233,11 +225,15 @@ def card_pools(s, d):
     return own.withColumn("pool", pool).where("pool IS NOT NULL").withColumn("n", F.row_number().over(order)).where("n <= 4").select("page_id", "box_id", "pool")
 
 
-@query(CARDS + "SELECT page_id, point_id, b_box_id AS box_id, b_is_checked AS is_checked FROM hit WHERE k = 1 AND b_box_id IS NOT NULL AND label IN ('empty', 'filled') AND NOT misclick")
+@query(CARDS + PAIRS + """, bm AS (SELECT * FROM boxes_pred SEMI JOIN (SELECT page_id, p_box_id AS box_id FROM m WHERE NOT g_ignore) USING (page_id, box_id)),
+hm AS (SELECT c.page_id, c.point_id, p.box_id, p.is_checked, row_number() OVER (PARTITION BY c.page_id, c.point_id ORDER BY p.y1, p.x1, p.box_id) AS k FROM cards c JOIN bm p ON p.page_id = c.page_id AND abs(c.cx - CAST(p.x1+p.x2 AS DOUBLE)/2) + abs(c.cy - CAST(p.y1+p.y2 AS DOUBLE)/2) < 18 WHERE label IN ('empty', 'filled') AND stratum = 'hard-real')
+SELECT page_id, point_id, box_id, is_checked FROM hm WHERE k = 1""")
 def hard_cards_matched(s, d):
-    """Hard cards with the first box near them; a card without one is skipped."""
-    hard = cards(s, d).where("label IN ('empty', 'filled') AND NOT misclick")
-    return spatial.near(hard, pred(s, d), 18, how="inner").select("page_id", "point_id", F.col("b_box_id").alias("box_id"), F.col("b_is_checked").alias("is_checked"))
+    """Hard cards of real pages with the first box near them of those that have a label; a card without one is skipped."""
+    p, g = sides(s, d)
+    labelled = spatial.first_match(spatial.candidates(p, g)).select("page_id", F.col("p_box_id").alias("box_id"))
+    hard = cards(s, d).where("label IN ('empty', 'filled') AND stratum = 'hard-real'")
+    return spatial.near(hard, p.join(labelled, ["page_id", "box_id"], "left_semi"), 18, how="inner").select("page_id", "point_id", F.col("b_box_id").alias("box_id"), F.col("b_is_checked").alias("is_checked"))
 
 
 @query(CARDS + ", booth AS (SELECT 'c' || page_id || '-' || box_id AS id, CASE q%4 WHEN 0 THEN 'E' WHEN 1 THEN 'F' WHEN 2 THEN 'U' ELSE 'N' END AS code FROM boxes_gold WHERE pk%2 = 0) SELECT 'c' || page_id || '-' || point_id AS id, stratum, CASE code WHEN 'E' THEN 'empty' WHEN 'F' THEN 'filled' WHEN 'U' THEN 'unsure' ELSE 'not_a_checkbox' END AS answer FROM cards JOIN booth ON id = 'c' || page_id || '-' || point_id")
@@ -249,7 +245,7 @@ def booth_answers(s, d):
     return cards(s, d).withColumn("id", name("page_id", "point_id")).join(answers, "id").select("id", "stratum", meaning[F.col("code")].alias("answer"))
 
 
-@query(", kept AS (SELECT * FROM boxes_pred WHERE pk%3 <> 0) SELECT a.page_id, a.box_id FROM boxes_pred a ANTI JOIN kept k ON k.page_id = a.page_id AND abs(CAST(a.x1+a.x2 AS DOUBLE)/2 - CAST(k.x1+k.x2 AS DOUBLE)/2) + abs(CAST(a.y1+a.y2 AS DOUBLE)/2 - CAST(k.y1+k.y2 AS DOUBLE)/2) <= 4")
+@query(", near AS MATERIALIZED (SELECT a.page_id, a.box_id, abs(CAST(a.x1+a.x2 AS DOUBLE)/2 - CAST(k.x1+k.x2 AS DOUBLE)/2) + abs(CAST(a.y1+a.y2 AS DOUBLE)/2 - CAST(k.y1+k.y2 AS DOUBLE)/2) AS far FROM boxes_pred a JOIN (SELECT * FROM boxes_pred WHERE pk%3 <> 0) k USING (page_id)) SELECT a.page_id, a.box_id FROM boxes_pred a ANTI JOIN (SELECT page_id, box_id FROM near WHERE far <= 4) n USING (page_id, box_id)")
 def reject_finder(s, d):
     """Candidates of the loose pass that lie apart from every box of the strict one."""
     every = pred(s, d)
@@ -287,10 +283,10 @@ def markdown_rows(s, d):
     return own.select("event_id", F.last(run, ignorenulls=True).over(W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)).alias("run"), F.trim(F.get(cell, F.lit(2))).alias("kind"), total.alias("total"))
 
 
-REPLY = """CASE event_id%4 WHEN 0 THEN 'Sure: {"is_checkbox": true, "filled": false, "confidence": 0.75, "why": "' || repeat('x', CAST(100 + event_id%50 AS INT)) || '"} ok' WHEN 1 THEN '{"filled": true}' WHEN 2 THEN '{"is_checkbox": broken' ELSE 'no answer' END"""
+REPLY = """CASE WHEN event_id%8 = 4 THEN 'I think {"is_checkbox": true, "confidence": 0.75}' WHEN event_id%4 = 0 THEN 'Sure: {"is_checkbox": true, "filled": false, "confidence": 0.75, "why": "' || repeat('x', CAST(100 + event_id%50 AS INT)) || '"} ok' WHEN event_id%4 = 1 THEN '{"filled": true}' WHEN event_id%4 = 2 THEN '{"is_checkbox": broken' ELSE 'no answer' END"""
 
 
-@query("SELECT event_id, event_id%4 = 0 AS is_checkbox, event_id%4 = 1 AS filled, CASE event_id%4 WHEN 0 THEN 0.75 ELSE 0.5 END AS confidence, CASE event_id%4 WHEN 0 THEN repeat('x', CAST(least(120, 100 + event_id%50) AS INT)) ELSE '' END AS why FROM events WHERE event_id%4 <= 1")
+@query("SELECT event_id, event_id%4 = 0 AS is_checkbox, CASE WHEN event_id%8 <> 4 THEN event_id%4 = 1 END AS filled, CASE event_id%4 WHEN 0 THEN 0.75 ELSE 0.5 END AS confidence, CASE event_id%8 WHEN 0 THEN repeat('x', CAST(least(120, 100 + event_id%50) AS INT)) ELSE '' END AS why FROM events WHERE event_id%4 <= 1")
 def lenient_replies(s, d):
     """Verdicts read from chatty replies; a reply without one object in it gives none."""
     own = read(s, d, "events").select("event_id", F.expr(REPLY.replace("VARCHAR", "STRING")).alias("reply"))

@@ -473,14 +473,6 @@ def rotate_labels(s, d):
     return gold(s, d).select("page_id", "box_id", (F.least(*xs) + eps).cast("int").alias("x1"), (F.least(*ys) + eps).cast("int").alias("y1"), F.ceil(F.greatest(*xs) - eps).alias("x2"), F.ceil(F.greatest(*ys) - eps).alias("y2"))
 
 
-@query()
-def registration_best(s, d):
-    """Each page's lines against two forms, by monotone local alignment; the better one wins."""
-    lines = gold(s, d).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct((F.col("box_id") * 50 + F.col("pk") % 7).cast("double").alias("y"), (F.col("q") + 1).cast("double").alias("w")))).alias("page"))
-    forms = s.createDataFrame([("form-a", [(50.0 * i, 20.0) for i in range(1, 8)]), ("form-b", [(35.0 * i * i, 20.0) for i in range(1, 8)])], "form string, template array<struct<y: double, w: double>>")
-    return spatial.best_form(spatial.align_pages(lines.crossJoin(F.broadcast(forms)))).select("page_id", "form", "pairs", "score")
-
-
 ONE_BY_ONE = """, o AS MATERIALIZED (SELECT *, CAST(x1+x2 AS DOUBLE)/2 AS mx, CAST(y1+y2 AS DOUBLE)/2 AS my FROM boxes_pred),
 q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY {order}) AS k FROM o), """
 

@@ -141,7 +141,8 @@ def test_outputs(spark, pages, tmp_path):
     img, b = files.images(spark, f"{tmp_path}/e")[0].first(), spare.first()
     assert tuple(np.frombuffer(img["pixels"], np.uint8).reshape(600, 1500, 3)[b["y1"], b["x1"]]) == outputs.YELLOW
     assert len({r["key"] for r in outputs.crops(one, graded.limit(5)).collect()} - {None}) >= 1
-    lines = [r["line"] for r in outputs.markdown(spark.createDataFrame([("b", 2), ("a", None)], "factor string, n int"), "factor").collect()]
+    outputs.markdown(spark.createDataFrame([("b", 2), ("a", None)], "factor string, n int"), "factor", f"{tmp_path}/report.md")
+    lines = (tmp_path / "report.md").read_text().splitlines()
     assert lines == ["| factor | n |", "| --- | --- |", "| a |  |", "| b | 2 |"]
     outputs.json_report(spark.range(2), f"{tmp_path}/report")
     assert spark.read.json(f"{tmp_path}/report").count() == 2

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickgrid.catalogue import gold, query, read
-from tickgrid.operators import area, sequences, spatial, sweep
+from tickgrid.operators import area, ledger, reader, sequences, spatial, sweep
+from tickgrid.streaming import drift
 
 # lines of pages against forms
 
@@ -89,3 +90,47 @@ def throughput_by_level(s, d):
     start = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
     own = read(s, d, "events").select(F.col("event_id").alias("id"), start.alias("start"), (start + F.round(F.col("value") * 100).cast("long") * 200_000).alias("stop"))
     return sweep.levels(own, slot=3_600_000_000, unit=1_000_000)
+
+
+# votes
+
+VOTED = """, v AS (SELECT event_id//3 AS k, event_id%3 AS who, (user_id + event_id)%9 <> 0 AS is_checkbox, CASE WHEN user_id%7 <> 0 THEN (event_id//3 + user_id//40)%2 = 0 END AS filled, CAST(CAST(round(least(value, 99.99)*100) AS BIGINT) AS DOUBLE)/10000 AS confidence FROM events WHERE event_id%3 <> 1 OR user_id%5 <> 0),
+b AS (SELECT DISTINCT event_id//3 AS k FROM events), n AS (SELECT k, count(*) AS n, min(is_checkbox) = max(is_checkbox) AS sb, min(is_checkbox) AS vb, count(filled) = count(*) AND min(filled) = max(filled) AS sf, min(filled) AS vf, round(min(confidence), 2) AS vc FROM v WHERE who < 2 GROUP BY k),
+j AS (SELECT k, is_checkbox AS jb, filled AS jf, confidence AS jc FROM v WHERE who = 2),
+r AS (SELECT b.k, n.*, j.*, CASE WHEN coalesce(n = 2 AND sb AND sf, FALSE) THEN 'VLM_AGREE' WHEN coalesce(n >= 1 AND jc >= 0.6::DOUBLE, FALSE) THEN 'JUDGED' ELSE 'REVIEW' END AS route FROM b LEFT JOIN n ON n.k = b.k LEFT JOIN j ON j.k = b.k)
+"""
+
+
+@query(VOTED + "SELECT CAST(k AS VARCHAR) AS key, CASE route WHEN 'VLM_AGREE' THEN vb WHEN 'JUDGED' THEN jb ELSE TRUE END AS is_checkbox, CASE route WHEN 'VLM_AGREE' THEN vf WHEN 'JUDGED' THEN jf ELSE k%2 = 0 END AS filled, route, CASE route WHEN 'VLM_AGREE' THEN vc WHEN 'JUDGED' THEN jc ELSE CAST(k%100 AS DOUBLE)/100 END AS confidence FROM r")
+def settled_votes(s, d):
+    """Every third event is a judge, the others are votes on the same crop: agreed, judged, or sent to review."""
+    e = read(s, d, "events")
+    crop = F.floor(F.col("event_id") / 3)
+    state = F.when(F.col("user_id") % 7 != 0, (crop + F.floor(F.col("user_id") / 40)) % 2 == 0)
+    votes = e.where("event_id % 3 <> 1 OR user_id % 5 <> 0").select("event_id", crop.cast("string").alias("key"), ((F.col("user_id") + F.col("event_id")) % 9 != 0).alias("is_checkbox"), state.alias("filled"), (F.round(F.least("value", F.lit(99.99)) * 100).cast("long").cast("double") / 10000).alias("confidence"))
+    boxes = e.select(crop.alias("k")).distinct().select(F.col("k").cast("string").alias("key"), (F.col("k") % 2 == 0).alias("is_checked"), ((F.col("k") % 100).cast("double") / 100).alias("confidence"))
+    return ledger.settle(boxes, votes.where("event_id % 3 < 2"), votes.where("event_id % 3 = 2"))
+
+
+# a trained reader
+
+
+@query()
+def trained_reader(s, d):
+    """Vectors of the first two labels told from the others by a model that never saw the test part or every twentieth vector."""
+    rows = read(s, d, "embeddings").select("vec_id", "embedding", (F.col("label") < 2).cast("double").alias("target"))
+    held = rows.where("vec_id % 20 = 0").select("vec_id")
+    model = reader.fit(rows, held, "vec_id", "embedding", "target", size=64)
+    return reader.score(rows, model, "embedding", size=64).select("vec_id", F.when(F.col("vec_id") % 20 == 0, "held").otherwise(reader.part("vec_id")).alias("part"), "target", "p")
+
+
+# drift
+
+
+@query(f""", o AS MATERIALIZED (SELECT event_type AS corpus, event_id AS id, CASE WHEN value > 60 THEN {drift.UP} ELSE -{drift.DOWN} END AS step, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
+c AS (SELECT corpus, id, k, greatest(0, step) AS level, greatest(0, step) > {drift.LIMIT} AS alarm FROM o WHERE k = 1
+UNION ALL SELECT o.corpus, o.id, o.k, greatest(0, c.level + o.step), greatest(0, c.level + o.step) > {drift.LIMIT} AND c.level <= {drift.LIMIT} FROM c JOIN o ON o.corpus = c.corpus AND o.k = c.k + 1)
+SELECT corpus, id, CAST(level AS BIGINT) AS level, alarm FROM c""")
+def flag_rate_cusum(s, d):
+    """Events above 60 as flagged boxes: the cumulative sum of each type, and where it alarms."""
+    return drift.cusum(read(s, d, "events").select(F.col("event_type").alias("corpus"), "ts", F.col("event_id").alias("id"), (F.col("value") > 60).alias("flagged")))

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -227,21 +224,6 @@ def knots_of(pairs: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return out
 
 
-def align_pages(lines: DataFrame) -> DataFrame:
-    """lines (page_id, form, template array<struct<y, w>>, page array<struct<y, w>>) -> pairs and score, map-only."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for r in b.itertuples():
-                t, p = [(x["y"], x["w"]) for x in r.template], [(x["y"], x["w"]) for x in r.page]
-                pairs = align(t, p)
-                rows.append((r.page_id, r.form, len(pairs), round(len(pairs) / max(3, min(len(t), len(p))), 3), [{"ty": a, "py": b} for a, b in knots_of([(t[i][0], p[j][0]) for i, j in pairs])]))
-            yield pd.DataFrame(rows, columns=["page_id", "form", "pairs", "score", "knots"])
-
-    return lines.select("page_id", "form", "template", "page").mapInPandas(run, "page_id long, form string, pairs int, score double, knots array<struct<ty: double, py: double>>")
-
-
 def best_form(registrations: DataFrame, least_pairs: int = 3, floor: float = 0.35) -> DataFrame:
     """Each page's best registration: enough pairs, a score of the floor or more, ties to the first name."""
     good = registrations.where((F.col("pairs") >= least_pairs) & (F.size("knots") >= 3) & (F.col("score") >= floor))

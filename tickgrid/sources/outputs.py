@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: Fixed values, blue first: marked, empty, any box with a reason; in evaluation missed labels and spare boxes.
@@ -108,18 +108,24 @@ def crops(pages: DataFrame, boxes: DataFrame) -> DataFrame:
     return made.withColumn("key", F.substring(F.sha1("png"), 1, 16))
 
 
-def markdown(report: DataFrame, order: str) -> DataFrame:
-    """A small report (one row a factor or reader) as the lines of a markdown table, in order."""
-    cell = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in report.columns]
-    body = report.select(F.row_number().over(_in_order(order)).alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", *cell), F.lit(" |")).alias("line"))
-    head = [(-1, f"| {' | '.join(report.columns)} |"), (0, "|" + " --- |" * len(report.columns))]
-    return report.sparkSession.createDataFrame(head, "n int, line string").unionByName(body).orderBy("n")
+def markdown(report: DataFrame, order: str, path: str) -> None:
+    """A report as a markdown table at a path, in order."""
+    from tickgrid.sources.markdown import MarkdownTables
 
+    report.sparkSession.dataSource.register(MarkdownTables)
+    report.orderBy(order).write.format("markdown").mode("overwrite").save(path)
 
-def _in_order(order: str):
-    from pyspark.sql import Window
 
-    return Window.orderBy(order)
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """df, and figures that are gathered in the same pass by whatever action runs on it first."""
+    told = Observation(name)
+    return df.observe(told, *[c.alias(k) for k, c in metrics.items()]), told
+
+
+def held(claims: DataFrame) -> DataFrame:
+    """claims (name, stated, measured, holds) as they are; a row that doesn't hold fails whatever reads it, with both figures."""
+    wrong = F.raise_error(F.concat_ws("", F.lit("claim "), "name", F.lit(": stated "), "stated", F.lit(", measured "), F.coalesce("measured", F.lit("nothing"))))
+    return claims.withColumn("holds", F.when(F.coalesce("holds", F.lit(False)), F.lit(True)).otherwise(wrong.cast("boolean")))
 
 
 def json_report(report: DataFrame, path: str) -> None:

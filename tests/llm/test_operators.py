@@ -226,20 +226,20 @@ def test_mixing_reaches_targets(spark, sf):
     assert {r["doc_id"]: r["n_tokens"] for r in rows} == {r["doc_id"]: len((r["text"] or "").split()) for r in docs.collect()}
 
 
-def test_mixing_matches_a_plain_solver():
+def test_every_step_descends_at_least_as_the_plain_gradient(spark):
     r = np.random.default_rng(1)
     p = r.dirichlet([0.4, 0.4, 0.2], 300)
-    n = r.integers(1, 500, 300).astype(float)
-    w, want = n / n.sum(), np.array([0.2, 0.5, 0.3])
-    model = mixing.MixingModel(["a", "b", "c"], None, None)
-    metric = np.linalg.inv((p * w[:, None]).T @ p)
-    model.step = 1 / (1 + mixing.RIDGE)
-    for _ in range(200):
-        model.pulls.append(metric @ (w * model.rates(p)[1] @ p - want))
+    n = r.integers(1, 500, 300)
+    w, want = n / n.sum(), np.array([0.9, 0.07, 0.03])
+    model = mixing.fit_rates(spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, posterior array<double>"), mixing.MixingModel(["clean", "low", "toxic"], None, None), mixing.TARGETS)
+    value = lambda x: ((w * x @ p - want) ** 2).sum() / 2 + mixing.RIDGE / 2 * w @ (x - 1) ** 2
     x = np.ones(300)
-    for _ in range(30_000):
-        x = np.maximum(0, x - model.step * (p @ metric @ (w * x @ p - want) + mixing.RIDGE * (x - 1)))
-    assert np.abs(model.rates(p)[0] - x).max() < 1e-2
+    for length, pull in model.steps:
+        slope = p @ (w * x @ p - want) + mixing.RIDGE * (x - 1)
+        plain = np.maximum(0, x - slope / (1 + mixing.RIDGE))
+        x = mixing.stepped(x, p, length, pull)
+        assert (x >= 0).all() and value(x) <= value(plain) + 1e-15
+    assert 0 < len(model.steps) < 60 and (x == model.rates(p)).all() and (x == 0).any()
 
 
 def test_mixing_keeps_labelled_domains(spark):
@@ -275,7 +275,7 @@ def test_fit_rates_reaches_the_minimum(spark, spread, most):
         ahead = x + (past - 1) / t * (x - before)
     pull = p @ (w * x @ p - want) + mixing.RIDGE * (x - 1)
     assert np.abs(x - np.maximum(0, x - pull)).max() < 1e-6  # the plain solver has settled
-    rate = model.rates(p)[0]
+    rate = model.rates(p)
     assert np.abs(rate @ (p * w[:, None]) - x @ (p * w[:, None])).max() < 1e-4 and np.sqrt(w @ (rate - x) ** 2) < 2e-3
     assert np.abs(model.reached - rate @ (p * w[:, None])).max() < 1e-6
 
@@ -284,6 +284,8 @@ def test_mixing_odd(spark, odd, sf):
     none = table(spark, sf, "labels").limit(0)
     out, model = mixing.mix(odd, none, mixing.domain_of_labels(), mixing.TARGETS)
     assert model is None and {r["copies"] for r in out.collect()} == {1}
+    blank = spark.createDataFrame([(1, None), (2, ""), (3, "\n a b"), (4, " \xa0 "), (5, "x\u3000y\x1cz \t")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_tokens"] for r in mixing.mix(blank, none, mixing.domain_of_labels(), mixing.TARGETS)[0].collect()} == {1: 0, 2: 0, 3: 2, 4: 0, 5: 3}
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 0), (2, None, None)], "doc_id long, quality int, toxic int")
     out, _ = mixing.mix(odd, labels, mixing.domain_of_labels(), mixing.TARGETS)
     got = rows_of(out)

@@ -10,14 +10,19 @@ Document rates r >= 0 are then the minimum of
     1/2 |e|^2 + RIDGE/2 sum_i w_i (r_i - 1)^2,   e_k = sum_i r_i w_i p_ik - t_k,
 
 w_i being the document's share of all tokens and t_k the target share of domain k. The errors of all domains weigh alike,
-so overlapping domains can't trade a large error in the total for a small one between them. At the minimum
-r_i = max(0, 1 - p_i y / RIDGE) for one K-vector y = e, so the dual in y is solved, by Newton steps
-with a line search. Each step is one distributed pass that adds up K x K numbers for each length tried; no rates are
-stored or collected. There is no limit on steps: they end when the duality gap bounds the rates' distance from the minimum by
-SETTLED, and a warning is given if rounding stops them before. Rates become whole copies: the floor, and one more where
-a hash of the document falls below the rest.
-
-Cases: an id with two domains has the last in alphabetical order. Null and empty texts have no tokens; they keep the rate that their posteriors give. A target domain without mass
+so overlapping domains can't trade a large error in the total for a small one between them. Rates go down the projected
+gradient: from 1, each step moves all rates against the gradient p_i e + RIDGE (r_i - 1) and lifts those below zero to it.
+Taken as it is, the gradient needs hundreds of steps, for it is steep across the domains and flat along them; so it is
+scaled by the inverse of the least squares' matrix on the documents with a rate above zero, which is a multiple of the
+identity but for K dimensions: what the scaling needs is the K x K Gram matrix of their posteriors. A step is then one
+number and one K-vector, the pull, from which every document works out its rate; no rates are stored or collected. One
+distributed pass adds up what each of several lengths of a step, and one step of the plain gradient, would reach, and the
+least is taken, so each step descends at least as the plain gradient does. There is no limit on steps: they end when the
+projected gradient bounds the rates' distance from the minimum by SETTLED, and a warning is given if rounding stops them
+before. Rates become whole copies: the floor, and one more where a hash of the document falls below the rest.
+
+Cases: an id with two domains has the last in alphabetical order; of near copies that teach one domain the one with the
+least id, then text hash, does. Null and empty texts have no tokens; they keep the rate that their posteriors give. A target domain without mass
 can't be reached and is left out, its weight spread over the others. No labelled row, or no tokens: all rates are 1.
 Equal rows get equal rates and copies.
 """
@@ -45,8 +50,11 @@ MIN_FAMILIES, MIN_ODDS = 3, 1.5
 ROWS = 1024
 #: Pull towards a rate of 1; distance of the rates from the minimum (root of the mean square over tokens) at which steps end.
 RIDGE, SETTLED = 1e-3, 1e-4
-#: Lengths of a Newton step that one pass tries, longest first.
+#: Lengths of a scaled step that one pass tries, longest first; what the plain gradient changes by at most.
 _LENGTHS = 0.5 ** np.arange(12)
+_STEEPEST = 1 + RIDGE
+#: What Python takes for blanks.
+_BLANKS = r"[\x09-\x0d\x1c-\x1f\x85\p{Z}]+"
 TARGETS = {"clean": 0.9, "low": 0.07, "toxic": 0.03}
 RESULT = "n_tokens long, domain string, posterior array<double>"
 
@@ -93,8 +101,7 @@ class MixingModel:
     weights: np.ndarray
     bias: np.ndarray
     words: Words | None = None
-    step: float = 0.0
-    pulls: list[np.ndarray] = field(default_factory=list)  # a K-vector for each step
+    steps: list[tuple[float, np.ndarray]] = field(default_factory=list)  # length and pull
     wanted: np.ndarray | None = None
     reached: np.ndarray | None = None
 
@@ -108,18 +115,17 @@ class MixingModel:
             p[at : at + 256] = z / z.sum(axis=1, keepdims=True)
         return n, p
 
-    def rates(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rates after the pulls so far, and the point at which the next one is to be measured.
+    def rates(self, p: np.ndarray) -> np.ndarray:
+        """The rates of documents with posteriors p after all steps."""
+        r = np.ones(len(p))
+        for length, pull in self.steps:
+            r = stepped(r, p, length, pull)
+        return r
 
-        One pull y at a step of 1 / RIDGE gives max(0, 1 - p y / RIDGE), the rates of the dual point y.
-        """
-        r = before = np.ones(len(p))
-        ahead, t = r, 1.0
-        for pull in self.pulls:
-            before, r = r, np.maximum(0, ahead - self.step * (p @ pull + RIDGE * (ahead - 1)))
-            t, past = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
-            ahead = r + (past - 1) / t * (r - before)
-        return r, ahead
+
+def stepped(r: np.ndarray, p: np.ndarray, length: float, pull: np.ndarray) -> np.ndarray:
+    """Rates after a step. The plain gradient's step of length s has the length s * RIDGE and the pull e / RIDGE."""
+    return np.maximum(0, r - length * (p @ pull + r - 1))
 
 
 def domain_of_labels() -> Column:
@@ -154,8 +160,9 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain: Column, text_col:
         family = [int(g[0].view(np.int64)) if len(g := shingles(x)) else 0 for x in own]
         return pd.DataFrame({"x": [style(x).astype(np.float16).tobytes() for x in own], "words": [np.unique(word_hashes(x)).tobytes() for x in own], "family": family})
 
-    found = docs.join(small(teach), F.col(id_col) == F.col(i)).select(F.col(y).alias("y"), read(text_col).alias("r")).select("y", "r.*")
-    got = sorted(found.dropDuplicates(["y", "family"]).collect(), key=lambda r: (r["y"], r["family"]))
+    found = docs.join(small(teach), F.col(id_col) == F.col(i)).select(F.col(y).alias("y"), F.col(i).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("hash"), read(text_col).alias("r"))
+    least = found.groupBy("y", "r.family").agg(F.min(F.struct("id", "hash", "r.x", "r.words")).alias("t")).select("y", "family", "t.x", "t.words")
+    got = sorted(least.collect(), key=lambda r: (r["y"], r["family"]))
     if not got:
         return None
     names = sorted({r["y"] for r in got})
@@ -203,13 +210,16 @@ def _totals(held: DataFrame, size: int, of: Callable[[np.ndarray, np.ndarray], n
     return np.array([got.get(i, 0.0) for i in range(size)])
 
 
-def _at_duals(p: np.ndarray, n: np.ndarray, duals: np.ndarray) -> np.ndarray:
-    """For each dual point: domain totals, Gram matrix of the documents with a rate above 0, and the rates' part of the dual."""
-    out = []
-    for y in duals:
-        z = p @ y
-        r = np.maximum(0, 1 - z / RIDGE)
-        out += [(n * r) @ p, ((p * (n * (r > 0))[:, None]).T @ p).ravel(), [n @ (RIDGE / 2 * (r - 1) ** 2 + r * z)]]
+def _reached(p: np.ndarray, n: np.ndarray, model: MixingModel, e: np.ndarray, tried: list[tuple[float, np.ndarray]]) -> np.ndarray:
+    """The squared projected gradient at the present rates; and for each step tried the domain totals, the Gram matrix and the
+    pulled posteriors of the documents whose rate it leaves above 0, and the squares of the rates' distances from 1."""
+    r = model.rates(p)
+    slope = p @ e + RIDGE * (r - 1)
+    out = [[n @ (r - np.maximum(0, r - slope / _STEEPEST)) ** 2]]
+    for length, pull in tried:
+        s = stepped(r, p, length, pull)
+        free = n * (s > 0)
+        out += [(n * s) @ p, ((p * free[:, None]).T @ p).ravel(), (free * (s - 1)) @ p, [n @ (s - 1) ** 2]]
     return np.concatenate(out)
 
 
@@ -221,32 +231,30 @@ def fit_rates(held: DataFrame, model: MixingModel, targets: dict[str, float]) ->
     total = mass.sum()
     if total <= 0:
         return model
-    whole, mass = gram / total, mass / total
+    gram, mass = gram / total, mass / total
     want = np.array([targets.get(d, 0.0) if m > 0 else 0.0 for d, m in zip(model.domains, mass, strict=True)])
     if want.sum() <= 0:
         return model
     model.wanted = want = want / want.sum()
-
-    def points(duals: np.ndarray) -> list[tuple]:
-        """Of each dual point: itself, its value, gradient, duality gap, Gram matrix of the rates above 0, and shares."""
-        rows = _totals(held, len(duals) * (k * k + k + 1), lambda p, n: _at_duals(p, n, duals)).reshape(len(duals), -1) / total
-        out = []
-        for y, v in zip(duals, rows, strict=True):
-            g = v[:k] - want - y
-            out.append((y, v[-1] - want @ y - y @ y / 2, g, g @ g / 2, v[k:-1].reshape(k, k), v[:k]))
-        return out
-
-    y, value, g, gap, active, model.reached = np.zeros(k), 0.0, mass - want, (mass - want) @ (mass - want) / 2, whole, mass
-    while (2 * gap / RIDGE) ** 0.5 > SETTLED:
-        step = np.linalg.solve(np.eye(k) + active / RIDGE, g)
-        tried = points(y + _LENGTHS[:, None] * step)
-        better = [t for length, t in zip(_LENGTHS, tried, strict=True) if t[1] >= value + 1e-4 * length * (g @ step) or (t[1] >= value - 1e-12 and t[3] <= gap / 4)]
-        if not better:
-            warnings.warn(f"mixing rates may be {(2 * gap / RIDGE) ** 0.5:.1e} from their minimum, more than {SETTLED}", RuntimeWarning, stacklevel=2)
-            break
-        y, value, g, gap, active, model.reached = max(better, key=lambda t: t[1])
-    model.step, model.pulls = 1 / RIDGE, [y]
-    return model
+    model.reached, pulled, value = mass, np.zeros(k), (mass - want) @ (mass - want) / 2
+    while True:
+        e = model.reached - want
+        y = e - np.linalg.solve(RIDGE * np.eye(k) + gram, gram @ e + RIDGE * pulled)
+        tried = [(length, y / RIDGE) for length in _LENGTHS] + [(RIDGE / _STEEPEST, e / RIDGE)]
+        size = k * k + 2 * k + 1
+        got = _totals(held, 1 + len(tried) * size, lambda p, n: _reached(p, n, model, e, tried)) / total
+        apart = 2 * _STEEPEST * got[0] ** 0.5 / RIDGE  # at most so far from the minimum, which is RIDGE-strongly convex
+        if apart <= SETTLED:
+            return model
+        rows = got[1:].reshape(len(tried), size)
+        values = ((rows[:, :k] - want) ** 2).sum(axis=1) / 2 + RIDGE / 2 * rows[:, -1]
+        best = int(values.argmin())
+        if values[best] >= value:
+            warnings.warn(f"mixing rates may be {apart:.1e} from their minimum, more than {SETTLED}", RuntimeWarning, stacklevel=2)
+            return model
+        value = values[best]
+        model.steps.append(tried[best])
+        model.reached, gram, pulled = rows[best, :k], rows[best, k : k + k * k].reshape(k, k), rows[best, k + k * k : -1]
 
 
 def membership(docs: DataFrame, model: MixingModel, text_col: str = "text") -> Column:
@@ -269,7 +277,7 @@ def mix(docs: DataFrame, labels: DataFrame, domain: Column, targets: dict[str, f
     key = [F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash")]
     model = fit_classifier(docs, labels, domain, text_col, id_col)
     if model is None:
-        one = docs.select(*key, F.size(F.split(F.trim(F.coalesce(text_col, F.lit(""))), r"\s+")).cast("long").alias("n_tokens"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"))
+        one = docs.select(*key, F.size(F.array_remove(F.split(F.coalesce(text_col, F.lit("")), _BLANKS), "")).cast("long").alias("n_tokens"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"))
         return one.withColumn("copies", F.lit(1).cast("long")), None
     with batches_of(docs.sparkSession, ROWS):
         held = spool(docs.select(*key, membership(docs, model, text_col).alias("m")).select("doc_id", "text_hash", "m.n_tokens", "m.domain", "m.posterior"), "mixing")
@@ -283,7 +291,7 @@ def rate_of(held: DataFrame, model: MixingModel, posterior: Column) -> Column:
 
     @F.pandas_udf("double")
     def rate(p: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.rates(np.array(p.tolist()).reshape(len(p), -1))[0])
+        return pd.Series(shared.value.rates(np.array(p.tolist()).reshape(len(p), -1)))
 
     return rate.asNondeterministic()(posterior)  # so that a filter on it isn't answered by a second call
 

@@ -413,6 +413,23 @@ def test_decontamination_matches_brute_force(spark, sf):
     assert got == want and want
 
 
+def test_decontamination_of_items_of_all_sizes(spark):
+    r = np.random.default_rng(4)
+    made = lambda n: [f"w{x}" for x in r.integers(0, 10**6, n)]
+    items = [(i, made(n)) for i, n in enumerate([1, 2, 4, 5, 6, 8, 9, 11, 13, 14, 24, 35, 36, 90, 131, 132, 400, 515, 516, 900])]
+    docs = []
+    for i, w in items:
+        for k, share in enumerate((1.0, 0.9, 0.82, 0.78, 0.5)):  # a run of the item inside other words
+            docs.append((10 * i + k, [*made(30 * (k % 3)), *w[: round(share * (len(w) - 4)) + 4], *made(20 * (k % 2))]))
+    docs += [(5000, items[5][1] + items[12][1] + items[19][1]), (5001, made(3000))]
+    cut = lambda w: {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or {" ".join(w)}
+    want = {(d, i) for d, t in docs for i, w in items if len(cut(w) & cut(t)) >= 0.8 * len(cut(w))}
+    frame = lambda rows, kind: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], kind)
+    got = [(x["doc_id"], x["item_id"]) for x in decontaminate.search(frame(docs, "doc_id long, text string"), frame([*items, (3, items[3][1]), (99, items[13][1])], "item_id long, text string")).collect()]
+    assert len(got) == len(set(got)) and {x for x in got if x[1] < 99} == want
+    assert {d for d, i in got if i == 99} == {d for d, i in want if i == 13} and len(want) > 50
+
+
 def test_decontamination_odd(spark, odd):
     items = spark.createDataFrame([(1, "twice over again here THE SAME row, twice over: again here"), (2, "few words only"), (7, "other words that are nowhere in the documents"), (7, "the same row twice over again"), (3, None), (4, "words of a row without an id"), (4, "words of a row without an id")], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.search(odd, items, containment=0.2).collect()} == {(4, 1), (4, 7)}

@@ -5,9 +5,10 @@ matches texts of just these words. Items are partitioned by their set size; each
 (the k least hash values), with k and the number of sketch values that must be found set by the partition, so that an
 item contained to the threshold is missed with probability under 1e-5. Where an item may lack fewer values than k, that
 many and one more are kept and one hit is asked for, which misses nothing. A document is far larger than an item, so its
-own sketch would say nothing about containment: instead every hash value of the document that is small enough for some
-partition is looked up. Pairs with enough hits are candidates, and their containment |item and document| / |item| is
-counted from whole sets.
+own sketch would say nothing about containment. Instead every partition is searched for itself, under the bound that its
+sizes set: the sketches of larger items reach less far up the range of hash values, and a document's value is looked up in
+the partitions whose largest sketch value isn't below it. Pairs with enough hits in their partition are candidates, and
+their containment |item and document| / |item| is counted from whole sets.
 
 DataFrame functions only. Sketches and items' sets are broadcast while their counted rows and bytes are within
 base.BROADCAST_ROWS and BROADCAST_BYTES, and joined by shuffle beyond.
@@ -26,7 +27,7 @@ from tickgrid.llm.base import BROADCAST_BYTES, BROADCAST_ROWS, cut, fresh, small
 
 WORDS, CONTAINMENT = 5, 0.8
 #: Partitions by set size: (least size, sketch values kept, hits asked for).
-PARTITIONS = ((1, 8, 1), (32, 12, 2), (128, 16, 3))
+PARTITIONS = ((1, 8, 1), (8, 8, 1), (32, 12, 2), (128, 16, 3), (512, 16, 3))
 
 
 def grams(words: Column, n: int = WORDS) -> Column:
@@ -46,28 +47,30 @@ def with_grams(df: DataFrame, text_col: str, keep: list[Column], n: int = WORDS)
 
 
 def sketches(items: DataFrame, text_col: str = "text", id_col: str = "item_id", containment: float = CONTAINMENT) -> DataFrame:
-    """item (a row's number), item_id, n (set size), need (hits asked for), own (whole set), sketch (its least hash values)."""
+    """item (a row's number), item_id, n (set size), part, need (hits asked for), own (whole set), sketch (its least hash values)."""
     own = with_grams(items, text_col, [F.monotonically_increasing_id().alias("item"), F.col(id_col).alias("item_id")])
     own = own.withColumn("own", F.array_sort(F.array_distinct("grams"))).where("size(own) > 0 AND item_id IS NOT NULL").withColumn("n", F.size("own"))
-    keep, need = F.lit(0), F.lit(0)
-    for least, k, hits in PARTITIONS:
+    keep, need, part = F.lit(0), F.lit(0), F.lit(0)
+    for i, (least, k, hits) in enumerate(PARTITIONS):
+        part = F.when(F.col("n") >= least, F.lit(i)).otherwise(part)
         keep = F.when(F.col("n") >= least, F.lit(k)).otherwise(keep)
         need = F.when(F.col("n") >= least, F.lit(hits)).otherwise(need)
     lack = F.col("n") - F.ceil(F.col("n") * containment - 1e-9).cast("int")  # values that a contained item may lack
     sure = lack < keep
-    return own.select("item", "item_id", "n", F.when(sure, F.lit(1)).otherwise(need).alias("need"), "own", F.slice("own", F.lit(1), F.when(sure, lack + 1).otherwise(keep)).alias("sketch"))
+    return own.select("item", "item_id", "n", part.alias("part"), F.when(sure, F.lit(1)).otherwise(need).alias("need"), "own", F.slice("own", F.lit(1), F.when(sure, lack + 1).otherwise(keep)).alias("sketch"))
 
 
 def search(docs: DataFrame, items: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id", containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment for every pair at the threshold or above."""
     index = cut(sketches(items, item_text, item_id, containment))
-    probes = index.select("item", "need", F.explode("sketch").alias("h"))
-    n_probes, top = probes.agg(F.count("*"), F.max("h")).first()
-    n_values = index.agg(F.sum("n")).first()[0] or 0
+    probes = index.select("item", "part", "need", F.explode("sketch").alias("h"))
+    bounds = probes.groupBy("part").agg(F.count("*").alias("k"), F.max("h").alias("top")).collect()  # a row a partition
+    n_probes, n_values = sum(r["k"] for r in bounds), index.agg(F.sum("n")).first()[0] or 0
     read = with_grams(docs, text_col, [F.col(id_col).alias("doc_id")])
     # the outer form: Spark infers a filter for the inner one, pushes it down and would split the text for each word
-    values = read.select("doc_id", F.explode_outer("grams").alias("h")).where(F.col("h") <= F.lit(top if top is not None else -(1 << 63)))
-    hits = values.join(small(probes, n_probes), "h").groupBy("doc_id", "item", "need").agg(F.count_distinct("h").alias("hits"))
+    values = read.select("doc_id", F.explode_outer("grams").alias("h")).where(F.col("h") <= F.lit(max([r["top"] for r in bounds], default=-(1 << 63))))
+    asked = F.array_compact(F.array(*[F.when(F.col("h") <= r["top"], r["part"]) for r in bounds])) if bounds else F.array().cast("array<int>")
+    hits = values.select("doc_id", "h", F.explode(asked).alias("part")).join(small(probes, n_probes), ["part", "h"]).groupBy("doc_id", "item", "need").agg(F.count_distinct("h").alias("hits"))
     pairs = cut(hits.where("hits >= need AND doc_id IS NOT NULL").select("doc_id", "item"))
     sets = index.select("item", "item_id", "n", "own")
     n_docs = pairs.select("doc_id").distinct().count()

@@ -131,13 +131,6 @@ def test_more_sources(spark, tmp_path):
     assert files.report(spark, f"{tmp_path}/v.json").count() == 1
 
 
-def test_generated_pages_query(spark, sf):
-    rows = {r["factor"]: r for r in catalogue.QUERIES["extract_generated_pages"](spark, sf).collect()}
-    assert set(rows) == {"base", "rotation", "scale", "watermark", "pen", "shading", "mixed"} and rows["base"]["labelled"] == 72
-    for name, least in (("base", 0.95), ("shading", 0.9), ("pen", 0.9), ("rotation", 0.85)):
-        assert rows[name]["found"] >= least * rows[name]["labelled"] and rows[name]["right"] >= 0.9 * rows[name]["found"]
-
-
 def test_flag_rate_monitor(spark):
     from tickgrid.streaming.monitor import flag_rate
 

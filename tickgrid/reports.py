@@ -306,18 +306,3 @@ def tier_resize(s, d):
     own = relation(s, d, "box_base").select((200 + F.col("q") * 61).cast("long").alias("w"), (150 + F.col("sk") % 10 * 211).cast("long").alias("h")).distinct()
     r = geo.resized(F.col("w"), F.col("h"), 1568, 1568)
     return own.select("w", "h", r.alias("r")).select("w", "h", F.col("r.w").alias("resized_w"), F.col("r.h").alias("resized_h"), geo.image_tokens(F.col("r.w"), F.col("r.h")).alias("tokens"))
-
-
-@query()
-def extract_generated_pages(s, d):
-    """Pages drawn under every kind of damage, read and graded: boxes labelled, found and right by factor."""
-    from tickgrid.operators import extract, synth
-
-    boxes = [{"x1": 100 + 110 * (i % 12), "y1": 100 + 150 * (i // 12), "x2": 124 + 110 * (i % 12), "y2": 124 + 150 * (i // 12)} for i in range(36)]
-    forms = s.createDataFrame([(f"form-{i}", 600, 1500, boxes) for i in range(2)], f"form string, height int, width int, boxes array<{synth.BOX}>")
-    pages = synth.generate(synth.plan(forms, mixed=6).repartition(16, "form", "factor", "level"))
-    got = extract.detect(pages).select("page", *[F.col(c).alias(f"p_{c}") for c in ("box_id", "x1", "y1", "x2", "y2", "is_checked")])
-    truth = synth.labels(pages)
-    middle = lambda a, p: (F.col(f"{p}{a}1") + F.col(f"{p}{a}2")) / 2
-    hit = truth.join(got, "page").where(F.abs(middle("x", "") - middle("x", "p_")) + F.abs(middle("y", "") - middle("y", "p_")) < 18).groupBy("page", "box_id").agg(F.min(F.struct("p_box_id", "p_is_checked")).alias("m"))
-    return truth.join(hit, ["page", "box_id"], "left").groupBy("factor").agg(F.count("*").alias("labelled"), F.count("m").alias("found"), F.count_if(F.col("m.p_is_checked") == F.col("is_checked")).alias("right"))

@@ -6,14 +6,14 @@ import duckdb
 import numpy as np
 import pytest
 
-from tickgrid import catalogue, reports  # noqa: F401
+from tickgrid import catalogue, measures, reports  # noqa: F401
 from tickgrid.operators import extract, rules, spatial
 from tickgrid.sources import files
 
 TABLES = "lineitem orders events embeddings".split()
 
 
-@pytest.mark.parametrize("name", ["box_geometry", "rule_engine_default", "policy_agreement", "escalation_replay", "page_scorecard", "fold_labels", "leakage_anti_join", "p95_two_ways", "edge_mining", "carry_last", "contended_match", "contended_counts", "contended_first", "rule_engine_prior", "false_positives", "dedupe_greedy", "row_cluster", "seed_corrections", "telemetry_full", "telemetry_corpus", "factor_level_sweep", "card_pools", "claims_check", "tier_resize", "lenient_replies", "markdown_rows"])
+@pytest.mark.parametrize("name", ["box_geometry", "rule_engine_default", "policy_agreement", "escalation_replay", "page_scorecard", "fold_labels", "leakage_anti_join", "p95_two_ways", "edge_mining", "carry_last", "contended_match", "contended_counts", "contended_first", "rule_engine_prior", "false_positives", "dedupe_greedy", "row_cluster", "seed_corrections", "reject_finder", "hard_cards_matched", "reader_race", "piecewise_map", "gold_misses", "page_report", "card_deck", "nearest_candidate", "registration_best", "profile_peaks", "box_ink", "throughput_by_level", "settled_votes", "flag_rate_cusum", "telemetry_full", "telemetry_corpus", "factor_level_sweep", "card_pools", "claims_check", "tier_resize", "lenient_replies", "markdown_rows"])
 def test_against_sql(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -131,6 +131,13 @@ def test_more_sources(spark, tmp_path):
     assert files.report(spark, f"{tmp_path}/v.json").count() == 1
 
 
+def test_projections(spark):
+    from tickgrid.sources import outputs
+
+    df = spark.createDataFrame([(1, 2, "a", "b", "c", "d")], "x int, _y int, id string, source string, bbox string, png string")
+    assert outputs.public(df).columns == ["x", "id", "source", "bbox", "png"] and outputs.slim(df).columns == ["id", "source", "bbox", "png"]
+
+
 def test_flag_rate_monitor(spark):
     from tickgrid.streaming.monitor import flag_rate
 
@@ -145,8 +152,8 @@ def test_order_statistics_of_ties_and_one_value(spark):
     from tickgrid.functions.ranks import order_statistics
 
     r = np.random.default_rng(4)
-    rows = [("t", float(v)) for v in r.integers(0, 5, 500)] + [("one", 7.0)] * 9 + [("u", float(v)) for v in r.normal(size=300)] + [("t", None)]
+    rows = [("t", float(v)) for v in r.integers(0, 5, 500)] + [("one", 7.0)] * 9 + [("far", v) for v in (1e300, -1e300, float("inf"), *map(float, range(100)))] + [("u", float(v)) for v in r.normal(size=300)] + [("t", None)]
     got = {x["g"]: x for x in order_statistics(spark.createDataFrame(rows, "g string, v double"), "g", "v", {"mid": F.floor(F.col("n") / 2) + 1, "last": F.col("n")}).collect()}
-    for g in ("t", "one", "u"):
+    for g in ("t", "one", "u", "far"):
         own = sorted(v for k, v in rows if k == g and v is not None)
         assert (got[g]["mid"], got[g]["last"]) == (own[len(own) // 2], own[-1])

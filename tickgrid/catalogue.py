@@ -266,6 +266,16 @@ def page_scorecard(s, d):
     return rated(scores(s, d).select("page_id", *COUNTS))
 
 
+@query(DEFAULT_SQL + SCORES + ", own AS (SELECT page_id, count(*) AS boxes, sum(CASE WHEN ignore THEN 1 ELSE 0 END) AS ignored FROM boxes_gold GROUP BY page_id), found AS (SELECT p.page_id, count(*) AS pred, sum(CASE WHEN reasons <> '' THEN 1 ELSE 0 END) AS ambiguous FROM boxes_pred p LEFT JOIN r ON r.page_id = p.page_id AND r.box_id = p.box_id GROUP BY p.page_id), t AS (SELECT page_id, CAST(boxes - ignored AS BIGINT) AS gold, CAST(ignored AS BIGINT) AS ignored, coalesce(pred, 0) AS pred, CAST(coalesce(ambiguous, 0) AS BIGINT) AS ambiguous, tp, fp, fn, right_state FROM score JOIN own USING (page_id) LEFT JOIN found USING (page_id)) " + RATED.format(c="page_id, gold, ignored, pred, ambiguous", t="t"))
+def page_report(s, d):
+    """The whole row of a page: labels that count and that don't, boxes found, those with reasons, and the scores."""
+    p, g = sides(s, d)
+    n = spatial.match_counts(p, g).where("golds > 0").selectExpr("page_id", "golds - ignored AS gold", "ignored", "preds AS pred", "matched - matched_ignored AS tp", "preds - matched AS fp", "golds - ignored - matched + matched_ignored AS fn", "right AS right_state")
+    flagged = flat(ruled(s, d, rules.DEFAULT)).where("reasons <> ''").select("page_id", "box_id").join(p.select("page_id", "box_id"), ["page_id", "box_id"]).groupBy("page_id").agg(F.count("*").alias("ambiguous"))
+    own = relation(s, d, "pages_meta").select("page_id").join(n, "page_id").join(flagged, "page_id", "left").na.fill(0, ["ambiguous"])
+    return rated(own.select("page_id", "gold", "ignored", "pred", "ambiguous", *COUNTS))
+
+
 @query(SCORES + f", t AS (SELECT 1 AS one, {SUMS} FROM score) " + RATED.format(c="one", t="t"))
 def micro_average(s, d):
     return rated(scores(s, d).agg(F.lit(1).alias("one"), *[F.sum(c).alias(c) for c in COUNTS]))
@@ -293,10 +303,21 @@ def cards(s, d):
     return gold(s, d).select("page_id", F.col("box_id").alias("point_id"), (cx + F.col("pk") % 3).alias("cx"), cy.alias("cy"), label.alias("label"), (F.col("pk") % 57 == 0).alias("misclick"), (F.col("box_id") == 7).alias("synthetic"), F.expr("CASE WHEN sk % 2 = 0 THEN 'hard-real' ELSE 'negative' END").alias("stratum"))
 
 
-@query(CARDS + "SELECT count(*) AS graded, sum(CASE WHEN b_is_checked = (label = 'filled') THEN 1 ELSE 0 END) AS correct, sum(CASE WHEN b_box_id IS NULL THEN 1 ELSE 0 END) AS missed FROM hit WHERE k = 1 AND NOT synthetic AND NOT misclick AND label IN ('empty', 'filled')")
+HARD = "NOT synthetic AND NOT misclick AND label IN ('empty', 'filled')"
+
+
+@query(CARDS + f"SELECT count(*) AS graded, sum(CASE WHEN b_is_checked = (label = 'filled') THEN 1 ELSE 0 END) AS correct, sum(CASE WHEN b_box_id IS NULL THEN 1 ELSE 0 END) AS missed, round(CAST(sum(CASE WHEN b_is_checked = (label = 'filled') THEN 1 ELSE 0 END) AS DOUBLE)/count(*), 4) AS accuracy FROM hit WHERE k = 1 AND {HARD}")
 def gold_agreement(s, d):
-    hard = cards(s, d).where("NOT synthetic AND NOT misclick AND label IN ('empty', 'filled')")
-    return spatial.near(hard, pred(s, d), 18).agg(F.count("*").alias("graded"), F.expr("count_if(b_is_checked = (label = 'filled'))").alias("correct"), F.expr("count_if(b_box_id IS NULL)").alias("missed"))
+    """Cards with a hard answer against the first box near them; no cards, no rate."""
+    own = spatial.near(cards(s, d).where(HARD), pred(s, d), 18).agg(F.count("*").alias("graded"), F.expr("count_if(b_is_checked = (label = 'filled'))").alias("correct"), F.expr("count_if(b_box_id IS NULL)").alias("missed"))
+    return own.withColumn("accuracy", F.when(F.col("graded") > 0, F.round(F.col("correct") / F.col("graded"), 4)))
+
+
+@query(CARDS + f"SELECT page_id, point_id, label, b_box_id IS NOT NULL AS found FROM hit WHERE k = 1 AND {HARD} AND NOT coalesce(b_is_checked = (label = 'filled'), FALSE)")
+def gold_misses(s, d):
+    """The hard cards that the first box near them answers otherwise, or that no box is near."""
+    own = spatial.near(cards(s, d).where(HARD), pred(s, d), 18)
+    return own.where("NOT coalesce(b_is_checked = (label = 'filled'), false)").select("page_id", "point_id", "label", F.col("b_box_id").isNotNull().alias("found"))
 
 
 @query(""", probe AS (SELECT page_id, box_id AS point_id, CAST(x1+x2 AS DOUBLE)/2 AS cx, CAST(y1+y2 AS DOUBLE)/2 AS cy, CASE sk%3 WHEN 0 THEN 'state' WHEN 1 THEN 'detected' ELSE 'absent' END AS chk, is_checked AS expect FROM boxes_gold),
@@ -414,14 +435,19 @@ def token_cost(s, d):
     return own.groupBy("page_id").agg(F.median("tok").cast("double").alias("median_tokens"), F.min("tok").alias("least"), F.max("tok").alias("most"))
 
 
-@query(PAIRS + """, k AS (SELECT p.page_id, p.box_id, 'phantom' AS kind FROM boxes_pred p ANTI JOIN m ON m.page_id = p.page_id AND m.p_box_id = p.box_id
-UNION ALL SELECT g.page_id, g.box_id, 'missed' FROM (SELECT * FROM boxes_gold WHERE NOT ignore) g ANTI JOIN m ON m.page_id = g.page_id AND m.g_box_id = g.box_id UNION ALL SELECT page_id, p_box_id, 'state' FROM m WHERE NOT g_ignore AND p_state <> g_state)
+@query(DEFAULT_SQL + PAIRS + """, k AS (SELECT p.page_id, p.box_id, 'phantom' AS kind FROM boxes_pred p ANTI JOIN m ON m.page_id = p.page_id AND m.p_box_id = p.box_id
+UNION ALL SELECT g.page_id, g.box_id, 'missed' FROM (SELECT * FROM boxes_gold WHERE NOT ignore) g ANTI JOIN m ON m.page_id = g.page_id AND m.g_box_id = g.box_id
+UNION ALL SELECT m.page_id, p_box_id, CASE WHEN p_state <> g_state THEN 'state' ELSE 'ambiguous' END FROM m JOIN r ON r.page_id = m.page_id AND r.box_id = m.p_box_id WHERE NOT g_ignore AND (p_state <> g_state OR reasons <> ''))
 SELECT kind, page_id, box_id FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY (page_id*7919 + box_id*104729)%1000003, page_id, box_id) AS r FROM k) WHERE r <= 12""")
 def edge_mining(s, d):
-    """Twelve failures of each kind, chosen by an integer hash."""
-    m = spatial.greedy_match(pairs(s, d))
-    kinds = unmatched(pred(s, d), m, "p").select("page_id", "box_id", F.lit("phantom").alias("kind")).unionByName(unmatched(gold(s, d).where("NOT ignore"), m, "g").select("page_id", "box_id", F.lit("missed").alias("kind")))
-    kinds = kinds.unionByName(m.where("NOT g_ignore AND p_is_checked <> g_is_checked").select("page_id", F.col("p_box_id").alias("box_id"), F.lit("state").alias("kind")))
+    """Twelve boxes of each kind of failure, chosen by an integer hash; a box that is right, with reasons, is ambiguous."""
+    p, g = sides(s, d)
+    m = spatial.greedy_match(spatial.candidates(p, g))
+    lost = [unmatched(df, m, side).select("page_id", "box_id", F.lit(kind).alias("kind")) for df, side, kind in ((p, "p", "phantom"), (g.where("NOT ignore"), "g", "missed"))]
+    told = flat(ruled(s, d, rules.DEFAULT)).select("page_id", F.col("box_id").alias("p_box_id"), "reasons")
+    wrong = F.col("p_is_checked") != F.col("g_is_checked")
+    seen = m.where("NOT g_ignore").join(told, ["page_id", "p_box_id"]).where(wrong | (F.col("reasons") != ""))
+    kinds = lost[0].unionByName(lost[1]).unionByName(seen.select("page_id", F.col("p_box_id").alias("box_id"), F.when(wrong, "state").otherwise("ambiguous").alias("kind")))
     order = W.partitionBy("kind").orderBy((F.col("page_id") * 7919 + F.col("box_id") * 104729) % 1000003, "page_id", "box_id")
     return kinds.withColumn("r", F.row_number().over(order)).where("r <= 12").select("kind", "page_id", "box_id")
 

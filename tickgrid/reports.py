@@ -73,8 +73,7 @@ corpus AS (SELECT l.page_id, l.corpus, m.form, CASE l.corpus WHEN 'sample' THEN
 def corpus(s, d) -> DataFrame:
     """Three directories under one roof, each page with its manifest entry if it has one."""
     o = read(s, d, "orders")
-    part = lambda status, name: o.where(F.col("o_orderstatus").isin(*status)).select(F.col("o_orderkey").alias("page_id"), F.lit(name).alias("corpus"))
-    listed = part("F", "sample").unionByName(part("O", "synth-sweep")).unionByName(part("P", "holdout"))
+    listed = o.where("o_orderstatus IN ('F', 'O', 'P')").select(F.col("o_orderkey").alias("page_id"), F.expr("CASE o_orderstatus WHEN 'F' THEN 'sample' WHEN 'O' THEN 'synth-sweep' ELSE 'holdout' END").alias("corpus"))
     told_of = o.where("o_orderstatus = 'O' AND o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("page_id"), F.concat(F.lit("form-"), F.substring("o_orderpriority", 1, 1)).alias("form"), F.when(F.col("o_custkey") % 5 != 0, F.concat(F.lit("factor-"), (F.col("o_custkey") % 4).cast("string"))).alias("_factor"), (F.col("o_custkey") % 12).cast("string").alias("level"))
     factor = F.when(F.col("corpus") == "sample", "real").when(F.col("corpus") == "holdout", "held-out").otherwise(F.col("_factor"))
     return listed.join(told_of, "page_id", "left").select("page_id", "corpus", "form", factor.alias("factor"), "level")
@@ -225,6 +224,31 @@ def card_pools(s, d):
     return own.withColumn("pool", pool).where("pool IS NOT NULL").withColumn("n", F.row_number().over(order)).where("n <= 4").select("page_id", "box_id", "pool")
 
 
+DECK = """, cand AS (SELECT page_id, box_id, x1, y1, x2, y2, pk, sk FROM boxes_pred UNION ALL SELECT page_id, box_id + 700, x1 - 2, y1 + 1, x2 - 2, y2 + 1, pk, sk + 1 FROM boxes_pred WHERE pk%2 = 0),
+z AS (SELECT *, CASE WHEN pk%7 = 0 THEN 3 ELSE sk%3 END AS pool, (page_id*7919 + box_id*104729)%1000003 AS chance FROM cand),
+pick AS MATERIALIZED (SELECT *, CAST(x1+x2 AS DOUBLE)/2 AS mx, CAST(y1+y2 AS DOUBLE)/2 AS my, row_number() OVER (PARTITION BY page_id ORDER BY pool, n) AS k FROM (SELECT *, row_number() OVER (PARTITION BY page_id, pool ORDER BY CASE WHEN pool = 0 THEN 0 ELSE chance END, y1, x1, box_id) AS n FROM z) WHERE n <= CASE WHEN pool = 3 THEN 3 ELSE 4 END),
+w AS (SELECT page_id, k, [{'k': k, 'x': mx, 'y': my}] AS kept FROM pick WHERE k = 1
+UNION ALL SELECT q.page_id, q.k, CASE WHEN len(list_filter(w.kept, lambda e: abs(e.x - q.mx) + abs(e.y - q.my) < 4)) = 0 THEN list_append(w.kept, {'k': q.k, 'x': q.mx, 'y': q.my}) ELSE w.kept END FROM w JOIN pick q ON q.page_id = w.page_id AND q.k = w.k + 1),
+stay AS (SELECT page_id, unnest(kept).k AS k FROM w WHERE (page_id, k) IN (SELECT page_id, max(k) FROM pick GROUP BY page_id))
+"""
+POOLS_NAMED = ("ambiguous", "anchor-filled", "anchor-empty", "negative")
+
+
+@query(DECK + "SELECT page_id, box_id, CASE pool " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(POOLS_NAMED)) + " END AS pool FROM stay JOIN pick USING (page_id, k)")
+def card_deck(s, d):
+    """Cards of a page from four pools, at most three of them rejects; a box less than four pixels from an earlier card's is left out."""
+    p = pred(s, d).select("page_id", "box_id", "x1", "y1", "x2", "y2", "pk", "sk")
+    twins = p.where("pk % 2 = 0").selectExpr("page_id", "box_id + 700 AS box_id", "x1 - 2 AS x1", "y1 + 1 AS y1", "x2 - 2 AS x2", "y2 + 1 AS y2", "pk", "sk + 1 AS sk")
+    own = p.unionByName(twins).withColumns({"pool": F.expr("CASE WHEN pk % 7 = 0 THEN 3 ELSE sk % 3 END"), "chance": (F.col("page_id") * 7919 + F.col("box_id") * 104729) % 1000003})
+    first = W.partitionBy("page_id", "pool").orderBy(F.when(F.col("pool") == 0, 0).otherwise(F.col("chance")), "y1", "x1", "box_id")
+    drawn = own.withColumn("n", F.row_number().over(first)).where("n <= CASE WHEN pool = 3 THEN 3 ELSE 4 END")
+    # in the order of the pools, as ids that the choice goes by; distances are whole halves, so less than 4 is 3.5 at most
+    dealt = drawn.select("page_id", (F.col("pool") * 10 + F.col("n")).cast("int").alias("box_id"), "x1", "y1", "x2", "y2")
+    stay = spatial.dedupe(dealt, 3.5).select("page_id", F.col("box_id").alias("at"))
+    names = F.element_at(F.array(*[F.lit(n) for n in POOLS_NAMED]), (F.col("pool") + 1).cast("int"))
+    return drawn.withColumn("at", (F.col("pool") * 10 + F.col("n")).cast("int")).join(stay, ["page_id", "at"]).select("page_id", "box_id", names.alias("pool"))
+
+
 @query(CARDS + PAIRS + """, bm AS (SELECT * FROM boxes_pred SEMI JOIN (SELECT page_id, p_box_id AS box_id FROM m WHERE NOT g_ignore) USING (page_id, box_id)),
 hm AS (SELECT c.page_id, c.point_id, p.box_id, p.is_checked, row_number() OVER (PARTITION BY c.page_id, c.point_id ORDER BY p.y1, p.x1, p.box_id) AS k FROM cards c JOIN bm p ON p.page_id = c.page_id AND abs(c.cx - CAST(p.x1+p.x2 AS DOUBLE)/2) + abs(c.cy - CAST(p.y1+p.y2 AS DOUBLE)/2) < 18 WHERE label IN ('empty', 'filled') AND stratum = 'hard-real')
 SELECT page_id, point_id, box_id, is_checked FROM hm WHERE k = 1""")

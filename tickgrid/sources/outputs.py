@@ -94,6 +94,16 @@ def crop(img: np.ndarray, box: tuple[int, int, int, int], grow: float = 2.2, lea
     return out
 
 
+def public(df: DataFrame) -> DataFrame:
+    """df without the columns that are its own business: those whose names start with _."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("_")])
+
+
+def slim(cards: DataFrame) -> DataFrame:
+    """What a labelling page needs of a card, and nothing that gives its answer away."""
+    return cards.select("id", "source", "bbox", "png")
+
+
 def crops(pages: DataFrame, boxes: DataFrame) -> DataFrame:
     """(page, box_id, png, key) for every given box; the key names the crop in the record of votes."""
     own = boxes.groupBy("page").agg(F.collect_list(F.struct("box_id", "x1", "y1", "x2", "y2")).alias("b"))

@@ -39,11 +39,11 @@ BILLION = 1_000_000_000
 #: A term is light if at most so many groups, and at most one in so many, hold it.
 LIGHT_MOST, LIGHT_SHARE = 64, 4
 #: Heavy terms a tile and groups a block, of which a dense matrix is made.
-TILE, BLOCK = 256, 256
+TILE, BLOCK = 128, 256
 #: Numbers of partial sums that a task holds before it sends them on.
 HELD = 1 << 22
-#: Texts that go to Python at once.
-ROWS = 512
+#: Texts, and bytes of them, that go to Python at once, and bytes that are counted together: the more, the fewer counts.
+ROWS, SIZE, WINDOW = 8192, 12 << 20, 8 << 20
 
 
 def share(count: Column, total: Column) -> Column:
@@ -70,7 +70,7 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
             zero = pa.array(np.zeros(len(groups), np.int64))
             yield pa.RecordBatch.from_arrays([lang, source, pa.nulls(len(groups), pa.string()), zero, zero], names)
             open_row, held = -1, set()  # a text that may go on in the next window, and the terms that it has held so far
-            for words, rows, _ in windows(batch.column("text").to_pylist(), ALPHA):
+            for words, rows, _ in windows(batch.column("text").to_pylist(), ALPHA, window=WINDOW):
                 ids, terms = numbered(words)
                 key = (rows * len(terms) + ids)[ids > 0]
                 key, n = np.unique(key, return_counts=True)
@@ -92,7 +92,7 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         give_back()
 
     counted = own.mapInArrow(run, "lang string, source string, term string, n long, docs long")
-    with batches_of(docs.sparkSession, ROWS):
+    with batches_of(docs.sparkSession, ROWS, SIZE):
         return spool(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "terms")
 
 

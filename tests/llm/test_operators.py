@@ -172,6 +172,26 @@ def test_similar_tokens_share_labels(pii_weights, known, other, kind):
     assert added == [(kind, other)]
 
 
+def test_context_decides_what_is_a_secret(pii_weights):
+    made = hashlib.sha1(b"x").hexdigest()
+    for text, kinds in ((f'token = "{made}"', ["secret"]), (f"the commit {made} of page 12", []), (f'see {made} then token = "{made}" and {made}', ["secret"] * 3)):
+        got = pii_crf.find(text, pii_weights)
+        assert [pii_crf.KINDS[k] for k, *_ in got] == kinds
+    assert [s for *_, s, _ in got] == ["crf", "context", "crf"]  # the repeats follow the one that its context tells
+
+
+@pytest.mark.parametrize("text", ["+1 (974) 555-3436 or 974 555 3436, room 12", 'token = "5f790b897549d620aedfc0705a565f96e3741e89" 5f790b897549d620aedfc0705a565f96e3741e89 x9', "jo@a.example.com, jo (at) a (dot) example (dot) com 7 7", "call 974 555 3436 or 974-555-3436 or (974) 555 3436", "4111 1111 1111 1111 and 4111111111111112 of 10.1.2.3"])
+def test_added_spans_match_exact_marginals(pii_weights, text):
+    own, clamped, unary = pii_crf.potentials(text, pii_crf.base_spans(text) + pii_crf.seeds(text), pii_weights)
+    edges, power = pii_crf.edges_of([text[a:z] for a, z, _ in own])
+    p = np.zeros(unary.shape)
+    for y in np.ndindex(*[6] * len(own)):
+        p[np.arange(len(own)), y] += math.exp(sum(unary[i, k] for i, k in enumerate(y)) + sum(w * (y[a] == y[b]) for (a, b), w in zip(edges.tolist(), power, strict=True)) - 30 * sum(map(bool, clamped)))
+    p /= p.sum(axis=1, keepdims=True)
+    want = {(int(p[i].argmax()) - 1, a, z) for i, (a, z, _) in enumerate(own) if not clamped[i] and p[i].argmax() and p[i].max() >= pii_crf.ADD}
+    assert {s[:3] for s in pii_crf.find(text, pii_weights) if s[3] != "base"} == want and len(own) <= 6
+
+
 def test_clean_texts_get_no_span(pii_weights):
     for text in ("section 4.2 of 2019, 300 items at 12:45 and 7 more", "version 2.0. and 3.11.4 of 1999-12-31", "9446062893 is a number", "a dot at the end, at noon", "numbers 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"):
         assert pii_crf.find(text, pii_weights) == []

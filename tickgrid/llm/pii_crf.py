@@ -1,20 +1,22 @@
 """Personal data: exact patterns, and a skip-chain conditional random field that adds what they miss.
 
-Base spans come from four patterns (email, ip, card, phone), leftmost and not overlapping within a kind. Strings that are
-told as a secret (token = "...") are seeds of a fifth kind. Candidates are base spans, seeds, numbers written in groups,
-addresses spelled with (at) and (dot), and other words with a digit or an @; they form a chain per document. Candidates
-that are equal or similar are linked to the occurrence before, however far: equal digits or words most, then the last nine
-digits of a number, one half of a long number, an address's user, its host, a network, and strings of one make. Unary
-potentials come from a softmax over shape features, fitted with base spans and seeds as labels and bounded, so that shape
-alone never reaches ADD; chain edges and skip edges favour equal labels. Loopy sum-product message passing runs in every
-document with a candidate that is neither base nor seed; one whose label is a kind with probability ADD or more becomes
-an added span. Base spans and seeds are clamped and always stay.
+Base spans come from four patterns (email, ip, card, phone), leftmost and not overlapping within a kind. Secrets are a fifth
+kind, taught by strings that are told as one (token = "...") but decided by the field. Candidates are base spans, told
+strings, numbers written in groups, addresses spelled with (at) and (dot), and other words with a digit or an @; they form a
+chain per document. Candidates that are equal or similar are linked to the occurrence before, however far: equal digits or
+words most, then the last nine digits of a number, one half of a long number, an address's user, its host, a network, and
+strings of one make. Unary potentials come from one softmax over features of a candidate's shape and of its context (the
+words that a sign of assignment ties to it, and the entropy of what is assigned), fitted with base spans and told strings as
+labels. What shape adds is bounded, so that shape alone never reaches ADD; what context adds is not. Chain edges and skip
+edges favour equal labels. Loopy sum-product message passing runs in every document with a candidate that isn't base; one
+whose label is a kind with probability ADD or more becomes an added span, by its context if its own potentials would do, else
+by the field. Base spans are clamped and always stay.
 
 Each candidate has one link for each of its keys, so a token repeated m times has m - 1 skip edges of a sort.
 
 Cases: null or empty text: no spans. A text of any length is read whole; time and memory follow its length. Ties
 between labels go to ``none``. Repeated rows get equal spans. An empty table gives no rows and teaches nothing: then
-base spans and seeds are all.
+base spans and told strings are all.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ ADD, ROUNDS, SHAPE = 0.95, 10, 4.0
 #: Strength of edges: to the neighbour in the chain, between equal candidates, and between similar ones by what they share.
 CHAIN, SKIP = 0.2, 8.0
 SIMILAR = {"tail": 6.0, "half": 2.0, "user": 3.0, "host": 1.0, "net": 1.0, "make": 2.0}
+#: Features of shape, and places that words of a context are hashed to.
+SHAPES, PLACES = 19, 64
 #: Documents with candidates that the shape potentials are fitted on, at most (in expectation).
 FIT_DOCS = 4000
 #: Candidates of one text that teach, at most: those with the least checksums of their places.
@@ -57,6 +61,8 @@ _NOT_DIGIT = re.compile(r"[^0-9]+")
 _SECRET = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\"']?\s{0,4}[:=]\s{0,4}[\"']?([A-Za-z0-9+/_=-]{16,})")
 _GROUPED = re.compile(r"[+(]?[0-9](?:[ ().-]{0,2}[0-9]){6,30}")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}[ ]?(?:\(at\)|\[at\]| at )[ ]?[A-Za-z0-9-]{1,63}(?:[ ]?(?:\(dot\)|\[dot\]| dot )[ ]?[A-Za-z0-9-]{1,63}){1,8}")
+_ASSIGNED = re.compile(r"([A-Za-z][A-Za-z_-]{1,23})[\"']?\s{0,4}[:=]\s{0,4}[\"']?$")
+_WORD = re.compile(r"[A-Za-z]+")
 _AT, _DOT = re.compile(r" ?(?:\(at\)|\[at\]| at ) ?"), re.compile(r" ?(?:\(dot\)|\[dot\]| dot ) ?")
 
 
@@ -108,7 +114,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def seeds(text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of strings that are told as a secret and hold a digit."""
+    """(kind, start, end) of strings that are told as a secret and hold a digit: what teaches that kind."""
     if "=" not in text and ":" not in text:
         return []
     return [(BASE, m.start(1), m.end(1)) for m in _SECRET.finditer(text) if any(c.isdigit() for c in m[1])]
@@ -188,6 +194,22 @@ def shape(piece: str) -> np.ndarray:
     ], np.float32)
 
 
+def context(text: str, a: int, piece: str) -> np.ndarray:
+    """Features of what is before a candidate: whether a name is assigned to it, the name's words, and then its entropy."""
+    out = np.zeros(2 + PLACES, np.float32)
+    m = _ASSIGNED.search(text, max(0, a - 34), a)
+    if m:
+        n = np.array([piece.count(c) for c in set(piece)]) / len(piece)
+        out[:2] = 1, -(n @ np.log2(n)) / 4
+        for word in _WORD.findall(m[1].lower()):
+            out[2 + zlib.crc32(word.encode()) % PLACES] = 1
+    return out
+
+
+def features(text: str, own: list[tuple[int, int, int]]) -> np.ndarray:
+    return np.stack([np.concatenate([shape(text[a:z]), context(text, a, text[a:z])]) for a, z, _ in own])
+
+
 def propagate(unary: np.ndarray, edges: np.ndarray, power: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Loopy sum-product over label-agreement edges, in logs; returns each node's label probabilities."""
     n, k = unary.shape
@@ -228,23 +250,35 @@ def edges_of(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(list(power), np.int64).reshape(-1, 2), np.array(list(power.values()))
 
 
+def potentials(text: str, spans: list[tuple[int, int, int]], weights: np.ndarray) -> tuple[list[tuple[int, int, int]], list[int], np.ndarray]:
+    """A text's candidates, their clamped labels (0 for open ones), and their unary potentials."""
+    own = tokens(text, spans)
+    clamped = [y if y <= BASE else 0 for _, _, y in own]
+    if all(clamped):
+        return own, clamped, np.zeros((len(own), len(KINDS) + 1))
+    x, w = features(text, own), weights.astype(np.float64)
+    unary = x[:, :SHAPES] @ w[:SHAPES]
+    unary = np.maximum(unary - unary.max(axis=1, keepdims=True), -SHAPE) + x[:, SHAPES:] @ w[SHAPES:]
+    for i, y in enumerate(clamped):
+        if y:
+            unary[i] = -30
+            unary[i, y] = 30
+    return own, clamped, unary
+
+
 def find(text: str, weights: np.ndarray | None) -> list[tuple[int, int, int, str, float]]:
     """All spans (kind, start, end, source, probability) of a text, by kind, then start."""
     base, told = base_spans(text), seeds(text)
-    out = [(k, a, z, "base", 1.0) for k, a, z in base] + [(k, a, z, "seed", 1.0) for k, a, z in told]
-    own = tokens(text, base + told) if weights is not None else []
-    if all(y for _, _, y in own):
+    out = [(k, a, z, "base", 1.0) for k, a, z in base]
+    if weights is None:
+        return sorted(out + [(k, a, z, "told", 1.0) for k, a, z in told])
+    own, clamped, unary = potentials(text, base + told, weights)
+    if all(clamped):
         return sorted(out)
-    pieces = [text[a:z] for a, z, _ in own]
-    unary = np.stack([shape(x) for x in pieces]) @ weights.astype(np.float64)
-    unary = np.maximum(unary - unary.max(axis=1, keepdims=True), -SHAPE)
-    for i, (_, _, y) in enumerate(own):
-        if y:
-            unary[i] = -30
-            unary[i, y] = 30
-    p = propagate(unary, *edges_of(pieces))
+    alone = propagate(unary, np.zeros((0, 2), np.int64), np.zeros(0))
+    p = propagate(unary, *edges_of([text[a:z] for a, z, _ in own]))
     best = p.argmax(axis=1)
-    out += [(int(best[i]) - 1, a, z, "crf", float(p[i, best[i]])) for i, (a, z, y) in enumerate(own) if not y and best[i] and p[i, best[i]] >= ADD]
+    out += [(int(best[i]) - 1, a, z, "context" if alone[i, best[i]] >= ADD else "crf", float(p[i, best[i]])) for i, (a, z, _) in enumerate(own) if not clamped[i] and best[i] and p[i, best[i]] >= ADD]
     return sorted(out)
 
 
@@ -258,7 +292,7 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rows: i
             own = tokens(text, base_spans(text) + seeds(text))
             if len(own) > FIT_TOKENS:
                 own = sorted(own, key=lambda t: (zlib.crc32(b"%d" % t[0]), t))[:FIT_TOKENS]
-            xs.append(np.array([shape(text[a:z]) for a, z, _ in own], np.float32).tobytes())
+            xs.append(features(text, own).tobytes() if own else b"")
             ys.append(bytes(y for _, _, y in own))
         return pd.DataFrame({"x": xs, "y": ys})
 
@@ -292,7 +326,7 @@ def finder(weights: np.ndarray | None, spark) -> object:
         for batch in batches:
             rows = []
             for text in texts(batch):
-                found = find(text, held.value) if _SIGN.search(text) else []
+                found = find(text, held.value) if _SIGN.search(text) or "dot" in text else []
                 n = [sum(k == i and s == "base" for k, _, _, s, _ in found) for i in range(BASE)]
                 rows.append((*n, len(found), len(found) - sum(n), *(digest(found) if found else none), [{"kind": KINDS[k], "start": a, "end": z, "source": s, "p": p} for k, a, z, s, p in found]))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")[:8]] + ["found"])

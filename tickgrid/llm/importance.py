@@ -44,7 +44,7 @@ def suffix_order(ids: np.ndarray, depth: int) -> np.ndarray:
     while span < depth:
         step = min(span, depth - span)
         after = np.concatenate([rank[step:], np.zeros(step, np.int64)])
-        rank = np.unique(rank * (int(rank.max(initial=0)) + 1) + after, return_inverse=True)[1]
+        rank = np.unique(rank * (int(rank.max(initial=0)) + 1) + after, return_inverse=True)[1] + 1  # 0 is beyond the end
         span += step
     return np.argsort(rank, kind="stable")
 
@@ -83,7 +83,7 @@ def listed(texts: list[bytes | None], orders: int, buckets: int, window: int | N
         size[: len(rows)] = np.fromiter(map(len, words), np.int64, len(words))
         n_words += np.bincount(rows[fresh & (size[: len(rows)] > 0)], minlength=len(texts))
         for n in range(orders):  # a run that ends among words told before was counted there
-            ends = np.concatenate([fresh[n:], np.zeros(n, bool)])
+            ends = np.concatenate([fresh[n:], np.zeros(n, bool)])[: len(fresh)]
             found[~ends, n] = -1
         held = found >= 0
         n_features += np.bincount(rows, weights=held.sum(axis=1), minlength=len(texts)).astype(np.int64)

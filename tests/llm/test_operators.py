@@ -10,7 +10,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from tickgrid.llm import chat, components, decontaminate, embedding_dedup, jaccard_forest, language_id, mixing, pii_crf, queries, textvec, token_store, toxicity, weak_quality
+from tickgrid.llm import base, chat, components, decontaminate, embedding_dedup, jaccard_forest, language_id, mixing, pii_crf, queries, textvec, token_store, toxicity, weak_quality
 from tickgrid.llm.base import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -781,3 +781,11 @@ def test_pipeline(spark, sf):
     rows = out.orderBy("start").collect()
     assert {r["doc_id"] for r in rows} <= want - dirty and [r["start"] for r in rows] == [sum(x["n_tokens"] for x in rows[:i]) for i in range(len(rows))]
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "language ID" and len(corpus_pipeline.STAGES) == 5
+
+
+def test_rare_labels_do_not_teach(spark, monkeypatch):
+    monkeypatch.setattr(base, "LABELS", 2)
+    rows = spark.createDataFrame([(i, "abc"[min(i // 5, 2)]) for i in range(11)] + [(90, None)], "id long, y string")
+    assert {r["y"] for r in base.sampled(rows, "y", 100, F.col("id")).collect()} == {"a", "b"}
+    equal = spark.createDataFrame([(i, y) for i in range(3) for y in "cab"], "id long, y string")
+    assert sorted(r["y"] for r in base.sampled(equal, "y", 100, F.col("id")).collect()) == ["a"] * 3 + ["b"] * 3

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: Bytes up to which a table with arrays may be broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Labels that a classifier is fitted on, at most: the most frequent, so that a dirty label column can't flood the driver.
+LABELS = 256
 _SHARED: list[Broadcast] = []
 #: What a worker's modules remember between tasks.
 KEPT: list[dict] = []
@@ -130,12 +132,13 @@ def fold_of(id_col: str, k: int) -> Column:
 
 
 def sampled(df: DataFrame, label: str, per_label: int, *key: Column) -> DataFrame:
-    """About per_label rows of every non-null label, chosen by a hash of the key; all rows of a rarer one.
+    """About per_label rows of each of the LABELS most frequent non-null labels, chosen by a hash of the key; all rows of a rarer one.
 
-    The label counts are one narrow aggregation, joined back; they are never collected.
+    The label counts are one narrow aggregation, joined back; they are never collected. Equally frequent labels go by their order.
     """
     own, rows = fresh(df, "_label"), fresh(df, "_rows")
-    n = cut(df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias(own)).agg(F.count("*").alias(rows)))
+    n = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias(own)).agg(F.count("*").alias(rows))
+    n = cut(n.orderBy(F.desc(rows), own).limit(LABELS))
     return df.join(small(n), F.col(label) == F.col(own)).where(unit(*key) * F.col(rows) < per_label).drop(own, rows)
 
 

@@ -6,7 +6,8 @@ well that bit does on that language, and takes the nearest codeword. A small lea
 
 Cases: null text, or text with no letter: ``und``, score 0, not ambiguous. No labelled row: ``und`` for all. One
 language: that language for all texts with letters. Ties: the first language in alphabetical order. Repeated rows and
-repeated ids are each predicted by their own text. Labels that are null teach nothing.
+repeated ids are each predicted by their own text. Labels that are null teach nothing, nor do those beyond the
+``base.LABELS`` most frequent.
 """
 
 from __future__ import annotations

@@ -45,11 +45,18 @@ def planes(d: int, n: int, seed: int = 5) -> np.ndarray:
     return np.random.default_rng(seed + d).standard_normal((d, n))
 
 
-def sketch(bits: int, tables: int) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def code_type(bits: int) -> np.dtype:
+    """The integers that hold a pattern of so many bits."""
+    return np.dtype("<i4" if bits < 32 else "<i8")
+
+
+def sketch(bits: int, tables: int) -> Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]]:
+    """vector -> codes (its pattern in each table), the same as bytes, and its direction (length 1) as bytes of doubles."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            out: list[list[int] | None] = [None] * len(batch)
+            out: list[tuple] = [(None, None, None)] * len(batch)
             by_length: dict[int, list[int]] = {}
             for i, v in enumerate(batch):
                 if v is not None and len(v):
@@ -59,10 +66,12 @@ def sketch(bits: int, tables: int) -> Callable[[Iterator[pd.Series]], Iterator[p
                     held[d] = planes(d, bits * tables)
                 for at in (every[i : i + 1024] for i in range(0, len(every), 1024)):
                     x = np.array([np.asarray(batch.iloc[i], np.float64) for i in at])
+                    x /= np.abs(x).max(axis=1, keepdims=True)
+                    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
                     signs = (x @ held[d] > 0).reshape(len(x), tables, bits)
-                    for i, p in zip(at, signs @ (1 << np.arange(bits)), strict=True):
-                        out[i] = p.tolist()
-            yield pd.Series(out, dtype=object)
+                    for i, p, u in zip(at, signs @ (1 << np.arange(bits)), x, strict=True):
+                        out[i] = p.tolist(), p.astype(code_type(bits)).tobytes(), u.tobytes()
+            yield pd.DataFrame(out, columns=["codes", "pattern", "unit"], dtype=object)
 
     return run
 
@@ -80,30 +89,34 @@ def pairs_within(bounds: np.ndarray, most: int = PAIRS) -> Iterator[tuple[np.nda
                 yield (first[g : g + step, None] + a).ravel(), (first[g : g + step, None] + b).ravel()
 
 
-def linked(rows: pd.DataFrame, bounds: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places that are links of their block and that no earlier table shows."""
-    size = rows["vector"].map(len).to_numpy()
+def linked(rows: pd.DataFrame, bounds: np.ndarray, cosine: float, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that are links of their block and that no earlier table shows.
+
+    What an earlier table shows is told by the patterns alone, so only the other pairs' cosines are taken.
+    """
+    size = rows["unit"].map(len).to_numpy() // 8
     x = np.zeros((len(rows), size.max()))
-    for i, v in enumerate(rows["vector"]):
-        x[i, : size[i]] = v
-    x /= np.abs(x).max(axis=1, keepdims=True)
-    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    for d in np.unique(size).tolist():
+        of = size == d
+        x[of, :d] = np.frombuffer(b"".join(rows["unit"][of]), np.float64).reshape(-1, d)
     tab, own = rows["tab"].to_numpy(), rows["own"].to_numpy()
     across = (rows["bx"] != rows["by"]).to_numpy()
-    pattern = np.array(rows["pattern"].tolist())
+    pattern = np.frombuffer(b"".join(rows["pattern"]), code_type(bits)).reshape(len(rows), -1)
     earlier = np.arange(pattern.shape[1])
     found = [(np.zeros(0, np.int64),) * 2]
     for a, b in pairs_within(bounds):
-        good = (np.einsum("ij,ij->i", x[a], x[b]) >= cosine) & (size[a] == size[b]) & (~across[a] | (own[a] != own[b]))
-        a, b = a[good], b[good]
+        own_pair = (size[a] == size[b]) & (~across[a] | (own[a] != own[b]))
+        a, b = a[own_pair], b[own_pair]
         met = ((pattern[a] == pattern[b]) & (earlier < tab[a][:, None])).any(axis=1)
-        found.append((a[~met], b[~met]))
+        a, b = a[~met], b[~met]
+        good = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
+        found.append((a[good], b[good]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _verify(rows: pd.DataFrame, bounds: np.ndarray, cosine: float) -> pd.DataFrame | None:
+def _verify(rows: pd.DataFrame, bounds: np.ndarray, cosine: float, bits: int) -> pd.DataFrame | None:
     """Links of whole blocks: (id, null, links) and (a, b, 0) that tie each group of linked vectors to one of them."""
-    a, b = linked(rows, bounds, cosine)
+    a, b = linked(rows, bounds, cosine, bits)
     if not len(a):
         return None
     ids, weight = rows["id"].to_numpy(), rows["copies"].to_numpy()
@@ -131,11 +144,13 @@ def dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", ve
     classes = rows.where("k1 is not null").groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     classes = spool(classes.withColumn("id", F.monotonically_increasing_id()), "vectors")
     bits, tables = layout(classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0, cosine)
-    classes = spool(classes.withColumn("pattern", F.pandas_udf(sketch(bits, tables), "array<long>")("vector")), "patterns")
+    sketched = F.pandas_udf(sketch(bits, tables), "codes array<long>, pattern binary, unit binary")
+    classes = spool(classes.withColumn("s", sketched("vector")).select("id", "label", "k1", "k2", "least", "copies", "s.*"), "patterns")
 
-    held = sized(classes.select("id", F.xxhash64("label").alias("l"), F.posexplode("pattern").alias("tab", "code")), "l", "tab", "code")
-    held = with_blocks(held.join(classes.select("id", "copies", "vector", "pattern"), "id"), F.col("size"), BLOCK, F.col("id"))
-    found = spool(map_groups(held.select("l", "code", "bx", "by", "tab", "id", "own", "copies", "vector", "pattern"), ["l", "tab", "code", "bx", "by"], lambda rows, bounds: _verify(rows, bounds, cosine), "a long, b long, n long"), "links")
+    held = sized(classes.select("id", F.xxhash64("label").alias("l"), F.posexplode("codes").alias("tab", "code")), "l", "tab", "code")
+    held = with_blocks(held.join(classes.select("id", "copies", "pattern", "unit"), "id"), F.col("size"), BLOCK, F.col("id"))
+    held = held.select("l", "code", "bx", "by", "tab", "id", "own", "copies", "pattern", "unit")
+    found = spool(map_groups(held, ["l", "tab", "code", "bx", "by"], lambda rows, bounds: _verify(rows, bounds, cosine, bits), "a long, b long, n long"), "links")
 
     links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     joined = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "id")

@@ -29,7 +29,7 @@ SELECT page_id, form, pairs, score FROM (SELECT *, row_number() OVER (PARTITION
 def registration_best(s, d):
     """Each page's lines against three forms, by monotone local alignment; the best one wins."""
     line = F.struct((F.col("box_id") * 50 + F.col("pk") % 7).cast("double").alias("y"), (F.col("q") + 1).cast("double").alias("w"))
-    lines = gold(s, d).groupBy("page_id").agg(F.array_sort(F.collect_list(line)).alias("page"))
+    lines = gold(s, d).groupBy("page_id").agg(F.sort_array(F.collect_list(line)).alias("page"))
     forms = s.createDataFrame(FORMS, "form string, template array<struct<y: double, w: double>>")
     return spatial.best_form(sequences.registrations(lines.crossJoin(F.broadcast(forms)))).select("page_id", "form", "pairs", "score")
 

@@ -1,13 +1,17 @@
-"""Sequences on a page: peaks of a profile as islands, and the alignment of two sequences of lines, without Python."""
+"""Sequences on a page: peaks of a profile as islands, and the alignment of sequences of lines, many at once."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickgrid.operators.alignment import aligned, lists, numbers
+
 
 def islands(profile: DataFrame, key: str, at: str, value: str, share: float = 0.2) -> DataFrame:
     """Maximal runs of places whose value is at least a share of the profile's greatest, and at least 1: (key, pos, weight).
@@ -44,78 +48,32 @@ def peaks(profile: DataFrame, key: str, at: str, value: str, share: float = 0.2,
     return thinned(islands(profile, key, at, value, share), key, gap)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is worked out once, however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def aligned(template: Column, page: Column, lookback: int = 4, skip: float = 0.3, slopes: tuple[float, float] = (0.45, 2.2)) -> Column:
-    """Monotone local alignment of two arrays of struct<y, w>, as an array of struct<i, j> of 0-based places.
-
-    A table of best totals is filled row by row in a fold: what is carried are the last rows of the table, a pointer back for
-    each cell, and the best cell so far. A cell's total is the likeness of its two weights, and what a cell before gives, at
-    most ``lookback`` places away on both sides and with a slope within bounds, less the places skipped. Of equal totals the
-    first counts. Sequences of fewer than two lines have no pairs.
-    """
-    n, alike = F.size(page), lambda a, b: F.when(F.greatest(a, b) > 0, F.least(a, b) / F.greatest(a, b)).otherwise(F.lit(0.0))
-
-    def row(acc: Column, i: Column) -> Column:
-        t, held = F.get(template, i), F.size(acc["rows"])
-
-        def cell(p: Column, j: Column) -> Column:
-            base, first = alike(t["w"], p["w"]), F.greatest(F.lit(0), j - lookback)
-
-            def come(d: Column, k: Column, pi: Column) -> Column:
-                pj = first + k
-                rise, run = t["y"] - F.get(template, pi)["y"], p["y"] - F.get(page, pj)["y"]
-                fits = (rise > 0) & (run > 0) & (run / rise).between(*slopes)
-                total = d + base - F.lit(skip) * ((i - pi - 1) + (j - pj - 1)).cast("double")
-                return F.when(fits & (total > base), F.struct(total.alias("d"), (-(pi * n + pj)).alias("at")))
-
-            ways = F.flatten(F.transform(acc["rows"], lambda r, k: F.transform(F.slice(r, first + 1, F.least(j, F.lit(lookback))), lambda d, x: come(d, x, i - held + k))))
-            return let(F.array_max(ways), lambda best: F.struct(F.coalesce(best["d"], base).alias("d"), F.coalesce(-best["at"], F.lit(-1)).alias("back")))
-
-        def carried(cells: Column) -> Column:
-            rows = F.concat(F.slice(acc["rows"], F.greatest(F.lit(1), held - lookback + 2), lookback), F.array(cells["d"]))
-            top = F.array_max(F.transform(cells, lambda c, j: F.struct(c["d"].alias("d"), (-(i * n + j)).alias("at"))))
-            return F.struct(rows.alias("rows"), F.concat(acc["back"], cells["back"]).alias("back"), F.greatest(acc["top"], top).alias("top"))
-
-        return let(F.transform(page, cell), carried)
-
-    start = F.struct(F.array().cast("array<array<double>>").alias("rows"), F.array().cast("array<int>").alias("back"), F.struct(F.lit(-1e9).alias("d"), F.lit(0).alias("at")).alias("top"))
-    filled = F.aggregate(F.sequence(F.lit(0), F.size(template) - 1), start, row)
-
-    def follow(acc: Column, _: Column) -> Column:
-        on = acc["at"] >= 0
-        here = F.struct(F.floor(acc["at"] / n).cast("int").alias("i"), (acc["at"] % n).alias("j"))
-        return F.struct(F.when(on, F.get(acc["back"], acc["at"])).otherwise(F.lit(-1)).alias("at"), acc["back"].alias("back"), F.when(on, F.concat(F.array(here), acc["pairs"])).otherwise(acc["pairs"]).alias("pairs"))
-
-    def traced(table: Column) -> Column:
-        begin = F.struct((-table["top"]["at"]).alias("at"), table["back"].alias("back"), F.array().cast("array<struct<i: int, j: int>>").alias("pairs"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(template)), begin, follow, lambda acc: acc["pairs"])
-
-    own = F.element_at(F.transform(F.array(filled), traced), 1)
-    return F.when(F.least(F.size(template), n) >= 2, own).otherwise(F.array().cast("array<struct<i: int, j: int>>"))
-
-
-def knots(pairs: Column, template: Column, page: Column) -> Column:
-    """Pairs as knots struct<ty, py> of a map: each above the one before on both sides."""
-
-    def step(acc: Column, x: Column) -> Column:
-        last, one = F.get(acc, F.size(acc) - 1), F.struct(F.get(template, x["i"])["y"].alias("ty"), F.get(page, x["j"])["y"].alias("py"))
-        return F.when((F.size(acc) == 0) | ((one["ty"] > last["ty"]) & (one["py"] > last["py"])), F.concat(acc, F.array(one))).otherwise(acc)
-
-    return F.aggregate(pairs, F.array().cast("array<struct<ty: double, py: double>>"), step)
-
-
 def registrations(lines: DataFrame) -> DataFrame:
     """lines (page_id, form, template, page: arrays of struct<y, w>) -> page_id, form, pairs, score, knots.
 
-    Little data is much work here, so rows are dealt to all tasks; the alignment is a generated row, which filters on what
-    follows from it don't work out again.
+    Rows stay where they lie; those of a batch with equally many lines on both sides are aligned together. Pairs rise on both
+    sides, so each is a knot of the map from the form's heights to the page's. Sequences of fewer than two lines have no pairs.
     """
-    tasks = lines.sparkSession.sparkContext.defaultParallelism
-    own = lines.repartition(max(tasks, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "page_id", "form")
-    own = own.select("page_id", "form", "template", "page", F.explode(F.array(aligned(F.col("template"), F.col("page")))).alias("_p"))
-    score = F.round(F.size("_p") / F.greatest(F.lit(3), F.least(F.size("template"), F.size("page"))), 3)
-    return own.select("page_id", "form", F.size("_p").alias("pairs"), score.alias("score"), knots(F.col("_p"), F.col("template"), F.col("page")).alias("knots"))
+    kept = ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in ("page_id", "form"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (t0, m, t), (p0, n, p) = (lists(batch.column(c)) for c in ("template", "page"))
+            (ty, tw), (py, pw) = ((numbers(v, "y"), numbers(v, "w")) for v in (t, p))
+            least = np.minimum(m, n)
+            size, width = np.zeros(len(m), np.int64), int(least.max(initial=1))
+            up, across = np.zeros((len(m), width)), np.zeros((len(m), width))
+            able = np.flatnonzero(least >= 2)
+            shapes, shape = np.unique(np.stack([m[able], n[able]]), axis=1, return_inverse=True)
+            for k, (a, b) in enumerate(shapes.T.tolist()):
+                own = able[shape.ravel() == k]
+                ts, ps = t0[own, None] + np.arange(a), p0[own, None] + np.arange(b)
+                i, j, size[own] = aligned(ty[ts], tw[ts], py[ps], pw[ps])
+                up[own, : min(a, b)], across[own, : min(a, b)] = np.take_along_axis(ty[ts], i, 1), np.take_along_axis(py[ps], j, 1)
+            held = np.arange(width) < size[:, None]
+            knots = pa.StructArray.from_arrays([pa.array(up[held]), pa.array(across[held])], ["ty", "py"])
+            ends = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("form"), pa.array(size, pa.int32()), pa.array(least, pa.int32()), pa.ListArray.from_arrays(ends, knots)], ["page_id", "form", "pairs", "least", "knots"])
+
+    own = lines.select("page_id", "form", "template", "page").mapInArrow(run, f"{kept}, pairs int, least int, knots array<struct<ty: double, py: double>>")
+    return own.select("page_id", "form", "pairs", F.round(F.col("pairs") / F.greatest(F.lit(3), "least"), 3).alias("score"), "knots")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickgrid.functions.lineage import cut
+#: Tasks that the lines of one split of the file are dealt to: a task's rows don't grow with the table.
+TASKS = 8
 
 BOX_BASE = """SELECT l_orderkey AS page_id, l_linenumber AS ln, MIN(l_partkey) AS pk, MIN(l_suppkey) AS sk,
   CAST(MIN(l_quantity) AS INT) AS q, CAST(ROUND(MIN(l_discount) * 100) AS INT) AS d, CAST(ROUND(MIN(l_tax) * 100) AS INT) AS t
@@ -26,25 +27,31 @@ ALL = {"box_base": BOX_BASE, "boxes_gold": BOXES_GOLD, "boxes_pred": BOXES_PRED,
 WITH = "WITH RECURSIVE " + ",\n".join(f"{k} AS MATERIALIZED ({v})" for k, v in ALL.items())
 
 
+#: The same rows as BOXES_PRED from one pass over the labels.
+PRED_ONCE = """SELECT page_id, box_id, x1, y1, x2, y2, is_checked, pk, sk FROM (SELECT page_id, inline(array(
+  CASE WHEN (pk + box_id)%29 <> 0 THEN named_struct('held', TRUE, 'box_id', box_id, 'x1', x1 + (pk%13) - 6, 'y1', y1 + (sk%5) - 2, 'x2', x2 + (pk%13) - 6, 'y2', y2 + (sk%5) - 2, 'is_checked', CASE WHEN pk%23 = 0 THEN NOT is_checked ELSE is_checked END, 'pk', pk, 'sk', sk) END,
+  CASE WHEN pk%31 = 0 THEN named_struct('held', TRUE, 'box_id', box_id + 100, 'x1', x1 + 1000, 'y1', y1, 'x2', x2 + 1000, 'y2', y2, 'is_checked', is_checked, 'pk', pk, 'sk', sk) END)) FROM boxes_gold) WHERE held"""
+
+
+def dealt(lines: DataFrame) -> DataFrame:
+    """Lines dealt by page, once: what follows by page, or by page and more, finds its rows together."""
+    return lines.repartition(TASKS * max(1, lines.rdd.getNumPartitions()), "l_orderkey")
+
+
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived relation over sf_dir's tables; only what it needs is read."""
-    held = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders")}
-    order = list(ALL)
-    text = ALL[name]
-    needed = [n for n in order[: order.index(name)] if n != "pages_meta"] if name != "pages_meta" else []
-    ctes = ", ".join(f"{n} AS ({ALL[n]})" for n in needed)
-    sql = (f"WITH {ctes} " if ctes else "") + text
-    for t in held:
-        sql = sql.replace(f"FROM {t}", f"FROM {{{t}}}")
-    return spark.sql(sql, **held)
+    """A derived relation over sf_dir's tables; only what it needs is read. Relations of boxes are dealt by page."""
+    if name == "pages_meta":
+        return spark.sql(PAGES.replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return relations(spark, sf_dir, name)[0]
 
 
 def relations(spark: SparkSession, sf_dir: str, *names: str) -> tuple[DataFrame, ...]:
-    """Several relations of boxes from one box_base, which is read and aggregated once and cut."""
-    base = cut(relation(spark, sf_dir, "box_base"))
+    """Several relations of boxes from one dealing of the lines: a plan that holds more than one of them reuses its shuffle."""
+    lines = dealt(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    own = ALL | {"boxes_pred": PRED_ONCE}
+    needs = {"box_base": (), "boxes_gold": ("box_base",), "boxes_pred": ("box_base", "boxes_gold"), "features": ("box_base",)}
     out = []
     for name in names:
-        needed = [n for n in ("boxes_gold", "boxes_pred") if name == "boxes_pred" or n == name]
-        ctes = ", ".join(f"{n} AS ({ALL[n]})" for n in needed[:-1])
-        out.append(spark.sql(((f"WITH {ctes} " if ctes else "") + ALL[name]).replace("FROM box_base", "FROM {box_base}"), box_base=base))
+        ctes = ", ".join(f"{n} AS ({own[n]})" for n in needs[name])
+        out.append(spark.sql(((f"WITH {ctes} " if ctes else "") + own[name]).replace("FROM lineitem", "FROM {lineitem}"), lineitem=lines))
     return tuple(out)

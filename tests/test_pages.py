@@ -81,6 +81,28 @@ def test_witness_merge(spark):
     assert [tuple(r) for r in placement.page_stats(out).orderBy("page_id").collect()] == [(1, 15, 14, 1, 1, True), (2, 15, 6, 0, 0, False)]
 
 
+def test_pages_of_a_batch_are_placed_as_one_by_one():
+    r = np.random.default_rng(4)
+    grids = [np.array([(50 * i, 60 * k, 50 * i + 20, 60 * k + 20) for k in range(3) for i in range(n)], float) for n in (3, 5)]
+    forms, knots, found = [], [], []
+    for p in range(400):
+        form = grids[p % 2]
+        k = np.array([(0.0, 10.0), (70.0, 80.0 + p % 3), (150.0, 160.0)][: 2 + p % 2])
+        seen = form[r.random(len(form)) < 0.93] + [3, 10, 3, 10] + r.integers(-2, 3, 4)
+        found.append(np.vstack([seen, [[400, 400, 420, 420]]])[: r.integers(1, 18)])
+        forms.append(None if p % 11 == 0 else np.zeros((0, 4)) if p % 13 == 0 else form)
+        knots.append(k)
+    size = np.array([len(f) for f in found])
+    start = np.cumsum(size) - size
+    confirmed, added, figures = placement.place_pages(start, size, np.vstack(found), forms, knots, np.full(400, 20.0))
+    for p in range(400):
+        if forms[p] is not None:
+            one, more, stats = placement.place_page(found[p], forms[p], knots[p], 20.0)
+            assert confirmed[start[p] : start[p] + size[p]].tolist() == one.tolist() and [tuple(a[1:]) for a in added if a[0] == p] == more
+            assert {k: v[p] for k, v in figures.items()} == stats
+    assert 20 < len(added) and not any(confirmed[start[p] : start[p] + size[p]].any() for p in range(0, 400, 11))
+
+
 def test_detect_with_a_registered_form(spark):
     boxes = [(100 + 110 * (i % 10), 150 + 160 * (i // 10), 124 + 110 * (i % 10), 174 + 160 * (i // 10)) for i in range(30)]
     blank = drawn_pages.blank(700, 1500, boxes)

@@ -1,7 +1,7 @@
 """A registered form as a second witness: its boxes confirm, add or question the detected ones, page by page.
 
 Rows of the form are taken in reading order and a detection serves one row only, so each page is one ordered pass; a page
-is one row with its boxes as a list, so the kernel is a map.
+is one row with its boxes as a list, so the kernel is a map, which takes the pages of a batch together.
 """
 
 from __future__ import annotations
@@ -9,16 +9,22 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickgrid.operators.alignment import aligned, lists, numbers
 from tickgrid.operators.spatial import align
 
 STATS = "struct<projected: int, agree: int, template_only: int, detect_only: int, trusted: boolean>"
 BOX = "box_id int, x1 int, y1 int, x2 int, y2 int, witnesses array<string>, reasons array<string>"
-MERGED = f"page_id long, boxes array<struct<{BOX}>>, stats {STATS}"
 SCHEMA = f"page_id long, {BOX}, stats {STATS}"
+CORNERS = ("x1", "y1", "x2", "y2")
+WITNESSES = pa.array([["structure"], ["structure", "template"], ["template"]])
+REASONS = pa.array([[], ["EXTRA_BOX"], ["MISSING_IN_DETECT"]], pa.list_(pa.string()))
+#: Filled rows that a task remembers, at most.
+KNOWN = 50_000
 
 
 def mapped(knots: Sequence[tuple[float, float]], y: float) -> float:
@@ -85,6 +91,76 @@ def place_page(found: np.ndarray, form: np.ndarray, knots: Sequence[tuple[float,
     return confirmed, added, {"projected": len(form), "agree": agree, "template_only": len(added), "detect_only": int((~confirmed).sum()) if trusted else 0, "trusted": trusted}
 
 
+def place_pages(start: np.ndarray, size: np.ndarray, corners: np.ndarray, forms: list[np.ndarray | None], knots: list[np.ndarray], side: np.ndarray, least: float = 0.75, known: dict | None = None) -> tuple[np.ndarray, list[tuple], dict[str, np.ndarray]]:
+    """place_page for many pages: page p has the detections start[p] to start[p] + size[p]; forms[p] is None without a registration.
+
+    Returns the confirmed detections, the added boxes (page, corners) and the pages' figures. Pages whose form falls into the
+    same rows, under knots of the same number, are taken together, row by row. ``known`` keeps filled rows between calls.
+    """
+    pages, known = len(size), {} if known is None else known
+    confirmed, open_fills, groups, cut = np.zeros(len(corners), bool), [], {}, {}
+    mid, left = (corners[:, 1] + corners[:, 3]) / 2, corners[:, 0]
+    for p in range(pages):
+        form, k = forms[p], knots[p]
+        if form is None or not len(form):
+            continue
+        (t0, p0), (t1, p1) = k[0], k[-1]
+        at = (form.tobytes(), 0.8 * side[p] / max(1e-6, (p1 - p0) / max(1.0, t1 - t0)))
+        if at not in cut:
+            rows = reading_rows(form, at[1])
+            cut[at] = (tuple(r.tobytes() for r in rows), rows)
+        groups.setdefault((at[0], cut[at][0], len(k)), (cut[at][1], []))[1].append(p)
+    for rows, members in groups.values():
+        own = np.array(members)
+        t, y = np.moveaxis(np.array([knots[p] for p in members], float), 2, 0)
+        which = np.repeat(np.arange(len(own)), size[own])
+        boxes = np.arange(len(which)) - np.repeat(np.cumsum(size[own]) - size[own], size[own]) + start[own][which]
+        tall, every, last = side[own], np.arange(len(own)), t.shape[1] - 2
+        for row in rows:
+            height = heights(t, y, float(((row[:, 1] + row[:, 3]) / 2).mean()), every, last)
+            near = np.flatnonzero((np.abs(mid[boxes] - height[which]) < 0.55 * tall[which]) & ~confirmed[boxes] & ~(height < -tall)[which])
+            near = near[np.lexsort((left[boxes[near]], which[near]))]
+            count = np.bincount(which[near], minlength=len(own))
+            first = np.cumsum(count) - count
+            for n in np.unique(count[count > 0]).tolist():
+                here = np.flatnonzero(count == n)
+                band = boxes[near[first[here, None] + np.arange(n)]]
+                if n == len(row):
+                    confirmed[band] = True
+                    continue
+                xs = left[band]
+                form_x = np.broadcast_to(row[:, 0], (len(here), len(row)))
+                i, j, pairs = aligned(form_x, np.ones_like(form_x), xs, np.ones_like(xs), lookback=3, skip=0.3, slopes=(0.4, 2.5))
+                confirmed[np.take_along_axis(band, np.maximum(j, 0), 1)[j >= 0]] = True
+                for h in np.flatnonzero((pairs >= 2) & (pairs < len(row)) & (pairs == n)).tolist():
+                    open_fills.append((own[here[h]], row, tuple(i[h, :n].tolist()), tuple(xs[h].tolist()), float(height[here[h]])))
+    of = np.repeat(np.arange(pages), size)
+    agree = np.bincount(of, weights=confirmed, minlength=pages).astype(np.int64)
+    projected = np.array([0 if f is None else len(f) for f in forms], np.int64)
+    trusted = (projected > 0) & (agree / np.maximum(projected, 1) >= least)
+    added = []
+    for p, row, seen, xs, height in open_fills:
+        if trusted[p]:
+            key = (row.tobytes(), seen, xs, height)
+            if key not in known:
+                if len(known) >= KNOWN:
+                    known.clear()
+                known[key] = [b for b in filled_in(row, [(i, j) for j, i in enumerate(seen)], np.array(xs), height) if b[2] - b[0] > 3 and b[3] - b[1] > 3]
+            added += [(int(p), *b) for b in known[key]]
+    new = np.bincount(np.array([a[0] for a in added], np.int64), minlength=pages) if added else np.zeros(pages, np.int64)
+    return confirmed, added, {"projected": projected, "agree": agree, "template_only": new, "detect_only": np.where(trusted, size - agree, 0), "trusted": trusted}
+
+
+def heights(t: np.ndarray, p: np.ndarray, y: float, every: np.ndarray, last: int) -> np.ndarray:
+    """mapped() for the knots (t, p) of many pages, a row each."""
+    at = np.clip((t <= y).sum(1) - 1, 0, last)
+    end = (y <= t[:, 0]) | (y >= t[:, -1])
+    a = np.where(y < t[:, -1], at, at + 1)
+    run = t[every, at + 1] - t[every, at]
+    run = np.where(end, np.maximum(1.0, run), run)
+    return p[every, a] + (y - t[every, a]) * (p[every, at + 1] - p[every, at]) / run
+
+
 def place(detected: DataFrame, registrations: DataFrame, forms: DataFrame, least: float = 0.75) -> DataFrame:
     """detected (page_id, box_id, corners), registrations (page_id, form, side, knots), forms (form, boxes) -> SCHEMA.
 
@@ -95,24 +171,28 @@ def place(detected: DataFrame, registrations: DataFrame, forms: DataFrame, least
     boxes = detected.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("y1", "x1", "box_id", "x2", "y2")]))).alias("found"))
     known = registrations.join(F.broadcast(forms), "form").select("page_id", "side", "knots", F.col("boxes").alias("form_boxes"))
 
-    def told(found: np.ndarray, r) -> tuple[list[dict], dict | None]:
-        corners = np.array([[b["x1"], b["y1"], b["x2"], b["y2"]] for b in found], float).reshape(-1, 4)
-        confirmed, added, stats = np.zeros(len(found), bool), [], None
-        if r.knots is not None:
-            form = np.array([[b["x1"], b["y1"], b["x2"], b["y2"]] for b in r.form_boxes], float).reshape(-1, 4)
-            confirmed, added, stats = place_page(corners, form, [(k["ty"], k["py"]) for k in r.knots], float(r.side), least)
-        extra = ["EXTRA_BOX"] if stats and stats["trusted"] else []
-        rows = [{**b, "witnesses": ["structure", "template"] if c else ["structure"], "reasons": [] if c else extra} for b, c in zip(found, confirmed, strict=True)]
-        rows += [{"box_id": None, **dict(zip(("x1", "y1", "x2", "y2"), b, strict=True)), "witnesses": ["template"], "reasons": ["MISSING_IN_DETECT"]} for b in added]
-        return sorted(rows, key=lambda b: (b["y1"], b["x1"])), stats
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled: dict = {}
         for batch in batches:
-            out = [(r.page_id, *told(r.found, r)) for r in batch.itertuples()]
-            yield pd.DataFrame(out, columns=["page_id", "boxes", "stats"])
-
-    merged = boxes.join(known, "page_id", "left").select("page_id", "found", "side", "knots", "form_boxes").mapInPandas(run, MERGED)
-    return merged.select("page_id", F.explode("boxes").alias("b"), "stats").select("page_id", "b.*", "stats")
+            start, size, found = lists(batch.column("found"))
+            corners = np.stack([numbers(found, c) for c in CORNERS], 1)
+            k0, kn, ks = lists(batch.column("knots"))
+            f0, fn, fs = lists(batch.column("form_boxes"))
+            told = batch.column("knots").is_valid().to_numpy(zero_copy_only=False)
+            flat, form = np.stack([numbers(ks, "ty"), numbers(ks, "py")], 1), np.stack([numbers(fs, c) for c in CORNERS], 1)
+            one = [(form[a : a + n] if t else None, flat[b : b + k]) for t, a, n, b, k in zip(told.tolist(), f0.tolist(), fn.tolist(), k0.tolist(), kn.tolist(), strict=True)]
+            side = pc.cast(batch.column("side"), pa.float64()).to_numpy(zero_copy_only=False)
+            confirmed, added, figures = place_pages(start, size, corners, [f for f, _ in one], [k for _, k in one], side, least, filled)
+            of = np.concatenate([np.repeat(np.arange(len(size)), size), np.array([a[0] for a in added], np.int64)])
+            extra = told[of[: len(confirmed)]] & figures["trusted"][of[: len(confirmed)]] & ~confirmed
+            late = np.full(len(added), 2)
+            seen = lambda c, at: pa.concat_arrays([found.field(c), pa.array([a[at] for a in added], pa.int32())])
+            stats = pa.StructArray.from_arrays([pa.array(v, pa.bool_() if c == "trusted" else pa.int32()) for c, v in figures.items()], list(figures), mask=pa.array(~told))
+            ids = pa.concat_arrays([found.field("box_id"), pa.nulls(len(added), pa.int32())])
+            columns = [batch.column("page_id").take(pa.array(of)), ids, *[seen(c, 1 + n) for n, c in enumerate(CORNERS)], WITNESSES.take(pa.array(np.concatenate([confirmed.astype(np.int64), late]))), REASONS.take(pa.array(np.concatenate([extra.astype(np.int64), late]))), stats.take(pa.array(of))]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "box_id", *CORNERS, "witnesses", "reasons", "stats"])
+
+    return boxes.join(known, "page_id", "left").select("page_id", "found", "side", "knots", "form_boxes").mapInArrow(run, SCHEMA)
 
 
 def page_stats(placed: DataFrame) -> DataFrame:

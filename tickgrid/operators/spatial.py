@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickgrid.functions.geometry import iou
-from tickgrid.functions.lineage import cut
+from tickgrid.functions.lineage import as_dealt, cut, spool
 from tickgrid.operators import grid
 
 BOX = ("box_id", "x1", "y1", "x2", "y2", "is_checked")
@@ -24,35 +24,62 @@ def candidates(pred: DataFrame, gold: DataFrame, least: float = 0.5) -> DataFram
     return both.withColumn("iou", iou("p_", "g_")).where(F.col("iou") >= least)
 
 
-def greedy_match(pairs: DataFrame) -> DataFrame:
-    """One-to-one pairs, largest IoU first, then prediction and label order.
+#: What matching and its counts need of a pair.
+NARROW = ("page_id", "p_box_id", "g_box_id", "iou", "p_is_checked", "g_is_checked", "g_ignore")
+
+
+def weighed(pairs: DataFrame) -> DataFrame:
+    """pairs with _of_p and _of_g, the pairs of their prediction and of their label, in the shared folder.
+
+    Pairs of sides that are dealt by page are found without another shuffle.
+    """
+    of = lambda side: F.count("*").over(W.partitionBy("page_id", f"{side}_box_id")).cast("int")
+    with as_dealt(pairs.sparkSession):
+        return spool(pairs.withColumns({"_of_p": of("p"), "_of_g": of("g")}))
+
+
+def chosen(told: DataFrame) -> DataFrame:
+    """One-to-one pairs of what weighed() gave, largest IoU first, then prediction and label order.
 
     Pairs that share no end with another are chosen at once. A pair that comes first among those of both its ends is chosen
     whatever else is, so each round takes all such pairs of all pages and drops the others with one of their ends: the
-    rounds end with the longest chain of ever better pairs. No page is gathered into a row.
+    rounds end with the longest chain of ever better pairs. The rest is dealt by page once. No page is gathered into a row.
     """
+    columns = [c for c in told.columns if c not in ("_of_p", "_of_g")]
     order = (F.desc("iou"), F.asc("p_box_id"), F.asc("g_box_id"))
     of_p, of_g = W.partitionBy("page_id", "p_box_id"), W.partitionBy("page_id", "g_box_id")
-    split = lambda df: (df.where("_taken").drop("_taken"), df.where("NOT _taken").drop("_taken"))
-    alone = pairs.withColumn("_taken", F.count("*").over(of_p) == 1).withColumn("_taken", F.col("_taken") & (F.count("*").over(of_g) == 1))
-    chosen, rest = split(cut(alone))
-    while not rest.isEmpty():
+    alone = (F.col("_of_p") == 1) & (F.col("_of_g") == 1)
+    out, rest = told.where(alone).select(*columns), told.where(~alone).select(*columns)
+    if rest.isEmpty():
+        return out
+    rest = rest.repartition("page_id")
+    while True:
         own = rest.withColumn("_p", F.row_number().over(of_p.orderBy(*order))).withColumn("_g", F.row_number().over(of_g.orderBy(*order)))
         own = own.withColumn("_taken", (F.col("_p") == 1) & (F.col("_g") == 1)).withColumn("_lost", F.bool_or("_taken").over(of_g))
         own = own.withColumn("_lost", F.bool_or("_taken").over(of_p) | F.col("_lost")).where("_taken OR NOT _lost")
-        taken, rest = split(cut(own.select(*pairs.columns, "_taken")))
-        chosen = chosen.unionByName(taken)
-    return chosen
+        round_ = cut(own.select(*columns, "_taken"))
+        out, rest = out.unionByName(round_.where("_taken").drop("_taken")), round_.where("NOT _taken").drop("_taken")
+        if rest.isEmpty():
+            return out
+
+
+def greedy_match(pairs: DataFrame) -> DataFrame:
+    """One-to-one pairs, largest IoU first, then prediction and label order."""
+    return chosen(weighed(pairs))
 
 
 def match_counts(pred: DataFrame, gold: DataFrame, least: float = 0.5) -> DataFrame:
     """A row per page with counts: preds, golds, ignored (labels), matched, matched_ignored, and right (matched, not ignored, same state)."""
-    m = greedy_match(candidates(pred, gold, least))
-    counts = ("preds", "golds", "ignored", "matched", "matched_ignored", "right")
-    row = lambda df, **n: df.select("page_id", *[F.coalesce(n.get(c, F.lit(0)).cast("long"), F.lit(0)).alias(c) for c in counts])
+    return counts(pred, gold, greedy_match(candidates(pred, gold, least).select(*NARROW)))
+
+
+def counts(pred: DataFrame, gold: DataFrame, m: DataFrame) -> DataFrame:
+    """The row per page of match_counts() for pairs that are chosen already; each side is counted before the sides meet."""
+    names = ("preds", "golds", "ignored", "matched", "matched_ignored", "right")
     ignore, g_ignore = F.coalesce("ignore", F.lit(False)), F.coalesce("g_ignore", F.lit(False))
+    row = lambda df, **n: df.groupBy("page_id").agg(*[F.sum(n[c].cast("long")).alias(c) if c in n else F.lit(0).cast("long").alias(c) for c in names])
     told = row(pred, preds=F.lit(1)).unionByName(row(gold, golds=F.lit(1), ignored=ignore)).unionByName(row(m, matched=F.lit(1), matched_ignored=g_ignore, right=~g_ignore & (F.col("p_is_checked") == F.col("g_is_checked"))))
-    return told.groupBy("page_id").agg(*[F.sum(c).alias(c) for c in counts])
+    return told.groupBy("page_id").agg(*[F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(c) for c in names])
 
 
 def first_match(pairs: DataFrame) -> DataFrame:
@@ -77,26 +104,31 @@ def near(points: DataFrame, boxes: DataFrame, radius: float, how: str = "left")
     return points.join(first, ["page_id", "point_id"], how)
 
 
-def nearest(points: DataFrame, boxes: DataFrame, most: Column, start: float = 33.0) -> DataFrame:
+def nearest(points: DataFrame, boxes: DataFrame, most: Column, start: float = 33.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """The nearest box by L1 for each point, null beyond ``most``: there a square() around the point stands in.
 
     Points look in rings: those without a box within the radius look again within four times that, until each has found
-    one; points on pages without boxes have none.
+    one; points on pages without boxes have none. Later rings are held against the boxes of the open points' pages alone.
+    Points and boxes that are dealt by page meet without another shuffle. ``keep``: columns of the points to carry.
     """
+    columns = list(dict.fromkeys(["page_id", "point_id", "cx", "cy", *keep]))
     own = centres(boxes).select("page_id", "b_box_id", "_x", "_y")
     far = F.abs(F.col("cx") - F.col("_x")) + F.abs(F.col("cy") - F.col("_y"))
-    able = points.select("page_id", "point_id", "cx", "cy").join(own.select("page_id").distinct(), "page_id", "left_semi")
-    found, open_, radius = None, able, start
-    while True:
-        met = grid.within(open_, own, "cx", "cy", "_x", "_y", radius).groupBy("page_id", "point_id").agg(F.min(F.struct(far.alias("far"), "b_box_id")).alias("m"))
-        told = cut(open_.join(met, ["page_id", "point_id"], "left"))
-        hit = told.where("m IS NOT NULL").select("page_id", "point_id", "m")
-        found = hit if found is None else found.unionByName(hit)
-        open_, radius = told.where("m IS NULL").drop("m"), radius * 4
-        if open_.isEmpty():
-            break
-    best = points.select("page_id", "point_id").join(found, ["page_id", "point_id"], "left")
-    return best.select("page_id", "point_id", F.when(F.col("m.far") <= most, F.col("m.b_box_id")).alias("box_id"), F.col("m.far").alias("far"))
+    met = lambda p, o, r: grid.within(p.select("page_id", "point_id", "cx", "cy"), o, "cx", "cy", "_x", "_y", r).groupBy("page_id", "point_id").agg(F.min(F.struct(far.alias("far"), "b_box_id")).alias("m"))
+    ring = lambda p, o, r: p.join(met(p, o, r), ["page_id", "point_id"], "left")
+    with as_dealt(points.sparkSession):
+        told = spool(ring(points.select(*columns), own, start))
+        found, open_ = told.where("m IS NOT NULL"), told.where("m IS NULL").drop("m")
+        if not open_.isEmpty():
+            own = cut(own.join(open_.select("page_id").distinct(), "page_id", "left_semi"))
+            able = own.select("page_id").distinct()
+            found = found.unionByName(open_.join(able, "page_id", "left_anti").withColumn("m", F.lit(None).cast(told.schema["m"].dataType)))
+            open_, radius = open_.join(able, "page_id", "left_semi"), start * 4
+            while not open_.isEmpty():
+                told = cut(ring(open_, own, radius))
+                found = found.unionByName(told.where("m IS NOT NULL"))
+                open_, radius = told.where("m IS NULL").drop("m"), radius * 4
+    return found.select("page_id", "point_id", *keep, F.when(F.col("m.far") <= most, F.col("m.b_box_id")).alias("box_id"), F.col("m.far").alias("far"))
 
 
 def square(cx: Column, cy: Column, side: Column) -> list[Column]:
@@ -154,24 +186,26 @@ def dedupe(boxes: DataFrame, tolerance: float) -> DataFrame:
     The boxes that stay are the first maximal independent set of the graph of near boxes. Each round keeps all boxes whose
     near ones all come later, and these fall; rounds end when no box is open, after the longest chain of boxes that wait for
     each other. Boxes on one centre share their fate but for the first, so only that one is in the graph. Repeated box ids
-    of a page are told apart by their corners.
+    of a page are told apart by their corners. Boxes that are dealt by page meet without another shuffle.
     """
-    own = boxes.withColumns({"_x": middle_of("", "x"), "_y": middle_of("", "y"), "_k": F.struct("box_id", "x1", "y1", "x2", "y2")})
-    first = own.groupBy("page_id", "_x", "_y").agg(F.min("_k").alias("_k"))
+    key = F.struct("box_id", "x1", "y1", "x2", "y2")
+    own = boxes.withColumns({"_x": middle_of("", "x"), "_y": middle_of("", "y")})
+    first = own.groupBy("page_id", "_x", "_y").agg(F.min_by(F.struct(*[c for c in boxes.columns if c != "page_id"]), key).alias("_b"))
+    first = first.select("page_id", "_x", "_y", "_b.*").withColumn("_k", key)
     node = lambda p: first.select("page_id", F.col("_k").alias(p), F.col("_x").alias(f"{p}x"), F.col("_y").alias(f"{p}y"))
-    edges = cut(grid.within(node("a"), node("b"), "ax", "ay", "bx", "by", tolerance, extra=F.col("a") < F.col("b")).select("page_id", "a", "b"))
     gone = None
-    while not edges.isEmpty():
-        end = lambda df, c: df.select("page_id", F.col(c).alias("_e")).distinct()
-        stays = end(edges, "a").join(end(edges, "b"), ["page_id", "_e"], "left_anti").withColumnRenamed("_e", "a")
-        fell = cut(edges.join(stays, ["page_id", "a"]).select("page_id", F.col("b").alias("_k")).distinct())
-        gone = fell if gone is None else gone.unionByName(fell)
-        for c in ("b", "a"):
-            edges = edges.join(fell.withColumnRenamed("_k", c), ["page_id", c], "left_anti")
-        edges = cut(edges.select("page_id", "a", "b"))
-    kept = own.join(first.select("page_id", "_k"), ["page_id", "_k"], "left_semi")
-    kept = kept if gone is None else kept.join(gone, ["page_id", "_k"], "left_anti")
-    return kept.dropDuplicates(["page_id", "_x", "_y", "_k"]).select(*boxes.columns)
+    with as_dealt(boxes.sparkSession):
+        edges = cut(grid.within(node("a"), node("b"), "ax", "ay", "bx", "by", tolerance, extra=F.col("a") < F.col("b")).select("page_id", "a", "b"))
+        while not edges.isEmpty():
+            end = lambda df, c: df.select("page_id", F.col(c).alias("_e")).distinct()
+            stays = end(edges, "a").join(end(edges, "b"), ["page_id", "_e"], "left_anti").withColumnRenamed("_e", "a")
+            fell = cut(edges.join(stays, ["page_id", "a"]).select("page_id", F.col("b").alias("_k")).distinct())
+            gone = fell if gone is None else gone.unionByName(fell)
+            for c in ("b", "a"):
+                edges = edges.join(fell.withColumnRenamed("_k", c), ["page_id", c], "left_anti")
+            edges = cut(edges.select("page_id", "a", "b"))
+        kept = first if gone is None else spool(first.join(gone, ["page_id", "_k"], "left_anti").select(*boxes.columns))
+    return kept.select(*boxes.columns)
 
 
 def row_clusters(boxes: DataFrame, tolerance: float) -> DataFrame:

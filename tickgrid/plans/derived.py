@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Tasks that the lines of one split of the file are dealt to: a task's rows don't grow with the table.
 TASKS = 8
@@ -55,3 +56,10 @@ def relations(spark: SparkSession, sf_dir: str, *names: str) -> tuple[DataFrame,
         ctes = ", ".join(f"{n} AS ({own[n]})" for n in needs[name])
         out.append(spark.sql(((f"WITH {ctes} " if ctes else "") + own[name]).replace("FROM lineitem", "FROM {lineitem}"), lineitem=lines))
     return tuple(out)
+
+
+def twinned(boxes: DataFrame, when: Column, **moved: Column) -> DataFrame:
+    """boxes, and beside each for which ``when`` holds a twin with some columns changed; all stay dealt by page."""
+    names = [c for c in boxes.columns if c != "page_id"]
+    row = lambda **v: F.struct(F.lit(True).alias("_held"), *[v.get(c, F.col(c)).cast(boxes.schema[c].dataType).alias(c) for c in names])
+    return boxes.select("page_id", F.inline(F.array(row(), F.when(when, row(**moved))))).where("_held").select(*boxes.columns)

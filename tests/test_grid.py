@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tickgrid import catalogue, reports
+from tickgrid.functions.lineage import as_dealt
 from tickgrid.operators import grid, spatial
 
 BOXES = "page_id long, box_id int, x1 int, y1 int, x2 int, y2 int, is_checked boolean"
@@ -115,3 +117,19 @@ def test_a_page_of_fifty_thousand_boxes(spark):
     assert (row["matched"], row["right"]) == (50_000, 50_000 - (16_667 - 8334))
     assert spatial.dedupe(gold.drop("ignore"), 25.0).count() == 50_000
     assert time.time() - began < 120
+
+
+def test_pages_are_dealt_once(spark, sf):
+    """What meets by page and cell stays where its page was dealt to: no shuffle but those of the lines and of small totals."""
+    by = lambda df: {line.split("hashpartitioning(")[1].split("#")[0] for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(" in line}
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with as_dealt(spark):
+            assert by(spatial.candidates(*reports.crowded(spark, sf)).groupBy("page_id", "p_box_id").count()) == {"l_orderkey"}
+            boxes = catalogue.pred(spark, sf)
+            assert by(spatial.apart(boxes, boxes.where("pk % 3 <> 0"), 4.0)) == {"l_orderkey"}
+        assert by(spatial.dedupe(boxes.select("page_id", "box_id", "x1", "y1", "x2", "y2"), 10.0)) == {"l_orderkey"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"

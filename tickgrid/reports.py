@@ -10,7 +10,7 @@ from tickgrid.catalogue import BOTH, CARDS, CONSENSUS, COUNTS, DEFAULT_SQL, PAIR
 from tickgrid.functions import geometry as geo
 from tickgrid.functions import ranks
 from tickgrid.operators import rules, spatial
-from tickgrid.plans.derived import relation
+from tickgrid.plans.derived import relation, twinned
 
 # matching where boxes compete: twins of labels and predictions, a few pixels aside
 
@@ -28,22 +28,22 @@ cw AS (SELECT page_id, k, [p_box_id] AS ps, [g_box_id] AS gs, TRUE AS taken, p_b
 
 def crowded(s, d) -> tuple[DataFrame, DataFrame]:
     p, g = sides(s, d)
-    moved = lambda df, by, dx, dy: df.withColumns({"box_id": F.col("box_id") + by, **{c: F.col(c) + dx for c in ("x1", "x2")}, **{c: F.col(c) + dy for c in ("y1", "y2")}})
-    twins = moved(g.where("pk % 3 = 0"), 500, 4, 0).withColumns({"is_checked": ~F.col("is_checked"), "ignore": F.lit(False)})
-    return p.unionByName(moved(p.where("pk % 2 = 0"), 700, -3, 1)), g.unionByName(twins)
+    moved = lambda by, dx, dy: {"box_id": F.col("box_id") + by, **{c: F.col(c) + dx for c in ("x1", "x2")}, **{c: F.col(c) + dy for c in ("y1", "y2")}}
+    return twinned(p, F.expr("pk % 2 = 0"), **moved(700, -3, 1)), twinned(g, F.expr("pk % 3 = 0"), **moved(500, 4, 0), is_checked=~F.col("is_checked"), ignore=F.lit(False))
 
 
 @query(CROWDED + "SELECT page_id, p_box_id, g_box_id FROM cw WHERE taken")
 def contended_match(s, d):
-    return spatial.greedy_match(spatial.candidates(*crowded(s, d))).select("page_id", "p_box_id", "g_box_id")
+    return spatial.greedy_match(spatial.candidates(*crowded(s, d)).select("page_id", "p_box_id", "g_box_id", "iou")).select("page_id", "p_box_id", "g_box_id")
 
 
 @query(CROWDED + "SELECT (SELECT count(*) FROM cp) - count(*) AS fp, (SELECT count(*) FROM cg) - count(*) AS unmatched_labels, count(*) AS matched, (SELECT count(DISTINCT page_id) FROM (SELECT page_id FROM cm GROUP BY page_id, p_box_id HAVING count(*) > 1)) AS contended_pages FROM cw WHERE taken")
 def contended_counts(s, d):
     """The page-level pass on the crowded relation, with the number of pages on which a prediction had a choice."""
     p, g = crowded(s, d)
-    pages = spatial.match_counts(p, g).agg(F.sum(F.col("preds") - F.col("matched")).alias("fp"), F.sum(F.col("golds") - F.col("matched")).alias("unmatched_labels"), F.sum("matched").alias("matched"))
-    many = spatial.candidates(p, g).groupBy("page_id", "p_box_id").count().where("count > 1").agg(F.count_distinct("page_id").alias("contended_pages"))
+    told = spatial.weighed(spatial.candidates(p, g).select(*spatial.NARROW))
+    pages = spatial.counts(p, g, spatial.chosen(told)).agg(F.sum(F.col("preds") - F.col("matched")).alias("fp"), F.sum(F.col("golds") - F.col("matched")).alias("unmatched_labels"), F.sum("matched").alias("matched"))
+    many = told.where("_of_p > 1").agg(F.count_distinct("page_id").alias("contended_pages"))
     return pages.crossJoin(many)
 
 
@@ -238,15 +238,14 @@ POOLS_NAMED = ("ambiguous", "anchor-filled", "anchor-empty", "negative")
 def card_deck(s, d):
     """Cards of a page from four pools, at most three of them rejects; a box less than four pixels from an earlier card's is left out."""
     p = pred(s, d).select("page_id", "box_id", "x1", "y1", "x2", "y2", "pk", "sk")
-    twins = p.where("pk % 2 = 0").selectExpr("page_id", "box_id + 700 AS box_id", "x1 - 2 AS x1", "y1 + 1 AS y1", "x2 - 2 AS x2", "y2 + 1 AS y2", "pk", "sk + 1 AS sk")
-    own = p.unionByName(twins).withColumns({"pool": F.expr("CASE WHEN pk % 7 = 0 THEN 3 ELSE sk % 3 END"), "chance": (F.col("page_id") * 7919 + F.col("box_id") * 104729) % 1000003})
+    moved = {c: F.expr(f"{c} {by}") for c, by in {"box_id": "+ 700", "x1": "- 2", "y1": "+ 1", "x2": "- 2", "y2": "+ 1", "sk": "+ 1"}.items()}
+    own = twinned(p, F.expr("pk % 2 = 0"), **moved).withColumns({"pool": F.expr("CASE WHEN pk % 7 = 0 THEN 3 ELSE sk % 3 END"), "chance": (F.col("page_id") * 7919 + F.col("box_id") * 104729) % 1000003})
     first = W.partitionBy("page_id", "pool").orderBy(F.when(F.col("pool") == 0, 0).otherwise(F.col("chance")), "y1", "x1", "box_id")
     drawn = own.withColumn("n", F.row_number().over(first)).where("n <= CASE WHEN pool = 3 THEN 3 ELSE 4 END")
     # in the order of the pools, as ids that the choice goes by; distances are whole halves, so less than 4 is 3.5 at most
-    dealt = drawn.select("page_id", (F.col("pool") * 10 + F.col("n")).cast("int").alias("box_id"), "x1", "y1", "x2", "y2")
-    stay = spatial.dedupe(dealt, 3.5).select("page_id", F.col("box_id").alias("at"))
+    dealt = drawn.select("page_id", (F.col("pool") * 10 + F.col("n")).cast("int").alias("box_id"), "x1", "y1", "x2", "y2", F.col("box_id").alias("card"), "pool")
     names = F.element_at(F.array(*[F.lit(n) for n in POOLS_NAMED]), (F.col("pool") + 1).cast("int"))
-    return drawn.withColumn("at", (F.col("pool") * 10 + F.col("n")).cast("int")).join(stay, ["page_id", "at"]).select("page_id", "box_id", names.alias("pool"))
+    return spatial.dedupe(dealt, 3.5).select("page_id", F.col("card").alias("box_id"), names.alias("pool"))
 
 
 @query(CARDS + PAIRS + """, bm AS (SELECT * FROM boxes_pred SEMI JOIN (SELECT page_id, p_box_id AS box_id FROM m WHERE NOT g_ignore) USING (page_id, box_id)),
@@ -279,9 +278,8 @@ def reject_finder(s, d):
 @query(CARDS + ", far AS (SELECT c.page_id, c.point_id, c.cx, c.cy, min(abs(c.cx - CAST(p.x1+p.x2 AS DOUBLE)/2) + abs(c.cy - CAST(p.y1+p.y2 AS DOUBLE)/2)) AS far FROM cards c LEFT JOIN boxes_pred p ON p.page_id = c.page_id GROUP BY 1, 2, 3, 4) SELECT page_id, point_id, CAST(trunc(cx - 11) AS BIGINT) AS x1, CAST(trunc(cy - 11) AS BIGINT) AS y1, CAST(trunc(cx + 11) AS BIGINT) AS x2, CAST(trunc(cy + 11) AS BIGINT) AS y2 FROM far WHERE far IS NULL OR far > 33")
 def square_cards(s, d):
     """Cards with no box within one and a half sides get a square of the side around them."""
-    points = cards(s, d)
-    alone = spatial.nearest(points, pred(s, d), F.lit(33)).where("box_id IS NULL").select("page_id", "point_id")
-    return points.join(alone, ["page_id", "point_id"]).select("page_id", "point_id", *spatial.square(F.col("cx"), F.col("cy"), F.lit(22)))
+    alone = spatial.nearest(cards(s, d), pred(s, d), F.lit(33), keep=("cx", "cy")).where("box_id IS NULL")
+    return alone.select("page_id", "point_id", *spatial.square(F.col("cx"), F.col("cy"), F.lit(22)))
 
 
 @query(", old AS (SELECT page_id, box_id, 'old' AS route FROM boxes_gold WHERE pk%3 = 0), fresh AS (SELECT page_id, box_id, 'new' AS route FROM boxes_gold WHERE pk%2 = 0) SELECT * FROM fresh UNION ALL SELECT o.* FROM old o ANTI JOIN fresh f USING (page_id, box_id)")

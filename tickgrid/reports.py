@@ -119,13 +119,19 @@ def counted(df: DataFrame, reason: str) -> DataFrame:
     return one.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", reason, F.col("n").cast("string")))), ",").alias("counts"))
 
 
+def trusted(s, d) -> DataFrame:
+    return read(s, d, "orders").select(F.col("o_orderkey").alias("page_id"), (F.col("o_custkey") % 4 == 0).alias("trusted"), F.round(F.col("o_totalprice") / 100, 1).alias("ms"))
+
+
+def per_page(own: DataFrame) -> DataFrame:
+    return own.groupBy("page_id").agg(F.count("*").alias("boxes"), F.count_if("is_checked").alias("checked"), F.count_if(F.size("reasons") > 0).alias("flagged"), F.count_if(rules.routed(F.col("reasons"))).alias("routed"))
+
+
 def telemetry(s, d) -> DataFrame:
-    own = told(s, d)
-    per = own.groupBy("page_id").agg(F.count("*").alias("boxes"), F.count_if("is_checked").alias("checked"), F.count_if(F.size("reasons") > 0).alias("flagged"), F.count_if(rules.routed(F.col("reasons"))).alias("routed"))
+    own = ruled(s, d, rules.DEFAULT)
     why = counted(own.select("page_id", F.explode("reasons").alias("reason")), "reason").withColumnRenamed("counts", "reasons")
     off = counted(consensus(s, d).where("reason IS NOT NULL"), "reason").withColumnRenamed("counts", "rejected")
-    page = read(s, d, "orders").select(F.col("o_orderkey").alias("page_id"), (F.col("o_custkey") % 4 == 0).alias("trusted"), F.round(F.col("o_totalprice") / 100, 1).alias("ms"))
-    out = per.join(page, "page_id").join(why, "page_id", "left").join(off, "page_id", "left")
+    out = per_page(told(s, d)).join(trusted(s, d), "page_id").join(why, "page_id", "left").join(off, "page_id", "left")
     return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("reasons", "rejected")})
 
 
@@ -182,7 +188,7 @@ def claims_check(s, d):
 @query(FULL + "SELECT t.page_id, boxes, checked AS marked, routed AS flagged, trusted AS recognised FROM tele t JOIN pages_meta USING (page_id) WHERE corpus = 'holdout'")
 def holdout_counts(s, d):
     held = relation(s, d, "pages_meta").where("corpus = 'holdout'").select("page_id")
-    return telemetry(s, d).join(held, "page_id").select("page_id", "boxes", F.col("checked").alias("marked"), F.col("routed").alias("flagged"), F.col("trusted").alias("recognised"))
+    return per_page(told(s, d)).join(trusted(s, d), "page_id").join(held, "page_id").select("page_id", "boxes", F.col("checked").alias("marked"), F.col("routed").alias("flagged"), F.col("trusted").alias("recognised"))
 
 
 @query("SELECT event_type AS page, count(*) AS crops, round(median(value), 6) AS median_ms, list_sort(list(value))[least(count(*) - 1, CAST(floor(count(*)*0.95) AS BIGINT)) + 1] AS p95_ms, min(value) AS least_ms FROM events GROUP BY event_type")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickgrid.functions import geometry as geo
 from tickgrid.functions import ranks
+from tickgrid.functions.lineage import as_dealt, spool
 from tickgrid.operators import placement, rules, spatial
 from tickgrid.plans.derived import WITH, relation, relations
 
@@ -271,7 +272,8 @@ def page_report(s, d):
     """The whole row of a page: labels that count and that don't, boxes found, those with reasons, and the scores."""
     p, g = sides(s, d)
     n = spatial.match_counts(p, g).where("golds > 0").selectExpr("page_id", "golds - ignored AS gold", "ignored", "preds AS pred", "matched - matched_ignored AS tp", "preds - matched AS fp", "golds - ignored - matched + matched_ignored AS fn", "right AS right_state")
-    flagged = flat(ruled(s, d, rules.DEFAULT)).where("reasons <> ''").select("page_id", "box_id").join(p.select("page_id", "box_id"), ["page_id", "box_id"]).groupBy("page_id").agg(F.count("*").alias("ambiguous"))
+    with as_dealt(s):
+        flagged = spool(ruled(s, d, rules.DEFAULT).where(F.size("reasons") > 0).select("page_id", "box_id").join(p.select("page_id", "box_id"), ["page_id", "box_id"]).groupBy("page_id").agg(F.count("*").alias("ambiguous")))
     own = relation(s, d, "pages_meta").select("page_id").join(n, "page_id").join(flagged, "page_id", "left").na.fill(0, ["ambiguous"])
     return rated(own.select("page_id", "gold", "ignored", "pred", "ambiguous", *COUNTS))
 
